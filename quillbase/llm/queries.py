@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import quality_rules as rules
+from quillbase.llm import substring_dedup as substrings
 from quillbase.sources.tables import load
 
 
@@ -46,9 +47,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a 13-word window of an earlier one."""
+    out = substrings.substring_dedup(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept_text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13),
+h AS (SELECT doc_id, p, sha256(array_to_string(ws[p:p + 12], ' ')) AS s FROM i),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM f WHERE least < doc_id),
+c AS (SELECT doc_id, list(q) AS qs FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS q FROM w),
+k AS (
+  SELECT e.doc_id, string_agg(e.x, ' ' ORDER BY e.q) AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.q = e.q
+  WHERE g.q IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
