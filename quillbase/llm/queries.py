@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbase.llm import near_dedup as near
 from quillbase.llm import quality_rules as rules
 from quillbase.llm import substring_dedup as substrings
 from quillbase.sources.tables import load
@@ -47,6 +48,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links of 0.75 or more."""
+    return near.near_dedup(load(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT a AS doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a 13-word window of an earlier one."""
     out = substrings.substring_dedup(load(spark, sf_dir, "documents"))
@@ -71,9 +93,11 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
+    "op8_near_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
