@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import near_dedup as near
+from quillbase.llm import quality_classifier as classifier
 from quillbase.llm import quality_rules as rules
 from quillbase.llm import substring_dedup as substrings
 from quillbase.sources.tables import load
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and the verdict."""
+    return classifier.quality_classifier(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     out = rules.quality_rules(load(spark, sf_dir, "documents"))
@@ -92,6 +98,7 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
