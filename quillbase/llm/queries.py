@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import near_dedup as near
+from quillbase.llm import packing
 from quillbase.llm import quality_classifier as classifier
 from quillbase.llm import quality_rules as rules
 from quillbase.llm import substring_dedup as substrings
@@ -54,6 +56,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 ids; only lengths and check sums leave the tasks."""
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over links of 0.75 or more."""
     return near.near_dedup(load(spark, sf_dir, "documents"))
@@ -100,6 +107,7 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
