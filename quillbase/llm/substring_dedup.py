@@ -162,9 +162,10 @@ def removed_windows(documents: DataFrame, id_col: str, text_col: str, length: in
     shared = cut(anchors.groupBy("anchor").agg(F.min("low").alias("low"), top.alias("high")).where("low < high").select("anchor"))
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
     windows = known.mapInArrow(_window_rows(length, bits), "w long, low long, others array<long>").repartition("w")
-    least = windows.groupBy("w").agg(F.min("low").alias("least"))
+    # both sides read every column of ``windows``, so that they share one exchange
+    least = windows.groupBy("w").agg(F.min("low").alias("least"), F.max(F.coalesce(F.size("others"), F.lit(0))).alias("most"))
     later = F.when(F.col("low") > F.col("least"), F.array("low")).otherwise(F.array().cast("array<long>"))
-    found = windows.join(least, "w").select("w", F.explode(F.concat(later, "others")).alias("doc"))
+    found = windows.join(least, "w").where("low > least OR most > 0").select("w", F.explode(F.concat(later, "others")).alias("doc"))
     return found.groupBy("doc").agg(F.collect_list("w").alias("gone"))
 
 
