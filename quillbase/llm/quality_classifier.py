@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-One pass cuts the documents into chunks of bounded size and lists each chunk's distinct n-grams with
-their counts in trusted text. Counts are summed over all chunks, sharded by n-gram; every lower order,
-discount and back-off weight comes from those tables by grouping. The n-grams that occur anywhere are
-joined, order by order, with the count tables; each chunk then gets back the log-probabilities of its
-own n-grams and scores its documents. What moves is a row for each distinct n-gram of a chunk, so
+N-grams of trusted text are counted batch by batch and summed in tables sharded by n-gram; every lower
+order, discount and back-off weight comes from those tables by grouping. For scoring, documents are cut
+into chunks of bounded size, each with the list of its distinct n-grams. The n-grams that occur anywhere
+are joined, order by order, with the count tables; each chunk then gets back the log-probabilities of
+its own n-grams and scores its documents. What moves is a row for each distinct n-gram of a chunk, so
 neither documents nor the model meet in one place.
 """
 
@@ -18,10 +18,10 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import cut, small_enough_to_broadcast
+from quillbase.llm.common import batches, cut, small_enough_to_broadcast
 
 START = "\x02"
 CHUNK_CHARS = 8_000_000
@@ -77,6 +77,39 @@ def _grams(joined: str, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np
     return codes, places, numbers, names.view(np.uint64), np.maximum(lengths - order + 1, 0)
 
 
+def _texts(codes: np.ndarray, places: np.ndarray, numbers: np.ndarray, size: int, order: int) -> list[str]:
+    """The n-grams of a dictionary in its order."""
+    first = np.empty(size, dtype=np.int64)
+    first[numbers[::-1]] = places[::-1]
+    return np.ascontiguousarray(codes[first[:, None] + np.arange(order)]).view(f"<U{order}").ravel().tolist() if size else []
+
+
+def _count_rows(order: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part["text"].to_pylist()
+            for s in batches(texts, CHUNK_CHARS):
+                blank = [None] * (s.stop - s.start)
+                for held in _held(_pieces(blank, blank, blank, texts[s], order, 0)):
+                    codes, places, numbers, names, _ = _grams("".join(held), np.array([len(x) for x in held]), order)
+                    yield pa.RecordBatch.from_arrays([pa.array(_texts(codes, places, numbers, len(names), order), pa.string()), pa.array(np.bincount(numbers, minlength=len(names)))], names=["g", "n"])
+
+    return run
+
+
+def _held(pieces: Iterator[tuple]) -> Iterator[list[str]]:
+    """Pieces' texts in lists of bounded size."""
+    held, size = [], 0
+    for piece in pieces:
+        if held and size + len(piece[4]) > CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(piece[4])
+        size += len(piece[4])
+    if held:
+        yield held
+
+
 def _chunk_rows(order: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId()
@@ -86,15 +119,10 @@ def _chunk_rows(order: int):
         def flush() -> pa.RecordBatch:
             nonlocal held, size, chunks
             joined, lengths = "".join(x[4] for x in held), np.array([len(x[4]) for x in held])
-            codes, places, numbers, names, counts = _grams(joined, lengths, order)
-            first = np.empty(len(names), dtype=np.int64)
-            first[numbers[::-1]] = places[::-1]
-            texts = np.ascontiguousarray(codes[first[:, None] + np.arange(order)]).view(f"<U{order}").ravel().tolist()
-            good = np.repeat(np.array([x[3] for x in held], dtype=bool), counts)
-            seen = np.bincount(numbers[good], minlength=len(names))
+            codes, places, numbers, names, _ = _grams(joined, lengths, order)
             row = {
                 "chunk": task * (1 << 32) + chunks, "uid": [x[0] for x in held], "id": [x[1] for x in held], "lang": [x[2] for x in held], "trusted": [x[3] for x in held],
-                "lengths": lengths.tolist(), "packed": packer.compress(joined.encode("utf-8", "surrogatepass")), "grams": texts, "counts": seen.tolist(),
+                "lengths": lengths.tolist(), "packed": packer.compress(joined.encode("utf-8", "surrogatepass")), "grams": _texts(codes, places, numbers, len(names), order),
             }
             held, size, chunks = [], 0, chunks + 1
             return pa.RecordBatch.from_pylist([row], schema=_CHUNK_ARROW)
@@ -114,16 +142,16 @@ def _chunk_rows(order: int):
 
 
 _CHUNK_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("uid", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary()), ("grams", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+    [("chunk", pa.int64()), ("uid", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary()), ("grams", pa.list_(pa.string()))]
 )
-_CHUNK = "chunk long, uid array<long>, id array<long>, lang array<string>, trusted array<boolean>, lengths array<long>, packed binary, grams array<string>, counts array<long>"
+_CHUNK = "chunk long, uid array<long>, id array<long>, lang array<string>, trusted array<boolean>, lengths array<long>, packed binary, grams array<string>"
 
 
 def _gram_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for k in range(part.num_rows):
             grams = part["grams"][k].values
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part["chunk"][k].as_py())), grams, part["counts"][k].values], names=["chunk", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part["chunk"][k].as_py())), grams], names=["chunk", "g"])
 
 
 def _score(order: int):
@@ -146,43 +174,48 @@ def _score(order: int):
     return run
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """One row d1, d2, d3: the modified discounts from the counts of counts; 0.5, 1 and 1.5 where those are too few."""
-    n1, n2, n3, n4 = (F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4))
-    y = F.col("n1") / (F.col("n1") + F.col("n2") * 2)
-    raw = (1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), 3 - 4 * y * F.col("n4") / F.col("n3"))
-    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    value = [F.when(enough, F.least(F.greatest(r, F.lit(0.1 * k)), F.lit(0.95 * k))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k, r in enumerate(raw, 1)]
-    return counts.agg(n1, n2, n3, n4).select(*value)
+def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    """The modified discounts from the counts of counts; 0.5, 1 and 1.5 where those are too few."""
+    n = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()  # four numbers
+    if not (n[0] and n[1] and n[2]):
+        return 0.5, 1.0, 1.5
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])
+    return tuple(min(max(r, 0.1 * k), 0.95 * k) for k, r in enumerate(raw, 1))
 
 
-def _own(n: Column) -> Column:
-    return F.when(n >= 3, F.col("d3")).when(n == 2, F.col("d2")).otherwise(F.col("d1"))
-
-
-def probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """(g, log_p) for every row (g) of ``wanted``: the log-probability of its last character after the others.
-
-    ``counts``: (g, n), the n-grams of trusted text. Lower orders count distinct left neighbours.
-    """
+def order_tables(counts: DataFrame, order: int) -> list[DataFrame]:
+    """For each order from 1: (g, context, top, rest), with the discounted share of g after its context and what
+    the context leaves for lower orders. ``counts``: (g, n), the n-grams of trusted text; lower orders
+    count distinct left neighbours."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    out = wanted.withColumn("p", F.lit(None).cast("double"))
+        levels[k] = cut(levels[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+    out = []
     for k in range(1, order + 1):
-        table = levels[k].crossJoin(F.broadcast(_discounts(levels[k])))  # one row of three numbers
-        spared, kept = F.sum(_own(F.col("n"))), F.greatest(F.col("n") - _own(F.col("n")), F.lit(0.0))
-        if k == 1:
-            total = table.agg(F.sum("n").alias("total"), (spared / F.sum("n") / (F.count(F.lit(1)) + 1)).alias("floor"))
-            table = table.crossJoin(F.broadcast(total)).select(F.col("g").alias("_g"), (kept / F.col("total")).alias("top"))
-            out = out.crossJoin(F.broadcast(total.select("floor"))).join(table, F.substring("g", order, 1) == F.col("_g"), "left")
-            out = out.select("g", (F.coalesce("top", F.lit(0.0)) + F.coalesce("floor", F.lit(1.0))).alias("p"))
-            continue
-        context = table.groupBy(F.substring("g", 1, k - 1).alias("_h")).agg(F.sum("n").alias("total"), (spared / F.sum("n")).alias("rest"))
-        out = out.withColumns({"_s": F.substring("g", order - k + 1, k), "_c": F.substring("g", order - k + 1, k - 1)})
-        out = out.join(table.select(F.col("g").alias("_g"), kept.alias("top")), F.col("_s") == F.col("_g"), "left").join(context, F.col("_c") == F.col("_h"), "left")
-        out = out.select("g", (F.coalesce(F.col("top") / F.col("total"), F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")).alias("p"))
-    return out.select("g", F.log("p").alias("log_p"))
+        d1, d2, d3 = _discounts(levels[k])
+        spared = F.when(F.col("n") >= 3, d3).when(F.col("n") == 2, d2).otherwise(d1)
+        context = F.substring("g", 1, k - 1)
+        sums = levels[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(spared).alias("spared"), F.count(F.lit(1)).alias("kinds"))
+        table = levels[k].select("g", context.alias("context"), F.greatest(F.col("n") - spared, F.lit(0.0)).alias("kept")).join(sums, "context")
+        out.append(cut(table.select("g", "context", (F.col("kept") / F.col("total")).alias("top"), (F.col("spared") / F.col("total")).alias("rest"), "kinds")))
+    return out
+
+
+def probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """(g, log_p) for every row (g) of ``wanted``: the log-probability of its last character after the others."""
+    tables = order_tables(counts, order)
+    base = tables[0].select("rest", "kinds").first()  # two numbers: the rest is spread over the seen characters and one unseen
+    floor = base["rest"] / (base["kinds"] + 1) if base else 1.0
+    out = wanted.withColumn("p", F.lit(floor))
+    for k, table in enumerate(tables, 1):
+        tail, before = F.substring("g", order - k + 1, k), F.substring("g", order - k + 1, k - 1)
+        out = out.withColumns({"_tail": tail, "_before": before}).join(table.select(F.col("g").alias("_tail"), "top"), "_tail", "left")
+        if k > 1:
+            out = out.join(table.select(F.col("context").alias("_before"), "rest").distinct(), "_before", "left")
+            out = out.withColumn("p", F.coalesce("rest", F.lit(1.0)) * F.col("p"))
+        out = out.select("g", (F.coalesce("top", F.lit(0.0)) + F.col("p")).alias("p"))
+    return out.select("g", F.log("p").cast("float").alias("log_p"))
 
 
 def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
@@ -190,13 +223,14 @@ def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("_t"))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     trusted = cut(trusted)
-    few = small_enough_to_broadcast(trusted.count(), 16)
-    rows = rows.join(F.broadcast(trusted) if few else trusted, F.col("id") == F.col("_t"), "left")
-    chunks = rows.select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "text").mapInArrow(_chunk_rows(settings.order), _CHUNK).repartition("chunk")
-    listed = chunks.mapInArrow(_gram_rows, "chunk long, g string, n long")
-    summed = listed.groupBy("g").agg(F.sum("n").alias("n"))
-    logs = probabilities(summed.select("g"), summed.where("n > 0"), settings.order)
-    known = listed.select("chunk", "g").join(logs, "g")
+    if small_enough_to_broadcast(trusted.count(), 16):
+        trusted = F.broadcast(trusted)
+    counted = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi").select("text").mapInArrow(_count_rows(settings.order), "g string, n long")
+    counts = cut(counted.groupBy("g").agg(F.sum("n").alias("n")))
+    rows = rows.join(trusted, F.col("id") == F.col("_t"), "left").select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "text")
+    chunks = rows.mapInArrow(_chunk_rows(settings.order), _CHUNK).repartition("chunk")
+    listed = chunks.mapInArrow(_gram_rows, "chunk long, g string")
+    known = listed.join(probabilities(listed.select("g").distinct(), counts, settings.order), "g")
     kind = "uid long, id long, lang string, trusted boolean, log_p double, n long"
     scored = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(settings.order), kind)
     # a text in several pieces has its sums added up; a uid belongs to one row
