@@ -6,61 +6,132 @@ and the word-level one drops white space, so a text may be cut before each such
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r" (?=\S)")
 
 
-class _Numbers(dict):
-    """Numbers new keys as they come."""
-
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
-
-
 class Chunked:
     """``numbers[offsets[i]:offsets[i + 1]]``: text i as numbers of ``chunks``."""
 
-    def __init__(self, texts: Sequence[str | None]) -> None:
-        later, first = _Numbers(), _Numbers()
-        split = [(t or "").split(" ") for t in texts]
-        rows = [np.fromiter(map(later.__getitem__, s[1:]), dtype=np.int64, count=len(s) - 1) for s in split]
-        heads = [first[s[0]] for s in split]
-        # texts with white space next to a space are split again by the slower rule
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pa.array(texts, pa.large_string()).fill_null("") if not isinstance(texts, pa.Array) else texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        later = coded.dictionary.to_pylist()
+        numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets -= offsets[0]
+        heads = numbers[offsets[:-1]]
         odd = np.array([not x or x[0].isspace() for x in later], dtype=bool)
-        if odd.any():
-            for i, row in enumerate(rows):
-                if len(row) and odd[row].any():
-                    again = _CUT.split(texts[i] or "")
-                    rows[i] = np.fromiter(map(later.__getitem__, again[1:]), dtype=np.int64, count=len(again) - 1)
-                    heads[i] = first[again[0]]
-        n = len(later)
-        self.offsets = np.cumsum([0, *(len(r) + 1 for r in rows)])
-        self.numbers = np.empty(int(self.offsets[-1]), dtype=np.int64)
-        at = np.zeros(len(self.numbers), dtype=bool)
-        at[self.offsets[:-1]] = True
-        self.numbers[at] = np.asarray(heads, dtype=np.int64) + n
-        if rows:
-            self.numbers[~at] = np.concatenate(rows)
-        self.chunks = [" " + x for x in later] + list(first)
+        odd_at = odd[numbers] if odd.any() else np.zeros(len(numbers), dtype=bool)
+        odd_at[offsets[:-1]] = False
+        first = dict.fromkeys(heads.tolist())
+        self.chunks = [" " + x for x in later] + [later[k] for k in first]
+        place = {k: len(later) + i for i, k in enumerate(first)}
+        numbers[offsets[:-1]] = [place[k] for k in heads.tolist()]
+        self.numbers, self.offsets = numbers, offsets
+        if odd_at.any():
+            self._split_again(texts, np.unique(np.searchsorted(offsets, np.flatnonzero(odd_at), side="right") - 1))
+
+    def _split_again(self, texts: pa.Array, rows: np.ndarray) -> None:
+        """Texts with white space next to a space are cut by the slower rule."""
+        known = {c: i for i, c in enumerate(self.chunks)}
+        parts, redo = [], set(rows.tolist())
+        for i in range(len(texts)):
+            if i in redo:
+                own = _CUT.split(texts[i].as_py())
+                own = own[:1] + [" " + x for x in own[1:]]
+                parts.append(np.array([known.setdefault(x, len(known)) for x in own], dtype=np.int64))
+            else:
+                parts.append(self.numbers[self.offsets[i] : self.offsets[i + 1]])
+        self.chunks = list(known) if len(known) == len(self.chunks) else self.chunks + list(known)[len(set(self.chunks)) :]
+        self.numbers = np.concatenate(parts)
+        self.offsets = np.cumsum([0, *map(len, parts)])
 
 
 def gather(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[starts[k]:starts[k + 1]]`` for each k of ``numbers``, joined, and each run's length."""
     lengths = np.diff(starts)[numbers]
+    before = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
-    begin = np.repeat(starts[:-1][numbers] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) if total else np.empty(0, np.int64)
-    return values[begin + np.arange(total)], lengths
+    return values[np.repeat(starts[:-1][numbers] - before, lengths) + np.arange(total)], lengths
+
+
+#: A chunk that is one run of letters, of ranges whose class and lower case are the same in every version
+#: of Unicode, and perhaps one mark: the pieces of either pattern are that run and that mark.
+_PLAIN = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def encoder(tokenizer_file: str, word_level: bool = False) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function from chunks to their ids, one after the other, and where each chunk's begin.
+
+    The library's whole chain of normaliser, pattern and model runs on every chunk but plain words, which
+    go to its model directly: one piece, lower-cased and without its space at ``word_level``.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.encode_special_tokens = True
+    tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+    mark = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ("", *".,;:!?")}
+
+    def word(piece: str) -> list[int]:
+        piece = piece.strip(" ").lower() if word_level else piece
+        return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[list[int] | None] = [None] * len(chunks)
+        known: dict[str, list[int]] = {}
+        for i, m in enumerate(map(_PLAIN.fullmatch, chunks)):
+            if m:
+                piece, tail = m.groups()
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = word(piece)
+                out[i] = ids + mark[tail] if tail else ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            for i, e in zip(part, tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        starts = np.cumsum([0, *map(len, out)])
+        return np.fromiter(chain.from_iterable(out), dtype=np.int32, count=int(starts[-1])), starts
+
+    return encode
+
+
+def text_slices(texts: pa.Array, most_bytes: int) -> Iterator[slice]:
+    """Slices of about ``most_bytes`` at most; one longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > most_bytes:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
 
 
-def joined_ids(chunked: Chunked, ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids, one after the other, and each text's offset; ``ids`` has those of each chunk."""
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-    flat = np.fromiter((y for x in ids for y in x), dtype=np.int64, count=int(starts[-1]))
-    values, lengths = gather(flat, starts, chunked.numbers)
-    upto = np.concatenate(([0], np.cumsum(lengths)))
-    return values, upto[chunked.offsets]
+def encoded_texts(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids, one after the other, and each text's offset."""
+    chunked = Chunked(texts)
+    values, starts = encode(chunked.chunks)
+    ids, lengths = gather(values, starts, chunked.numbers)
+    return ids, np.concatenate(([0], np.cumsum(lengths)))[chunked.offsets]
