@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.chunks import Chunked, joined_ids
-from quillbase.llm.common import batches, cut
+from quillbase.llm.chunks import encoded_texts, encoder, text_slices
+from quillbase.llm.common import cut
 
 WINDOW = 1024
 END_ID = 0
 SHARD_ROWS = 50_000
-BATCH_CHARS = 16_000_000
+BATCH_BYTES = 32_000_000
 
 
 class Capacities:
@@ -78,16 +78,10 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 
 def _pieces(tokenizer_file: str, window: int, end_id: int, with_ids: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+        encode = encoder(tokenizer_file)
         for part in parts:
-            texts = part["text"].to_pylist()
-            for s in batches(texts, BATCH_CHARS):
-                chunked = Chunked(texts[s])
-                encoded = (e.ids for k in range(0, len(chunked.chunks), 20_000) for e in tokenizer.encode_batch(chunked.chunks[k : k + 20_000], add_special_tokens=False))
-                ids, offsets = joined_ids(chunked, list(encoded))
+            for s in text_slices(part["text"], BATCH_BYTES):
+                ids, offsets = encoded_texts(part["text"].slice(s.start, s.stop - s.start), encode)
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 offsets = offsets + np.arange(len(offsets))
                 totals = np.diff(offsets)
