@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import chat
+from quillbase.llm import media, merge_replay
 from quillbase.llm import near_dedup as near
 from quillbase.llm import packing
 from quillbase.llm import quality_classifier as classifier
 from quillbase.llm import quality_rules as rules
+from quillbase.llm import repair
 from quillbase.llm import substring_dedup as substrings
+from quillbase.llm.common import ensure_checkpoint_dir
 from quillbase.sources.tables import load
 
 
@@ -63,6 +67,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and check sum, decoded from the token files written for it."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    repair.write_tokens(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return repair.read_tokens(spark, folder, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, and of one that is full of control strings, read back from the formatted text."""
     table = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -98,6 +109,13 @@ FROM s GROUP BY conv_id
 """
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as samples, read back, its type sniffed and its samples carved."""
+    folder = f"{ensure_checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
+    media.store_texts(load(spark, sf_dir, "documents"), folder)
+    return media.read_features(spark.read.parquet(folder)).withColumnRenamed("id", "doc_id")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over links of 0.75 or more."""
     return near.near_dedup(load(spark, sf_dir, "documents"))
@@ -141,13 +159,22 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_r
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by merge replay and decoded again."""
+    table = load(spark, sf_dir, "documents")
+    return merge_replay.encode_decode(table, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_token_output": op5_token_output,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_media_columns": op7_media_columns,
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
