@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm import chat
+from quillbase.llm import chat, licenses
 from quillbase.llm import media, merge_replay
 from quillbase.llm import near_dedup as near
 from quillbase.llm import packing
@@ -27,6 +27,50 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_classifier(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, filed as source/lang/doc_id."""
+    docs = load(spark, sf_dir, "documents")
+    filed = docs.select(F.concat_ws("/", F.lit("corpus"), "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(filed).select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "*")
+
+
+_SQL_TEXT = lambda s: "'" + s.replace("'", "''") + "'"
+_WEIGHTS, _IDF, _UNSEEN = licenses.idf_weights()
+_CUE_SQL = lambda c: "(" + " OR ".join(f"contains(lower({c}), {_SQL_TEXT(q)})" for q in licenses.CUES) + ")"
+_WORDS_SQL = lambda c: rf"len(list_filter(string_split_regex({c}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+
+OP2_SQL = rf"""
+WITH weights(template, license, term, w) AS (VALUES {", ".join(f"({k}, {_SQL_TEXT(n)}, {_SQL_TEXT(t)}, {w!r}::DOUBLE)" for k, n, t, w in _WEIGHTS)}),
+idf(term, idf) AS (VALUES {", ".join(f"({_SQL_TEXT(t)}, {v!r}::DOUBLE)" for t, v in sorted(_IDF.items()))}),
+files AS (SELECT doc_id, concat_ws('/', 'corpus', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS body FROM documents),
+lines AS (
+  SELECT path, words, line FROM (SELECT path, {_WORDS_SQL("body")} AS words, unnest(string_split(body, chr(10))) AS line FROM files WHERE {_CUE_SQL("body")})
+  WHERE {_CUE_SQL("line")}),
+terms AS (
+  SELECT line, t.term, count(*) * coalesce(any_value(idf), {_UNSEEN!r}) AS v
+  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM lines)) t LEFT JOIN idf USING (term)
+  GROUP BY line, t.term),
+norms AS (SELECT line, sqrt(sum(v * v)) AS norm FROM terms GROUP BY line),
+scored AS (
+  SELECT line, license, round(sum(v * w) / any_value(norm), 6) AS score FROM terms JOIN weights USING (term) JOIN norms USING (line)
+  GROUP BY line, template, license),
+best AS (SELECT line, license, score FROM scored WHERE true QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+hits AS (SELECT * FROM lines JOIN best USING (line) WHERE score >= {licenses.THRESHOLD}),
+own AS (
+  SELECT path, first(license ORDER BY score DESC, license) AS license, max(score) AS score, sum({_WORDS_SQL("line")}) * 2 >= max(words) AS whole,
+         regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir
+  FROM hits GROUP BY path),
+declared AS (SELECT * FROM own WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
+inherited AS (
+  SELECT f.path, d.license, d.score, d.path AS from_path FROM files f JOIN declared d ON starts_with(f.path, d.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, i.license) AS license, coalesce(o.score, i.score) AS score,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN i.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN o.license IS NOT NULL THEN f.path ELSE i.from_path END AS from_path
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN inherited i USING (path)
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     out = rules.quality_rules(load(spark, sf_dir, "documents"))
@@ -167,6 +211,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_token_output": op5_token_output,
@@ -178,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op8_near_dedup": OP8_SQL,
