@@ -4,7 +4,460 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillbase.functions import expr
+from quillbase.operators import account, activity, docs, ledger, refresh, signal, timeseries
+from quillbase.sources import adapters
+from quillbase.sources.tables import load
+
+AS_OF = "1998-06-01"
+HOUR = expr.HOUR_MS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- ledgers ---------------------------------------------------------------------------------------
+
+_RAW = f"""raw AS (
+  SELECT o_orderpriority AS chain, l_returnflag AS token, l_suppkey AS sender, l_partkey AS receiver,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS value, l_shipdate AS ts
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= TIMESTAMP '{AS_OF}')"""
+_BALANCES = f"""{_RAW},
+balances AS (
+  SELECT chain, token, address, sum(amount) AS balance FROM (
+    SELECT chain, token, receiver AS address, value AS amount FROM raw UNION ALL SELECT chain, token, sender, -value FROM raw)
+  GROUP BY ALL HAVING sum(amount) > 0)"""
+_SINCE = lambda d: f"ts > TIMESTAMP '{AS_OF}' - INTERVAL {d} DAY"
+_ACTIVE = ", ".join(
+    f"count(DISTINCT sender) FILTER ({_SINCE(d)}) + count(DISTINCT receiver) FILTER ({_SINCE(d)}) AS active_{d}d, "
+    f"count(*) FILTER ({_SINCE(d)}) AS transfers_{d}d, round(CAST(coalesce(sum(value) FILTER ({_SINCE(d)}), 0) AS DOUBLE) / 1e6, 6) AS volume_{d}d"
+    for d in (7, 30)
+)
+_SUMMARY = f"""{_BALANCES},
+activity AS (SELECT chain, token, {_ACTIVE} FROM raw GROUP BY ALL),
+summary AS (
+  SELECT token, chain, h.holders, active_7d, transfers_7d, volume_7d, active_30d, transfers_30d, volume_30d
+  FROM (SELECT chain, token, count(*) AS holders FROM balances GROUP BY ALL) h JOIN activity USING (chain, token))"""
+_LARGEST = """largest AS (
+  SELECT token, chain, CAST(address AS VARCHAR) AS address, CAST(balance AS DOUBLE) / 1e6 AS balance,
+         round(CAST(balance AS DOUBLE) / CAST(sum(balance) OVER (PARTITION BY chain, token) AS DOUBLE) * 100, 6) AS pct,
+         row_number() OVER (PARTITION BY chain, token ORDER BY balance DESC, b.address) AS rank
+  FROM balances b QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_BALANCES} SELECT chain, token, count(*) AS holders, CAST(sum(balance) AS DOUBLE) AS total FROM balances GROUP BY ALL")
+def holders_by_chain_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.holders(adapters.transfers(spark, sf_dir), AS_OF)
+
+
+@query(f"WITH {_BALANCES} SELECT chain, token, address, CAST(balance AS DOUBLE) AS balance FROM balances")
+def ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.balances(adapters.transfers(spark, sf_dir), AS_OF).withColumn("balance", F.col("balance").cast("double"))
+
+
+@query(f"WITH {_SUMMARY} SELECT * FROM summary")
+def activity_7d_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.summary(ledger.accounts(adapters.transfers(spark, sf_dir), AS_OF), AS_OF)
+
+
+@query(f"WITH {_BALANCES}, {_LARGEST} SELECT * FROM largest")
+def whales_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.largest(ledger.accounts(adapters.transfers(spark, sf_dir), AS_OF))
+
+
+@query(f"WITH {_SUMMARY}, {_LARGEST} SELECT * FROM summary UNION ALL BY NAME SELECT * FROM largest ORDER BY rank NULLS FIRST")
+def combined_summary_whales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.combined(adapters.transfers(spark, sf_dir), AS_OF).orderBy(F.asc_nulls_first("rank"), "token", "chain")
+
+
+@query(f"WITH {_SUMMARY} SELECT * FROM summary")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.split(ledger.combined(adapters.transfers(spark, sf_dir), AS_OF))[0]
+
+
+@query(f"WITH {_BALANCES}, {_LARGEST} SELECT * FROM largest")
+def split_whales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.split(ledger.combined(adapters.transfers(spark, sf_dir), AS_OF))[1]
+
+
+@query(
+    f"WITH {_RAW} SELECT token, chain, CAST(ts AS DATE) AS day, count(*) AS transfers, count(DISTINCT sender) AS unique_senders, "
+    f"round(CAST(sum(value) AS DOUBLE) / 1e6, 6) AS volume_m FROM raw WHERE {_SINCE(30)} GROUP BY ALL ORDER BY token, day"
+)
+def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.daily(adapters.transfers(spark, sf_dir), AS_OF).orderBy("token", "day", "chain")
+
+
+@query(
+    f"WITH {_RAW} "
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS token, "
+        + ", ".join(
+            f"(SELECT count(DISTINCT sender) + count(DISTINCT receiver) FROM raw WHERE token = '{t}' AND {_SINCE(d)}) AS active_{d}d, "
+            f"(SELECT count(*) FROM raw WHERE token = '{t}' AND {_SINCE(d)}) AS transfers_{d}d, "
+            f"(SELECT round(CAST(coalesce(sum(value), 0) AS DOUBLE) / 1e6, 6) FROM raw WHERE token = '{t}' AND {_SINCE(d)}) AS volume_{d}d"
+            for d in (7, 30)
+        )
+        for t in ("R", "N", "Z")
+    )
+)
+def global_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.overall(adapters.transfers(spark, sf_dir), AS_OF, ("R", "N", "Z"))
+
+
+@query(f"""
+WITH t AS (
+  SELECT CASE WHEN l_returnflag = 'R' OR l_linestatus = 'R' THEN 'R' ELSE 'O' END AS token, p_brand AS project, p_type AS token_pair,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_shipdate AS ts
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_shipdate <= TIMESTAMP '{AS_OF}' AND l_shipdate > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
+    AND (l_returnflag IN ('R', 'O') OR l_linestatus IN ('R', 'O')))
+SELECT token, project, token_pair, CAST(coalesce(sum(amount) FILTER ({_SINCE(7)}), 0) AS DOUBLE) AS volume_7d, count(*) FILTER ({_SINCE(7)}) AS trades_7d,
+       CAST(sum(amount) AS DOUBLE) AS volume_30d, count(*) AS trades_30d, count(*) AS trades
+FROM t GROUP BY ALL ORDER BY sum(amount) DESC, token, project, token_pair LIMIT 20""")
+def pair_volume_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.pair_volume(adapters.trades(spark, sf_dir), AS_OF, "R", "O")
+
+
+_ISSUE = """SELECT o_orderpriority AS chain, CAST(l_shipdate AS DATE) AS day,
+         sum(CASE WHEN l_suppkey < 5 THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) - sum(CASE WHEN l_partkey < 5 THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS net
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"""
+
+
+@query(f"""WITH d AS ({_ISSUE})
+SELECT chain, day, CAST(net AS DOUBLE) AS net, CAST(sum(net) OVER w AS DOUBLE) AS supply,
+       CAST(sum(net) OVER w - lag(s, 7) OVER w AS DOUBLE) AS delta_7, CAST(sum(net) OVER w - lag(s, 30) OVER w AS DOUBLE) AS delta_30
+FROM (SELECT *, sum(net) OVER (PARTITION BY chain ORDER BY day) AS s FROM d) WINDOW w AS (PARTITION BY chain ORDER BY day)""")
+def supply_period_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = activity.daily_supply(adapters.transfers(spark, sf_dir), 5)
+    out = timeseries.period_delta(days, "chain", "supply", 7, 30)
+    return out.select("chain", "day", *(F.col(c).cast("double").alias(c) for c in ("net", "supply", "delta_7", "delta_30")))
+
+
+@query(f"""WITH d AS ({_ISSUE}), s AS (SELECT *, sum(net) OVER (PARTITION BY chain ORDER BY day) AS supply, row_number() OVER (PARTITION BY chain ORDER BY day DESC) AS k FROM d)
+SELECT chain, CAST(max(supply) FILTER (k = 1) - max(supply) FILTER (k = 31) AS DOUBLE) / 30 AS pace FROM s GROUP BY chain""")
+def supply_race_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.pace(activity.daily_supply(adapters.transfers(spark, sf_dir), 5), "chain", "supply", 30)
+
+
+# --- candles and series ----------------------------------------------------------------------------
+
+_CANDLES = f"""candles AS (
+  SELECT event_type AS series, CAST(epoch_ms(date_trunc('hour', ts)) AS BIGINT) AS t, arg_min(value, row(ts, event_id)) AS o, max(value) AS h, min(value) AS l,
+         arg_max(value, row(ts, event_id)) AS c, CAST(count(*) AS DOUBLE) AS v, CAST(epoch_ms(date_trunc('hour', ts)) AS BIGINT) + {HOUR - 1} AS t_end
+  FROM events GROUP BY ALL)"""
+
+
+def _candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.hourly_candles(adapters.points(spark, sf_dir))
+
+
+@query(f"WITH {_CANDLES} SELECT * FROM candles")
+def hourly_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candles(spark, sf_dir)
+
+
+@query(f"WITH {_CANDLES} SELECT series, t FROM candles WHERE coalesce(t_end, t) < (SELECT max(t) FROM candles)")
+def completed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candles(spark, sf_dir)
+    last = rows.agg(F.max("t").alias("last"))
+    return timeseries.completed(rows.crossJoin(F.broadcast(last)), F.col("last")).select("series", "t")  # one row
+
+
+@query(f"""WITH {_CANDLES}, k AS (
+  SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t) AS before, count(*) OVER w AS n,
+         coalesce(bool_or(l <= 0 OR v < 0 OR l > least(o, c) OR greatest(o, c) > h) OVER w, false) AS unsound
+  FROM candles WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(bool_or(t <> before + {HOUR}) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), false) AS gapped FROM k)
+SELECT series, t, CASE WHEN n < 25 THEN 'fewer than 25 completed hourly candles' ELSE concat_ws('; ', CASE WHEN unsound THEN 'hourly candle OHLCV is invalid' END,
+       CASE WHEN gapped THEN 'hourly candles are duplicated or gapped' END) END AS reasons FROM g""")
+def candle_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeseries.with_last_rows(_candles(spark, sf_dir))
+    return rows.select("series", "t", F.array_join(timeseries.window_reasons(F.col("rows"), F.col("t") + HOUR), "; ").alias("reasons"))
+
+
+@query(f"WITH {_CANDLES} SELECT series, t, round(c / nullif(lag(c, 6) OVER (PARTITION BY series ORDER BY t), 0) - 1, 9) AS r FROM candles")
+def lag6_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.with_lag_return(_candles(spark, sf_dir)).select("series", "t", F.round("r", 9).alias("r"))
+
+
+@query(f"""WITH {_CANDLES} SELECT series, t, round(sum((o + h + l + c) / 4 * v) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS day_volume
+FROM candles""")
+def trailing24_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.with_trailing_volume(_candles(spark, sf_dir)).select("series", "t", F.round("day_volume", 4).alias("day_volume"))
+
+
+@query(f"WITH {_CANDLES} SELECT series, t, coalesce(lag(t) OVER (PARTITION BY series ORDER BY t) + {HOUR} <> t, false) AS gap FROM candles")
+def candle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.with_gaps(_candles(spark, sf_dir)).select("series", "t", "gap")
+
+
+@query("""SELECT event_id AS id, event_type AS kind, max(value) OVER w AS peak, round((value / max(value) OVER w - 1) * 100, 6) AS drawdown_pct FROM events WHERE value > 1
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.drawdown(adapters.points(spark, sf_dir), "kind", "ts", "id").select("id", "kind", "peak", "drawdown_pct")
+
+
+@query("""WITH e AS (SELECT event_type AS series, arg_min(value, row(ts, event_id)) AS first, arg_max(value, row(ts, event_id)) AS last, min(ts) AS a, max(ts) AS b FROM events WHERE value > 1 GROUP BY 1)
+SELECT series, first, last, round(last - first, 6) AS pnl, round(CASE WHEN first > 0 THEN (last / first - 1) * 100 END, 6) AS pct, last >= first AS rising,
+       CASE WHEN epoch_ms(b) - epoch_ms(a) > 36 * 3600000 THEN 'day' ELSE 'hour' END AS unit FROM e""")
+def period_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.period_result(adapters.points(spark, sf_dir), "kind")
+
+
+# --- signals ---------------------------------------------------------------------------------------
+
+_FUNDING = """funding AS (SELECT event_type AS series, CAST(epoch_us(ts) // 1000 AS BIGINT) AS time, value / 1e6 AS rate FROM events WHERE user_id % 3 = 0)"""
+_MATCH = f"""{_CANDLES}, {_FUNDING},
+s AS (SELECT series, time - time % {HOUR} AS hour, count(*) AS n, arg_min(rate, row(time, rate)) AS rate, min(time) AS time FROM funding GROUP BY ALL),
+m AS (
+  SELECT c.*, s.rate AS raw_rate, CASE WHEN coalesce(n, 0) = 0 THEN 'post-signal funding settlement is missing' WHEN n > 1 THEN 'duplicate post-signal funding settlements'
+         WHEN s.time <= t_end OR s.time > t_end + 600000 THEN 'post-signal funding settlement timestamp is not immediate' END AS funding_error
+  FROM candles c LEFT JOIN s ON s.series = c.series AND s.hour = c.t + {HOUR})"""
+RULES = signal.Rules(grace_ms=600_000, min_day_volume=1_500, min_funding=0.00001)
+
+
+def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.points(spark, sf_dir).where(F.pmod("user", F.lit(3)) == 0)
+    return rows.select(F.col("kind").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), (F.col("value") / 1e6).alias("rate"))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candles = _candles(spark, sf_dir)
+    books = candles.select("series", "t", (F.col("c") * 0.9999).alias("bid"), (F.col("c") * 1.0001).alias("ask"))
+    return signal.evaluate(candles, _funding(spark, sf_dir), books, F.col("t_end") + 60_001, RULES)
+
+
+@query(f"WITH {_MATCH} SELECT series, t, CASE WHEN funding_error IS NULL THEN raw_rate END AS funding_rate, funding_error FROM m")
+def funding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.match_funding(_candles(spark, sf_dir), _funding(spark, sf_dir), 600_000).select("series", "t", "funding_rate", "funding_error")
+
+
+@query(f"""WITH {_MATCH},
+w AS (
+  SELECT *, lag(t) OVER o AS before, lag(c, 6) OVER o AS c6, count(*) OVER d AS n, count(*) OVER p AS n24, sum((o + h + l + c) / 4 * v) OVER p AS volume,
+         bool_or(l <= 0 OR v < 0 OR l > least(o, c) OR greatest(o, c) > h) OVER d AS unsound
+  FROM m WINDOW o AS (PARTITION BY series ORDER BY t), d AS (PARTITION BY series ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW),
+  p AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(bool_or(t <> before + {HOUR}) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), false) AS gapped FROM w),
+r AS (
+  SELECT *, CASE WHEN n < 25 THEN 'fewer than 25 completed hourly candles' ELSE concat_ws('; ', CASE WHEN unsound THEN 'hourly candle OHLCV is invalid' END,
+         CASE WHEN gapped THEN 'hourly candles are duplicated or gapped' END) END AS bad, c / nullif(c6, 0) - 1 AS r6, CASE WHEN funding_error IS NULL THEN raw_rate END AS rate,
+         CASE WHEN c * 0.9999 > 0 AND c * 1.0001 > c * 0.9999 THEN NULL ELSE 'top of book is missing or invalid' END AS book FROM g)
+SELECT series, t AS candle,
+  CASE WHEN bad <> '' THEN concat_ws('; ', bad, book) ELSE concat_ws('; ', funding_error, CASE WHEN coalesce(r6 > 0.05 + 1e-12, false) THEN NULL ELSE 'completed six-hour return is not above 5% for live entry' END,
+    CASE WHEN coalesce(rate >= 0.00001, false) THEN NULL ELSE 'post-signal funding settlement is below 0.1 bps' END,
+    CASE WHEN volume >= 1500 THEN NULL ELSE 'trailing dollar volume is below $0m' END, book, CASE WHEN book IS NULL THEN NULL ELSE 'top spread exceeds 5 bps' END,
+    CASE WHEN c > 0 AND book IS NULL THEN NULL ELSE 'live price moved outside the frozen entry band' END) END AS blockers,
+  CASE WHEN bad <> '' THEN bad ELSE concat_ws('; ', funding_error, CASE WHEN coalesce(r6 > 0.03 + 1e-12, false) THEN NULL ELSE 'completed six-hour return is not above 3% for the regime stream' END,
+    CASE WHEN coalesce(rate >= 0.00001, false) THEN NULL ELSE 'post-signal funding settlement is below 0.1 bps' END) END AS regime_blockers,
+  CASE WHEN bad = '' THEN round(r6, 9) END AS r6, CASE WHEN bad = '' THEN CASE WHEN coalesce(r6 > 0.05 + 1e-12, false) THEN 'strong_r6'
+    WHEN funding_error IS NULL AND r6 > 0.03 + 1e-12 AND rate >= 0.00001 THEN 'virtual_regime_only' ELSE 'not_qualified' END END AS risk_tier
+FROM r""")
+def signal_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir).select(
+        "series", (F.col("now") - 60_001 - (HOUR - 1)).alias("candle"), F.array_join("blockers", "; ").alias("blockers"), F.array_join("regime_blockers", "; ").alias("regime_blockers"),
+        F.round("r6", 9).alias("r6"), "risk_tier",
+    )
+
+
+@query()
+def signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.gate_rows(_signals(spark, sf_dir), RULES)
+
+
+# --- accounts --------------------------------------------------------------------------------------
+
+_NET = """net AS (
+  SELECT event_type || '-' || (user_id % 10) AS coin, sum(CAST(value AS DECIMAL(18,4)) - CAST(value * 0.01 AS DECIMAL(18,4))) AS net FROM events GROUP BY 1)"""
+
+
+@query(f"""WITH {_NET}, r AS (SELECT *, row_number() OVER (ORDER BY net DESC, coin) AS a, row_number() OVER (ORDER BY net, coin DESC) AS z, count(*) OVER () AS n FROM net)
+SELECT coin, CAST(net AS DOUBLE) AS net, CASE WHEN n <= 16 THEN 'all' WHEN a <= 8 THEN 'head' ELSE 'tail' END AS part FROM r WHERE n <= 16 OR a <= 8 OR z <= 8""")
+def attribution_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return account.attribution(adapters.fills(spark, sf_dir)).withColumn("net", F.col("net").cast("double"))
+
+
+@query("""SELECT CAST(epoch_us(ts) // 1000 AS BIGINT) AS time, event_id AS oid, event_type || '-' || (user_id % 10) AS coin, CASE WHEN event_id % 3 = 0 THEN 'taker' ELSE 'maker' END AS liquidity
+FROM events ORDER BY 1 DESC, 2 DESC LIMIT 250""")
+def recent_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return account.recent_fills(adapters.fills(spark, sf_dir)).select("time", "oid", "coin", "liquidity")
+
+
+_POSITIONS = """p AS (SELECT o_custkey AS account, o_orderpriority AS coin, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS szi, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders)"""
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    szi = F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
+    return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderpriority").alias("coin"), szi.alias("szi"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"), F.col("o_orderkey").alias("id"))
+
+
+@query(f"""WITH {_POSITIONS} SELECT account, CAST(coalesce(sum(value) FILTER (szi > 0), 0) AS DOUBLE) AS long, CAST(coalesce(sum(value) FILTER (szi < 0), 0) AS DOUBLE) AS short,
+CAST(sum(value) AS DOUBLE) AS gross, CAST(sum(value * szi) AS DOUBLE) AS net FROM p GROUP BY account""")
+def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = account.exposure(_positions(spark, sf_dir), "account")
+    return out.select("account", *(F.col(c).cast("double").alias(c) for c in ("long", "short", "gross", "net")))
+
+
+@query("""SELECT o_custkey AS account, o_orderkey AS id, round(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE), 0) * 100, 6) AS share_pct
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def position_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    equity = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").cast("decimal(18,2)").cast("double").alias("equity"))
+    held = _positions(spark, sf_dir).withColumn("value", F.col("value").cast("double")).join(equity, "account")
+    return account.position_shares(held, "account").select("account", "id", "share_pct")
+
+
+_ORDERS = """o AS (
+  SELECT l_orderkey AS account, CASE WHEN l_linenumber <= 2 THEN 'zz' ELSE 'YY' END AS coin, CASE WHEN l_linestatus = 'O' THEN 'b' ELSE 'A' END AS side,
+         CASE WHEN l_linenumber = 1 THEN l_quantity ELSE floor(l_quantity / 25) * 25 END AS sz, l_returnflag <> 'R' AS reduce_only,
+         CASE WHEN l_linenumber % 2 = 1 THEN 'Take Profit Market' ELSE 'Stop Market' END AS order_type FROM lineitem WHERE l_orderkey % 5 <> 0),
+q AS (
+  SELECT l_orderkey AS account, CASE WHEN l_linenumber = 1 THEN 'ZZ' ELSE 'YY' END AS coin,
+         CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * CASE WHEN l_linenumber = 1 THEN floor(l_quantity / 25) * 25 ELSE 0 END AS szi FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 <> 0)"""
+
+
+@query(f"""WITH {_ORDERS},
+a AS (SELECT account, count(*) AS n, count(*) FILTER (coin = 'ZZ') AS s, max(szi) FILTER (coin = 'ZZ') AS szi FROM q WHERE szi <> 0 GROUP BY 1),
+k AS (SELECT account FROM a UNION SELECT account FROM o WHERE coin = 'zz'),
+f AS (
+  SELECT k.account, any_value(n) AS n, any_value(s) AS s, any_value(szi) AS szi, count(o.account) AS orders,
+    count(*) FILTER (ok) AS fit, count(*) FILTER (ok AND order_type LIKE 'Take%') AS take, count(*) FILTER (ok AND order_type LIKE 'Stop%') AS stop
+  FROM (SELECT k.account, n, s, szi FROM k LEFT JOIN a USING (account)) k LEFT JOIN (
+    SELECT o.*, s = 1 AND reduce_only AND upper(side) = CASE WHEN szi < 0 THEN 'B' ELSE 'A' END AND abs(sz - abs(szi)) <= greatest(1e-9, abs(szi) * 1e-6) AS ok
+    FROM o LEFT JOIN a USING (account) WHERE coin = 'zz') o ON o.account = k.account GROUP BY 1),
+b AS (
+  SELECT *, CASE WHEN n IS NULL THEN CASE WHEN orders > 0 THEN 'found ' || orders || ' ZZ order(s) while the account is flat' ELSE '' END ELSE concat_ws('; ',
+    CASE WHEN n <> 1 OR s <> 1 THEN 'expected exactly one open ZZ position and no other positions' END, CASE WHEN orders <> 2 THEN 'expected exactly two ZZ protection orders' END,
+    CASE WHEN s = 1 AND fit <> 2 THEN 'protection orders must be opposite-side, reduce-only triggers matching the full position size' END,
+    CASE WHEN s = 1 AND take <> 1 THEN 'exactly one take-profit trigger is required' END, CASE WHEN s = 1 AND stop <> 1 THEN 'exactly one stop trigger is required' END) END AS blockers FROM f)
+SELECT account, CASE WHEN blockers <> '' THEN 'unprotected' WHEN n IS NULL THEN 'not_required' ELSE 'protected' END AS status,
+  CASE WHEN blockers <> '' THEN false WHEN n IS NULL THEN NULL ELSE true END AS protected, blockers, CASE WHEN s = 1 THEN CAST(abs(szi) AS DOUBLE) END AS position_size, orders AS protection_orders FROM b""")
+def protection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = load(spark, sf_dir, "lineitem")
+    step = F.floor(F.col("l_quantity") / 25).cast("double") * 25
+    orders = item.where("l_orderkey % 5 <> 0").select(
+        F.col("l_orderkey").alias("account"), F.when(F.col("l_linenumber") <= 2, "zz").otherwise("YY").alias("coin"), F.when(F.col("l_linestatus") == "O", "b").otherwise("A").alias("side"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(step).alias("sz"), (F.col("l_returnflag") != "R").alias("reduce_only"), F.lit(True).alias("is_trigger"),
+        F.when(F.col("l_linenumber") % 2 == 1, "Take Profit Market").otherwise("Stop Market").alias("order_type"),
+    )
+    size = F.when(F.col("l_linestatus") == "O", -1).otherwise(1) * F.when(F.col("l_linenumber") == 1, step).otherwise(0.0)
+    held = item.where("l_linenumber <= 2 AND l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("account"), F.when(F.col("l_linenumber") == 1, "ZZ").otherwise("YY").alias("coin"), size.alias("szi"))
+    return account.protection(held, orders, "account", "ZZ").withColumn("blockers", F.array_join("blockers", "; "))
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS account, c_acctbal AS equity, count(o_orderkey) AS later FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate > TIMESTAMP '{AS_OF}' GROUP BY 1, 2)
+SELECT account, CASE WHEN later > 0 THEN 'cash_flow_reconciliation_required' ELSE 'reconciled' END AS status, later AS later_cash_flows, CASE WHEN later = 0 THEN round(equity - 630.617157, 6) END AS pnl,
+  CASE WHEN later = 0 THEN round((equity - 630.617157) / 630.617157 * 100, 6) END AS return_pct, CASE WHEN later > 0 THEN 'a deposit, withdrawal, or transfer occurred after the accounting baseline' END AS blocker FROM n""")
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("equity"))
+    flows = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("time"))
+    cutoff = F.unix_millis(F.lit(AS_OF).cast("timestamp"))
+    return account.performance(accounts, flows, "account", F.lit(630.617157), cutoff).withColumns({"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6)})
+
+
+@query("""SELECT c_custkey AS account, concat_ws('; ', CASE WHEN EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'account already has exposure' END,
+  CASE WHEN EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') THEN 'account already has open orders' END) AS blockers FROM customer""")
+def account_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "account")
+    accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"))
+    out = account.account_gate(accounts, orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), "account")
+    return out.select("account", F.array_join("blockers", "; ").alias("blockers"))
+
+
+# --- documents -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text[:80]), '[^a-z0-9]+', '-', 'g'), '-'), ''), CAST(doc_id AS VARCHAR)) AS slug FROM documents")
+def slugify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "documents")
+    return rows.select("doc_id", expr.slug_or(F.left("text", F.lit(80)), F.col("doc_id").cast("string")).alias("slug"))
+
+
+@query("SELECT sha256(text)[:16] AS name, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").groupBy(expr.content_name(F.col("text")).alias("name")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>') AS m FROM pages), u AS (SELECT page_id, unnest(m) AS x, unnest(range(len(m))) AS pos FROM a)
+SELECT page_id, CAST(pos AS INT) AS pos, regexp_extract(x, '<a href="([^"]*)">', 1) AS href, regexp_extract(x, '>([^<]*)</a>', 1) AS text FROM u""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs.page_links(load(spark, sf_dir, "pages"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity <= 1 AND l_linenumber = 1),
+r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs.reach(adapters.link_edges(spark, sf_dir), 0)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity <= 1 AND l_linenumber = 1),
+r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+f AS (SELECT dst, depth, src, 'page-' || (dst % 7) AS base FROM e JOIN d ON d.node = e.src QUALIFY row_number() OVER (PARTITION BY dst ORDER BY depth, src) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY depth, src, dst) AS n FROM f) SELECT dst, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM n""")
+def slug_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = adapters.link_edges(spark, sf_dir)
+    links = edges.select("src", F.col("dst").alias("pos"), "dst", F.concat(F.lit("page-"), F.pmod("dst", F.lit(7)).cast("string")).alias("slug"))
+    return docs.assign_slugs(links, docs.reach(edges, 0))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", expr.html_escape(F.col("html")).alias("escaped"))
+
+
+@query(r"SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')))::INT AS n FROM documents")
+def collapse_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(expr.collapse_space(F.col("text"))).alias("n"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS usd, CASE WHEN o_totalprice >= 0 THEN '+' ELSE '' END || printf('%.2f', o_totalprice) || '%' AS pct,
+left('0x' || md5(CAST(o_orderkey AS VARCHAR)), 6) || '…' || right(md5(CAST(o_orderkey AS VARCHAR)), 4) AS address,
+lpad(CAST((o_orderkey % 90000000) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((o_orderkey % 90000000) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((o_orderkey % 90000000) // 1000 % 60 AS VARCHAR), 2, '0') AS left_,
+strftime(o_orderdate, '%B %-d, %Y') AS created FROM orders""")
+def formatters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders")
+    return rows.select(
+        "o_orderkey", expr.fmt_usd(F.col("o_totalprice")).alias("usd"), expr.fmt_pct(F.col("o_totalprice")).alias("pct"),
+        expr.short_address(F.concat(F.lit("0x"), F.md5(F.col("o_orderkey").cast("string")))).alias("address"),
+        expr.countdown(F.pmod("o_orderkey", F.lit(90_000_000))).alias("left_"), expr.long_date(F.col("o_orderdate")).alias("created"),
+    )
+
+
+@query()
+def docs_to_markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' links as document trees, to Markdown and to HTML."""
+    run = F.transform("links", lambda x: F.struct(F.struct(x["text"].alias("content"), F.struct(F.struct(x["href"].alias("url")).alias("link")).alias("textStyle")).alias("textRun")))
+    links = docs.page_links(load(spark, sf_dir, "pages")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "href", "text"))).alias("links"))
+    tree = F.struct(F.struct(F.array(F.struct(F.struct(run.alias("elements")).alias("paragraph"))).alias("content")).alias("body"))
+    text = F.to_json(tree)
+    rows = links.select("page_id", F.from_json(text, docs.TREE).alias("tree"))
+    marked = docs.to_markdown(rows, "page_id", "tree")
+    return marked.join(docs.to_html(marked, "page_id"), "page_id")
+
+
+@query("""WITH e AS (SELECT event_type AS name, CAST(epoch_ms(max(ts)) AS BIGINT) AS updated FROM events GROUP BY 1)
+SELECT name, coalesce((SELECT max(updated) FROM e) + 3600000 - updated < 86400000, false) AS fresh FROM e""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.points(spark, sf_dir).groupBy(F.col("kind").alias("name")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("updated"))
+    last = Window.partitionBy().orderBy()
+    return rows.withColumn("now", F.max("updated").over(last) + HOUR).select("name", F.coalesce(F.col("now") - F.col("updated") < refresh.DAY_MS, F.lit(False)).alias("fresh"))
