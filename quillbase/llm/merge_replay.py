@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillbase.llm.chunks import _PLAIN, Chunked, gather, text_slices
 
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 17_000_000
 
 
 def load_ranks(path: str) -> list[bytes]:
