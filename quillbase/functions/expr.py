@@ -45,7 +45,7 @@ def html_escape(text: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """A number with so many decimals and no grouping."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
 
 
 def fmt_usd(value: Column, digits: int = 2) -> Column:
