@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -60,14 +61,18 @@ class Chunked:
 def gather(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[starts[k]:starts[k + 1]]`` for each k of ``numbers``, joined, and each run's length."""
     lengths = np.diff(starts)[numbers]
-    before = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
-    return values[np.repeat(starts[:-1][numbers] - before, lengths) + np.arange(total)], lengths
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts[:-1][numbers] - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at], lengths
 
 
 #: A chunk that is one run of letters, of ranges whose class and lower case are the same in every version
-#: of Unicode, and perhaps one mark: the pieces of either pattern are that run and that mark.
-_PLAIN = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]?)")
+#: of Unicode, and perhaps one mark, and perhaps such a word on the next line: the pieces of either
+#: pattern are those runs, those marks and the line feed.
+_LETTERS, _MARK = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+", "[.,;:!?]?"
+_PLAIN = re.compile(f"( ?{_LETTERS})({_MARK})(?:(\n)({_LETTERS})({_MARK}))?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -89,29 +94,43 @@ def encoder(tokenizer_file: str, word_level: bool = False) -> Callable[[list[str
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
-    mark = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ("", *".,;:!?")}
+    marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?\n"}
 
     def word(piece: str) -> list[int]:
         piece = piece.strip(" ").lower() if word_level else piece
         return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out: list[list[int] | None] = [None] * len(chunks)
-        known: dict[str, list[int]] = {}
-        for i, m in enumerate(map(_PLAIN.fullmatch, chunks)):
-            if m:
-                piece, tail = m.groups()
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = word(piece)
-                out[i] = ids + mark[tail] if tail else ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
+        # every piece once, in flat arrays: plain words and marks, then the other chunks, which have negative numbers at first
+        known, other = {m: k for k, m in enumerate(marks)}, {}
+        flat, ends = array("i", chain.from_iterable(marks.values())), array("q", np.cumsum([len(x) for x in marks.values()]).tolist())
+        numbers, counts = array("i"), array("b")
+        for chunk, m in zip(chunks, map(_PLAIN.fullmatch, chunks), strict=True):
+            if not m:
+                numbers.append(-1 - other.setdefault(chunk, len(other)))
+                counts.append(1)
+                continue
+            made = 0
+            for piece in m.groups():
+                if piece:
+                    k = known.get(piece)
+                    if k is None:
+                        k = known[piece] = len(known)
+                        flat.extend(word(piece))
+                        ends.append(len(flat))
+                    numbers.append(k)
+                    made += 1
+            counts.append(made)
+        rest = list(other)
         for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            for i, e in zip(part, tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-        starts = np.cumsum([0, *map(len, out)])
-        return np.fromiter(chain.from_iterable(out), dtype=np.int32, count=int(starts[-1])), starts
+            for e in tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False):
+                flat.extend(e.ids)
+                ends.append(len(flat))
+        order = np.array(numbers, dtype=np.int64)
+        order = np.where(order < 0, len(known) - 1 - order, order)
+        ids, lengths = gather(np.array(flat, dtype=np.int32), np.concatenate(([0], np.array(ends, dtype=np.int64))), order)
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        return ids, upto[np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64))))]
 
     return encode
 

@@ -137,7 +137,7 @@ def chunk_ids(chunks: list[str], merges: Merges, pattern: regex.Pattern) -> tupl
     known: dict[str, int] = {}
     numbers, counts = [], []
     for chunk, m in zip(chunks, map(_PLAIN.fullmatch, chunks), strict=True):
-        pieces = (m.groups() if m[2] else (m[1],)) if m else pattern.findall(chunk)
+        pieces = [p for p in m.groups() if p] if m else pattern.findall(chunk)
         numbers += [known.setdefault(p, len(known)) for p in pieces]
         counts.append(len(pieces))
     ids, starts = merges.replay([p.encode("utf-8", "surrogatepass") for p in known])

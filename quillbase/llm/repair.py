@@ -24,7 +24,8 @@ from quillbase.llm.chunks import Chunked, encoder, gather, text_slices
 END_ID = 1
 #: Ids are below this number, nonterminals from it on.
 FIRST_RULE = 1 << 20
-BLOCK_BYTES = 32_000_000
+#: Text that shares one pass of the tokenizer, and text of one block.
+SLICE_BYTES, BLOCK_BYTES = 36_000_000, 4_000_000
 MIN_COUNT = 16
 _HEAD = "<4sIQQ"
 _MAGIC = b"QRP1"
@@ -36,17 +37,19 @@ def _round(symbols: np.ndarray, joint: np.ndarray, weights: np.ndarray | None, f
     Pairs of at least ``MIN_COUNT`` occurrences and a ``share``-th of the best become rules. Where occurrences
     overlap, the more frequent pair wins, and the left one of equals; the rest waits for the next round.
     """
-    keys = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-    at = np.flatnonzero(joint)
+    # a count by hash is never below the pair's own, so most rare pairs need no count of their own
+    cell = (symbols[:-1] * np.int32(-1640531527) ^ symbols[1:] * np.int32(40503)) & np.int32(0x1FFFFF)
+    most = np.bincount(cell[joint], weights=None if weights is None else weights[:-1][joint], minlength=1 << 21)
+    at = np.flatnonzero(joint & (most >= MIN_COUNT)[cell])
     if not len(at):
         return np.empty((0, 2), np.int32), np.empty(0, np.int64)
-    numbers, names = pd.factorize(keys[at])
+    numbers, names = pd.factorize((symbols[at].astype(np.int64) << 32) | symbols[at + 1])
     counts = np.bincount(numbers, weights=None if weights is None else weights[at])
     chosen = np.flatnonzero(counts >= max(MIN_COUNT, counts.max() // share))
     chosen = chosen[np.lexsort((names[chosen], -counts[chosen]))]
-    rank_of = np.full(len(names), len(names), dtype=np.int64)
+    rank_of = np.full(len(names), len(names), dtype=np.int32)
     rank_of[chosen] = np.arange(len(chosen))
-    rank = np.full(len(symbols) + 1, len(names), dtype=np.int64)
+    rank = np.full(len(symbols) + 1, len(names), dtype=np.int32)
     rank[at + 1] = rank_of[numbers]  # one place to the right, so that place 0 has a left neighbour
     mine = rank[1:]
     wins = np.zeros(len(symbols), dtype=bool)
@@ -66,7 +69,7 @@ def _replace(symbols: np.ndarray, places: np.ndarray, first: int) -> tuple[np.nd
     return out[stay], stay
 
 
-def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int, word_rounds: int = 8, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int, word_rounds: int = 6, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols) of words ``numbers`` of the dictionary (``values``, ``starts``), with ``end_id`` after each place in ``ends``."""
     weights = np.repeat(np.bincount(numbers, minlength=len(starts) - 1), np.diff(starts)).astype(np.int64)
     last = np.zeros(len(values), dtype=bool)
@@ -186,27 +189,42 @@ def _block_rows(tokenizer_file: str, end_id: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, made = encoder(tokenizer_file, word_level=True), TaskContext.get().partitionId(), 0
         for part in parts:
-            for s in text_slices(part["text"], BLOCK_BYTES):
-                chunked = Chunked(part["text"].slice(s.start, s.stop - s.start))
+            for s in text_slices(part["text"], SLICE_BYTES):
+                texts = part["text"].slice(s.start, s.stop - s.start)
+                keys = part["id"].slice(s.start, s.stop - s.start)
+                chunked = Chunked(texts)
                 values, starts = encode(chunked.chunks)
-                upto = np.concatenate(([0], np.cumsum(np.diff(starts)[chunked.numbers])))
-                sizes = np.diff(upto[chunked.offsets]) + 1
-                payload = pack_block(*compress(values, starts, chunked.numbers, chunked.offsets[1:], end_id))
-                ids = part["id"].slice(s.start, s.stop - s.start).to_pylist()
-                known = [x for x in ids if x is not None]
-                row = {"part": task, "block": made, "low": min(known, default=None), "high": max(known, default=None), "n_ids": int(sizes.sum()), "ids": ids, "sizes": sizes.tolist(), "payload": payload}
-                yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
-                made += 1
+                numbers, offsets = chunked.numbers, chunked.offsets
+                del chunked
+                for b in text_slices(texts, BLOCK_BYTES):
+                    places = offsets[b.start : b.stop + 1]
+                    # the block's own dictionary: the words that it has
+                    own, words = pd.factorize(numbers[places[0] : places[-1]])
+                    flat, lengths = gather(values, starts, words)
+                    first = np.concatenate(([0], np.cumsum(lengths)))
+                    upto = np.concatenate(([0], np.cumsum(lengths[own])))
+                    sizes = np.diff(upto[places - places[0]]) + 1
+                    payload = pack_block(*compress(flat, first, own, places[1:] - places[0], end_id))
+                    ids = keys.slice(b.start, b.stop - b.start).to_pylist()
+                    known = [x for x in ids if x is not None]
+                    row = {"part": task, "block": made, "low": min(known, default=None), "high": max(known, default=None), "n_ids": int(sizes.sum()), "ids": ids, "sizes": sizes.tolist(), "payload": payload}
+                    yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
+                    made += 1
 
     return run
 
 
+def _parts(blocks: DataFrame) -> DataFrame:
+    """A row for each partition of blocks, with the highest id and the number of ids before it in order of its least id."""
+    parts = blocks.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_ids").alias("n_ids"))
+    order = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "part")  # a row for each input partition
+    return parts.withColumns({"last": F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)), "before": F.sum("n_ids").over(order) - F.col("n_ids")})
+
+
 def _in_order(blocks: DataFrame) -> bool:
-    """Whether blocks, in order of their least id, do not interleave."""
-    order = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "part", "block")
-    before = F.lag("high").over(order)
-    # a row for each block of some 30 MB
-    return blocks.select("part", "block", "low", "high").withColumn("before", before).where("before > low").isEmpty()
+    """Whether blocks ascend inside each partition, and partitions do not interleave."""
+    inside = blocks.select("part", "low", F.lag("high").over(Window.partitionBy("part").orderBy("block")).alias("last"))
+    return inside.select("low", "last").unionByName(_parts(blocks).select("low", "last")).where("last > low").isEmpty()
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -216,7 +234,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_file: str, id_col:
     place; any other input is dealt by range first. Rows that repeat an id stand next to each other.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls"))
+    spans = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n_ids"))
     spans = spans.withColumn("block", F.lit(0))
     in_place = spans.where("nulls > 0").isEmpty() and _in_order(spans)
     for dealt in [rows] * in_place + [rows.repartitionByRange("id")]:
@@ -248,8 +266,9 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     """One row per document from the files: ``id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and,
     unless ``with_ids`` is false, ``ids`` (little-endian unsigned 32-bit)."""
     blocks = spark.read.parquet(folder)
-    order = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "part", "block")
-    sums = blocks.select("part", "block", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("before"))  # a row for each block
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
+    sums = blocks.select("part", "block", inside.alias("inside")).join(_parts(blocks).select("part", "before"), "part")
+    sums = sums.select("part", "block", (F.col("before") + F.col("inside")).alias("before"))
     kinds = "part long, block long, id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     rows = blocks.select("part", "block", "ids", "sizes", "payload").mapInArrow(_document_rows(with_ids), kinds)
     out = rows.join(sums, ["part", "block"]).withColumn("start", F.col("start") + F.col("before"))
