@@ -169,6 +169,19 @@ def removed_windows(documents: DataFrame, id_col: str, text_col: str, length: in
     return found.groupBy("doc").agg(F.collect_list("w").alias("gone"))
 
 
+def _judged(documents: DataFrame, id_col: str, text_col: str, length: int, keep: tuple[str, ...]) -> DataFrame:
+    """(_id, _row: a struct of the columns in ``keep``, _n_words, _n_removed, _spans, _kept_text)."""
+    if length < SEED + 1:
+        raise ValueError(f"length must be over {SEED}")
+    # one struct column carries what is kept, so no name can clash with those used here
+    gone = removed_windows(documents, id_col, text_col, length)
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in keep)).alias("_row"))
+    joined = rows.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.col("_id") == F.col("_doc"), "left").drop("_doc")
+    kinds = dict(joined.dtypes)
+    schema = f"_id {kinds['_id']}, _row {kinds['_row']}, _n_words long, _n_removed long, _spans array<struct<start:long,end:long>>, _kept_text string"
+    return joined.mapInArrow(_strip(length, ["_id", "_row"]), schema)
+
+
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, ``_n_words``, ``_n_removed``, ``_spans`` (word ranges of the maximal repeats, end
     exclusive) and ``_kept_text`` (the other words, joined by one space), plus the columns in ``keep``.
@@ -178,20 +191,12 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     null text has no words; rows that repeat an id are judged each by itself and never against each
     other. An empty table gives an empty table. Other columns may have any names and types.
     """
-    if length < SEED + 1:
-        raise ValueError(f"length must be over {SEED}")
-    # one struct column carries what is kept, so no name can clash with those used here
-    gone = removed_windows(documents, id_col, text_col, length)
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in keep)).alias("_row"))
-    joined = rows.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.col("_id") == F.col("_doc"), "left").drop("_doc")
-    kinds = dict(joined.dtypes)
-    schema = f"_id {kinds['_id']}, _row {kinds['_row']}, _n_words long, _n_removed long, _spans array<struct<start:long,end:long>>, _kept_text string"
-    out = joined.mapInArrow(_strip(length, ["_id", "_row"]), schema)
-    return out.select(F.col("_id").alias(id_col if id_col not in keep else "_id"), *(F.col("_row")[c].alias(c) for c in keep), "_n_words", "_n_removed", "_spans", "_kept_text")
+    out = _judged(documents, id_col, text_col, length, keep)
+    return out.select(F.col("_id").alias(id_col), *(F.col("_row")[c].alias(c) for c in keep if c != id_col), "_n_words", "_n_removed", "_spans", "_kept_text")
 
 
 def dedup_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows with repeats taken out of the text (words joined by one space) and ``n_chars``, if there, set anew."""
-    out = substring_dedup(documents, id_col, text_col, keep=tuple(documents.columns))
+    out = _judged(documents, id_col, text_col, LENGTH, tuple(documents.columns))
     changed = {text_col: F.col("_kept_text")} | ({"n_chars": F.length("_kept_text").cast("long")} if "n_chars" in documents.columns else {})
-    return out.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns))
+    return out.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in documents.columns))
