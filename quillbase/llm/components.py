@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import cut
+from quillbase.llm.common import cut, small_enough_to_broadcast
+
+ROWS_PER_TASK = 10_000
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) both ways around, with the least neighbour of u, itself included, as m. A star's centre needs no list of its leaves."""
+def _least(edges: DataFrame, joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) and the least neighbour of u, itself included, as m. A star's centre needs no list of its leaves."""
     least = edges.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("u", "_m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
+    return edges.join(joined(least), F.col("u") == F.col("_u")).select("u", "v", "m")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,20 +26,23 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """(node, component): for each node of an edge, the least node it can reach.
 
     Self loops and repeated edges are allowed; edges with a null end are left out; no edge gives no row.
-    Rounds grow with the logarithm of the longest path; each one is checkpointed.
+    Rounds grow with the logarithm of the longest path; each one is checkpointed. Minima of a counted, small
+    graph are broadcast; those of a larger one join by shuffle.
     """
     links = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     links = cut(links.select("u", "v").distinct())
     nodes = links
     before = _state(links)
+    joined = F.broadcast if small_enough_to_broadcast(2 * before[0], 24, 32) else lambda df: df
+    tasks = 1 + before[0] // ROWS_PER_TASK
     for _ in range(most_rounds):
         if not before[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = _least(large)
+        large = _least(both, joined).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        down = _least(large, joined)
         small = down.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.where("u != m").select("u", F.col("m").alias("v")))
-        links = cut(small.distinct())
+        links = cut(small.distinct().coalesce(tasks))
         after = _state(links)
         if after == before:
             break
@@ -43,4 +50,4 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     else:
         raise RuntimeError("components did not settle")
     ends = nodes.select(F.col("u").alias("node")).unionByName(nodes.select(F.col("v").alias("node"))).distinct()
-    return ends.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+    return ends.join(joined(links.withColumnRenamed("u", "node")), "node", "left").select("node", F.coalesce("v", "node").alias("component"))

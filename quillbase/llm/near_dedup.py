@@ -5,16 +5,17 @@ key combines group i of the first with group j of the second, so 2 * tables * pe
 tables ** 2 tables of 2 * per_group hashes each. Documents with equal sets form one class at once, and only
 classes meet in tables. Two confirming passes lose no link between classes that share a table:
 
-1. every class is compared with the best hub of its tables, the class with the smallest share of shingles
-   that nobody else has;
-2. what still lies in different components and shares a table is compared in full, after an exact bound:
-   of n shingles with u found nowhere else, a link to m shingles needs 7u <= 4n - 3m (at 0.75).
+1. every class is compared with the best hub of its tables, the class with the fewest shingles that nobody
+   else has; then, for two rounds, with the best one of about its size in another component;
+2. what still lies in different components and shares a table is compared too, unless an exact bound on
+   the shared part rules it out (see ``_possible`` and ``_open_pairs``).
 
 So a table with thousands of copies costs a row for each, not for each pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,7 @@ class Settings:
     percent: int = 75
     tables: int = 12
     per_group: int = 2
+    hub_rounds: int = 3
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,16 +123,21 @@ def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["c"].to_numpy(), counts)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names=["c", "shingle"])
 
 
-def _confirm(percent: int):
+_COMPARED = "a long, b long, size long, both long, linked boolean, outside binary"
+
+
+def _compare(percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            linked = []
+            sizes, shared, linked, outside = [], [], [], []
             for x, y in zip(part["set_a"].to_pylist(), part["set_b"].to_pylist(), strict=True):
                 one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
+                apart = np.setdiff1d(one, two, assume_unique=True)
+                sizes.append(len(one))
+                shared.append(both := len(one) - len(apart))
                 linked.append(100 * both >= percent * (len(one) + len(two) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part["a"].filter(mask), part["b"].filter(mask)], names=["a", "b"])
+                outside.append(apart.tobytes())
+            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.binary())], names=["a", "b", "size", "both", "linked", "outside"])
 
     return run
 
@@ -140,10 +147,10 @@ def _possible(n: Column, u: Column, m: Column, percent: int) -> Column:
     return (n - u) * (100 + percent) >= (n + m) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each pair (a, b) with both full sets."""
     one, two = (sets.select(F.col("c").alias(k), F.col("packed").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -156,6 +163,63 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
+def _sized(table: DataFrame, bytes_per_row: int) -> DataFrame:
+    """The table, checkpointed and counted, marked for broadcast if it is at most 32 MB; else it joins by shuffle."""
+    table = cut(table)
+    return F.broadcast(table) if small_enough_to_broadcast(table.count(), bytes_per_row, 32) else table
+
+
+def _placed(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` with each class's component so far."""
+    place = _sized(components(links, "a", "b").select(F.col("node").alias("c"), "component"), 24)
+    return live.join(place, "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def _band_spokes(live: DataFrame, links: DataFrame, shift: float) -> DataFrame:
+    """(a, b), a < b: each class with the best hub of another component among classes of its tables and of about its size."""
+    banded = _placed(live, links).withColumn("band", F.floor(F.log("n") / math.log(1.2) + shift))
+    hubs = _sized(banded.groupBy("key", "band").agg(F.min(F.struct("rank", "component")).alias("h")).select("key", "band", F.col("h.rank").alias("hub"), F.col("h.component").alias("hub_component")), 56)
+    out = banded.join(hubs, ["key", "band"]).where(F.col("component") != F.col("hub_component")).groupBy("c").agg(F.min("hub").alias("hub"))
+    return out.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
+
+
+def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the pairs in one table and in different components that the bounds leave open.
+
+    Two classes with one hub H either share no shingle outside H, and then have at most the lesser of
+    their overlaps with H in common, or share such a shingle, which few others have, and meet on it.
+    """
+    spoke = _sized(met.select(F.col("a").alias("c"), F.col("b").alias("hub"), F.col("both")), 32)
+    placed = _placed(live, links).join(spoke, "c", "left")
+    placed = placed.select("key", "c", "n", "u", "rank", "component", F.coalesce("hub", "c").alias("hub"), F.coalesce("both", "n").alias("both"))
+    split = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rank", "component")).alias("first"),
+        F.min("n").alias("least"), (F.min("hub") == F.max("hub")).alias("one_hub"),
+    )
+    split = _sized(split.where("low < high").select("key", F.col("first.component").alias("main"), "least", "one_hub"), 40)
+    bound = lambda n, most, m: most * (100 + percent) >= (n + m) * percent
+    free = F.col("n") - F.col("u")
+    open_ = placed.join(split, "key").where(bound(F.col("n"), free, F.col("least")))
+    body = cut(open_.select("c", "n", "u", "component", "hub", "both").distinct())
+    # in a table with one hub, a class that shares too little with it can only meet others on a shingle
+    most = F.when(F.col("one_hub"), F.least("both", free)).otherwise(free)
+    table = open_.where(bound(F.col("n"), most, F.col("least")))
+    table = cut(table.select("key", "c", "n", "u", "component", "hub", "both", (F.col("component") != F.col("main")).alias("outer")))
+    named = lambda df, k: df.select(*(F.col(x).alias(f"{x}_{k}") for x in ("c", "n", "u", "component", "hub", "both")), *[x for x in df.columns if x in ("key", "shingle")])
+    a, b = (lambda x: F.col(f"{x}_a")), (lambda x: F.col(f"{x}_b"))
+    apart = (a("component") != b("component")) & bound(a("n"), a("n") - a("u"), b("n")) & bound(b("n"), b("n") - b("u"), a("n"))
+    under_hub = (a("hub") != b("hub")) | bound(a("n"), F.least(a("both"), b("both")), b("n"))
+    by_table = named(table.where("outer"), "a").join(named(table, "b"), "key").where(apart & under_hub)
+
+    own = met.select(F.col("a").alias("c"), F.col("outside").alias("packed")).mapInArrow(_shingle_rows, "c long, shingle long")
+    loose = own.join(body, "c")
+    shared = loose.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle")
+    loose = loose.join(shared, ["hub", "shingle"])
+    by_shingle = named(loose, "a").join(named(loose, "b"), "shingle").where((a("hub") == b("hub")) & (a("c") < b("c")) & apart)
+    pairs = by_table.select("c_a", "c_b").unionByName(by_shingle.select("c_a", "c_b"))
+    return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+
+
 def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, n, name), classes (c, name, first: the least id) and confirmed links (a, b) that span each component."""
     plain = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -177,26 +241,34 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     sizes = sets.select("c", (F.length("packed") / 8).cast("long").alias("n")).join(alone, "c", "left").select("c", "n", F.coalesce("u", F.lit(0)).alias("u"))
     least = F.ceil(F.col("n") * settings.percent / 100)  # the smallest set that can be a partner
     sizes = cut(sizes.where(_possible(F.col("n"), F.col("u"), least, settings.percent)))
-    # what cannot have a link is out of the tables; the rest ranks by its share of unshared shingles
-    live = cut(members.join(sizes, "c").withColumn("rank", F.struct((F.col("u") / F.col("n")).alias("share"), F.col("c"))))
+    # what cannot have a link is out of the tables; the rest ranks by its unshared shingles
+    live = cut(members.join(sizes.select("c", F.col("n").cast("int").alias("n"), F.col("u").cast("int").alias("u")), "c")).withColumn("rank", F.struct(F.col("u"), F.col("c")))
 
-    hubs = live.groupBy("key").agg(F.min(F.struct("rank", "n", "u")).alias("hub")).select("key", F.col("hub.rank").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.u").alias("hub_u"))
-    fits = _possible(F.col("n"), F.col("u"), F.col("hub_n"), settings.percent) & _possible(F.col("hub_n"), F.col("hub_u"), F.col("n"), settings.percent)
-    spokes = live.join(hubs, "key").where((F.col("rank") > F.col("hub")) & fits).groupBy("c").agg(F.min("hub").alias("hub"))
+    hubs = _sized(live.groupBy("key").agg(F.min("rank").alias("hub")), 48)
+    spokes = live.join(hubs, "key").where(F.col("rank") > F.col("hub")).groupBy("c").agg(F.min("hub").alias("hub"))
     spokes = cut(spokes.select(F.col("c").alias("a"), F.col("hub.c").alias("b")))
-    links = cut(confirmed(spokes, sets, settings.percent))
-
-    placed = live.join(components(links, "a", "b").select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    # buckets that still hold two components; within one, a class stands with what the pair bound needs
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = cut(placed.join(split, "key").select("key", "c", "n", "u", "component"))
-    one, two = (open_.select("key", *(F.col(x).alias(f"{x}_{k}") for x in ("c", "n", "u", "component"))) for k in "ab")
-    apart = (F.col("component_a") != F.col("component_b")) & (F.col("c_a") < F.col("c_b"))
-    bound = _possible(F.col("n_a"), F.col("u_a"), F.col("n_b"), settings.percent) & _possible(F.col("n_b"), F.col("u_b"), F.col("n_a"), settings.percent)
-    rest = one.join(two, "key").where(apart & bound).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
-    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(rest.join(tried, ["a", "b"], "left_anti"), sets, settings.percent)
-    return rows, classes.select("c", "name", "first"), cut(links.unionByName(more))
+    # hubs have hubs; where these chains end is the hub that most of a group has in common
+    chains = components(spokes, "a", "b")
+    ranked = chains.join(live.select(F.col("c").alias("node"), "rank").distinct(), "node")
+    ends = ranked.groupBy("component").agg(F.min("rank").alias("end")).select("component", F.col("end.c").alias("end"))
+    aims = cut(spokes.join(chains.withColumnRenamed("node", "a").join(ends, "component"), "a").select("a", "b", "end"))
+    pairs = aims.select("a", "b").unionByName(aims.where("a != end AND b != end").select("a", F.col("end").alias("b")))
+    met = cut(_with_sets(pairs, sets).mapInArrow(_compare(settings.percent), _COMPARED))
+    links = met.where("linked").select("a", "b")
+
+    # the common end serves as hub for the bounds if it has half of a class, else the class's own hub
+    worth = F.when(F.col("b") == F.col("end"), F.col("both") * 2 >= F.col("size")).otherwise(F.lit(False)).cast("int")
+    seen = met.join(aims.select("a", "end"), "a").groupBy("a").agg(F.max_by(F.struct("b", "both", "outside"), F.struct(worth, F.col("b") != F.col("end"))).alias("m"))
+    seen = cut(seen.select("a", "m.*"))
+    tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(settings.hub_rounds - 1):
+        again = _with_sets(_band_spokes(live, links, turn / 2).join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(_compare(settings.percent), _COMPARED)
+        again = cut(again.select("a", "b", "linked"))
+        links, tried = links.unionByName(again.where("linked").select("a", "b")), tried.unionByName(again.select("a", "b"))
+
+    rest = _open_pairs(live, links, seen, settings.percent)
+    more = _with_sets(rest.join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(_compare(settings.percent), _COMPARED)
+    return rows, classes.select("c", "name", "first"), cut(links.unionByName(more.where("linked").select("a", "b")))
 
 
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
