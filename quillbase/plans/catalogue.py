@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import expr
-from quillbase.operators import account, activity, docs, ledger, refresh, signal, timeseries
+from quillbase.operators import account, activity, docs, ledger, refresh, signal, snapshot, timeseries
 from quillbase.sources import adapters
 from quillbase.sources.tables import load
 
@@ -379,6 +379,31 @@ def account_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account", F.array_join("blockers", "; ").alias("blockers"))
 
 
+@query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+v AS (SELECT key, min(i) FILTER (live) AS i, count(*) AS n FROM l GROUP BY 1)
+SELECT CAST(key AS VARCHAR) AS key, CASE WHEN i IS NOT NULL THEN 'unavailable' WHEN key % 3 = 2 THEN 'stale' ELSE 'current' END AS availability,
+  CASE WHEN i IS NOT NULL THEN 'research lane contract failed closed: lanes[' || i || '].liveApproved must be false'
+       WHEN key % 3 = 2 THEN 'published research snapshot is stale; operational claims are hidden' END AS blocker, CASE WHEN i IS NULL THEN n ELSE 0 END AS lanes FROM v""")
+def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot per customer, whose orders are its lanes; urgent ones break the contract."""
+    text, ms = (lambda c: F.col(c).cast("string")), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    evidence = F.struct(F.lit(1).cast("long").alias("decisions"), F.lit(0).cast("long").alias("terminals"), F.lit(False).alias("failedClosed"), F.lit(False).alias("coverageGapOpen"), F.lit(True).alias("evidenceHealthy"))
+    source = F.struct(F.lit(True).alias("manifestIdentityValid"), F.sha2(text("o_orderkey"), 256).alias("manifestSha256"), F.sha2(F.lit("state"), 256).alias("stateMaterialSha256"))
+    lane = F.struct(
+        text("o_orderkey").alias("id"), F.lit("order").alias("name"), F.lit("v1").alias("collectorVersion"), F.lit("e1").alias("epochId"), F.lit("paper").alias("mode"), F.lit("running_flat").alias("operationalStatus"),
+        F.lit(True).alias("paperOnly"), (F.col("o_orderpriority") == "1-URGENT").alias("liveApproved"), F.lit(False).alias("promotionApproved"), F.lit(False).alias("quarantined"), F.lit(False).alias("crossEpochPoolingAllowed"),
+        ms.alias("observedAtMs"), F.lit(0).cast("long").alias("firstDecisionBoundaryMs"), F.lit(1).cast("long").alias("strategyCount"), evidence.alias("evidence"), source.alias("source"),
+    )
+    rows = load(spark, sf_dir, "orders").select("o_custkey", ms.alias("ms"), F.struct(F.col("o_orderkey"), lane.alias("lane")).alias("x"))
+    rows = rows.groupBy("o_custkey").agg(F.max("ms").alias("publishedAtMs"), F.sort_array(F.collect_list("x")).alias("xs"))
+    rows = rows.select(
+        text("o_custkey").alias("key"), F.lit("lanes").alias("schema"), F.lit(1).alias("schemaVersion"), expr.iso_ms(F.col("publishedAtMs")).alias("publishedAt"), "publishedAtMs", F.lit(86_400_000).cast("long").alias("staleAfterMs"),
+        F.lit(snapshot.SCOPE).alias("observerScope"), F.lit(snapshot.HEALTH).alias("localDaemonHealth"), F.transform("xs", lambda x: x["lane"]).alias("lanes"), F.pmod("o_custkey", F.lit(3)).alias("k"),
+    )
+    out = snapshot.publish(rows, "lanes", F.col("publishedAtMs") + F.col("k") * 50_000_000)
+    return out.select("key", "availability", "blocker", F.size("lanes").cast("long").alias("lanes"))
+
+
 # --- documents -------------------------------------------------------------------------------------
 
 
