@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that separate words, as a class of Java's and Python's regular expressions.
@@ -35,6 +38,26 @@ def small_enough_to_broadcast(rows: int, bytes_per_row: int, limit_mb: int = 64)
     return rows * bytes_per_row <= limit_mb * 1_000_000
 
 
+def release_memory() -> None:
+    """Give a task's freed memory back to the system, as its Python worker lives on beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task function, which gives memory back when it ends."""
+
+    def wrapped(parts: Iterator) -> Iterator:
+        try:
+            yield from run(parts)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply rounds): every input bit reaches every output bit."""
     x = x.copy()
@@ -89,7 +112,10 @@ def words_of(texts: Sequence[str | None], lower_ascii: bool = False) -> Words:
     n = len(codes)
     prefix = np.empty(n + 1, dtype=np.uint64)
     prefix[0] = 0
-    np.cumsum(_BYTE_CODES[codes] * _powers(_BASE, n), dtype=np.uint64, out=prefix[1:])
+    weighed = _BYTE_CODES[codes]
+    weighed *= _powers(_BASE, n)
+    np.cumsum(weighed, dtype=np.uint64, out=prefix[1:])
+    del weighed
     inverse = _powers(_BASE_INVERSE, n)
     hashes = mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     text_starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
@@ -103,7 +129,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     out = np.zeros(m, dtype=np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9FB21C651E98DF25) + hashes[k : k + m]
+        out *= np.uint64(0x9FB21C651E98DF25)
+        out += hashes[k : k + m]
     return mix64(out)
 
 

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, grams, mix64, small_enough_to_broadcast, words_of
+from quillbase.llm.common import batches, cut, grams, mix64, small_enough_to_broadcast, trimmed, words_of
 from quillbase.llm.components import components
 
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -224,7 +224,7 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     """Rows (id, n, name), classes (c, name, first: the least id) and confirmed links (a, b) that span each component."""
     plain = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(plain.dtypes)["id"]
-    described = cut(plain.mapInArrow(_describe(settings), f"id {kind}, n long, name binary, groups array<long>"))
+    described = cut(plain.mapInArrow(trimmed(_describe(settings)), f"id {kind}, n long, name binary, groups array<long>"))
     rows = described.select("id", "n", "name")
     grouped = described.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("groups").alias("groups"))
     classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()))
@@ -234,7 +234,7 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     count = wanted.count()
     source = plain.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     chosen = source.join(F.broadcast(wanted) if small_enough_to_broadcast(count, 40) else wanted, "id")
-    sets = cut(chosen.select("c", "name", "text").mapInArrow(_sets(settings), "c long, packed binary").dropDuplicates(["c"]))
+    sets = cut(chosen.select("c", "name", "text").mapInArrow(trimmed(_sets(settings)), "c long, packed binary").dropDuplicates(["c"]))
 
     once = sets.mapInArrow(_shingle_rows, "c long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c")).where("k = 1")
     alone = once.groupBy("c").agg(F.count(F.lit(1)).alias("u"))
@@ -253,7 +253,7 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     ends = ranked.groupBy("component").agg(F.min("rank").alias("end")).select("component", F.col("end.c").alias("end"))
     aims = cut(spokes.join(chains.withColumnRenamed("node", "a").join(ends, "component"), "a").select("a", "b", "end"))
     pairs = aims.select("a", "b").unionByName(aims.where("a != end AND b != end").select("a", F.col("end").alias("b")))
-    met = cut(_with_sets(pairs, sets).mapInArrow(_compare(settings.percent), _COMPARED))
+    met = cut(_with_sets(pairs, sets).mapInArrow(trimmed(_compare(settings.percent)), _COMPARED))
     links = met.where("linked").select("a", "b")
 
     # the common end serves as hub for the bounds if it has half of a class, else the class's own hub
@@ -262,12 +262,12 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     seen = cut(seen.select("a", "m.*"))
     tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(settings.hub_rounds - 1):
-        again = _with_sets(_band_spokes(live, links, turn / 2).join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(_compare(settings.percent), _COMPARED)
+        again = _with_sets(_band_spokes(live, links, turn / 2).join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(trimmed(_compare(settings.percent)), _COMPARED)
         again = cut(again.select("a", "b", "linked"))
         links, tried = links.unionByName(again.where("linked").select("a", "b")), tried.unionByName(again.select("a", "b"))
 
     rest = _open_pairs(live, links, seen, settings.percent)
-    more = _with_sets(rest.join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(_compare(settings.percent), _COMPARED)
+    more = _with_sets(rest.join(tried, ["a", "b"], "left_anti"), sets).mapInArrow(trimmed(_compare(settings.percent)), _COMPARED)
     return rows, classes.select("c", "name", "first"), cut(links.unionByName(more.where("linked").select("a", "b")))
 
 

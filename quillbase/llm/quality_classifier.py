@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, small_enough_to_broadcast
+from quillbase.llm.common import batches, cut, release_memory, small_enough_to_broadcast, trimmed
 
 START = "\x02"
 CHUNK_CHARS = 8_000_000
@@ -59,7 +59,8 @@ def _names(codes: np.ndarray, order: int) -> np.ndarray:
     """A 64-bit name of each ``order`` consecutive characters."""
     out = np.zeros(len(codes) - order + 1, dtype=np.uint64)
     for k in range(order):
-        out = out * _STEP + codes[k : k + len(out)]
+        out *= _STEP
+        out += codes[k : k + len(out)]
     return out
 
 
@@ -168,6 +169,7 @@ def _score(order: int):
                 each = logs[np.searchsorted(keys, names)][numbers]
                 full = np.flatnonzero(counts)
                 total[full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(counts[full])[:-1])))
+            release_memory()
             out.append(pa.table({"uid": row["uid"], "id": pa.array(row["id"], pa.int64()), "lang": pa.array(row["lang"], pa.string()), "trusted": row["trusted"], "log_p": total, "n": pa.array(counts, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"uid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "trusted": pa.array([], pa.bool_()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
 
@@ -225,10 +227,10 @@ def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     trusted = cut(trusted)
     if small_enough_to_broadcast(trusted.count(), 16):
         trusted = F.broadcast(trusted)
-    counted = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi").select("text").mapInArrow(_count_rows(settings.order), "g string, n long")
+    counted = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi").select("text").mapInArrow(trimmed(_count_rows(settings.order)), "g string, n long")
     counts = cut(counted.groupBy("g").agg(F.sum("n").alias("n")))
     rows = rows.join(trusted, F.col("id") == F.col("_t"), "left").select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "text")
-    chunks = rows.mapInArrow(_chunk_rows(settings.order), _CHUNK).repartition("chunk")
+    chunks = rows.mapInArrow(trimmed(_chunk_rows(settings.order)), _CHUNK).repartition("chunk")
     listed = chunks.mapInArrow(_gram_rows, "chunk long, g string")
     known = listed.join(probabilities(listed.select("g").distinct(), counts, settings.order), "g")
     kind = "uid long, id long, lang string, trusted boolean, log_p double, n long"

@@ -19,11 +19,11 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, grams, words_of
+from quillbase.llm.common import batches, cut, grams, trimmed, words_of
 
 SEED = 5
 LENGTH = 13
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 #: Bits of the anchor filter at most (64 MB). Beyond its size the filter only lets more anchors through.
 MOST_FILTER_BITS = 1 << 29
 
@@ -157,11 +157,11 @@ def removed_windows(documents: DataFrame, id_col: str, text_col: str, length: in
     """(doc, gone): the hashes of a document's windows that also start in a document with a smaller id."""
     spark = documents.sparkSession
     known = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    anchors = known.mapInArrow(_anchor_rows(length), "anchor long, low long, high long")
+    anchors = known.mapInArrow(trimmed(_anchor_rows(length)), "anchor long, low long, high long")
     top = F.max(F.coalesce("high", "low"))
     shared = cut(anchors.groupBy("anchor").agg(F.min("low").alias("low"), top.alias("high")).where("low < high").select("anchor"))
     bits = spark.sparkContext.broadcast(_filter_bits(shared))
-    windows = known.mapInArrow(_window_rows(length, bits), "w long, low long, others array<long>").repartition("w")
+    windows = known.mapInArrow(trimmed(_window_rows(length, bits)), "w long, low long, others array<long>").repartition("w")
     # both sides read every column of ``windows``, so that they share one exchange
     least = windows.groupBy("w").agg(F.min("low").alias("least"), F.max(F.coalesce(F.size("others"), F.lit(0))).alias("most"))
     later = F.when(F.col("low") > F.col("least"), F.array("low")).otherwise(F.array().cast("array<long>"))
@@ -179,7 +179,7 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, length: int, keep:
     joined = rows.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.col("_id") == F.col("_doc"), "left").drop("_doc")
     kinds = dict(joined.dtypes)
     schema = f"_id {kinds['_id']}, _row {kinds['_row']}, _n_words long, _n_removed long, _spans array<struct<start:long,end:long>>, _kept_text string"
-    return joined.mapInArrow(_strip(length, ["_id", "_row"]), schema)
+    return joined.mapInArrow(trimmed(_strip(length, ["_id", "_row"])), schema)
 
 
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
