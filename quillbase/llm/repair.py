@@ -69,7 +69,7 @@ def _replace(symbols: np.ndarray, places: np.ndarray, first: int) -> tuple[np.nd
     return out[stay], stay
 
 
-def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int, word_rounds: int = 6, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int, word_rounds: int = 4, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols) of words ``numbers`` of the dictionary (``values``, ``starts``), with ``end_id`` after each place in ``ends``."""
     weights = np.repeat(np.bincount(numbers, minlength=len(starts) - 1), np.diff(starts)).astype(np.int64)
     last = np.zeros(len(values), dtype=bool)
