@@ -33,20 +33,22 @@ class Settings:
     """``reach``: a text is kept between the quartiles of its language less and plus ``reach`` quartile distances.
 
     ``prior_chars``: a text is judged as if so many more characters had its language's median, as the
-    mean over a few characters says little.
+    mean over a few characters says little. ``few``: a language with fewer distinct trusted texts, whose
+    quartiles are unsteady, has at least the quartile distance of all languages' trusted texts.
     """
 
     order: int = 4
     reach: float = 6.0
     prior_chars: int = 100
+    few: int = 20
 
 
-def _pieces(ids, langs, trusted, texts, order: int, base: int):
-    """(uid, id, lang, trusted, context and body): long texts in several pieces that share a uid."""
+def _pieces(ids, langs, trusted, keys, texts, order: int, base: int):
+    """(uid, id, lang, trusted, text key, context and body): long texts in several pieces that share a uid."""
     for i, text in enumerate(texts):
         body = START * (order - 1) + (text or "")
         for a in range(0, max(len(body) - order + 1, 1), CHUNK_CHARS):
-            yield base + i, ids[i], langs[i], trusted[i], body[a : a + CHUNK_CHARS + order - 1]
+            yield base + i, ids[i], langs[i], trusted[i], keys[i], body[a : a + CHUNK_CHARS + order - 1]
 
 
 def _codes(joined: str) -> np.ndarray:
@@ -91,7 +93,7 @@ def _count_rows(order: int):
             texts = part["text"].to_pylist()
             for s in batches(texts, CHUNK_CHARS):
                 blank = [None] * (s.stop - s.start)
-                for held in _held(_pieces(blank, blank, blank, texts[s], order, 0)):
+                for held in _held(_pieces(blank, blank, blank, blank, texts[s], order, 0)):
                     codes, places, numbers, names, _ = _grams("".join(held), np.array([len(x) for x in held]), order)
                     yield pa.RecordBatch.from_arrays([pa.array(_texts(codes, places, numbers, len(names), order), pa.string()), pa.array(np.bincount(numbers, minlength=len(names)))], names=["g", "n"])
 
@@ -102,11 +104,11 @@ def _held(pieces: Iterator[tuple]) -> Iterator[list[str]]:
     """Pieces' texts in lists of bounded size."""
     held, size = [], 0
     for piece in pieces:
-        if held and size + len(piece[4]) > CHUNK_CHARS:
+        if held and size + len(piece[5]) > CHUNK_CHARS:
             yield held
             held, size = [], 0
-        held.append(piece[4])
-        size += len(piece[4])
+        held.append(piece[5])
+        size += len(piece[5])
     if held:
         yield held
 
@@ -119,22 +121,22 @@ def _chunk_rows(order: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, chunks
-            joined, lengths = "".join(x[4] for x in held), np.array([len(x[4]) for x in held])
+            joined, lengths = "".join(x[5] for x in held), np.array([len(x[5]) for x in held])
             codes, places, numbers, names, _ = _grams(joined, lengths, order)
             row = {
-                "chunk": task * (1 << 32) + chunks, "uid": [x[0] for x in held], "id": [x[1] for x in held], "lang": [x[2] for x in held], "trusted": [x[3] for x in held],
+                "chunk": task * (1 << 32) + chunks, "uid": [x[0] for x in held], "id": [x[1] for x in held], "lang": [x[2] for x in held], "trusted": [x[3] for x in held], "key": [x[4] for x in held],
                 "lengths": lengths.tolist(), "packed": packer.compress(joined.encode("utf-8", "surrogatepass")), "grams": _texts(codes, places, numbers, len(names), order),
             }
             held, size, chunks = [], 0, chunks + 1
             return pa.RecordBatch.from_pylist([row], schema=_CHUNK_ARROW)
 
         for part in parts:
-            columns = [part[c].to_pylist() for c in ("id", "lang", "trusted", "text")]
+            columns = [part[c].to_pylist() for c in ("id", "lang", "trusted", "key", "text")]
             for piece in _pieces(*columns, order, task * (1 << 40) + rows):
-                if held and size + len(piece[4]) > CHUNK_CHARS:
+                if held and size + len(piece[5]) > CHUNK_CHARS:
                     yield flush()
                 held.append(piece)
-                size += len(piece[4])
+                size += len(piece[5])
             rows += len(columns[0])
         if held:
             yield flush()
@@ -143,9 +145,9 @@ def _chunk_rows(order: int):
 
 
 _CHUNK_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("uid", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary()), ("grams", pa.list_(pa.string()))]
+    [("chunk", pa.int64()), ("uid", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("trusted", pa.list_(pa.bool_())), ("key", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary()), ("grams", pa.list_(pa.string()))]
 )
-_CHUNK = "chunk long, uid array<long>, id array<long>, lang array<string>, trusted array<boolean>, lengths array<long>, packed binary, grams array<string>"
+_CHUNK = "chunk long, uid array<long>, id array<long>, lang array<string>, trusted array<boolean>, key array<long>, lengths array<long>, packed binary, grams array<string>"
 
 
 def _gram_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +172,8 @@ def _score(order: int):
                 full = np.flatnonzero(counts)
                 total[full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(counts[full])[:-1])))
             release_memory()
-            out.append(pa.table({"uid": row["uid"], "id": pa.array(row["id"], pa.int64()), "lang": pa.array(row["lang"], pa.string()), "trusted": row["trusted"], "log_p": total, "n": pa.array(counts, pa.int64())}))
-        return pa.concat_tables(out) if out else pa.table({"uid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "trusted": pa.array([], pa.bool_()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+            out.append(pa.table({"uid": row["uid"], "id": pa.array(row["id"], pa.int64()), "lang": pa.array(row["lang"], pa.string()), "trusted": row["trusted"], "key": pa.array(row["key"], pa.int64()), "log_p": total, "n": pa.array(counts, pa.int64())}))
+        return pa.concat_tables(out) if out else pa.table({"uid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "trusted": pa.array([], pa.bool_()), "key": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
 
     return run
 
@@ -220,36 +222,60 @@ def probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame
     return out.select("g", F.log("p").cast("float").alias("log_p"))
 
 
-def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
-    """(id, lang, trusted, log_p, n) for every input row: the natural log-probability of its n characters."""
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(text): each text of ``rows`` (id, key, text) once. Only keys are shuffled, and texts that one id repeats."""
+    held = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies")).groupBy("key").agg(F.min(F.struct("id", "copies")).alias("one"))
+    held = cut(held.select(F.col("key").alias("_key"), F.col("one.id").alias("_id"), F.col("one.copies").alias("copies")))
+    spread = F.broadcast if small_enough_to_broadcast(held.count(), 24) else lambda x: x
+    mine = (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id"))
+    once = rows.join(spread(held.where("copies = 1")), mine, "left_semi").select("text")
+    again = held.where("copies > 1")
+    return once if again.isEmpty() else once.unionByName(rows.join(spread(again), mine, "left_semi").select("text").distinct())
+
+
+def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings(), once: bool = False) -> DataFrame:
+    """(id, lang, trusted, key, log_p, n) for every input row: the natural log-probability of its n characters; equal texts share a key.
+
+    With ``once``, equal trusted texts are counted once, so that a text with many copies is not learned by heart.
+    """
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("_t"))
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     trusted = cut(trusted)
     if small_enough_to_broadcast(trusted.count(), 16):
         trusted = F.broadcast(trusted)
-    counted = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi").select("text").mapInArrow(trimmed(_count_rows(settings.order)), "g string, n long")
+    learned = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi")
+    counted = (distinct_texts(learned) if once else learned.select("text")).mapInArrow(trimmed(_count_rows(settings.order)), "g string, n long")
     counts = cut(counted.groupBy("g").agg(F.sum("n").alias("n")))
-    rows = rows.join(trusted, F.col("id") == F.col("_t"), "left").select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "text")
+    rows = rows.join(trusted, F.col("id") == F.col("_t"), "left").select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "key", "text")
     chunks = rows.mapInArrow(trimmed(_chunk_rows(settings.order)), _CHUNK).repartition("chunk")
     listed = chunks.mapInArrow(_gram_rows, "chunk long, g string")
     known = listed.join(probabilities(listed.select("g").distinct(), counts, settings.order), "g")
-    kind = "uid long, id long, lang string, trusted boolean, log_p double, n long"
+    kind = "uid long, id long, lang string, trusted boolean, key long, log_p double, n long"
     scored = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(settings.order), kind)
     # a text in several pieces has its sums added up; a uid belongs to one row
-    whole = scored.groupBy("uid").agg(F.max("id").alias("id"), F.max("lang").alias("lang"), F.max("trusted").alias("trusted"), F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
-    return cut(whole.select("id", "lang", "trusted", "log_p", "n"))
+    whole = scored.groupBy("uid").agg(F.max("id").alias("id"), F.max("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max("key").alias("key"), F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    return cut(whole.select("id", "lang", "trusted", "key", "log_p", "n"))
 
 
-def language_limits(scores: DataFrame, settings: Settings) -> DataFrame:
-    """(lang, low, middle, high) in nats per character: exact quartiles of trusted texts, on a grid of 0.001."""
-    cell = F.round(-F.col("log_p") / F.col("n") * 1000).cast("long")
-    cells = scores.where("trusted AND n > 0").groupBy("lang", cell.alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+def _quartiles(cells: DataFrame) -> DataFrame:
+    """(lang, q1, middle, q3, texts) of (lang, cell, k), in nats."""
     ordered = Window.partitionBy("lang").orderBy("cell")
     run = cells.withColumns({"upto": F.sum("k").over(ordered), "all": F.sum("k").over(Window.partitionBy("lang"))})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("cell"))) / 1000
-    found = run.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"))
-    wide = (F.col("q3") - F.col("q1")) * settings.reach
-    return found.select(F.col("lang").alias("_lang"), (F.col("q1") - wide).alias("low"), "middle", (F.col("q3") + wide).alias("high"))
+    return run.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"), F.max("all").alias("texts"))
+
+
+def language_limits(scores: DataFrame, settings: Settings) -> DataFrame:
+    """(lang, low, middle, high) in nats per character: exact quartiles of distinct trusted texts, on a grid of 0.001."""
+    cell = F.round(-F.col("log_p") / F.col("n") * 1000).cast("long")
+    texts = scores.where("trusted AND n > 0").groupBy("lang", "key").agg(F.min(cell).alias("cell"))
+    cells = cut(texts.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("k")))
+    every = cells.groupBy("cell").agg(F.sum("k").alias("k")).withColumn("lang", F.lit(None).cast("string"))
+    usual = _quartiles(every).select((F.col("q3") - F.col("q1")).alias("usual"))
+    found = _quartiles(cells).withColumnRenamed("lang", "_lang").join(F.broadcast(usual))  # one number
+    own = F.col("q3") - F.col("q1")
+    wide = F.when(F.col("texts") < settings.few, F.greatest(own, F.col("usual"))).otherwise(own) * settings.reach
+    return found.select("_lang", (F.col("q1") - wide).alias("low"), "middle", (F.col("q3") + wide).alias("high"))
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
@@ -257,12 +283,12 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, id_col: str = "d
 
     Trusted are the rows whose id has only labels of quality 1. A text is kept if its perplexity per
     character, drawn towards its language's median as ``Settings`` says, lies within its language's
-    limits. A null or empty text has a null perplexity and is not kept; a language (null counts as one)
+    limits; trusted texts with copies count once, in the model and in the limits. A null or empty text has a null perplexity and is not kept; a language (null counts as one)
     without trusted text has null limits and its texts are kept. Rows with a null id are never trusted;
     repeated rows are judged each alike. An empty table gives an empty table; without labels all
     non-empty texts are kept.
     """
-    scores = perplexities(documents, labels, id_col, text_col, lang_col, settings)
+    scores = perplexities(documents, labels, id_col, text_col, lang_col, settings, once=True)
     out = scores.join(F.broadcast(language_limits(scores, settings)), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # four numbers a language
     drawn = (-F.col("log_p") + F.col("middle") * settings.prior_chars) / (F.col("n") + settings.prior_chars)
     kept = (F.col("n") > 0) & F.coalesce(drawn.between(F.col("low"), F.col("high")), F.lit(True))

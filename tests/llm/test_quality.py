@@ -133,6 +133,24 @@ def test_held_out_accuracy(spark):
     assert rate[1] >= 0.97 and rate[0] <= 0.25
 
 
+def test_copies_of_a_trusted_text_leave_limits_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").dropDuplicates(["text"])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    copies = spark.range(1_000_000, 1_000_060).select(F.col("id").alias("doc_id"), F.lit("All words of this one are well known by now. " * 9).alias("text"), F.lit("en").alias("lang"))
+    one = docs.unionByName(copies.limit(1))
+    many = docs.unionByName(copies).unionByName(copies.limit(20))
+    trusted = labels.unionByName(copies.select("doc_id", F.lit(1).alias("quality")))
+    limits = lambda d: quality_classifier.quality_classifier(d, trusted).select("low", "high").first()
+    assert tuple(limits(many)) == pytest.approx(tuple(limits(one)))
+
+
+def test_few_trusted_texts_have_the_usual_distance(spark):
+    scores = [("en", True, i, -100.0 - i, 100) for i in range(40)] + [("fr", True, 99, -200.0, 100)]
+    got = quality_classifier.language_limits(spark.createDataFrame(scores, "lang string, trusted boolean, key long, log_p double, n long"), quality_classifier.Settings())
+    by = {r._lang: r for r in got.collect()}
+    assert by["fr"].low < by["fr"].middle - 0.5 and by["fr"].high > by["fr"].middle + 0.5
+
+
 def test_licenses(spark, none):
     rows = [
         ("r/LICENSE", "Released under the MIT License."), ("r/a/x.py", "import os"), ("r/a/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "code " * 40), ("r/a/b/z.py", ""),
