@@ -31,32 +31,47 @@ _HEAD = "<4sIQQ"
 _MAGIC = b"QRP1"
 
 
-def _round(symbols: np.ndarray, joint: np.ndarray, weights: np.ndarray | None, first: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+def _round(symbols: np.ndarray, joint: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """One round: (rules, places). ``joint[i]``: whether i and i + 1 may pair. ``places`` is the rank of the rule that replaces the pair at i, or -1.
 
-    Pairs of at least ``MIN_COUNT`` occurrences and a ``share``-th of the best become rules. Where occurrences
-    overlap, the more frequent pair wins, and the left one of equals; the rest waits for the next round.
+    Pairs of at least ``MIN_COUNT`` occurrences become rules. Where occurrences overlap, the more frequent pair
+    wins, and of a run of equals every second one; pairs that win fewer places wait for the next round. The
+    most frequent pair is replaced everywhere, so rounds come to an end.
     """
     # a count by hash is never below the pair's own, so most rare pairs need no count of their own
     cell = (symbols[:-1] * np.int32(-1640531527) ^ symbols[1:] * np.int32(40503)) & np.int32(0x1FFFFF)
     most = np.bincount(cell[joint], weights=None if weights is None else weights[:-1][joint], minlength=1 << 21)
     at = np.flatnonzero(joint & (most >= MIN_COUNT)[cell])
+    none = np.empty((0, 2), np.int32), np.empty(0, np.int64)
     if not len(at):
-        return np.empty((0, 2), np.int32), np.empty(0, np.int64)
+        return none
     numbers, names = pd.factorize((symbols[at].astype(np.int64) << 32) | symbols[at + 1])
     counts = np.bincount(numbers, weights=None if weights is None else weights[at])
-    chosen = np.flatnonzero(counts >= max(MIN_COUNT, counts.max() // share))
+    chosen = np.flatnonzero(counts >= MIN_COUNT)
+    if not len(chosen):
+        return none
     chosen = chosen[np.lexsort((names[chosen], -counts[chosen]))]
     rank_of = np.full(len(names), len(names), dtype=np.int32)
     rank_of[chosen] = np.arange(len(chosen))
     rank = np.full(len(symbols) + 1, len(names), dtype=np.int32)
     rank[at + 1] = rank_of[numbers]  # one place to the right, so that place 0 has a left neighbour
     mine = rank[1:]
-    wins = np.zeros(len(symbols), dtype=bool)
-    wins[:-1] = (mine[:-1] < len(chosen)) & (mine[:-1] < rank[:-2]) & (mine[:-1] <= mine[1:])
-    wins[-1] = False
-    rules = np.stack([names[chosen] >> 32, names[chosen] & 0xFFFFFFFF], axis=1).astype(np.int32)
-    return rules, np.where(wins, mine, -1)
+    here = np.flatnonzero(mine < len(chosen))
+    ranks = mine[here]
+    begins = np.ones(len(here), dtype=bool)
+    begins[1:] = (np.diff(here) > 1) | (np.diff(ranks) != 0)
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(here)), 0))
+    free = (ranks < rank[here])[start]  # rank[i] is that of place i - 1: what a run of equals has on its left
+    after = np.append(mine, len(names))[here + 1]
+    wins = free & ((np.arange(len(here)) - start) % 2 == 0) & (ranks <= after)
+    used = np.bincount(ranks[wins], weights=None if weights is None else weights[here[wins]], minlength=len(chosen))
+    enough = used >= MIN_COUNT
+    enough[0] = True
+    wins &= enough[ranks]
+    places = np.full(len(symbols), -1, dtype=np.int64)
+    places[here[wins]] = (np.cumsum(enough) - 1)[ranks[wins]]
+    kept = names[chosen[enough]]
+    return np.stack([kept >> 32, kept & 0xFFFFFFFF], axis=1).astype(np.int32), places
 
 
 def _replace(symbols: np.ndarray, places: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +84,9 @@ def _replace(symbols: np.ndarray, places: np.ndarray, first: int) -> tuple[np.nd
     return out[stay], stay
 
 
-def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int, word_rounds: int = 4, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols) of words ``numbers`` of the dictionary (``values``, ``starts``), with ``end_id`` after each place in ``ends``."""
+def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols) of words ``numbers`` of the dictionary (``values``, ``starts``), with ``end_id`` after each place in ``ends``.
+    Rounds go on until no pair has ``MIN_COUNT`` occurrences."""
     weights = np.repeat(np.bincount(numbers, minlength=len(starts) - 1), np.diff(starts)).astype(np.int64)
     last = np.zeros(len(values), dtype=bool)
     full = np.flatnonzero(np.diff(starts))
@@ -79,10 +95,8 @@ def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends:
     grammar = [np.empty((0, 2), np.int32)]
     made = FIRST_RULE
     symbols = values.astype(np.int32)
-    for _ in range(word_rounds):
-        if len(symbols) < 2:
-            break
-        rules, places = _round(symbols, ~last[:-1], weights, made, 32)
+    while len(symbols) > 1:
+        rules, places = _round(symbols, ~last[:-1], weights)
         if not len(rules):
             break
         moved = np.flatnonzero(places >= 0)
@@ -94,10 +108,8 @@ def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends:
     word_starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(starts) - 1)))).astype(np.int64)
     whole, lengths = gather(symbols, word_starts, numbers)
     whole = np.insert(whole, np.concatenate(([0], np.cumsum(lengths)))[ends], end_id)
-    for _ in range(rounds):
-        if len(whole) < 2:
-            break
-        rules, places = _round(whole, np.ones(len(whole) - 1, dtype=bool), None, made, 256)
+    while len(whole) > 1:
+        rules, places = _round(whole, np.ones(len(whole) - 1, dtype=bool), None)
         if not len(rules):
             break
         whole, _ = _replace(whole, places, made)

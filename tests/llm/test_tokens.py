@@ -5,6 +5,7 @@ import bisect
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -130,6 +131,16 @@ def test_grammar_is_smaller():
         repair.decode_block(b"x" * 64)
 
 
+def test_grammar_goes_on_while_pairs_are_frequent():
+    r = random.Random(5)
+    passage = [r.randrange(2000) for _ in range(500)]
+    numbers = np.array((passage + [7] * 100) * 40, dtype=np.int64)
+    rules, symbols = repair.compress(np.arange(2000, dtype=np.int32), np.arange(2001), numbers, np.array([len(numbers)]), 1)
+    pairs = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+    assert len(symbols) < 200 and all(n < 2 * repair.MIN_COUNT for n in pairs.values())
+    assert repair.decode_block(repair.pack_block(rules, symbols)).tolist() == [*numbers.tolist(), 1]
+
+
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
 
