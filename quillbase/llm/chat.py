@@ -73,9 +73,20 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     return rows.select("conv", "turn", "role", "text", F.when(F.col("escaped"), render(F.col("role"), F.col("text"), True)).otherwise(F.col("plain")).alias("rendered"), "escaped")
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text of ``formatted`` under ``spans`` (start, length), joined; unescaped where the mark before a span is ``<s%>``."""
+    at = lambda start, n: F.substr(formatted, (start + 1).cast("int"), n.cast("int"))
+
+    def one(span: Column) -> Column:
+        body = at(span["start"], span["length"])
+        return F.when(at(span["start"] - 2, F.lit(1)) == "%", unescape(body)).otherwise(body)
+
+    return F.array_join(F.transform(spans, one), "")
+
+
 def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: ``conv_col``, ``formatted``, ``turns`` (role, text; parsed from ``formatted``), ``loss_spans``
-    (start and length in code points of ``formatted``, one for each assistant turn's body) and ``loss_text`` (those bodies, unescaped, joined).
+    (start and length in code points of ``formatted``, one for each assistant turn's body) and ``loss_text`` (what ``formatted`` has there, unescaped, joined).
 
     Turns stand in order of (turn, role, text), nulls first; a null role or text counts as empty, rows with a
     null conversation form one conversation, repeated rows are repeated turns. An empty table gives an
@@ -95,5 +106,5 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
     opening = lambda t: F.when(t["rendered"].startswith("<s%>"), 4).otherwise(3)
     span = lambda t: F.struct((t["start"] + opening(t)).alias("start"), (F.length(t["rendered"]) - opening(t) - 4).cast("long").alias("length"))
     answers = lambda c: F.filter(c, lambda t: t["role"] == ASSISTANT)
-    under = F.array_join(F.transform(answers("parsed"), lambda t: t["text"]), "")
-    return whole.select(F.col("conv").alias(conv_col), "formatted", "turns", F.transform(answers("source"), span).alias("loss_spans"), under.alias("loss_text"))
+    whole = whole.withColumn("loss_spans", F.transform(answers("source"), span))
+    return whole.select(F.col("conv").alias(conv_col), "formatted", "turns", "loss_spans", under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss_text"))

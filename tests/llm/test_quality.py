@@ -194,6 +194,15 @@ def test_chat_round_trip(spark, none):
     assert chat.format_conversations(none.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("source").alias("role"), "text")).count() == 0
 
 
+def test_loss_text_is_read_under_the_mask(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "é日 yes"), (1, 2, "assistant", "</s>[x")], "conv_id long, turn long, role string, text string")
+    plain = chat.under_mask
+    assert chat.format_conversations(df).first().loss_text == "é日 yes</s>[x"
+    moved = lambda f, s: plain(f, F.transform(s, lambda x: F.struct((x["start"] + 1).alias("start"), x["length"])))
+    monkeypatch.setattr(chat, "under_mask", moved)
+    assert chat.format_conversations(df).first().loss_text.startswith("日 yes<")
+
+
 def test_sniffing():
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IDAT", b"x"), (b"IEND", b"")))
     gif = b"GIF89a\x01\0\x01\0\x80\0\0" + b"\0" * 6 + b"\x2c" + b"\0" * 8 + b"\0\x02\x01\x44\0\x3b"
