@@ -5,7 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,21 +19,50 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's own setting, else a folder of this machine (tests only)."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where none is named, a folder of this
+    machine if all tasks run in this process (as in tests), else an error."""
     context = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not have:
-        have = tempfile.mkdtemp(prefix="quillbase-checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(have)
-    return have
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillbase-checkpoints-"))
+        have = context.getCheckpointDir()
+    return have.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with lineage cut at a reliable checkpoint, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark can write to; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes inside the block are deleted when it ends; what is to last is cut with ``lasting``."""
+    folder = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove_folder(spark, folder)
+
+
+def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The same rows with lineage cut at a table in the shared folder, so that a lost executor costs no recomputation.
+
+    Its reader makes as many tasks as the table's size needs, whatever the number of shuffle partitions
+    that wrote it.
+    """
+    spark = df.sparkSession
+    path = f"{(None if lasting else _SCRATCH.get()) or checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_enough_to_broadcast(rows: int, bytes_per_row: int, limit_mb: int = 64) -> bool:

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, grams, mix64, small_enough_to_broadcast, trimmed, words_of
+from quillbase.llm.common import batches, cut, grams, mix64, scratch, small_enough_to_broadcast, trimmed, words_of
 from quillbase.llm.components import components
 
 BATCH_CHARS = 4_000_000
+#: Tasks that the pairs of one class may be spread over.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -148,23 +150,48 @@ def _possible(n: Column, u: Column, m: Column, percent: int) -> Column:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each pair (a, b) with both full sets."""
-    one, two = (sets.select(F.col("c").alias(k), F.col("packed").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+    """Each pair (a, b) with both full sets; either may be in any number of pairs.
+
+    A class's set is first sent to the salts that its pairs have, at most ``SALTS`` rows, and then joined
+    on class and salt, so that the pairs of a popular hub are spread over as many tasks.
+    """
+    out = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt_a"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt_b"))
+    for k in "ab":
+        wanted = out.select(F.col(k).alias("c"), f"salt_{k}").distinct()
+        sent = wanted.join(sets.select("c", F.col("packed").alias(f"set_{k}")), "c").withColumnRenamed("c", k)
+        out = out.join(sent, [k, f"salt_{k}"])
+    return out.select("a", "b", "set_a", "set_b")
+
+
+def _shared_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, c) in order of key, those whose key the row before or after them has too."""
+    held: pa.RecordBatch | None = None  # the last row so far, and whether it is out already
+    out_already = False
+    for part in parts:
+        if not part.num_rows:
+            continue
+        keys = part["key"].to_numpy()
+        same = keys[1:] == keys[:-1]
+        hit = np.append(False, same) | np.append(same, False)
+        if held is not None and held["key"][0].as_py() == keys[0]:
+            hit[0] = True
+            if not out_already:
+                yield held
+        yield part.filter(pa.array(hit))
+        held, out_already = part.slice(part.num_rows - 1), bool(hit[-1])
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """(key, c): the classes in tables' buckets that hold two classes or more."""
+    """(key, c): the classes in tables' buckets that hold two classes or more, in one pass over rows sorted by key."""
     tables = F.posexplode(F.slice("groups", 1, (F.size("groups") / 2).cast("int")))
     rows = classes.select("c", "groups", tables.alias("i", "x"))
     rows = rows.select("c", "i", "x", F.posexplode(F.slice("groups", (F.size("groups") / 2).cast("int") + 1, F.size("groups"))).alias("j", "y"))
-    rows = rows.select("c", F.xxhash64("i", "j", "x", "y").alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return rows.join(shared, "key")
+    rows = rows.select(F.xxhash64("i", "j", "x", "y").alias("key"), "c").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_shared_keys, "key long, c long")
 
 
 def _sized(table: DataFrame, bytes_per_row: int) -> DataFrame:
-    """The table, checkpointed and counted, marked for broadcast if it is at most 32 MB; else it joins by shuffle."""
+    """The table, written and counted, marked for broadcast if it is at most 32 MB; else it joins by shuffle."""
     table = cut(table)
     return F.broadcast(table) if small_enough_to_broadcast(table.count(), bytes_per_row, 32) else table
 
@@ -240,7 +267,7 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, settings: Setti
     alone = once.groupBy("c").agg(F.count(F.lit(1)).alias("u"))
     sizes = sets.select("c", (F.length("packed") / 8).cast("long").alias("n")).join(alone, "c", "left").select("c", "n", F.coalesce("u", F.lit(0)).alias("u"))
     least = F.ceil(F.col("n") * settings.percent / 100)  # the smallest set that can be a partner
-    sizes = cut(sizes.where(_possible(F.col("n"), F.col("u"), least, settings.percent)))
+    sizes = sizes.where(_possible(F.col("n"), F.col("u"), least, settings.percent))
     # what cannot have a link is out of the tables; the rest ranks by its unshared shingles
     live = cut(members.join(sizes.select("c", F.col("n").cast("int").alias("n"), F.col("u").cast("int").alias("u")), "c")).withColumn("rank", F.struct(F.col("u"), F.col("c")))
 
@@ -278,19 +305,23 @@ def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none, is linked with nothing and is its own component. Rows with equal sets are linked whatever their
     ids, so repeated rows share a component; a row with a null id is not kept unless its whole component
     has no id, when ``component_id`` is null and ``kept`` true. Other columns are ignored; an empty table
-    gives an empty table.
+    gives an empty table. The result is a table in the shared folder; all tables before it are deleted.
     """
-    rows, classes, links = near_links(documents, id_col, text_col, settings)
-    reach = classes.join(components(links, "a", "b").withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = reach.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = cut(reach.join(least, "component").select(F.col("name").alias("_name"), "component_id"))
-    # rows that are a class of their own need no lookup under a name many rows share
-    out = rows.join(named, F.col("name") == F.col("_name"), "left")
-    component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").eqNullSafe(component)).alias("kept"))
+    with scratch(documents.sparkSession):
+        rows, classes, links = near_links(documents, id_col, text_col, settings)
+        reach = classes.join(components(links, "a", "b").withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        least = reach.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = cut(reach.join(least, "component").select(F.col("name").alias("_name"), "component_id"))
+        out = rows.join(named, F.col("name") == F.col("_name"), "left")
+        component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").eqNullSafe(component)).alias("kept"))
+        return cut(out, lasting=True)
 
 
 def keep_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The input rows, all columns, of which ``near_dedup`` keeps the id; rows without an id stay."""
+    """The input rows, all columns, of which ``near_dedup`` keeps the id; rows without an id stay.
+
+    Columns may have any names; empty and null texts stay, as they are linked with nothing.
+    """
     kept = near_dedup(documents, id_col, text_col, settings).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return documents.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").unionByName(documents.where(F.col(id_col).isNull()))
+    return documents.join(kept, documents[id_col] == kept["_kept_id"], "left_semi").unionByName(documents.where(documents[id_col].isNull()))

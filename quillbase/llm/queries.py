@@ -18,7 +18,7 @@ from quillbase.llm import quality_classifier as classifier
 from quillbase.llm import quality_rules as rules
 from quillbase.llm import repair
 from quillbase.llm import substring_dedup as substrings
-from quillbase.llm.common import ensure_checkpoint_dir
+from quillbase.llm.common import checkpoint_folder
 from quillbase.sources.tables import load
 
 
@@ -113,7 +113,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and check sum, decoded from the token files written for it."""
-    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
     repair.write_tokens(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return repair.read_tokens(spark, folder, with_ids=False).withColumnRenamed("id", "doc_id")
 
@@ -155,7 +155,7 @@ FROM s GROUP BY conv_id
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as samples, read back, its type sniffed and its samples carved."""
-    folder = f"{ensure_checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/media-{uuid.uuid4().hex}"
     media.store_texts(load(spark, sf_dir, "documents"), folder)
     return media.read_features(spark.read.parquet(folder)).withColumnRenamed("id", "doc_id")
 

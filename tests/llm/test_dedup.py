@@ -80,7 +80,9 @@ def test_near_odd(odd, none):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([k for k, _, c in brute_components([(r.doc_id, r.text) for r in odd.collect()]) if k is None or k == c], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("slab", [1_000_000, 7])
+def test_components(spark, monkeypatch, slab):
+    monkeypatch.setattr("quillbase.llm.components.SLAB_ROWS", slab)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (60, 50), (7, 7), (None, 3), (99, 70), (70, 80)], "a long, b long")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {50: 50, 60: 50, 99: 70, 70: 70, 80: 70}
