@@ -1,8 +1,12 @@
 """Rules, classifier, licences, chats and media, with odd rows and brute force."""
 
+import hashlib
 import io
 import math
 import re
+import struct
+import time
+import wave
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -228,11 +232,50 @@ def test_sniffing():
     assert media.sniff(bytes(broken), machine) == []
 
 
+HOSTILE = {
+    "ogg": b"OggS\0\0" + bytes(20) + b"\0",
+    "ogg with bodies": b"OggS\0\0" + bytes(20) + b"\1\7OggS\0\0\0",
+    "pdf": b"%PDF-1 ",
+    "pdf without table": b"%PDF-1 %%EOF",
+    "zip": b"PK\x03\x04",
+    "gif": b"GIF89a" + bytes(7) + b"\x21\xf9\0",
+    "gif blocks": b"GIF89a" + bytes(7) + b"\x21\xff\x03abc",
+    "jpeg": b"\xff\xd8\xff\xda\0\2",
+    "jpeg segments": b"\xff\xd8\xff\xe0\0\4",
+    "riff": b"RIFF\xff\xff\0\0WAVE" + bytes(8),
+    "midi": b"MThd\0\0\0\6\0\0\xff\xff\0\0" + b"MTrk\0\0\0\0" * 3,
+    "png": b"\x89PNG\r\n\x1a\n\0\0\0\0IHDR" + struct.pack(">I", zlib.crc32(b"IHDR")),
+    "bmp": b"BM",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_sniffing_takes_time_in_proportion(name):
+    machine, seconds = media.automaton(), []
+    for size in (250_000, 1_000_000):
+        data = HOSTILE[name] * (size // len(HOSTILE[name]))
+        began = time.process_time()
+        media.sniff(data, machine)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 12 * max(seconds[0], 0.1)
+
+
 def test_media_round_trip(spark, odd, none, tmp_path):
     media.store_texts(odd, str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
     got = media.read_features(stored).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in got) == sorted((len(b), max(64, -(-len(b) // 64) * 64)) for b in ((t or "").encode() for (t,) in odd.select("text").collect()))
+    want = []
+    for key, text in odd.select("doc_id", "text").collect():
+        raw = (text or "").encode()
+        body = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        whole = media.wav(body)
+        with wave.open(io.BytesIO(whole)) as reader:  # the standard library reads the same samples
+            assert (reader.getnchannels(), reader.getsampwidth()) == (1, 1) and reader.readframes(reader.getnframes()) == body
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        feature = f"audio/wav 8000 Hz, {len(body)} samples, mean {sum(body) // len(body)}, embedded: none"
+        want.append((key, len(raw), len(body), sha(body), zlib.crc32(body[-64:]), len(whole), sha(whole), feature, media.UNKNOWN, "audio/wav"))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     typed = media.correct_types(stored)
     assert {r.corrected for r in typed.collect()} == {"audio/wav"}
     inner = spark.createDataFrame([(1, "image/png", bytearray(media.wav(media.wav(b"z" * 64)))), (2, "text/x", None), (3, "text/x", bytearray(b""))], "detected int, declared string, media binary")
