@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -20,9 +20,13 @@ _CUT = re.compile(r" (?=\S)")
 
 
 class Chunked:
-    """``numbers[offsets[i]:offsets[i + 1]]``: text i as numbers of ``chunks``."""
+    """``numbers[offsets[i]:offsets[i + 1]]``: text i as numbers of ``chunks``.
 
-    def __init__(self, texts: pa.Array) -> None:
+    A text that holds one of the strings ``special`` is a single chunk: a tokenizer ends a section of the
+    text there, so what stands before it isn't free of context.
+    """
+
+    def __init__(self, texts: pa.Array, special: Sequence[str] = ()) -> None:
         texts = pa.array(texts, pa.large_string()).fill_null("") if not isinstance(texts, pa.Array) else texts.cast(pa.large_string()).fill_null("")
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -39,16 +43,20 @@ class Chunked:
         place = {k: len(later) + i for i, k in enumerate(first)}
         numbers[offsets[:-1]] = [place[k] for k in heads.tolist()]
         self.numbers, self.offsets = numbers, offsets
-        if odd_at.any():
-            self._split_again(texts, np.unique(np.searchsorted(offsets, np.flatnonzero(odd_at), side="right") - 1))
-
-    def _split_again(self, texts: pa.Array, rows: np.ndarray) -> None:
-        """Texts with white space next to a space are cut by the slower rule."""
+        whole = np.zeros(len(texts), dtype=bool)
+        for mark in special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if odd_at.any() or whole.any():
+            odd_rows = np.unique(np.searchsorted(offsets, np.flatnonzero(odd_at), side="right") - 1)
+            self._split_again(texts, np.union1d(odd_rows, np.flatnonzero(whole)).astype(np.int64), whole)
+
+    def _split_again(self, texts: pa.Array, rows: np.ndarray, whole: np.ndarray) -> None:
+        """Texts with white space next to a space are cut by the slower rule, ``whole`` ones not at all."""
         known = {c: i for i, c in enumerate(self.chunks)}
         parts, redo = [], set(rows.tolist())
         for i in range(len(texts)):
             if i in redo:
-                own = _CUT.split(texts[i].as_py())
+                own = [texts[i].as_py()] if whole[i] else _CUT.split(texts[i].as_py())
                 own = own[:1] + [" " + x for x in own[1:]]
                 parts.append(np.array([known.setdefault(x, len(known)) for x in own], dtype=np.int64))
             else:
@@ -82,17 +90,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def special_strings(tokenizer_file: str) -> list[str]:
+    """The strings in a text that the tokenizer takes for its added tokens."""
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(tokenizer_file).get_added_tokens_decoder().values()]
+
+
 def encoder(tokenizer_file: str, word_level: bool = False) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """A function from chunks to their ids, one after the other, and where each chunk's begin.
 
-    The library's whole chain of normaliser, pattern and model runs on every chunk but plain words, which
-    go to its model directly: one piece, lower-cased and without its space at ``word_level``.
+    The library's whole chain of added tokens, normaliser, pattern and model runs on every chunk but plain
+    words, which go to its model directly: one piece, lower-cased and without its space at ``word_level``.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
     marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?\n"}
 
@@ -148,9 +162,9 @@ def text_slices(texts: pa.Array, most_bytes: int) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def encoded_texts(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def encoded_texts(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids, one after the other, and each text's offset."""
-    chunked = Chunked(texts)
+    chunked = Chunked(texts, special)
     values, starts = encode(chunked.chunks)
     ids, lengths = gather(values, starts, chunked.numbers)
     return ids, np.concatenate(([0], np.cumsum(lengths)))[chunked.offsets]

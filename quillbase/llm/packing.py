@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.chunks import encoded_texts, encoder, text_slices
+from quillbase.llm.chunks import encoded_texts, encoder, special_strings, text_slices
 from quillbase.llm.common import cut
 
 WINDOW = 1024
@@ -78,10 +78,10 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 
 def _pieces(tokenizer_file: str, window: int, end_id: int, with_ids: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_file)
+        encode, special = encoder(tokenizer_file), special_strings(tokenizer_file)
         for part in parts:
             for s in text_slices(part["text"], BATCH_BYTES):
-                ids, offsets = encoded_texts(part["text"].slice(s.start, s.stop - s.start), encode)
+                ids, offsets = encoded_texts(part["text"].slice(s.start, s.stop - s.start), encode, special)
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 offsets = offsets + np.arange(len(offsets))
                 totals = np.diff(offsets)
@@ -120,7 +120,7 @@ def pack(documents: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text
     """One row per piece: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and,
     unless ``with_ids`` is false, ``ids`` (little-endian unsigned 32-bit).
 
-    A document's ids are its text's, then ``end_id``; a null text counts as empty, so it is one id. Rows
+    A document's ids are its text's, where strings of the tokenizer's added tokens become those tokens, then ``end_id``; a null text counts as empty, so it is one id. Rows
     that repeat an id, or have none, are packed each by itself. An empty table gives an empty table.
     Other columns are ignored. The tokenizer's file must be at the same path on every executor.
     """

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillbase.llm.chunks import Chunked, encoder, gather, text_slices
+from quillbase.llm.chunks import Chunked, encoder, gather, special_strings, text_slices
 
 END_ID = 1
 #: Ids are below this number, nonterminals from it on.
@@ -199,12 +199,13 @@ _BLOCK_ARROW = pa.schema(
 
 def _block_rows(tokenizer_file: str, end_id: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, made = encoder(tokenizer_file, word_level=True), TaskContext.get().partitionId(), 0
+        encode, special = encoder(tokenizer_file, word_level=True), special_strings(tokenizer_file)
+        task, made = TaskContext.get().partitionId(), 0
         for part in parts:
             for s in text_slices(part["text"], SLICE_BYTES):
                 texts = part["text"].slice(s.start, s.stop - s.start)
                 keys = part["id"].slice(s.start, s.stop - s.start)
-                chunked = Chunked(texts)
+                chunked = Chunked(texts, special)
                 values, starts = encode(chunked.chunks)
                 numbers, offsets = chunked.numbers, chunked.offsets
                 del chunked

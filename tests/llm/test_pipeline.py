@@ -49,7 +49,6 @@ def test_stages(spark, small):
     assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == columns
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     packed = corpus_pipeline.run(spark, small).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r.doc_id: r.n for r in packed} == {k: len(t.encode(x, add_special_tokens=False).ids) + 1 for k, x in want.items()} and all(r.n == r.m for r in packed)
 

@@ -25,19 +25,19 @@ HARD = ["a  b", "a   b\n c", " x", "x ", "  ", "\n a", "a \n b", "a b  c", "",
 
 def ids_of(file):
     t = Tokenizer.from_file(P.path(file))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_equal_library(file):
-    encode, want = chunks.encoder(P.path(file), "word" in file), ids_of(file)
+    encode, want, special = chunks.encoder(P.path(file), "word" in file), ids_of(file), chunks.special_strings(P.path(file))
+    hard = HARD + [x.format(m) for m in special for x in ("a {0} b", "a  {0}  b", "{0}", " \n {0}x{0} {0}", "a{0}\n\n", "A {0}. " * 3)]
 
     @settings(max_examples=60, deadline=None)
-    @given(st.lists(TEXT, min_size=1, max_size=8))
+    @given(st.lists(TEXT | st.lists(TEXT, min_size=2, max_size=4).map(special[0].join), min_size=1, max_size=8))
     def check(texts):
-        ids, offsets = chunks.encoded_texts(pa.array(texts + HARD, pa.string()), encode)
-        for i, text in enumerate(texts + HARD):
+        ids, offsets = chunks.encoded_texts(pa.array(texts + hard, pa.string()), encode, special)
+        for i, text in enumerate(texts + hard):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == want(text)
 
     check()
