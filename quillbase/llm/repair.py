@@ -31,91 +31,123 @@ _HEAD = "<4sIQQ"
 _MAGIC = b"QRP1"
 
 
-def _round(symbols: np.ndarray, joint: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """One round: (rules, places). ``joint[i]``: whether i and i + 1 may pair. ``places`` is the rank of the rule that replaces the pair at i, or -1.
+class Pairs:
+    """A sequence whose frequent pairs become nonterminals, in rounds that touch only the places of frequent pairs.
 
-    Pairs of at least ``MIN_COUNT`` occurrences become rules. Where occurrences overlap, the more frequent pair
-    wins, and of a run of equals every second one; pairs that win fewer places wait for the next round. The
-    most frequent pair is replaced everywhere, so rounds come to an end.
+    Places are linked, so a replaced pair leaves no copy of the sequence behind. A round makes symbols that
+    did not exist, so the pairs next to them are new and every other pair only loses occurrences: a pair
+    is counted when it comes up, and what is not frequent then is never looked at again.
     """
-    # a count by hash is never below the pair's own, so most rare pairs need no count of their own
-    cell = (symbols[:-1] * np.int32(-1640531527) ^ symbols[1:] * np.int32(40503)) & np.int32(0x1FFFFF)
-    most = np.bincount(cell[joint], weights=None if weights is None else weights[:-1][joint], minlength=1 << 21)
-    at = np.flatnonzero(joint & (most >= MIN_COUNT)[cell])
-    none = np.empty((0, 2), np.int32), np.empty(0, np.int64)
-    if not len(at):
-        return none
-    numbers, names = pd.factorize((symbols[at].astype(np.int64) << 32) | symbols[at + 1])
-    counts = np.bincount(numbers, weights=None if weights is None else weights[at])
-    chosen = np.flatnonzero(counts >= MIN_COUNT)
-    if not len(chosen):
-        return none
-    chosen = chosen[np.lexsort((names[chosen], -counts[chosen]))]
-    rank_of = np.full(len(names), len(names), dtype=np.int32)
-    rank_of[chosen] = np.arange(len(chosen))
-    rank = np.full(len(symbols) + 1, len(names), dtype=np.int32)
-    rank[at + 1] = rank_of[numbers]  # one place to the right, so that place 0 has a left neighbour
-    mine = rank[1:]
-    here = np.flatnonzero(mine < len(chosen))
-    ranks = mine[here]
-    begins = np.ones(len(here), dtype=bool)
-    begins[1:] = (np.diff(here) > 1) | (np.diff(ranks) != 0)
-    start = np.maximum.accumulate(np.where(begins, np.arange(len(here)), 0))
-    free = (ranks < rank[here])[start]  # rank[i] is that of place i - 1: what a run of equals has on its left
-    after = np.append(mine, len(names))[here + 1]
-    wins = free & ((np.arange(len(here)) - start) % 2 == 0) & (ranks <= after)
-    used = np.bincount(ranks[wins], weights=None if weights is None else weights[here[wins]], minlength=len(chosen))
-    enough = used >= MIN_COUNT
-    enough[0] = True
-    wins &= enough[ranks]
-    places = np.full(len(symbols), -1, dtype=np.int64)
-    places[here[wins]] = (np.cumsum(enough) - 1)[ranks[wins]]
-    kept = names[chosen[enough]]
-    return np.stack([kept >> 32, kept & 0xFFFFFFFF], axis=1).astype(np.int32), places
-
-
-def _replace(symbols: np.ndarray, places: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence after a round, and which places stay."""
-    hit = np.flatnonzero(places >= 0)
-    out = symbols.copy()
-    out[hit] = first + places[hit]
-    stay = np.ones(len(symbols), dtype=bool)
-    stay[hit + 1] = False
-    return out[stay], stay
+
+    def __init__(self, symbols: np.ndarray, last: np.ndarray, weights: np.ndarray | None, first_rule: int) -> None:
+        n = len(symbols)
+        self.n, self.made, self.rules = n, first_rule, []
+        self.symbol = np.append(symbols.astype(np.int32), np.int32(-1))
+        self.weights = weights
+        # place n stands for "no neighbour"
+        self.after = np.where(np.append(last, True), n, np.arange(1, n + 2)).astype(np.int32)
+        self.before = np.full(n + 1, n, dtype=np.int32)
+        inner = np.flatnonzero(self.after[:n] < n)
+        self.before[inner + 1] = inner
+        self.alive = np.ones(n, dtype=bool)
+        self.pair = np.full(n + 1, -1, dtype=np.int32)  # the number of the frequent pair that begins at a place
+        self.names = np.empty(0, dtype=np.int64)
+        self.places = np.empty(0, dtype=np.int64)
+        # a count by hash is never below the pair's own, so most rare pairs need no count of their own
+        cell = (self.symbol[inner] * np.int32(-1640531527) ^ self.symbol[inner + 1] * np.int32(40503)) & np.int32(0x1FFFFF)
+        most = np.bincount(cell, weights=self._weight(inner), minlength=1 << 21)
+        self._enter(inner[(most >= MIN_COUNT)[cell]])
+
+    def _weight(self, places: np.ndarray) -> np.ndarray | None:
+        return None if self.weights is None else self.weights[places]
+
+    def _enter(self, places: np.ndarray) -> None:
+        """Number the frequent ones of the pairs at ``places``."""
+        numbers, names = pd.factorize((self.symbol[places].astype(np.int64) << 32) | self.symbol[self.after[places]])
+        often = np.bincount(numbers, weights=self._weight(places), minlength=len(names)) >= MIN_COUNT
+        hit = often[numbers]
+        number = np.cumsum(often) - 1 + len(self.names)
+        self.pair[places[hit]] = number[numbers[hit]]
+        self.names = np.concatenate([self.names, names[often]])
+        self.places = np.concatenate([self.places, places[hit]])
+
+    def step(self) -> bool:
+        """One round; whether there was a frequent pair. Where occurrences overlap, the more frequent pair wins; pairs that win
+        fewer than ``MIN_COUNT`` places wait for the next round. The most frequent pair is replaced everywhere, so
+        rounds come to an end."""
+        here = np.unique(self.places[self.pair[self.places] >= 0])  # a place enters again for each new pair
+        numbers = self.pair[here]
+        # of a run of equals, in which one pair begins at each place, every second place can be replaced
+        follows = np.append(False, (self.after[here[:-1]] == here[1:]) & (numbers[1:] == numbers[:-1]))[: len(here)]
+        start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(here))))
+        lead, usable = here[start], (np.arange(len(here)) - start) % 2 == 0
+        counts = np.bincount(numbers[usable], weights=self._weight(here[usable]), minlength=len(self.names))
+        often = counts[numbers] >= MIN_COUNT
+        self.pair[here[~often]] = -1
+        self.places = here[often]
+        if not len(self.places):
+            return False
+        usable &= often
+        here, numbers, lead = here[usable], numbers[usable], lead[usable]
+        chosen = np.flatnonzero(counts >= MIN_COUNT)
+        chosen = chosen[np.lexsort((self.names[chosen], -counts[chosen]))]
+        rank_of = np.full(len(self.names) + 1, len(chosen), dtype=np.int32)  # the last one is for places without a frequent pair
+        rank_of[chosen] = np.arange(len(chosen))
+        while True:
+            ranks = rank_of[numbers]
+            wins = (ranks < rank_of[self.pair[self.before[lead]]]) & (ranks <= rank_of[self.pair[self.after[here]]])
+            used = np.bincount(ranks[wins], weights=self._weight(here[wins]), minlength=len(chosen))
+            short = np.flatnonzero((used < MIN_COUNT) & (rank_of[chosen] < len(chosen)))
+            if not len(short):
+                break
+            # the less frequent half of the pairs that win too little wait for the next round and stand in nobody's way
+            rank_of[chosen[short[len(short) // 2 :]]] = len(chosen)
+            stay = rank_of[numbers] < len(chosen)
+            here, numbers, lead = here[stay], numbers[stay], lead[stay]
+        enough = rank_of[chosen] < len(chosen)
+        kept = self.names[chosen[enough]]
+        self.rules.append(np.stack([kept >> 32, kept & 0xFFFFFFFF], axis=1).astype(np.int32))
+        won, rule = here[wins], (np.cumsum(enough) - 1)[ranks[wins]]
+        gone = self.after[won]
+        far = self.after[gone]
+        self.symbol[won] = self.made + rule
+        self.made += len(kept)
+        self.alive[gone] = False
+        self.pair[gone] = self.pair[won] = -1
+        self.after[won] = far
+        self.before[far] = won
+        self.before[self.n] = self.n
+        near = self.before[won]
+        near = near[near < self.n]
+        self.pair[near] = -1
+        touched = np.unique(np.concatenate([near, won]))
+        self._enter(touched[self.after[touched] < self.n])
+        return True
+
+    def run(self) -> np.ndarray:
+        """Rounds until no pair is frequent; the symbols that are left."""
+        while self.step():
+            pass
+        return self.symbol[:-1][self.alive]
 
 
 def compress(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols) of words ``numbers`` of the dictionary (``values``, ``starts``), with ``end_id`` after each place in ``ends``.
     Rounds go on until no pair has ``MIN_COUNT`` occurrences."""
-    weights = np.repeat(np.bincount(numbers, minlength=len(starts) - 1), np.diff(starts)).astype(np.int64)
+    sizes = np.diff(starts)
     last = np.zeros(len(values), dtype=bool)
-    full = np.flatnonzero(np.diff(starts))
-    last[starts[full + 1] - 1] = True
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    grammar = [np.empty((0, 2), np.int32)]
-    made = FIRST_RULE
-    symbols = values.astype(np.int32)
-    while len(symbols) > 1:
-        rules, places = _round(symbols, ~last[:-1], weights)
-        if not len(rules):
-            break
-        moved = np.flatnonzero(places >= 0)
-        last[moved] |= last[moved + 1]
-        symbols, stay = _replace(symbols, places, made)
-        last, weights, owner = last[stay], weights[stay], owner[stay]
-        grammar.append(rules)
-        made += len(rules)
-    word_starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(starts) - 1)))).astype(np.int64)
+    last[starts[1:][sizes > 0] - 1] = True
+    inside = Pairs(values, last, np.repeat(np.bincount(numbers, minlength=len(sizes)), sizes), FIRST_RULE)
+    symbols = inside.run()
+    owner = np.repeat(np.arange(len(sizes)), sizes)[inside.alive]
+    word_starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sizes))))).astype(np.int64)
     whole, lengths = gather(symbols, word_starts, numbers)
     whole = np.insert(whole, np.concatenate(([0], np.cumsum(lengths)))[ends], end_id)
-    while len(whole) > 1:
-        rules, places = _round(whole, np.ones(len(whole) - 1, dtype=bool), None)
-        if not len(rules):
-            break
-        whole, _ = _replace(whole, places, made)
-        grammar.append(rules)
-        made += len(rules)
-    return np.concatenate(grammar), whole.astype(np.int32)
+    last = np.zeros(len(whole), dtype=bool)
+    last[-1:] = True
+    across = Pairs(whole, last, None, inside.made)
+    symbols = across.run()
+    return np.concatenate([np.empty((0, 2), np.int32), *inside.rules, *across.rules]), symbols
 
 
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
