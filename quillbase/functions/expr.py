@@ -120,3 +120,9 @@ def content_name(data: Column, extension: Column | None = None) -> Column:
 def decode_base64(text: Column) -> Column:
     """Bytes of base64 text, null if it is malformed."""
     return F.try_to_binary(text, F.lit("base64"))
+
+
+def not_finite(number: Column) -> Column:
+    """Whether a number is missing, not a number, or infinite."""
+    x = number.cast("double")
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.functions.expr import finite_number
+from quillbase.functions.expr import finite_number, iso_ms, not_finite
 
 
 def _text(name: str) -> Column:
@@ -37,6 +37,45 @@ def flatten_orders(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(flat).alias("at", "o")).select(key, "at", "o.*")
 
 
+def public_orders(rows: DataFrame, key: str) -> DataFrame:
+    """Eleven public fields of each order row; texts that are missing are empty, numbers that are no numbers null."""
+    flag = lambda n: F.coalesce(F.col(n).cast("boolean"), F.lit(False)).alias(n)
+    return rows.select(
+        key, _text("coin"), _text("side"), _number("limitPx"), _number("sz"), "oid", _number("timestamp"), _number("triggerPx"), "triggerCondition", flag("reduceOnly"), flag("isTrigger"), "orderType"
+    )
+
+
+def order_rows(orders: DataFrame, key: str) -> DataFrame:
+    """What a table of orders shows: size, trigger else limit price, and the kind or what stands for it; ``\u2014`` where nothing is known."""
+    said = lambda *c: F.coalesce(*(F.col(x).cast("string") for x in c), F.lit("\u2014"))
+    kind = F.when(F.coalesce("orderType", F.lit("")) != "", F.col("orderType")).when(F.col("reduceOnly"), "reduce-only").otherwise("limit")
+    return orders.select(key, "coin", "side", said("sz").alias("sz"), said("triggerPx", "limitPx").alias("price"), kind.alias("kind"))
+
+
+def cards(accounts: DataFrame, positions: DataFrame, orders: DataFrame, key: str) -> DataFrame:
+    """One row per account (key, equity, gross, margin): sum of open results, leverage, margin in per cent, counts and exposure.
+
+    Missing numbers count as zero; leverage is null and the margin share zero without equity.
+    """
+    held = positions.groupBy(key).agg(F.sum(F.coalesce("unrealized", F.lit(0.0))).alias("unrealized"), F.count(F.lit(1)).alias("n_positions"))
+    asked = orders.groupBy(key).agg(F.count(F.lit(1)).alias("n_orders"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = accounts.join(held, key, "left").join(asked, key, "left").withColumns({"n_positions": F.coalesce("n_positions", F.lit(0)), "n_orders": F.coalesce("n_orders", F.lit(0))})
+    idle = (F.col("n_positions") == 0) & (F.col("n_orders") == 0)
+    return out.select(
+        key, zero("equity").alias("equity"), zero("unrealized").alias("unrealized"),
+        F.when(zero("equity") != 0, F.round(zero("gross") / zero("equity"), 2)).alias("leverage"),
+        F.when(zero("equity") != 0, F.round(zero("margin") / zero("equity") * 100, 1)).otherwise(0.0).alias("margin_pct"),
+        F.when(idle, "FLAT").otherwise(F.concat(F.col("n_positions").cast("string"), F.lit(" pos / "), F.col("n_orders").cast("string"), F.lit(" ord"))).alias("exposure"),
+    )
+
+
+def all_blockers(signal: Column, account: Column, protection_status: Column, protection: Column) -> Column:
+    """The three lists of reasons one after the other, repeats included; those of protection only where it is missing."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(signal, none), F.coalesce(account, none), F.when(protection_status == "unprotected", F.coalesce(protection, none)).otherwise(none))
+
+
 def clean_portfolio(rows: DataFrame, key: str) -> DataFrame:
     """``curves``: map of window to points (ts, val) whose both numbers are finite. ``raw``: map of window to points of strings."""
     number = lambda p: F.struct(finite_number(p["ts"]).alias("ts"), finite_number(p["val"]).alias("val"))
@@ -120,26 +159,30 @@ def recent_fills(fills: DataFrame, top: int = 250) -> DataFrame:
     return fills.orderBy(F.desc("time"), F.desc("oid")).limit(top).withColumn("liquidity", F.when(F.col("crossed"), "taker").otherwise("maker"))
 
 
-def performance(accounts: DataFrame, ledger: DataFrame, key: str, baseline: Column, cutoff_ms: Column, source_error: Column | None = None) -> DataFrame:
+def performance(accounts: DataFrame, ledger: DataFrame, key: str, baseline: Column, cutoff_ms: Column, source_error: Column | None = None, source_is_list: Column | None = None, label: Column | None = None) -> DataFrame:
     """One row per account: status, cash flows after the cutoff, result and return since the baseline, or why there is none.
 
     accounts: key, equity. ledger: key, time. A null baseline or cutoff, or a baseline not above zero, is
-    invalid; a non-null ``source_error`` says the ledger can't be read.
+    invalid; a non-null ``source_error`` says the ledger can't be read, and a false ``source_is_list`` that what
+    was read is no list. The baseline, its label and the cutoff are repeated in each row.
     """
     error = source_error if source_error is not None else F.lit(None).cast("string")
-    marked = accounts.withColumns({"baseline": baseline.cast("double"), "cutoff": cutoff_ms.cast("long"), "ledger_error": error})
+    given = {"baseline": baseline.cast("double"), "cutoff": cutoff_ms.cast("long"), "ledger_error": error}
+    given |= {"listed": source_is_list if source_is_list is not None else F.lit(True), "baseline_label": label if label is not None else F.lit(None).cast("string")}
+    marked = accounts.withColumns(given)
     flows = ledger.where(F.col("time").isNotNull()).select(F.col(key).alias("_k"), "time")
     counts = marked.join(flows, (F.col(key) == F.col("_k")) & (F.col("time") > F.col("cutoff")), "left").groupBy(key).agg(F.count("time").alias("later"))
     out = marked.join(counts, key)
-    invalid = F.col("baseline").isNull() | (F.col("baseline") <= 0) | F.col("cutoff").isNull()
+    invalid = not_finite(F.col("baseline")) | (F.col("baseline") <= 0) | F.col("cutoff").isNull()
     blocker = (
         F.when(invalid, "strategy accounting baseline is missing or invalid")
         .when(F.col("ledger_error").isNotNull(), F.concat(F.lit("cash-flow source unavailable: "), "ledger_error"))
+        .when(~F.coalesce("listed", F.lit(False)), "cash-flow source is malformed")
         .when(F.col("later") > 0, "a deposit, withdrawal, or transfer occurred after the accounting baseline")
-        .when(F.col("equity").isNull(), "account equity is unavailable")
+        .when(not_finite(F.col("equity")), "account equity is unavailable")
     )
     out = out.withColumn("blocker", blocker)
-    read = ~invalid & F.col("ledger_error").isNull()
+    read = ~invalid & F.col("ledger_error").isNull() & F.coalesce("listed", F.lit(False))
     done = F.col("blocker").isNull()
     gain = F.col("equity") - F.col("baseline")
     return out.select(
@@ -149,6 +192,10 @@ def performance(accounts: DataFrame, ledger: DataFrame, key: str, baseline: Colu
         F.when(done, gain).alias("pnl"),
         F.when(done, gain / F.col("baseline") * 100).alias("return_pct"),
         "blocker",
+        F.when(~not_finite(F.col("baseline")), F.col("baseline")).alias("baseline"),
+        "baseline_label",
+        F.col("cutoff").alias("cutoff_ms"),
+        iso_ms(F.col("cutoff")).alias("cutoff_at"),
     )
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions.expr import content_name, decode_base64, doc_id, html_escape, media_extension, slug_or
+from quillbase.session import checkpoint_folder
 
 RUN = "struct<content:string,textStyle:struct<link:struct<url:string>>>"
 ELEMENT = f"struct<textRun:{RUN},inlineObjectElement:struct<inlineObjectId:string>>"
 PARAGRAPH = f"struct<bullet:struct<listId:string>,paragraphStyle:struct<namedStyleType:string>,elements:array<{ELEMENT}>>"
 OBJECT = "struct<inlineObjectProperties:struct<embeddedObject:struct<imageProperties:struct<contentUri:string>>>>"
 TREE = f"struct<body:struct<content:array<struct<paragraph:{PARAGRAPH}>>>,inlineObjects:map<string,{OBJECT}>>"
+# The address of an online document, here inside a Markdown link.
 _MD_LINK = r"\[([^\]]+)\]\(\s*(https?://docs\.google\.com/document/(?:u/\d+/)?d/([A-Za-z0-9_-]+)[^)]*)\s*\)"
 
 
@@ -114,10 +116,7 @@ def reach(edges: DataFrame, root: object, max_levels: int = 1_000_000) -> DataFr
     grow with the nodes, and the driver sees one Boolean a level.
     """
     spark = edges.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillbase-checkpoints-"))  # tests only; clusters set spark.checkpoint.dir
+    checkpoint_folder(spark)
     links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     frontier = spark.createDataFrame([(root, 0)], f"node {dict(edges.dtypes)['src']}, depth int")
     seen = frontier
@@ -169,6 +168,22 @@ def navigation(is_root: Column, created: Column) -> Column:
     return F.when(is_root, "").otherwise(F.concat(F.lit('<a href="/">Back</a>'), dated))
 
 
+def with_created(pages: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """Pages with the time of creation that the metadata (key, created) know, null where they know none."""
+    known = metadata.groupBy(F.col(key).alias("_key")).agg(F.min("created").alias("created"))
+    return pages.join(known, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def page_folder(is_root: Column, slug: Column) -> Column:
+    """Where a page lives: the site's own folder for the root, else p/<slug>."""
+    return F.when(is_root, "").otherwise(F.concat(F.lit("p/"), slug))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Write (slug, html) as text, a folder for each slug; pages of one slug share its folder, and a null html is left out."""
+    pages.where("html IS NOT NULL").select("slug", "html").write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(folder)
+
+
 def fill_template(template: str, content: Column, nav: Column, updated: Column) -> Column:
     """The page template with its three placeholders filled."""
     page = F.lit(template)

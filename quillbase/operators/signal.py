@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.functions.expr import HOUR_MS, floor_hour, iso_ms, spread_bps
+from quillbase.functions.expr import HOUR_MS, finite_number, floor_hour, iso_ms, not_finite, spread_bps
 from quillbase.operators.timeseries import dollar_volume, window_reasons, with_last_rows
 
 
@@ -30,6 +30,7 @@ class Rules:
 
 
 EPSILON = 1e-12
+# The reasons that a signal may give, here and in ``timeseries``.
 NO_FUNDING = "post-signal funding settlement is missing"
 NO_BOOK = "top of book is missing or invalid"
 
@@ -48,7 +49,7 @@ def funding_error(n: Column, time: Column, rate: Column, start: Column, grace_ms
         F.when(F.coalesce(n, F.lit(0)) == 0, NO_FUNDING)
         .when(n > 1, "duplicate post-signal funding settlements")
         .when((time <= end) | (time > end + grace_ms), "post-signal funding settlement timestamp is not immediate")
-        .when(rate.isNull() | F.isnan(rate), "post-signal funding settlement is not finite")
+        .when(not_finite(rate), "post-signal funding settlement is not finite")
     )
 
 
@@ -62,6 +63,12 @@ def match_funding(candles: DataFrame, funding: DataFrame, grace_ms: int = Rules.
     return out.withColumns({"funding_rate": F.when(good, F.col("rate")), "funding_time": F.when(good, F.col("time"))}).drop("_s", "_t", "n", "time", "rate")
 
 
+def best_prices(book: Column) -> tuple[Column, Column]:
+    """Best bid and ask of a book record whose ``levels`` are [bids, asks] of {px: text}; null where a level or number is missing."""
+    at = lambda side: finite_number(F.get(F.get(book["levels"], F.lit(side)), F.lit(0))["px"])
+    return at(0), at(1)
+
+
 def top_of_book(bid: Column, ask: Column) -> Column:
     """Struct bid, ask, mid, spread_bps, error: all null but the error unless 0 < bid < ask."""
     sound = F.coalesce((bid > 0) & (ask > bid), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.functions.expr import HOUR_MS, percent_change
+from quillbase.functions.expr import HOUR_MS, not_finite, percent_change
 
 NEEDED = 25
 
@@ -55,7 +55,7 @@ def row_reasons(row: Column) -> Column:
     end = F.coalesce(row["t_end"], row["t"] + HOUR_MS - 1)
     missing = F.lit(False)
     for k in ("t", "o", "h", "l", "c", "v"):
-        missing = missing | row[k].isNull() | F.isnan(row[k].cast("double"))
+        missing = missing | not_finite(row[k])
     crooked = (F.pmod(row["t"], F.lit(HOUR_MS)) != 0) | (end != row["t"] + HOUR_MS - 1)
     unsound = (row["l"] <= 0) | (row["v"] < 0) | (row["l"] > F.least(row["o"], row["c"])) | (F.greatest(row["o"], row["c"]) > row["h"])
     say = lambda p, s: F.when(p, F.lit(s))
@@ -81,9 +81,18 @@ def with_last_rows(candles: DataFrame, rows: int = NEEDED) -> DataFrame:
 
 
 def drawdown(points: DataFrame, series: str, *order: str) -> DataFrame:
-    """Points above 1 with the running peak and the drawdown from it in per cent."""
-    run = Window.partitionBy(series).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = points.where("value > 1").withColumn("peak", F.max("value").over(run))
+    """Points above 1 with the running peak and the drawdown from it in per cent; ``order`` begins with a timestamp.
+
+    A series may be long: each of its days is a partition of its own, and what came before a day enters as
+    the running maximum of the days' peaks, a row a day.
+    """
+    held = points.where("value > 1").withColumn("_day", F.date_trunc("day", F.col(order[0])))
+    earlier = Window.partitionBy("_series").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = held.groupBy(F.col(series).alias("_series"), F.col("_day").alias("_d")).agg(F.max("value").alias("_top"))
+    days = days.withColumn("_earlier", F.max("_top").over(earlier)).drop("_top")
+    run = Window.partitionBy(series, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = held.join(days, F.col(series).eqNullSafe(F.col("_series")) & F.col("_day").eqNullSafe(F.col("_d")))
+    out = out.withColumn("peak", F.greatest(F.max("value").over(run), "_earlier")).drop("_day", "_series", "_d", "_earlier")
     return out.withColumn("drawdown_pct", F.round((F.col("value") / F.col("peak") - 1) * 100, 6))
 
 

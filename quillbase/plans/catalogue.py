@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import expr
-from quillbase.operators import account, activity, docs, ledger, refresh, signal, snapshot, timeseries
+from quillbase.operators import account, activity, docs, ledger, refresh, signal, snapshot, status, supply, timeseries
 from quillbase.sources import adapters
 from quillbase.sources.tables import load
 
@@ -155,6 +155,49 @@ def supply_race_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.pace(activity.daily_supply(adapters.transfers(spark, sf_dir), 5), "chain", "supply", 30)
 
 
+_SUPPLY = f"d AS ({_ISSUE}), s AS (SELECT *, sum(net) OVER (PARTITION BY chain ORDER BY day) AS supply, row_number() OVER (PARTITION BY chain ORDER BY day DESC) AS k FROM d)"
+
+
+def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.daily_supply(adapters.transfers(spark, sf_dir), 5)
+
+
+@query(f"""WITH {_SUPPLY}, top AS (SELECT chain FROM s WHERE k = 1 ORDER BY supply DESC, chain LIMIT 3)
+SELECT day, chain, CAST(supply AS DOUBLE) AS supply FROM s WHERE chain IN (SELECT chain FROM top)""")
+def chain_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supply.chain_trend(_supply(spark, sf_dir)).withColumn("supply", F.col("supply").cast("double"))
+
+
+@query(f"""WITH {_RAW}, m AS (SELECT CAST(ts AS DATE) AS day, coalesce(sum(value) FILTER (token = 'R'), 0) AS a, coalesce(sum(value) FILTER (token = 'N'), 0) AS b FROM raw WHERE token IN ('R', 'N') GROUP BY 1)
+SELECT day, CAST(a AS DOUBLE) AS first, CAST(b AS DOUBLE) AS second, round(CAST(a AS DOUBLE) / CAST(a + b AS DOUBLE) * 100, 6) AS share_pct FROM m""")
+def asset_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.transfers(spark, sf_dir).where(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz"))
+    out = supply.asset_mix(rows.withColumn("day", F.to_date("ts")), "token", "value", "R", "N")
+    return out.select("day", F.col("first").cast("double").alias("first"), F.col("second").cast("double").alias("second"), "share_pct")
+
+
+@query(f"""WITH {_SUPPLY}, e AS (SELECT chain, max(supply) FILTER (k = 1) AS last, max(supply) FILTER (k = 31) AS earlier FROM s GROUP BY 1),
+a AS (SELECT * FROM e UNION ALL SELECT 'combined', sum(last), sum(earlier) FROM e),
+p AS (SELECT chain, round(CAST(last AS DOUBLE) / nullif(CAST(earlier AS DOUBLE), 0) * 100 - 100, 6) AS growth_pct FROM a)
+SELECT *, CAST(row_number() OVER (ORDER BY growth_pct DESC NULLS LAST, chain) AS INT) AS rank FROM p""")
+def peer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supply.peer_rank(_supply(spark, sf_dir), 30)
+
+
+@query(f"""WITH {_SUPPLY}, e AS (SELECT chain, coalesce(max(supply) FILTER (k = 1) - max(supply) FILTER (k = 8), max(supply) FILTER (k = 1)) AS delta FROM s GROUP BY 1)
+SELECT chain, CAST(delta AS DOUBLE) AS delta FROM e UNION ALL SELECT 'total', CAST(sum(delta) AS DOUBLE) FROM e""")
+def supply_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supply.waterfall(_supply(spark, sf_dir), 7).withColumn("delta", F.col("delta").cast("double"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_custkey END, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderkey END, 0) AS trades_30d,
+coalesce(CASE WHEN o_orderstatus = 'O' THEN o_custkey END, 0) AS trades_7d FROM orders""")
+def trades_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    week, month = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    older = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", supply.window_count(week, month, older, 30).alias("trades_30d"), supply.window_count(week, month, older, 7).alias("trades_7d"))
+
+
 # --- candles and series ----------------------------------------------------------------------------
 
 _CANDLES = f"""candles AS (
@@ -222,7 +265,7 @@ def period_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- signals ---------------------------------------------------------------------------------------
 
-_FUNDING = """funding AS (SELECT event_type AS series, CAST(epoch_us(ts) // 1000 AS BIGINT) AS time, value / 1e6 AS rate FROM events WHERE user_id % 3 = 0)"""
+_FUNDING = """funding AS (SELECT event_type || CASE WHEN user_id % 3 = 0 THEN '' ELSE '-other' END AS series, CAST(epoch_us(ts) // 1000 AS BIGINT) AS time, value / 1e6 AS rate FROM events)"""
 _MATCH = f"""{_CANDLES}, {_FUNDING},
 s AS (SELECT series, time - time % {HOUR} AS hour, count(*) AS n, arg_min(rate, row(time, rate)) AS rate, min(time) AS time FROM funding GROUP BY ALL),
 m AS (
@@ -233,8 +276,9 @@ RULES = signal.Rules(grace_ms=600_000, min_day_volume=1_500, min_funding=0.00001
 
 
 def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.points(spark, sf_dir).where(F.pmod("user", F.lit(3)) == 0)
-    return rows.select(F.col("kind").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), (F.col("value") / 1e6).alias("rate"))
+    """All events as settlements; two thirds are of series that have no candles."""
+    series = F.concat("kind", F.when(F.pmod("user", F.lit(3)) == 0, "").otherwise("-other"))
+    return adapters.points(spark, sf_dir).select(series.alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), (F.col("value") / 1e6).alias("rate"))
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,9 +320,24 @@ def signal_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {_MATCH},
+w AS (
+  SELECT *, lag(t) OVER o AS before, lag(c, 6) OVER o AS c6, count(*) OVER d AS n, count(*) OVER p AS n24, sum((o + h + l + c) / 4 * v) OVER p AS volume,
+         bool_or(l <= 0 OR v < 0 OR l > least(o, c) OR greatest(o, c) > h) OVER d AS unsound
+  FROM m WINDOW o AS (PARTITION BY series ORDER BY t), d AS (PARTITION BY series ORDER BY t ROWS BETWEEN 24 PRECEDING AND CURRENT ROW),
+  p AS (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(bool_or(t <> before + {HOUR}) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), false) AS gapped FROM w),
+r AS (SELECT *, NOT (n < 25 OR unsound OR gapped) AS sound, c * 0.9999 AS bid, c * 1.0001 AS ask FROM g),
+k AS (
+  SELECT series, t, CASE WHEN sound THEN c / nullif(c6, 0) - 1 END AS r6, CASE WHEN sound AND funding_error IS NULL THEN raw_rate END AS rate, CASE WHEN sound THEN volume END AS volume,
+         CASE WHEN bid > 0 THEN (ask - bid) / ((bid + ask) / 2) * 10000 END AS spread, CASE WHEN sound THEN 60001.0 END AS age, CASE WHEN sound AND bid > 0 THEN (bid + ask) / 2 / c END AS live FROM r)
+SELECT series, t AS candle, gate, round(observed, 6) AS observed, required, coalesce(passes, false) AS passes FROM (
+  SELECT series, t, unnest(['regime return', 'live return', 'funding', 'day volume', 'spread', 'age', 'price band']) AS gate, unnest([r6, r6, rate, volume, spread, age, live]) AS observed,
+         unnest([0.03::DOUBLE, 0.05, 0.00001, 1500, 5, 1800000, 1.01]) AS required,
+         unnest([r6 > 0.03 + 1e-12, r6 > 0.05 + 1e-12, rate >= 0.00001, volume >= 1500, spread <= 5, age BETWEEN 0 AND 1800000, live BETWEEN 0.985 AND 1.01]) AS passes FROM k)""")
 def signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.gate_rows(_signals(spark, sf_dir), RULES)
+    rows = signal.gate_rows(_signals(spark, sf_dir), RULES)
+    return rows.select("series", (F.col("now") - 60_001 - (HOUR - 1)).alias("candle"), "gate", F.round("observed", 6).alias("observed"), "required", "passes")
 
 
 # --- accounts --------------------------------------------------------------------------------------
@@ -323,12 +382,12 @@ def position_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDERS = """o AS (
-  SELECT l_orderkey AS account, CASE WHEN l_linenumber <= 2 THEN 'zz' ELSE 'YY' END AS coin, CASE WHEN l_linestatus = 'O' THEN 'b' ELSE 'A' END AS side,
+  SELECT l_orderkey AS account, CASE WHEN l_orderkey % 5 = 0 THEN 'XX' WHEN l_linenumber <= 2 THEN 'zz' ELSE 'YY' END AS coin, CASE WHEN l_linestatus = 'O' THEN 'b' ELSE 'A' END AS side,
          CASE WHEN l_linenumber = 1 THEN l_quantity ELSE floor(l_quantity / 25) * 25 END AS sz, l_returnflag <> 'R' AS reduce_only,
-         CASE WHEN l_linenumber % 2 = 1 THEN 'Take Profit Market' ELSE 'Stop Market' END AS order_type FROM lineitem WHERE l_orderkey % 5 <> 0),
+         CASE WHEN l_linenumber % 2 = 1 THEN 'Take Profit Market' ELSE 'Stop Market' END AS order_type FROM lineitem),
 q AS (
   SELECT l_orderkey AS account, CASE WHEN l_linenumber = 1 THEN 'ZZ' ELSE 'YY' END AS coin,
-         CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * CASE WHEN l_linenumber = 1 THEN floor(l_quantity / 25) * 25 ELSE 0 END AS szi FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 <> 0)"""
+         CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * CASE WHEN l_linenumber = 1 AND l_orderkey % 7 <> 0 THEN floor(l_quantity / 25) * 25 ELSE 0 END AS szi FROM lineitem)"""
 
 
 @query(f"""WITH {_ORDERS},
@@ -350,24 +409,25 @@ SELECT account, CASE WHEN blockers <> '' THEN 'unprotected' WHEN n IS NULL THEN
 def protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = load(spark, sf_dir, "lineitem")
     step = F.floor(F.col("l_quantity") / 25).cast("double") * 25
-    orders = item.where("l_orderkey % 5 <> 0").select(
-        F.col("l_orderkey").alias("account"), F.when(F.col("l_linenumber") <= 2, "zz").otherwise("YY").alias("coin"), F.when(F.col("l_linestatus") == "O", "b").otherwise("A").alias("side"),
+    orders = item.select(
+        F.col("l_orderkey").alias("account"), F.when(F.col("l_orderkey") % 5 == 0, "XX").when(F.col("l_linenumber") <= 2, "zz").otherwise("YY").alias("coin"), F.when(F.col("l_linestatus") == "O", "b").otherwise("A").alias("side"),
         F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(step).alias("sz"), (F.col("l_returnflag") != "R").alias("reduce_only"), F.lit(True).alias("is_trigger"),
         F.when(F.col("l_linenumber") % 2 == 1, "Take Profit Market").otherwise("Stop Market").alias("order_type"),
     )
-    size = F.when(F.col("l_linestatus") == "O", -1).otherwise(1) * F.when(F.col("l_linenumber") == 1, step).otherwise(0.0)
-    held = item.where("l_linenumber <= 2 AND l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("account"), F.when(F.col("l_linenumber") == 1, "ZZ").otherwise("YY").alias("coin"), size.alias("szi"))
+    size = F.when(F.col("l_linestatus") == "O", -1).otherwise(1) * F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 != 0), step).otherwise(0.0)
+    held = item.select(F.col("l_orderkey").alias("account"), F.when(F.col("l_linenumber") == 1, "ZZ").otherwise("YY").alias("coin"), size.alias("szi"))
     return account.protection(held, orders, "account", "ZZ").withColumn("blockers", F.array_join("blockers", "; "))
 
 
 @query(f"""WITH n AS (SELECT c_custkey AS account, c_acctbal AS equity, count(o_orderkey) AS later FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate > TIMESTAMP '{AS_OF}' GROUP BY 1, 2)
 SELECT account, CASE WHEN later > 0 THEN 'cash_flow_reconciliation_required' ELSE 'reconciled' END AS status, later AS later_cash_flows, CASE WHEN later = 0 THEN round(equity - 630.617157, 6) END AS pnl,
-  CASE WHEN later = 0 THEN round((equity - 630.617157) / 630.617157 * 100, 6) END AS return_pct, CASE WHEN later > 0 THEN 'a deposit, withdrawal, or transfer occurred after the accounting baseline' END AS blocker FROM n""")
+  CASE WHEN later = 0 THEN round((equity - 630.617157) / 630.617157 * 100, 6) END AS return_pct, CASE WHEN later > 0 THEN 'a deposit, withdrawal, or transfer occurred after the accounting baseline' END AS blocker,
+  630.617157::DOUBLE AS baseline, 'opening' AS baseline_label, CAST(epoch_ms(TIMESTAMP '{AS_OF}') AS BIGINT) AS cutoff_ms, '{AS_OF}T00:00:00.000Z' AS cutoff_at FROM n""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("equity"))
     flows = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("time"))
     cutoff = F.unix_millis(F.lit(AS_OF).cast("timestamp"))
-    return account.performance(accounts, flows, "account", F.lit(630.617157), cutoff).withColumns({"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6)})
+    return account.performance(accounts, flows, "account", F.lit(630.617157), cutoff, label=F.lit("opening")).withColumns({"pnl": F.round("pnl", 6), "return_pct": F.round("return_pct", 6)})
 
 
 @query("""SELECT c_custkey AS account, concat_ws('; ', CASE WHEN EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'account already has exposure' END,
@@ -379,12 +439,7 @@ def account_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account", F.array_join("blockers", "; ").alias("blockers"))
 
 
-@query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
-v AS (SELECT key, min(i) FILTER (live) AS i, count(*) AS n FROM l GROUP BY 1)
-SELECT CAST(key AS VARCHAR) AS key, CASE WHEN i IS NOT NULL THEN 'unavailable' WHEN key % 3 = 2 THEN 'stale' ELSE 'current' END AS availability,
-  CASE WHEN i IS NOT NULL THEN 'research lane contract failed closed: lanes[' || i || '].liveApproved must be false'
-       WHEN key % 3 = 2 THEN 'published research snapshot is stale; operational claims are hidden' END AS blocker, CASE WHEN i IS NULL THEN n ELSE 0 END AS lanes FROM v""")
-def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One snapshot per customer, whose orders are its lanes; urgent ones break the contract."""
     text, ms = (lambda c: F.col(c).cast("string")), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     evidence = F.struct(F.lit(1).cast("long").alias("decisions"), F.lit(0).cast("long").alias("terminals"), F.lit(False).alias("failedClosed"), F.lit(False).alias("coverageGapOpen"), F.lit(True).alias("evidenceHealthy"))
@@ -400,17 +455,76 @@ def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("o_custkey").alias("key"), F.lit("lanes").alias("schema"), F.lit(1).alias("schemaVersion"), expr.iso_ms(F.col("publishedAtMs")).alias("publishedAt"), "publishedAtMs", F.lit(86_400_000).cast("long").alias("staleAfterMs"),
         F.lit(snapshot.SCOPE).alias("observerScope"), F.lit(snapshot.HEALTH).alias("localDaemonHealth"), F.transform("xs", lambda x: x["lane"]).alias("lanes"), F.pmod("o_custkey", F.lit(3)).alias("k"),
     )
-    out = snapshot.publish(rows, "lanes", F.col("publishedAtMs") + F.col("k") * 50_000_000)
-    return out.select("key", "availability", "blocker", F.size("lanes").cast("long").alias("lanes"))
+    return snapshot.publish(rows, "lanes", F.col("publishedAtMs") + F.col("k") * 50_000_000)
+
+
+@query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+v AS (SELECT key, min(i) FILTER (live) AS i, count(*) AS n FROM l GROUP BY 1)
+SELECT CAST(key AS VARCHAR) AS key, CASE WHEN i IS NOT NULL THEN 'unavailable' WHEN key % 3 = 2 THEN 'stale' ELSE 'current' END AS availability,
+  CASE WHEN i IS NOT NULL THEN 'research lane contract failed closed: lanes[' || i || '].liveApproved must be false'
+       WHEN key % 3 = 2 THEN 'published research snapshot is stale; operational claims are hidden' END AS blocker, CASE WHEN i IS NULL THEN n ELSE 0 END AS lanes FROM v""")
+def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir).select("key", "availability", "blocker", F.size("lanes").cast("long").alias("lanes"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT CAST(key AS VARCHAR) AS key, CAST(i AS INT) AS at, 'order' AS name, 'v1' AS version, CASE WHEN key % 3 = 2 THEN 'stale' ELSE 'running_flat' END AS status,
+  CASE WHEN key % 3 = 2 THEN 'hidden until fresh' ELSE '1 decisions / 0 terminals' END AS evidence, 'PAPER ONLY' AS tag
+FROM l QUALIFY NOT bool_or(live) OVER (PARTITION BY key)""")
+def lane_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.lane_rows(_published(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT c_custkey AS account, c_acctbal AS equity, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)
+SELECT account, '1970-01-01T00:00:01.000Z' AS generated, equity, 'not_required' AS protection, account % 2 = 0 AS signal, CASE WHEN account % 4 = 0 THEN 'partial' ELSE 'ok' END AS source,
+CASE WHEN account % 4 = 0 THEN 'down' END AS error, 'public_exchange_only' AS scope, CASE WHEN n > 0 THEN n END AS later FROM n""")
+def status_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from the JSON text of each customer's record."""
+    accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("equity"))
+    signals, held = accounts.select("key", (F.col("key") % 2 == 0).alias("passes")), accounts.select("key", F.lit("not_required").alias("status"))
+    later = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("later"))
+    errors = F.when(F.col("key") % 4 == 0, F.create_map(F.lit("book"), F.lit("down")))
+    rows = status.assemble(accounts, signals, held, later, accounts.select("key", F.lit("current").alias("availability")), errors, "key", F.lit(1000).cast("long"))
+    at = lambda path, kind="string": F.get_json_object("j", path).cast(kind)
+    return rows.select("key", F.to_json(F.struct(*rows.columns)).alias("j")).select(
+        F.col("key").alias("account"), at("$.generatedAt").alias("generated"), at("$.account.equity", "double").alias("equity"), at("$.protection.status").alias("protection"), at("$.signal.passes", "boolean").alias("signal"),
+        at("$.sources.publicApi").alias("source"), at("$.sources.errors.book").alias("error"), at("$.status.observerScope").alias("scope"), at("$.account.performance.later", "long").alias("later"),
+    )
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderpriority AS coin, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS side,
+  CASE WHEN o_orderstatus = 'F' THEN '\u2014' ELSE CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) END AS sz, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderkey AS DOUBLE) AS VARCHAR) WHEN o_orderstatus = 'O' THEN '7.5' ELSE '\u2014' END AS price,
+  CASE WHEN o_orderstatus = 'O' THEN 'Stop Market' WHEN o_orderstatus = 'F' THEN 'reduce-only' ELSE 'limit' END AS kind FROM orders""")
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, text = F.col("o_orderstatus"), lambda c: F.col(c).cast("string")
+    raw = load(spark, sf_dir, "orders").select(
+        text("o_custkey").alias("key"), F.col("o_orderpriority").alias("coin"), F.when(status != "P", status).alias("side"), F.when(status == "O", "7.5").otherwise("x").alias("limitPx"),
+        F.when(status == "F", "Infinity").otherwise(text("o_custkey")).alias("sz"), F.col("o_orderkey").alias("oid"), F.lit(None).cast("string").alias("timestamp"),
+        F.when(F.col("o_orderkey") % 2 == 0, text("o_orderkey")).alias("triggerPx"), F.lit(None).cast("string").alias("triggerCondition"), (status == "F").alias("reduceOnly"), F.lit(None).cast("boolean").alias("isTrigger"),
+        F.when(status == "O", "Stop Market").when(status == "F", "").alias("orderType"),
+    )
+    return account.order_rows(account.public_orders(raw, "key"), "key")
+
+
+@query("""WITH p AS (SELECT o_custkey AS account, sum(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS DOUBLE) ELSE 0 END) AS unrealized, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS m, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gross FROM orders GROUP BY 1)
+SELECT c_custkey AS account, CAST(c_acctbal AS DOUBLE) AS equity, coalesce(unrealized, 0.0) AS unrealized, CASE WHEN c_acctbal <> 0 THEN round(coalesce(gross, 0) / c_acctbal, 2) END AS leverage,
+  CASE WHEN c_acctbal <> 0 THEN round(coalesce(gross, 0) / 10 / c_acctbal * 100, 1) ELSE 0 END AS margin_pct, CASE WHEN n IS NULL THEN 'FLAT' ELSE n || ' pos / ' || m || ' ord' END AS exposure
+FROM customer LEFT JOIN p ON account = c_custkey""")
+def account_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "account")
+    gross = orders.groupBy("account").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("gross"))
+    accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("equity")).join(gross, "account", "left")
+    held = orders.select("account", F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("double")).alias("unrealized"))
+    return account.cards(accounts.withColumn("margin", F.col("gross") / 10), held, orders.where("o_orderstatus = 'O'"), "account")
 
 
 # --- documents -------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text[:80]), '[^a-z0-9]+', '-', 'g'), '-'), ''), CAST(doc_id AS VARCHAR)) AS slug FROM documents")
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), CAST(doc_id AS VARCHAR)) AS slug FROM documents")
 def slugify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents")
-    return rows.select("doc_id", expr.slug_or(F.left("text", F.lit(80)), F.col("doc_id").cast("string")).alias("slug"))
+    return rows.select("doc_id", expr.slug_or(F.col("text"), F.col("doc_id").cast("string")).alias("slug"))
 
 
 @query("SELECT sha256(text)[:16] AS name, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -424,14 +538,14 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.page_links(load(spark, sf_dir, "pages"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity <= 1 AND l_linenumber = 1),
-r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.reach(adapters.link_edges(spark, sf_dir), 0)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity <= 1 AND l_linenumber = 1),
-r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 12), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
 f AS (SELECT dst, depth, src, 'page-' || (dst % 7) AS base FROM e JOIN d ON d.node = e.src QUALIFY row_number() OVER (PARTITION BY dst ORDER BY depth, src) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY depth, src, dst) AS n FROM f) SELECT dst, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM n""")
 def slug_assign(spark: SparkSession, sf_dir: str) -> DataFrame:

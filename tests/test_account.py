@@ -49,6 +49,10 @@ def test_performance(spark):
     assert bad.blocker == "strategy accounting baseline is missing or invalid" and bad.later_cash_flows is None
     down = account.performance(a, flows, "account", F.lit(5.0), F.lit(100), F.lit("timed out")).first()
     assert down.blocker == "cash-flow source unavailable: timed out"
+    odd = account.performance(a, flows, "account", F.lit(5.0), F.lit(100), source_is_list=F.lit(False), label=F.lit("start")).first()
+    assert (odd.blocker, odd.later_cash_flows, odd.baseline, odd.baseline_label, odd.cutoff_ms, odd.cutoff_at) == ("cash-flow source is malformed", None, 5.0, "start", 100, "1970-01-01T00:00:00.100Z")
+    wild = account.performance(a.withColumn("equity", F.lit(float("inf"))), flows, "account", F.lit(5.0), F.lit(100)).where("account = 1").first()
+    assert wild.blocker == "account equity is unavailable"
 
 
 def test_portfolio(spark):
@@ -71,3 +75,16 @@ def test_attribution_parts(spark):
     got = account.attribution(fills).collect()
     assert [r.coin for r in got if r.part == "head"] == [f"c{i:02}" for i in range(19, 11, -1)] and {r.coin for r in got if r.part == "tail"} == {f"c{i:02}" for i in range(8)}
     assert {r.part for r in account.attribution(fills.limit(16)).collect()} == {"all"}
+
+
+def test_orders_cards_and_blockers(spark):
+    raw = spark.createDataFrame([(1, None, "B", "x", "2", 7, "5", None, None, True, None, ""), (1, "Z", None, "3", "Infinity", 8, None, "4", "c", None, True, "Stop Market")], "account long, coin string, side string, limitPx string, sz string, oid long, timestamp string, triggerPx string, triggerCondition string, reduceOnly boolean, isTrigger boolean, orderType string")
+    public = account.public_orders(raw, "account")
+    assert [tuple(r) for r in public.collect()] == [(1, "", "B", None, 2.0, 7, 5.0, None, None, True, False, ""), (1, "Z", "", 3.0, None, 8, None, 4.0, "c", False, True, "Stop Market")]
+    assert [tuple(r) for r in account.order_rows(public, "account").collect()] == [(1, "", "B", "2.0", "\u2014", "reduce-only"), (1, "Z", "", "\u2014", "4.0", "Stop Market")]
+    accounts = spark.createDataFrame([(1, 50.0, 100.0, 5.0), (2, None, 1.0, None)], "account long, equity double, gross double, margin double")
+    held = spark.createDataFrame([(1, 2.5), (1, None)], "account long, unrealized double")
+    got = {r.account: tuple(r)[1:] for r in account.cards(accounts, held, public, "account").collect()}
+    assert got == {1: (50.0, 2.5, 2.0, 10.0, "2 pos / 2 ord"), 2: (0.0, 0.0, None, 0.0, "FLAT")}
+    lists = spark.sql("SELECT array('a', 'b') AS s, array('b') AS a, 'unprotected' AS st, array('a') AS p UNION ALL SELECT array('a'), null, 'protected', array('p')")
+    assert [r[0] for r in lists.select(account.all_blockers(F.col("s"), F.col("a"), F.col("st"), F.col("p"))).collect()] == [["a", "b", "b", "a"], ["a"]]

@@ -89,3 +89,13 @@ def test_expressions(spark):
     assert one(expr.spread_bps(F.lit(99.0), F.lit(101.0))) == 200.0 and one(expr.spread_bps(F.lit(2.0), F.lit(2.0))) is None
     assert one(expr.decode_base64(F.lit("!!"))) is None and one(expr.media_extension(F.lit("text/x"))) == ".bin"
     assert one(expr.percent_change(F.lit(1.0), F.lit(0.0))) is None
+
+
+def test_pages_on_disk(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "<p>1</p>", "r"), ("b", None, "s"), ("c", "<p>3</p>", "t")], "slug string, html string, file string")
+    dated = docs.with_created(pages, spark.createDataFrame([("r", "2020"), ("r", "2021"), ("x", "2")], "file string, created string"), "file")
+    assert sorted((r.slug, r.created) for r in dated.collect()) == [("a", "2020"), ("b", None), ("c", None)]
+    docs.write_pages(pages, str(tmp_path / "site"))
+    assert sorted((r.slug, r.value) for r in spark.read.text(str(tmp_path / "site")).collect()) == [("a", "<p>1</p>"), ("c", "<p>3</p>")]
+    rows = spark.createDataFrame([(True, "a"), (False, "b")], "root boolean, slug string").select(docs.page_folder(F.col("root"), F.col("slug")).alias("p"))
+    assert [r.p for r in rows.collect()] == ["", "p/b"]

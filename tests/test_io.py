@@ -1,38 +1,54 @@
-"""Feeds, refresh, gather and the streaming candles."""
+"""Feeds, results written aside, fallback and the streaming candles."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillbase.operators import refresh, timeseries
+from quillbase.operators import refresh, signal, timeseries
 from quillbase.sources import adapters, feeds
 from quillbase.streaming.candles import stream_candles
 
 
-def test_feed_source(spark, tmp_path):
-    (tmp_path / "fills-1.json").write_text(json.dumps([{"coin": "Z", "px": "1"}, {"coin": "é"}]))
-    (tmp_path / "fills-2.json").write_text(json.dumps({"coin": "Q"}))
-    (tmp_path / "book.json").write_text("{}")
-    feeds.register(spark)
-    df = spark.read.format("feed").option("feed", "fills").load(str(tmp_path))
-    rows = df.select(F.get_json_object("body", "$.coin").alias("c")).orderBy("c").collect()
-    assert [r.c for r in rows] == ["Q", "Z", "é"]
+def test_feeds(spark, tmp_path):
+    (tmp_path / "fills-1.json").write_text(json.dumps([{"coin": "Z", "px": "1", "time": 5}, {"coin": "é", "time": 7}]))
+    (tmp_path / "fills-2.json").write_text(json.dumps({"coin": "Q", "time": 9}))
+    (tmp_path / "book.json").write_text(json.dumps({"levels": [[{"px": "1.5"}, {"px": "1"}], [{"px": "2"}]]}))
+    rows = feeds.read_feed(spark, str(tmp_path), "fills")
+    assert sorted((r.file, r.coin, r.px) for r in feeds.typed(rows, "fills").collect()) == [("fills-1.json", "Z", "1"), ("fills-1.json", "é", None), ("fills-2.json", "Q", None)]
+    assert [r.coin for r in feeds.typed(rows, "fills", 6, 9).collect()] == ["é"]
+    book = feeds.typed(feeds.read_feed(spark, str(tmp_path), "book"), "book").select(F.struct("levels").alias("book"))
+    bid, ask = signal.best_prices(F.col("book"))
+    assert tuple(book.select(bid, ask).first()) == (1.5, 2.0)
+    empty = spark.sql("SELECT named_struct('levels', array(cast(array() AS array<struct<px:string>>))) AS book")
+    assert tuple(empty.select(*signal.best_prices(F.col("book"))).first()) == (None, None)
 
 
-def test_refresh(spark, tmp_path):
-    def fail():
-        raise ValueError
+@pytest.mark.parametrize("fmt", refresh.FORMATS)
+def test_a_failing_job_keeps_the_earlier_result(spark, tmp_path, fmt):
+    assert refresh.latest(spark, str(tmp_path), "a") is None
+    assert refresh.publish(spark.range(3), str(tmp_path), "a", fmt) is None
+    bad = spark.range(8).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken half-way"))).otherwise(F.col("id")).alias("id"))
+    assert "broken half-way" in refresh.publish(bad, str(tmp_path), "a", fmt)
+    assert sorted(r.id for r in refresh.latest(spark, str(tmp_path), "a").collect()) == [0, 1, 2]
+    assert refresh.publish(spark.range(5), str(tmp_path), "a", fmt) is None
+    assert refresh.latest(spark, str(tmp_path), "a").count() == 5
 
-    def quota():
-        raise refresh.QuotaExceeded
 
-    ran = refresh.refresh({"a": lambda: spark.range(3), "b": fail, "c": fail, "d": quota, "e": lambda: spark.range(1), "f": lambda: spark.range(1)}, str(tmp_path), {"b": True, "e": True})
-    assert ran == {"a": "fresh", "b": "kept", "c": "failed", "d": "failed", "e": "kept", "f": "failed"}
-    row = refresh.run_summary(spark.createDataFrame(list(ran.items()), "name string, outcome string")).first()
-    assert (row.queries, row.ok, row.fresh, row.failed) == (6, 3, 1, 3)
-    assert refresh.previous_results(spark, [str(tmp_path / "no"), str(tmp_path)], "a").count() == 3
-    assert refresh.previous_results(spark, [str(tmp_path)], "zz") is None
+def test_fallback_and_summary(spark):
+    kinds = "name string, rows array<long>, error string, updated_ms long"
+    now = spark.createDataFrame([("a", [1], None, 9), ("b", None, "timed out", None), ("c", None, "down", None)], kinds)
+    old = spark.createDataFrame([("a", [0], None, 1), ("b", [2], None, 2), ("d", [3], None, 3)], kinds)
+    out = refresh.with_earlier(now, old)
+    assert sorted((r.name, r.rows, r.updated_ms, r.error, r.outcome) for r in out.collect()) == [("a", [1], 9, None, "fresh"), ("b", [2], 2, "timed out", "kept"), ("c", None, None, "down", "failed"), ("d", [3], 3, None, "kept")]
+    row = refresh.run_summary(out).first()
+    assert (row.queries, row.ok, row.fresh, row.failed) == (4, 3, 1, 1)
+
+
+def test_contract(spark):
+    rows = spark.createDataFrame([(1, "x", "y"), (2, "x", "y"), (1, None, "y")], "schemaVersion int, account string, signal string")
+    assert [r[0] for r in rows.select(refresh.contract_error(rows, 1, ("account", "signal"))).collect()] == [None, "unknown schema version", "required keys are missing"]
+    assert rows.select(refresh.contract_error(rows, 1, ("sources",))).first()[0] == "required keys are missing"
 
 
 def test_is_fresh(spark):
@@ -41,16 +57,6 @@ def test_is_fresh(spark):
     assert {r.k: r.f for r in rows.collect()} == {1: False, 2: True, 3: False}
 
 
-def test_gather(spark):
-    def bad():
-        raise OSError("down")
-
-    frames, errors = refresh.gather({"a": lambda: spark.range(2), "b": bad}, required=("a",))
-    assert frames["a"].count() == 2 and errors == {"b": "down"}
-    with pytest.raises(RuntimeError, match="required public account state is unavailable"):
-        refresh.gather({"b": bad}, required=("b",))
-
-
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     points = adapters.points(spark, sf_dir)
     points.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
