@@ -2,8 +2,9 @@
 
 Only DataFrame functions: lines that speak of licences become (line, term, count) rows, are joined with
 the templates' weights on the term and summed per line and template. Each distinct line is scored once,
-however many files have it. A file that is mostly licence text declares its directory's licence; a file
-without one of its own takes that of the nearest directory above it.
+however many files have it. The whole text of a file that is named as a licence file is compared with
+licence texts too, block by block. A file of either kind that is mostly licence text declares its
+directory's licence; a file without one of its own takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import SPACE_CLASS, cut
+from quillbase.llm.common import SPACE_CLASS, cut, small_enough_to_broadcast
+from quillbase.llm.license_texts import TEXTS
 
 THRESHOLD = 0.6
+#: A licence file is compared in blocks of so many words, and a block must come this close to a licence's text.
+BLOCK_WORDS, TEXT_THRESHOLD = 260, 0.75
+#: Names of files that hold a licence, in lower case.
+FILE_NAMES = r"^(.*[-_.])?(licen[cs]e|copying|unlicense)([-_.].*)?$"
 #: Words that a line must have one of to be looked at; all in lower case.
 CUES = ("licen", "copyright", "rights reserved", "spdx", "public domain", "permission is hereby", "redistribution and use")
 
@@ -84,11 +90,20 @@ def score_lines(spark: SparkSession, lines: DataFrame, templates: Sequence[tuple
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(path, line): the texts of licence files in consecutive blocks of ``BLOCK_WORDS`` words."""
+    named = rows.where(F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike(FILE_NAMES))
+    words = named.select("path", F.array_remove(F.split("body", f"[{SPACE_CLASS}]+"), "").alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(BLOCK_WORDS))
+    return words.select("path", F.explode(F.transform(starts, lambda a: F.array_join(F.slice("w", a, F.lit(BLOCK_WORDS)), " "))).alias("line"))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per path: ``path``, ``license``, ``score``, ``origin`` ("own", "inherited" or "none") and ``from_path``.
 
     A file's own licence is its best line's, at a cosine of ``threshold`` or more; ties go to the first name.
-    A file whose matching lines hold half of its words or more is a licence file, and its directory's
+    A file whose matching lines hold half of its words or more is a licence file, and so is one that is
+    named so and has a block of words that close to a licence's text (``TEXT_THRESHOLD``); its directory's
     licence is that of its best such file (by score, then path). Others inherit from the nearest
     directory above them that has one, their own included. Rows that repeat a path are one file with all
     their lines; a null path is a file in the root; a null or empty text has no licence of its own. An
@@ -99,8 +114,14 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     lines = cut(lines.where(_cued(F.lower("line"))))
     scored = score_lines(files.sparkSession, lines).where(F.col("score") >= threshold)
     hits = lines.join(scored, "line")
-    per_file = hits.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(_n_words(F.col("line"))).alias("said"), F.max("words").alias("words"))
-    own = cut(per_file.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (F.col("said") * 2 >= F.col("words")).alias("whole")))
+    blocks = _blocks(rows)
+    close = blocks.join(score_lines(files.sparkSession, blocks, TEXTS).where(F.col("score") >= TEXT_THRESHOLD), "line")
+    # a close block says enough for the whole file
+    told = hits.select("path", "license", "score", _n_words(F.col("line")).alias("said"), "words")
+    told = told.unionByName(close.select("path", "license", "score", F.lit(1).cast("long").alias("said"), F.lit(0).cast("long").alias("words")))
+    enough = F.max(F.col("words") == 0) | (F.sum("said") * 2 >= F.max("words"))
+    per_file = told.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), enough.alias("whole"))
+    own = cut(per_file.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"))
 
     above = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
     declared = own.where("whole").groupBy(above(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("b"))
@@ -110,7 +131,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     parts = F.split("start", "/")
     chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("dir")))
     chains = dirs.select("start", F.explode(chain).alias("up")).select("start", "up.depth", "up.dir")
-    nearest = chains.join(declared, "dir").groupBy("start").agg(F.max_by(F.struct("license", "score", "from_path"), "depth").alias("up"))
+    nearest = cut(chains.join(declared, "dir").groupBy("start").agg(F.max_by(F.struct("license", "score", "from_path"), "depth").alias("up")))
+    if small_enough_to_broadcast(nearest.count(), 400):
+        nearest = F.broadcast(nearest)  # else a directory with many files is left to the skew join of adaptive execution
     out = paths.join(own, "path", "left").withColumn("start", above(F.col("path"))).join(nearest, "start", "left")
     mine = F.col("license").isNotNull()
     return out.select(

@@ -28,10 +28,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document, filed as source/lang/doc_id."""
+    """Licence of every document, filed as source/lang/doc_id; rows without an id are one file, without a name, of their folder."""
     docs = load(spark, sf_dir, "documents")
-    filed = docs.select(F.concat_ws("/", F.lit("corpus"), "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return licenses.scan(filed).select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "*")
+    filed = docs.select(F.concat_ws("/", F.lit("corpus"), "source", "lang", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("path"), "text")
+    return licenses.scan(filed).select(F.regexp_extract("path", "[^/]*$", 0).try_cast("long").alias("doc_id"), "*")
 
 
 _SQL_TEXT = lambda s: "'" + s.replace("'", "''") + "'"

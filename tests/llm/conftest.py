@@ -26,7 +26,7 @@ ODD = [
 def odd(spark):
     """Null ids and texts, ties, repeated rows, very long texts, and columns with clashing names."""
     rows = [(i, t, lang, "s", 0, "clash", 1, True, [1]) for i, t, lang in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, component_id int, kept boolean, key array<int>")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _rejected string, _kept_id int, kept boolean, key array<int>")
 
 
 @pytest.fixture(scope="session")

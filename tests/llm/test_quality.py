@@ -14,7 +14,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillbase.llm import chat, licenses, media, quality_classifier, quality_rules
+from quillbase.llm import chat, license_texts, licenses, media, quality_classifier, quality_rules, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,6 +168,35 @@ def test_licenses(spark, none):
     assert licenses.scan(none.withColumn("path", F.col("source"))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0"])
+def test_license_texts_are_unlike_each_other(name):
+    texts = dict(license_texts.TEXTS)
+    rows, idf, _ = licenses.idf_weights(license_texts.TEXTS)
+    vectors = defaultdict(dict)
+    for _, n, t, w in rows:
+        vectors[n][t] = w
+    assert max(sum(w * vectors[other].get(t, 0) for t, w in vectors[name].items()) for other in texts if other != name) < 0.95  # the two versions of one licence share much
+
+
+def test_license_files_declare_their_directory(spark, none):
+    rows = []
+    for name, text in license_texts.TEXTS:
+        rows += [(f"r/{name}/LICENSE.txt", f"{name}\n\nCopyright (c) 2020 Some One\n\n" + text + "\n" + "Further words of the same text follow here. " * 300 * (len(text.split()) >= 260)), (f"r/{name}/src/deep/a.py", "import sys")]
+    rows += [("r/other/LICENSE", "you may drive a car " * 90), ("r/other/a.py", "x"), ("r/empty/COPYING", None), ("r/empty/a.py", ""), ("r/MIT/license_check.py", "def check(): pass")]
+    wide = spark.createDataFrame(rows, "path string, text string").withColumns({"line": F.lit(1), "license": F.lit("clash"), "score": F.lit(2.0)})
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(wide).collect()}
+    for name, _ in license_texts.TEXTS:
+        assert got[f"r/{name}/LICENSE.txt"] == (name, "own") and got[f"r/{name}/src/deep/a.py"] == (name, "inherited")
+    assert {got[p] for p in ("r/other/LICENSE", "r/other/a.py", "r/empty/COPYING", "r/empty/a.py")} == {(None, "none")} and len(got) == len(rows)
+
+
+def test_license_query_takes_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "All rights reserved.", "en", "s", 1), (None, None, None, None, 0), (5, "x " * 50_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: (r.doc_id, r.license) for r in queries.QUERIES["op2_license_scans"](spark, str(tmp_path)).collect()}
+    assert got == {"corpus/s/en/": (None, "Proprietary"), "corpus/": (None, None), "corpus/s/en/5": (5, "Proprietary")}  # the folder has a licence
+
+
 def test_licenses_run_no_python(spark, sf_dir):
     from quillbase.llm import queries
 
