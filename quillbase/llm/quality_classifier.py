@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, release_memory, small_enough_to_broadcast, trimmed
+from quillbase.llm.common import batches, cut, release_memory, scratch, small_enough_to_broadcast, trimmed
 
 START = "\x02"
 CHUNK_CHARS = 8_000_000
@@ -46,7 +46,7 @@ class Settings:
 def _pieces(ids, langs, trusted, keys, texts, order: int, base: int):
     """(uid, id, lang, trusted, text key, context and body): long texts in several pieces that share a uid."""
     for i, text in enumerate(texts):
-        body = START * (order - 1) + (text or "")
+        body = START * (order - 1) + (text or "").replace(START, "\ufffd")
         for a in range(0, max(len(body) - order + 1, 1), CHUNK_CHARS):
             yield base + i, ids[i], langs[i], trusted[i], keys[i], body[a : a + CHUNK_CHARS + order - 1]
 
@@ -168,7 +168,10 @@ def _score(order: int):
             _, _, numbers, names, counts = _grams(joined, np.array(row["lengths"]), order)
             total = np.zeros(len(counts))
             if len(names):
-                each = logs[np.searchsorted(keys, names)][numbers]
+                at = np.searchsorted(keys, names)
+                if not len(keys) or (keys[np.minimum(at, len(keys) - 1)] != names).any():
+                    raise ValueError("n-grams of a chunk have no probability: its rows were dealt anew in another order")
+                each = logs[at][numbers]
                 full = np.flatnonzero(counts)
                 total[full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(counts[full])[:-1])))
             release_memory()
@@ -254,7 +257,7 @@ def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     scored = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(settings.order), kind)
     # a text in several pieces has its sums added up; a uid belongs to one row
     whole = scored.groupBy("uid").agg(F.max("id").alias("id"), F.max("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max("key").alias("key"), F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
-    return cut(whole.select("id", "lang", "trusted", "key", "log_p", "n"))
+    return cut(whole.select("id", "lang", "trusted", "key", "log_p", "n"), lasting=True)
 
 
 def _quartiles(cells: DataFrame) -> DataFrame:
@@ -286,10 +289,13 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, id_col: str = "d
     limits; trusted texts with copies count once, in the model and in the limits. A null or empty text has a null perplexity and is not kept; a language (null counts as one)
     without trusted text has null limits and its texts are kept. Rows with a null id are never trusted;
     repeated rows are judged each alike. An empty table gives an empty table; without labels all
-    non-empty texts are kept.
+    non-empty texts are kept. In a text, the character that marks starts (U+0002) counts as U+FFFD. Tables made on
+    the way are deleted; the scores last.
     """
-    scores = perplexities(documents, labels, id_col, text_col, lang_col, settings, once=True)
-    out = scores.join(F.broadcast(language_limits(scores, settings)), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # four numbers a language
+    with scratch(documents.sparkSession):
+        scores = perplexities(documents, labels, id_col, text_col, lang_col, settings, once=True)
+        limits = cut(language_limits(scores, settings), lasting=True)
+    out = scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # four numbers a language
     drawn = (-F.col("log_p") + F.col("middle") * settings.prior_chars) / (F.col("n") + settings.prior_chars)
     kept = (F.col("n") > 0) & F.coalesce(drawn.between(F.col("low"), F.col("high")), F.lit(True))
     mean = F.when(F.col("n") > 0, -F.col("log_p") / F.col("n"))
@@ -297,6 +303,7 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, id_col: str = "d
 
 
 def keep_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
-    """The input rows, all columns, whose id has no rejected row; rows without an id stay."""
+    """The input rows, all columns of any names, whose id has no rejected row; rows without an id stay."""
     out = quality_classifier(documents, labels, id_col, text_col, lang_col, settings)
-    return documents.join(out.where(~F.col("kept")).select(F.col(id_col).alias("_rejected")).distinct(), F.col(id_col) == F.col("_rejected"), "left_anti")
+    rejected = out.where(~F.col("kept")).select(F.col(id_col).alias("_rejected")).distinct()
+    return documents.join(rejected, documents[id_col] == rejected["_rejected"], "left_anti")
