@@ -56,3 +56,15 @@ def test_stages(spark, small):
 def test_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_dedup", "substring_dedup", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows(spark, odd, none, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names go through every stage; so does an empty table."""
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/odd")
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
