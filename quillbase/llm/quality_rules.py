@@ -19,23 +19,26 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
-# Frequent function words of the four languages.
-STOP_WORDS = (
-    "a an and are as at be by for from had has have he her his in is it its not of on or she that the their "
-    "they this to was were which who will with you "
-    "au aux avec ce ces cette dans de des du elle elles en est et il ils je la le les leur mais ne nous on ou par "
-    "pas plus pour qu que qui sa se ses son sur un une vous "
-    "aber als am an auch auf aus bei bin bis das dass dem den der des die du ein eine einem einen einer er es "
+# Frequent function words by language.
+STOP_WORDS = {
+    "en": "a an and are as at be by for from had has have he her his in is it its not of on or she that the their "
+    "they this to was were which who will with you",
+    "fr": "au aux avec ce ces cette dans de des du elle elles en est et il ils je la le les leur mais ne nous on ou par "
+    "pas plus pour qu que qui sa se ses son sur un une vous",
+    "de": "aber als am an auch auf aus bei bin bis das dass dem den der des die du ein eine einem einen einer er es "
     "für hat ich ihr im in ist mit nach nicht noch oder sein sich sie sind so über um und uns von vor war was wie "
-    "wir zu zum zur "
-    "al como con cuando de del donde el ella en entre era es esta este fue ha hay la las lo los más me mi muy no "
-    "nos o para pero por que se ser si sin sobre son su sus también te tiene un una y ya"
-).split()
+    "wir zu zum zur",
+    "es": "al como con cuando de del donde el ella en entre era es esta este fue ha hay la las lo los más me mi muy no "
+    "nos o para pero por que se ser si sin sobre son su sus también te tiene un una y ya",
+}
+#: All of them, small and with a capital: texts of one language quote others.
+ALL_STOP_WORDS = sorted({f(w) for words in STOP_WORDS.values() for w in words.split() for f in (str, str.capitalize)})
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``low`` <= 100 * measure / of <= ``high``, judged for texts of ``from_words`` words or more."""
+    """``low`` <= 100 * measure / of <= ``high``, judged for texts of ``from_words`` words or more and, if ``listed``, only in
+    languages that have stop words."""
 
     name: str
     measure: str
@@ -43,13 +46,14 @@ class Rule:
     low: int | None = None
     high: int | None = None
     from_words: int = 0
+    listed: bool = False
 
 
 RULES = (
     Rule("mean word length", "word_chars", "n_words", low=200, high=2000),
     Rule("symbols per word", "n_symbols", "n_words", high=30),
     Rule("capitals per letter", "n_capitals", "word_chars", high=40),
-    Rule("stop words per word", "n_stop_words", "n_words", low=5, from_words=50),
+    Rule("stop words per word", "n_stop_words", "n_words", low=5, from_words=50, listed=True),
     Rule("repeated lines per line", "n_dup_lines", "n_lines", high=50),
 )
 
@@ -64,31 +68,33 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
             holds = holds & (share >= of * rule.low)
         if rule.high is not None:
             holds = holds & (share <= of * rule.high)
-        verdict = verdict & (holds if not rule.from_words else (F.col("n_words") < rule.from_words) | holds)
+        holds = holds if not rule.from_words else (F.col("n_words") < rule.from_words) | holds
+        verdict = verdict & (holds | ~F.col("listed") if rule.listed else holds)
     return verdict
 
 
-def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), lang_col: str | None = None) -> DataFrame:
     """The measures of every whole text; a null text is treated as empty.
 
     Each ``select`` names an array that later ones use more than once, so it is computed once. Windows
     are compared by 64-bit hashes within one text; positions are sorted only in texts that repeat one.
     """
     gap, word = f"[{SPACE_CLASS}]+", f"[^{SPACE_CLASS}]"
-    stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
     kept = [F.col(c) for c in keep]
-    df = documents.select(*kept, F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = df.select(*kept, "_id", "_text", F.array_remove(F.split("_text", gap), "").alias("_words"), F.split("_text", "\n").alias("_lines"))
+    listed = F.coalesce(F.col(lang_col).isin(*STOP_WORDS), F.lit(False)) if lang_col else F.lit(True)
+    df = documents.select(*kept, F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), listed.alias("listed"))
+    df = df.select(*kept, "_id", "listed", "_text", F.array_remove(F.split("_text", gap), "").alias("_words"), F.split("_text", "\n").alias("_lines"))
     df = df.select(
         *kept,
         "_id",
+        "listed",
         "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("_text", "[^A-ZÀ-ÖØ-Þ]+", "")).cast("long").alias("n_capitals"),
         F.filter("_lines", lambda x: x.rlike(word)).alias("_full"),
-        F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_words", lambda w: w.isin(ALL_STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     df = df.withColumns(
         {
@@ -118,22 +124,26 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.withColumn("n_repeat_words", repeats).drop("_places").withColumnRenamed("_id", id_col if id_col not in keep else "_id")
 
 
-def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), lang_col: str | None = "lang") -> DataFrame:
     """One row per input row: ``id_col``, the measures, ``base_failed`` and ``kept``.
 
+    The stop-word rule is judged in languages that have stop words here; without a column ``lang_col``, or with None, every
+    text is taken for one of those.
+
     ``base_failed``: fewer than 20 words, or more than 30 per cent of the words stand in 8-word windows
     found twice or more. ``kept``: not base_failed, and every rule holds. A null or empty text has no
     words and fails. Null ids and repeated rows are judged like any other row; further columns of the
     input are ignored unless ``keep`` names them; an empty table gives an empty table.
     """
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return measure(documents, id_col, text_col, keep).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    lang = lang_col if lang_col in documents.columns else None
+    return measure(documents, id_col, text_col, keep, lang).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
-def keep_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def keep_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, lang_col: str | None = "lang") -> DataFrame:
     """The input rows, all columns, that the rules keep; no shuffle."""
     names = documents.columns
-    held = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_body"))
-    judged = quality_rules(held, "_key", "_body", rules, keep=("_row",)).withColumn("_task", F.spark_partition_id())
+    held = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_body"), (F.col(f"`{lang_col}`") if lang_col in names else F.lit("en")).cast("string").alias("_lang"))
+    judged = quality_rules(held, "_key", "_body", rules, keep=("_row",), lang_col="_lang").withColumn("_task", F.spark_partition_id())
     # the partition number keeps the filter above the projection: moved below, it would repeat every measure for each use
     return judged.where(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")

@@ -77,16 +77,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({*rules.STOP_WORDS, *(w.capitalize() for w in rules.STOP_WORDS)}))
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in rules.ALL_STOP_WORDS)
+_LISTED = ", ".join(f"'{x}'" for x in rules.STOP_WORDS)
 
 OP3_SQL = rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s, coalesce(lang IN ({_LISTED}), false) AS listed FROM documents),
 w AS (
-  SELECT doc_id, s, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  SELECT doc_id, s, listed, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM t),
 m AS (
-  SELECT doc_id, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT doc_id, ws, listed, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          length(regexp_replace(s, '[^A-ZÀ-ÖØ-Þ]+', '', 'g'))::BIGINT AS n_capitals,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -102,7 +103,7 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * word_chars >= 200 * n_words AND 100 * word_chars <= 2000 * n_words
        AND 100 * n_symbols <= 30 * n_words AND 100 * n_capitals <= 40 * word_chars
-       AND (n_words < 50 OR 100 * n_stop >= 5 * n_words) AND 100 * n_dup_lines <= 50 * n_lines AS kept
+       AND (NOT listed OR n_words < 50 OR 100 * n_stop >= 5 * n_words) AND 100 * n_dup_lines <= 50 * n_lines AS kept
 FROM b
 """
 

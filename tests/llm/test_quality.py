@@ -46,6 +46,9 @@ def test_rules_keep_prose_and_drop_junk(spark):
     rows = [(1, prose), (2, " | ".join(words)), (3, "%% ".join(words)), (4, (" ".join(words) + "!! ").upper()), (5, "Der " * 60), (6, "xq zv " * 3 + " ".join(f"w{i}" for i in range(60)))]
     kept = quality_rules.keep_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [1]
+    other = " ".join(f"slovo{i}{'abcdefghij'[i % 10]}" for i in range(80))  # no stop words: judged only where there is a list
+    rows = [(1, other, "cs"), (2, other, "en"), (3, other, None)]
+    assert [r.doc_id for r in quality_rules.keep_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()] == [1, 3]
 
 
 def brute_kneser_ney(texts, order):
