@@ -91,3 +91,12 @@ def test_source_errors(spark):
     r = signal.merge_source_errors(df, F.array(F.lit("book"), F.lit("candles"))).first()
     assert r.blockers == ["a", "book source unavailable", "candles source unavailable"] and r.regime_blockers == ["candles source unavailable"]
     assert not r.data_complete and not r.regime_passes
+
+
+def test_infinite_numbers_are_malformed(spark):
+    inf = float("inf")
+    row = spark.createDataFrame([(0, 3_599_999, 1.0, inf, 1.0, 1.0, 1.0)], "t long, t_end long, o double, h double, l double, c double, v double")
+    assert row.select(timeseries.row_reasons(F.struct("*")).alias("r")).first().r == ["hourly candle is malformed"]
+    paid = spark.createDataFrame([(1, 3_600_001, inf), (1, 3_600_001, -inf), (1, 3_600_001, 0.1)], "n long, time long, rate double")
+    said = paid.select(signal.funding_error(F.col("n"), F.col("time"), F.col("rate"), F.lit(0), 120_000).alias("e")).collect()
+    assert [r.e for r in said] == ["post-signal funding settlement is not finite"] * 2 + [None]
