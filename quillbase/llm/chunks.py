@@ -111,8 +111,11 @@ def encoder(tokenizer_file: str, word_level: bool = False) -> Callable[[list[str
     marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?\n"}
 
     def word(piece: str) -> list[int]:
-        piece = piece.strip(" ").lower() if word_level else piece
-        return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(letters)
+        elif piece[0] == " ":  # of ASCII, only the space has another letter
+            piece = letters[32] + piece[1:]
+        return [t.id for t in tokenize(piece)]
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # every piece once, in flat arrays: plain words and marks, then the other chunks, which have negative numbers at first
@@ -127,6 +130,8 @@ def encoder(tokenizer_file: str, word_level: bool = False) -> Callable[[list[str
             made = 0
             for piece in m.groups():
                 if piece:
+                    if word_level:
+                        piece = piece.strip(" ").lower()
                     k = known.get(piece)
                     if k is None:
                         k = known[piece] = len(known)

@@ -61,6 +61,13 @@ class Pairs:
     def _weight(self, places: np.ndarray) -> np.ndarray | None:
         return None if self.weights is None else self.weights[places]
 
+    def _distinct(self, *places: np.ndarray) -> np.ndarray:
+        """Places in order, each once: marking them is cheaper than hashing or sorting them."""
+        marked = np.zeros(self.n, dtype=bool)
+        for some in places:
+            marked[some] = True
+        return np.flatnonzero(marked)
+
     def _enter(self, places: np.ndarray) -> None:
         """Number the frequent ones of the pairs at ``places``."""
         numbers, names = pd.factorize((self.symbol[places].astype(np.int64) << 32) | self.symbol[self.after[places]])
@@ -75,7 +82,7 @@ class Pairs:
         """One round; whether there was a frequent pair. Where occurrences overlap, the more frequent pair wins; pairs that win
         fewer than ``MIN_COUNT`` places wait for the next round. The most frequent pair is replaced everywhere, so
         rounds come to an end."""
-        here = np.unique(self.places[self.pair[self.places] >= 0])  # a place enters again for each new pair
+        here = self._distinct(self.places[self.pair[self.places] >= 0])  # a place enters again for each new pair
         numbers = self.pair[here]
         # of a run of equals, in which one pair begins at each place, every second place can be replaced
         follows = np.append(False, (self.after[here[:-1]] == here[1:]) & (numbers[1:] == numbers[:-1]))[: len(here)]
@@ -120,7 +127,7 @@ class Pairs:
         near = self.before[won]
         near = near[near < self.n]
         self.pair[near] = -1
-        touched = np.unique(np.concatenate([near, won]))
+        touched = self._distinct(near, won)
         self._enter(touched[self.after[touched] < self.n])
         return True
 
