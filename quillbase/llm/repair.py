@@ -107,8 +107,8 @@ class Pairs:
             short = np.flatnonzero((used < MIN_COUNT) & (rank_of[chosen] < len(chosen)))
             if not len(short):
                 break
-            # the less frequent half of the pairs that win too little wait for the next round and stand in nobody's way
-            rank_of[chosen[short[len(short) // 2 :]]] = len(chosen)
+            # the pairs that win too little wait for the next round and stand in nobody's way; the others can only win more places
+            rank_of[chosen[short]] = len(chosen)
             stay = rank_of[numbers] < len(chosen)
             here, numbers, lead = here[stay], numbers[stay], lead[stay]
         enough = rank_of[chosen] < len(chosen)
