@@ -35,12 +35,15 @@ class Settings:
     ``prior_chars``: a text is judged as if so many more characters had its language's median, as the
     mean over a few characters says little. ``few``: a language with fewer distinct trusted texts, whose
     quartiles are unsteady, has at least the quartile distance of all languages' trusted texts.
+    ``held``: one of so many distinct trusted texts, by a hash of the text, is not learned but sets the
+    limits, as the model knows the texts that it has learned better than any new one.
     """
 
     order: int = 4
     reach: float = 6.0
     prior_chars: int = 100
     few: int = 20
+    held: int = 5
 
 
 def _pieces(ids, langs, trusted, keys, texts, order: int, base: int):
@@ -236,10 +239,16 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return once if again.isEmpty() else once.unionByName(rows.join(spread(again), mine, "left_semi").select("text").distinct())
 
 
-def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings(), once: bool = False) -> DataFrame:
+def is_held(held: int):
+    """Whether the trusted text of a key sets limits and is not learned."""
+    return F.pmod(F.col("key"), F.lit(held)) == 0
+
+
+def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings(), once: bool = False, held: int = 0) -> DataFrame:
     """(id, lang, trusted, key, log_p, n) for every input row: the natural log-probability of its n characters; equal texts share a key.
 
     With ``once``, equal trusted texts are counted once, so that a text with many copies is not learned by heart.
+    With ``held``, trusted texts that ``is_held`` names are not learned.
     """
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("_t"))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
@@ -247,6 +256,7 @@ def perplexities(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     if small_enough_to_broadcast(trusted.count(), 16):
         trusted = F.broadcast(trusted)
     learned = rows.join(trusted, F.col("id") == F.col("_t"), "left_semi")
+    learned = learned.where(~is_held(held)) if held else learned
     counted = (distinct_texts(learned) if once else learned.select("text")).mapInArrow(trimmed(_count_rows(settings.order)), "g string, n long")
     counts = cut(counted.groupBy("g").agg(F.sum("n").alias("n")))
     rows = rows.join(trusted, F.col("id") == F.col("_t"), "left").select("id", "lang", F.col("_t").isNotNull().alias("trusted"), "key", "text")
@@ -269,10 +279,14 @@ def _quartiles(cells: DataFrame) -> DataFrame:
 
 
 def language_limits(scores: DataFrame, settings: Settings) -> DataFrame:
-    """(lang, low, middle, high) in nats per character: exact quartiles of distinct trusted texts, on a grid of 0.001."""
+    """(lang, low, middle, high) in nats per character: exact quartiles, on a grid of 0.001, of the distinct trusted texts that
+    were held out, or of all of them in a language with fewer than ``few`` of those."""
     cell = F.round(-F.col("log_p") / F.col("n") * 1000).cast("long")
     texts = scores.where("trusted AND n > 0").groupBy("lang", "key").agg(F.min(cell).alias("cell"))
-    cells = cut(texts.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("k")))
+    new = is_held(settings.held) if settings.held else F.lit(True)
+    counted = cut(texts.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("k"), F.count_if(new).alias("k_new")))
+    enough = F.sum("k_new").over(Window.partitionBy("lang")) >= settings.few
+    cells = counted.select("lang", "cell", F.when(enough, F.col("k_new")).otherwise(F.col("k")).alias("k")).where("k > 0")
     every = cells.groupBy("cell").agg(F.sum("k").alias("k")).withColumn("lang", F.lit(None).cast("string"))
     usual = _quartiles(every).select((F.col("q3") - F.col("q1")).alias("usual"))
     found = _quartiles(cells).withColumnRenamed("lang", "_lang").join(F.broadcast(usual))  # one number
@@ -286,14 +300,15 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, id_col: str = "d
 
     Trusted are the rows whose id has only labels of quality 1. A text is kept if its perplexity per
     character, drawn towards its language's median as ``Settings`` says, lies within its language's
-    limits; trusted texts with copies count once, in the model and in the limits. A null or empty text has a null perplexity and is not kept; a language (null counts as one)
+    limits; trusted texts with copies count once. Most trusted texts make the model and the others, new to it,
+    the limits. A null or empty text has a null perplexity and is not kept; a language (null counts as one)
     without trusted text has null limits and its texts are kept. Rows with a null id are never trusted;
     repeated rows are judged each alike. An empty table gives an empty table; without labels all
     non-empty texts are kept. In a text, the character that marks starts (U+0002) counts as U+FFFD. Tables made on
     the way are deleted; the scores last.
     """
     with scratch(documents.sparkSession):
-        scores = perplexities(documents, labels, id_col, text_col, lang_col, settings, once=True)
+        scores = perplexities(documents, labels, id_col, text_col, lang_col, settings, once=True, held=settings.held)
         limits = cut(language_limits(scores, settings), lasting=True)
     out = scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # four numbers a language
     drawn = (-F.col("log_p") + F.col("middle") * settings.prior_chars) / (F.col("n") + settings.prior_chars)

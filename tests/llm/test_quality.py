@@ -151,6 +151,20 @@ def test_copies_of_a_trusted_text_leave_limits_alone(spark, sf_dir):
     assert tuple(limits(many)) == pytest.approx(tuple(limits(one)))
 
 
+def test_limits_come_from_texts_that_were_not_learned(spark):
+    scores = [("en", True, i, -200.0 - i / 10 if i % 5 == 0 else -100.0, 100) for i in range(200)]
+    got = quality_classifier.language_limits(spark.createDataFrame(scores, "lang string, trusted boolean, key long, log_p double, n long"), quality_classifier.Settings())
+    assert got.first().middle == pytest.approx(2.095, abs=0.01)
+
+
+def test_held_out_texts_are_not_learned(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = docs.where(F.pmod(F.xxhash64("text"), F.lit(5)) == 0).select("doc_id")
+    some = quality_classifier.perplexities(docs, labels, once=True, held=5).select("id", "log_p")
+    less = quality_classifier.perplexities(docs, labels.join(held, "doc_id", "left_anti"), once=True).select("id", "log_p")
+    assert {r.id: r.log_p for r in some.collect()} == pytest.approx({r.id: r.log_p for r in less.collect()})
+
+
 def test_few_trusted_texts_have_the_usual_distance(spark):
     scores = [("en", True, i, -100.0 - i, 100) for i in range(40)] + [("fr", True, 99, -200.0, 100)]
     got = quality_classifier.language_limits(spark.createDataFrame(scores, "lang string, trusted boolean, key long, log_p double, n long"), quality_classifier.Settings())
