@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm import chat, licenses
+from quillbase.llm import chat, filter_audit, importance, licenses, lm_scoring
 from quillbase.llm import media, merge_replay
 from quillbase.llm import near_dedup as near
 from quillbase.llm import packing
@@ -210,6 +210,80 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.encode_decode(table, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's words."""
+    return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i))),
+texts AS (SELECT 'd' AS kind, doc_id, row_number() OVER () AS uid, text FROM documents UNION ALL SELECT 'b', NULL, -row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT kind, uid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM texts),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+buckets AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(h) // 2 + 1), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::BIGINT),
+         lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM hexed, crc),
+counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS big_s, coalesce(sum(t), 0)::DOUBLE AS big_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (big_s + 10000) / ((s + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT uid, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY uid),
+scores AS (
+  SELECT doc_id, uid, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (uid) WHERE kind = 'd'),
+places AS (
+  SELECT uid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scores LEFT JOIN places USING (uid)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all 120 orders, by language."""
+    return filter_audit.filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY s) AS least FROM t),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(s, '[^A-Z]+', '', 'g')) > 3 * length(s))::INT + 8 * regexp_matches(s, '[#$%&*|]')::INT
+         + 16 * coalesce(least < w.doc_id, false)::INT AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+letter(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS earlier FROM orders, range(1, 6) AS r(i)),
+r AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER ((mask & (earlier | bit)) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & earlier) = 0), 0) AS removed,
+         coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & earlier) <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER ((mask & bit) <> 0 AND (mask & earlier) = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER ((mask & bit) <> 0 AND (mask & earlier) = 0), 0) AS toxic_lost
+  FROM steps, cells GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the corpus's own model, beside that of single words."""
+    return lm_scoring.score_documents(load(spark, sf_dir, "documents"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": op2_license_scans,
@@ -221,6 +295,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -229,4 +306,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL,
     "op8_near_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
