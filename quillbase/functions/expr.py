@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
+# The address of an online document.
 DOC_URL = r"(?i)https?://docs\.google\.com/document/(?:u/\d+/)?d/([A-Za-z0-9_-]+)"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -101,12 +102,19 @@ def spread_bps(bid: Column, ask: Column) -> Column:
     return F.when((bid > 0) & (ask > bid), (ask - bid) / ((ask + bid) / 2) * 10_000)
 
 
-def media_extension(mime: Column) -> Column:
-    """File extension of an image's media type, ``.bin`` for others."""
-    # Media types and their extensions.
-    known = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
+# The types of images that pages hold, and their extensions.
+IMAGE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/svg+xml": ".svg"}
+IMAGE_EXTENSIONS = {"png": ".png", "jpg": ".jpg", "jpeg": ".jpg", "gif": ".gif", "svg": ".svg"}
+
+
+def media_extension(mime: Column, url: Column | None = None) -> Column:
+    """File extension of an image's media type; of another type that of its address, if one is given and it is an image's, else ``.bin``."""
     out = F.lit(".bin")
-    for kind, extension in known.items():
+    if url is not None:
+        own = F.lower(F.regexp_extract(url, r"[^/]\.([^./]*)$", 1))
+        for said, extension in IMAGE_EXTENSIONS.items():
+            out = F.when(own == said, extension).otherwise(out)
+    for kind, extension in IMAGE_TYPES.items():
         out = F.when(mime == kind, extension).otherwise(out)
     return out
 

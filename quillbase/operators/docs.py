@@ -1,20 +1,19 @@
-"""Document trees to Markdown and pages, link graphs, slugs, images."""
+"""Document trees to Markdown and pages, links, images."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.functions.expr import content_name, decode_base64, doc_id, html_escape, media_extension, slug_or
-from quillbase.session import checkpoint_folder
+from quillbase.functions.expr import DOC_URL, content_name, decode_base64, doc_id, html_escape, media_extension, slug_or
 
 RUN = "struct<content:string,textStyle:struct<link:struct<url:string>>>"
 ELEMENT = f"struct<textRun:{RUN},inlineObjectElement:struct<inlineObjectId:string>>"
 PARAGRAPH = f"struct<bullet:struct<listId:string>,paragraphStyle:struct<namedStyleType:string>,elements:array<{ELEMENT}>>"
 OBJECT = "struct<inlineObjectProperties:struct<embeddedObject:struct<imageProperties:struct<contentUri:string>>>>"
 TREE = f"struct<body:struct<content:array<struct<paragraph:{PARAGRAPH}>>>,inlineObjects:map<string,{OBJECT}>>"
-# The address of an online document, here inside a Markdown link.
-_MD_LINK = r"\[([^\]]+)\]\(\s*(https?://docs\.google\.com/document/(?:u/\d+/)?d/([A-Za-z0-9_-]+)[^)]*)\s*\)"
+#: A Markdown link to an online document.
+_MD_LINK = rf"\[([^\]]+)\]\(\s*({DOC_URL}[^)]*)\s*\)"
 
 
 def _route(url: Column, text: Column) -> Column:
@@ -109,41 +108,8 @@ def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return rows.select(key, "pos", F.regexp_extract("a", anchor, 1).alias("href"), F.regexp_extract("a", anchor, 2).alias("text"))
 
 
-def reach(edges: DataFrame, root: object, max_levels: int = 1_000_000) -> DataFrame:
-    """(node, depth) of every node that ``root`` reaches, breadth first; each level is checkpointed.
-
-    A join of the frontier with the edges, an anti join with what was seen, until a level is empty. Rows
-    grow with the nodes, and the driver sees one Boolean a level.
-    """
-    spark = edges.sparkSession
-    checkpoint_folder(spark)
-    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    frontier = spark.createDataFrame([(root, 0)], f"node {dict(edges.dtypes)['src']}, depth int")
-    seen = frontier
-    for level in range(1, max_levels):
-        found = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
-
-
-def first_seen(links: DataFrame, depths: DataFrame) -> DataFrame:
-    """(dst, base, n): each target's first link, in order of its source's depth, source and position, with its place among targets of the same slug."""
-    placed = links.join(depths.select(F.col("node").alias("src"), "depth"), "src")
-    first = placed.groupBy("dst").agg(F.min(F.struct("depth", "src", "pos", "slug")).alias("f")).select("dst", "f.*")
-    order = Window.partitionBy("slug").orderBy("depth", "src", "pos", "dst")
-    return first.select("dst", F.col("slug").alias("base"), F.row_number().over(order).alias("n"))
-
-
-def assign_slugs(links: DataFrame, depths: DataFrame) -> DataFrame:
-    """(dst, slug): the first target of a slug has it plain, later ones get -2, -3 and so on, in order of discovery."""
-    named = F.when(F.col("n") > 1, F.concat_ws("-", "base", F.col("n").cast("string"))).otherwise(F.col("base"))
-    return first_seen(links, depths).select("dst", named.alias("slug"))
-
-
 IMG = r'<img[^>]*\ssrc="([^"]+)"'
+IMAGES = "/static/images/"
 
 
 def data_images(html: DataFrame, key: str) -> DataFrame:
@@ -153,7 +119,12 @@ def data_images(html: DataFrame, key: str) -> DataFrame:
     return parts.where("data IS NOT NULL").select("uri", content_name(F.col("data"), media_extension(F.col("mime"))).alias("name"), "data")
 
 
-def localize_images(html: DataFrame, key: str, assets: DataFrame, folder: str = "/images/") -> DataFrame:
+def fetched_images(fetched: DataFrame) -> DataFrame:
+    """(uri, name, data) of landed images (uri, mime, data), named by content; an unknown type takes the address's extension."""
+    return fetched.where("data IS NOT NULL").select("uri", content_name(F.col("data"), media_extension(F.col("mime"), F.col("uri"))).alias("name"), "data")
+
+
+def localize_images(html: DataFrame, key: str, assets: DataFrame, folder: str = IMAGES) -> DataFrame:
     """``html`` with the address of each image that ``assets`` (uri, name) knows replaced by its local one."""
     rows = html.select(key, "html", F.explode_outer(F.array_distinct(F.regexp_extract_all("html", F.lit(IMG), F.lit(1)))).alias("uri"))
     named = rows.join(assets.select("uri", "name"), "uri", "left").groupBy(key).agg(F.first("html").alias("html"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("uri", "name"))).alias("swaps"))
@@ -174,14 +145,16 @@ def with_created(pages: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     return pages.join(known, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def page_folder(is_root: Column, slug: Column) -> Column:
-    """Where a page lives: the site's own folder for the root, else p/<slug>."""
-    return F.when(is_root, "").otherwise(F.concat(F.lit("p/"), slug))
+def page_path(is_root: Column, slug: Column) -> Column:
+    """The file of a page: index.html for the root, else p/<slug>/index.html."""
+    return F.when(is_root, "index.html").otherwise(F.concat(F.lit("p/"), slug, F.lit("/index.html")))
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """Write (slug, html) as text, a folder for each slug; pages of one slug share its folder, and a null html is left out."""
-    pages.where("html IS NOT NULL").select("slug", "html").write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(folder)
+def site_files(pages: DataFrame, assets: DataFrame, folder: str = IMAGES) -> DataFrame:
+    """(path, data) for ``sources.files.write_files``: each of ``pages`` (is_root, slug, html) and each image of ``assets`` (name, data) once,
+    though several addresses may have the same content."""
+    images = assets.groupBy("name").agg(F.first("data").alias("data")).select(F.concat(F.lit(folder.strip("/") + "/"), "name").alias("path"), "data")
+    return pages.select(page_path(F.col("is_root"), F.col("slug")).alias("path"), F.col("html").cast("binary").alias("data")).unionByName(images)
 
 
 def fill_template(template: str, content: Column, nav: Column, updated: Column) -> Column:

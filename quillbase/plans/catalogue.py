@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import expr
-from quillbase.operators import account, activity, docs, ledger, refresh, signal, snapshot, status, supply, timeseries
+from quillbase.operators import account, activity, docs, graph, ledger, refresh, signal, snapshot, status, supply, timeseries
 from quillbase.sources import adapters
 from quillbase.sources.tables import load
 
@@ -541,17 +541,47 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
 r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs.reach(adapters.link_edges(spark, sf_dir), 0)
+    return graph.reach(adapters.link_edges(spark, sf_dir), 0)
+
+
+#: Levels of a search in SQL; the test tables' graphs end before.
+_LEVELS = 9
+_SEARCH = (
+    """e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, (l_partkey * 7919) % 10007 AS pos, 's' || (l_partkey % 97) || ['', '', '-2', '-3', '-2-2'][1 + (l_suppkey + l_partkey) % 5] AS slug FROM lineitem),
+f0 AS (SELECT 0::BIGINT AS node, -1::BIGINT AS rank, 0 AS depth, NULL::VARCHAR AS slug), s0 AS (SELECT * FROM f0 WHERE false)"""
+    + "".join(
+        f""",
+m{k} AS (SELECT dst, min((f{k - 1}.rank, pos, e.slug)) AS x FROM e JOIN f{k - 1} ON e.src = f{k - 1}.node WHERE dst NOT IN (SELECT node FROM s{k - 1}) GROUP BY dst),
+f{k} AS (SELECT dst AS node, (SELECT count(*) FROM s{k - 1}) + row_number() OVER (ORDER BY x[1], x[2], dst) - 1 AS rank, {k} AS depth, x[3] AS slug FROM m{k}),
+s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM f{k})"""
+        for k in range(1, _LEVELS + 1)
+    )
+)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
-r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 12), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node),
-f AS (SELECT dst, depth, src, 'page-' || (dst % 7) AS base FROM e JOIN d ON d.node = e.src QUALIFY row_number() OVER (PARTITION BY dst ORDER BY depth, src) = 1),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY depth, src, dst) AS n FROM f) SELECT dst, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM n""")
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that a search from supplier 0 discovers, by links whose positions aren't the order of their targets; addresses clash within 97 families."""
+    item = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    endings = F.array(*(F.lit(x) for x in ("", "", "-2", "-3", "-2-2")))
+    slug = F.concat(F.lit("s"), F.pmod("dst", F.lit(97)).cast("string"), F.element_at(endings, (1 + F.pmod(F.col("src") + F.col("dst"), F.lit(5))).cast("int")))
+    return graph.discover(item.withColumns({"pos": F.pmod(F.col("dst") * 7919, F.lit(10007)), "slug": slug}), 0)
+
+
+@query(f"WITH {_SEARCH} SELECT node, rank, depth, slug FROM s{_LEVELS}")
+def discovery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovered(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_SEARCH},
+t AS (SELECT node, slug, regexp_extract(slug, '^s[0-9]+') AS family, row_number() OVER (PARTITION BY regexp_extract(slug, '^s[0-9]+') ORDER BY rank) AS i FROM s{_LEVELS}),
+go AS (
+  SELECT DISTINCT family, 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::BIGINT AS node FROM t
+  UNION ALL
+  SELECT go.family, t.i, list_append(used, list_filter([t.slug] || list_transform(range(2, len(used) + 3), lambda k: t.slug || '-' || k), lambda x: NOT list_contains(used, x))[1]), t.node
+  FROM go JOIN t ON t.family = go.family AND t.i = go.i + 1)
+SELECT node, used[-1] AS slug FROM go WHERE node IS NOT NULL""")
 def slug_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = adapters.link_edges(spark, sf_dir)
-    links = edges.select("src", F.col("dst").alias("pos"), "dst", F.concat(F.lit("page-"), F.pmod("dst", F.lit(7)).cast("string")).alias("slug"))
-    return docs.assign_slugs(links, docs.reach(edges, 0))
+    return graph.assign_slugs(_discovered(spark, sf_dir))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")

@@ -1,9 +1,11 @@
 """Document trees, Markdown, HTML, slugs, graph and images."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillbase.functions import expr
 from quillbase.operators import docs
+from quillbase.sources import files
 
 DOC = "https://docs.google.com/document/d/ID1/edit"
 
@@ -46,14 +48,6 @@ def test_html(spark):
     assert html[1].html == ""
 
 
-def test_reach_and_slugs(spark):
-    edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "r"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
-    depths = docs.reach(edges, "r")
-    assert {r.node: r.depth for r in depths.collect()} == {"r": 0, "a": 1, "b": 1, "c": 2}
-    links = spark.createDataFrame([("r", 0, "a", "p"), ("r", 1, "b", "p"), ("b", 0, "c", "p"), ("a", 0, "b", "q")], "src string, pos int, dst string, slug string")
-    assert {r.dst: r.slug for r in docs.assign_slugs(links, depths).collect()} == {"a": "p", "b": "p-2", "c": "p-3"}
-
-
 def test_images(spark):
     page = '<p><img alt="" src="data:image/png;base64,aGVsbG8="><img src="http://k/z.png"><img src="data:image/gif;base64,!!"></p>'
     pages = spark.createDataFrame([(1, page), (2, "none")], "id long, html string")
@@ -61,7 +55,7 @@ def test_images(spark):
     name = assets.first().name
     assert assets.count() == 1 and name == "2cf24dba5fb0a30e.png"
     out = {r.id: r.html for r in docs.localize_images(pages, "id", assets).collect()}
-    assert f'src="/images/{name}"' in out[1] and 'src="http://k/z.png"' in out[1] and out[2] == "none"
+    assert f'src="/static/images/{name}"' in out[1] and 'src="http://k/z.png"' in out[1] and out[2] == "none"
 
 
 def test_page_parts(spark):
@@ -91,11 +85,41 @@ def test_expressions(spark):
     assert one(expr.percent_change(F.lit(1.0), F.lit(0.0))) is None
 
 
-def test_pages_on_disk(spark, tmp_path):
+def test_created(spark):
     pages = spark.createDataFrame([("a", "<p>1</p>", "r"), ("b", None, "s"), ("c", "<p>3</p>", "t")], "slug string, html string, file string")
     dated = docs.with_created(pages, spark.createDataFrame([("r", "2020"), ("r", "2021"), ("x", "2")], "file string, created string"), "file")
     assert sorted((r.slug, r.created) for r in dated.collect()) == [("a", "2020"), ("b", None), ("c", None)]
-    docs.write_pages(pages, str(tmp_path / "site"))
-    assert sorted((r.slug, r.value) for r in spark.read.text(str(tmp_path / "site")).collect()) == [("a", "<p>1</p>"), ("c", "<p>3</p>")]
-    rows = spark.createDataFrame([(True, "a"), (False, "b")], "root boolean, slug string").select(docs.page_folder(F.col("root"), F.col("slug")).alias("p"))
-    assert [r.p for r in rows.collect()] == ["", "p/b"]
+
+
+def test_extensions(spark):
+    rows = [("image/png", "x"), ("text/x", "http://k/a.JPEG"), (None, "http://k/b.svg"), ("image/webp", "http://k/c.png?x=1"), ("x", "http://k.gif/d"), ("x", None)]
+    got = spark.createDataFrame(rows, "mime string, url string").select(expr.media_extension(F.col("mime"), F.col("url")).alias("e")).collect()
+    assert [r.e for r in got] == [".png", ".jpg", ".svg", ".bin", ".bin", ".bin"]
+
+
+def site(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+
+
+def test_site_on_disk(spark, tmp_path):
+    folder = tmp_path / "dist"
+    pages = spark.createDataFrame([(True, None, "<p>root</p>"), (False, "a", "<p>é</p>"), (False, "b", None), (False, "c", "")], "is_root boolean, slug string, html string")
+    assets = spark.createDataFrame([("u1", "n.png", bytearray(b"\x89PNG\n\x00")), ("u2", "n.png", bytearray(b"\x89PNG\n\x00"))], "uri string, name string, data binary")
+    assert files.write_files(docs.site_files(pages, assets), str(folder)) == 4
+    want = {"index.html": b"<p>root</p>", "p/a/index.html": "<p>é</p>".encode(), "p/c/index.html": b"", "static/images/n.png": b"\x89PNG\n\x00"}
+    assert site(folder) == want and [p.name for p in tmp_path.iterdir()] == ["dist"]
+
+    # a task that fails, a path that is no path and a repeated one leave the old site whole
+    bad = spark.createDataFrame([("x.html", "1"), ("y.html", "boom")], "path string, data string")
+    with pytest.raises(Exception, match="boom"):
+        files.write_files(bad.withColumn("data", F.when(F.col("data") == "boom", F.raise_error(F.lit("boom"))).otherwise(F.col("data"))), str(folder))
+    for rows in ([("../x", "1")], [("/x", "1")], [("", "1")], [(None, "1")], [("x", "1"), ("x", "2")]):
+        with pytest.raises(ValueError):
+            files.write_files(spark.createDataFrame(rows, "path string, data string"), str(folder))
+    assert site(folder) == want and [p.name for p in tmp_path.iterdir()] == ["dist"]
+
+    # added files leave what is there; a new site takes the place of all
+    more = spark.createDataFrame([("index.html", "new"), ("z/z.txt", "z")], "path string, data string")
+    assert files.write_files(more, str(folder), add=True) == 1 and site(folder) == want | {"z/z.txt": b"z"}
+    assert files.write_files(more, str(folder)) == 2 and site(folder) == {"index.html": b"new", "z/z.txt": b"z"}
+    assert files.write_files(more.limit(0), str(folder)) == 0 and site(folder) == {}
