@@ -35,6 +35,8 @@ END = np.uint64(0x51ED270B0A1F39C1)
 SLICE_BYTES, CHUNK_TOKENS = 2_000_000, 700_000
 #: Bytes of text to a shard, and training tokens from which a first word is spread over several shards.
 SHARD_BYTES, HOT_TOKENS = 32_000_000, 500_000
+#: Pairs that are looked up in one pass over a trie.
+PASS_PAIRS = 4_000_000
 #: At most so many first words are spread: their table goes to every task.
 MOST_HOT = 1_000_000
 
@@ -287,6 +289,19 @@ def shard_trie(row: dict, model: Model) -> bytes:
     return Trie.build(first, second, share, words, rest)
 
 
+def _groups(row: dict) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """A shard's lists (chunk, first, second), as many at a time as are looked up in one pass over the trie."""
+    held, size = [], 0
+    for chunk, first, second in zip(row["chunk"], row["firsts"], row["seconds"], strict=True):
+        held.append((chunk, np.cumsum(unsqueeze(first)).astype(np.int64), unsqueeze(second).astype(np.int64)))
+        size += len(held[-1][1])
+        if size > PASS_PAIRS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _answer_pairs(model: Model) -> Callable[[Iterator], Iterator]:
     """Each shard's trie (chunk -1), and for each list that was asked the codes of its pairs and contexts."""
 
@@ -296,9 +311,13 @@ def _answer_pairs(model: Model) -> Callable[[Iterator], Iterator]:
                 row = part.slice(k, 1).to_pylist()[0]
                 buffer = shard_trie(row, model)
                 trie, out = Trie(buffer), [(-1, buffer, None)]
-                for chunk, first, second in zip(row["chunk"], row["firsts"], row["seconds"], strict=True):
-                    shares, rest = trie.find(np.cumsum(unsqueeze(first)).astype(np.int64), unsqueeze(second).astype(np.int64))
-                    out.append((chunk, squeeze(shares), squeeze(rest)))
+                for lists in _groups(row):
+                    first, second = (np.concatenate([x[c] for x in lists]) for c in (1, 2))
+                    order = np.lexsort((second, first))
+                    shares, rest = np.empty(len(order), dtype=np.uint16), np.empty(len(order), dtype=np.uint16)
+                    shares[order], rest[order] = trie.find(first[order], second[order])
+                    ends = np.cumsum([len(x[1]) for x in lists])
+                    out += [(x[0], squeeze(shares[e - len(x[1]) : e]), squeeze(rest[e - len(x[1]) : e])) for x, e in zip(lists, ends, strict=True)]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([row["shard"]] * len(out), pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["chunk", "shard", "first", "second"])
 
