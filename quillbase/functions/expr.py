@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 # The address of an online document.
-DOC_URL = r"(?i)https?://docs\.google\.com/document/(?:u/\d+/)?d/([A-Za-z0-9_-]+)"
+DOC_ADDRESS = r"https?://docs\.google\.com/document/(?:u/\d+/)?d/([A-Za-z0-9_-]+)"
+DOC_URL = f"(?i){DOC_ADDRESS}"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.functions.expr import DOC_URL, content_name, decode_base64, doc_id, html_escape, media_extension, slug_or
+from quillbase.functions import markdown
+from quillbase.functions.expr import DOC_ADDRESS, content_name, decode_base64, doc_id, media_extension, slug_or
 
 RUN = "struct<content:string,textStyle:struct<link:struct<url:string>>>"
 ELEMENT = f"struct<textRun:{RUN},inlineObjectElement:struct<inlineObjectId:string>>"
@@ -13,7 +17,7 @@ PARAGRAPH = f"struct<bullet:struct<listId:string>,paragraphStyle:struct<namedSty
 OBJECT = "struct<inlineObjectProperties:struct<embeddedObject:struct<imageProperties:struct<contentUri:string>>>>"
 TREE = f"struct<body:struct<content:array<struct<paragraph:{PARAGRAPH}>>>,inlineObjects:map<string,{OBJECT}>>"
 #: A Markdown link to an online document.
-_MD_LINK = rf"\[([^\]]+)\]\(\s*({DOC_URL}[^)]*)\s*\)"
+_MD_LINK = rf"\[([^\]]+)\]\(\s*({DOC_ADDRESS}[^)]*)\s*\)"
 
 
 def _route(url: Column, text: Column) -> Column:
@@ -41,64 +45,47 @@ def element_text(element: Column, objects: Column) -> Column:
     return F.when(run.isNotNull(), said).otherwise(image)
 
 
-def rewrite_links(markdown: Column) -> Column:
+def rewrite_links(text: Column) -> Column:
     """Links to online documents left in Markdown text become internal routes, by splitting at each one and joining again."""
-    found = F.regexp_extract_all(markdown, F.lit(_MD_LINK), F.lit(0))
-    rest = F.split(markdown, _MD_LINK)
+    found = F.regexp_extract_all(text, F.lit(_MD_LINK), F.lit(0))
+    rest = F.split(text, _MD_LINK)
     routed = F.transform(found, lambda m: F.concat(F.lit("["), F.regexp_extract(m, _MD_LINK, 1), F.lit("]("), _route(F.regexp_extract(m, _MD_LINK, 2), F.regexp_extract(m, _MD_LINK, 1)), F.lit(")")))
     return F.array_join(F.flatten(F.zip_with(rest, F.concat(routed, F.array(F.lit(""))), lambda x, y: F.array(x, y))), "")
 
 
-def to_markdown(docs: DataFrame, key: str, tree: str) -> DataFrame:
-    """``markdown`` of each document tree of type ``TREE``: paragraphs only, in order."""
+def _raw_markdown(tree: str) -> Column:
     objects = F.coalesce(F.col(tree)["inlineObjects"], F.create_map().cast(f"map<string,{OBJECT}>"))
     held = F.filter(F.coalesce(F.col(tree)["body"]["content"], F.array().cast(f"array<struct<paragraph:{PARAGRAPH}>>")), lambda c: c["paragraph"].isNotNull())
     each = lambda c: F.concat(
         paragraph_prefix(c["paragraph"]), F.array_join(F.transform(F.coalesce(c["paragraph"]["elements"], F.array().cast(f"array<{ELEMENT}>")), lambda e: element_text(e, objects)), ""), F.lit("\n")
     )
-    return docs.select(key, rewrite_links(F.array_join(F.transform(held, each), "")).alias("markdown"))
+    return F.array_join(F.transform(held, each), "")
+
+
+def to_markdown(docs: DataFrame, key: str, tree: str) -> DataFrame:
+    """``markdown`` of each document tree of type ``TREE``: paragraphs only, in order."""
+    return docs.select(key, rewrite_links(_raw_markdown(tree)).alias("markdown"))
 
 
 def link_edges(docs: DataFrame, key: str, tree: str) -> DataFrame:
-    """(src, pos, dst, slug): links of text runs to online documents, in order."""
+    """(src, pos, dst, slug): links of text runs to online documents, in order, then those that stand as Markdown in the text."""
     rows = docs.select(key, F.posexplode(F.col(tree)["body"]["content"]).alias("p", "c")).select(key, "p", F.posexplode(F.col("c.paragraph.elements")).alias("q", "e"))
     label = F.regexp_replace(F.coalesce("e.textRun.content", F.lit("")), r"^\s+|\s+$", "")
-    rows = rows.select(F.col(key).alias("src"), "p", "q", doc_id(F.col("e.textRun.textStyle.link.url")).alias("dst"), label.alias("label")).where("dst IS NOT NULL")
-    order = Window.partitionBy("src").orderBy("p", "q")
-    return rows.select("src", (F.row_number().over(order) - 1).alias("pos"), "dst", slug_or(F.col("label"), F.col("dst")).alias("slug"))
-
-
-def inline_html(markdown: Column) -> Column:
-    """Images and links of one escaped line."""
-    image = F.regexp_replace(html_escape(markdown), r"!\[([^\]]*)\]\(([^)\s]*)\)", '<img src="$2" alt="$1" />')
-    return F.regexp_replace(image, r"\[([^\]]*)\]\(([^)\s]*)\)", '<a href="$2">$1</a>')
-
-
-def to_html(docs: DataFrame, key: str, markdown: str = "markdown") -> DataFrame:
-    """``html`` of the subset of Markdown that ``to_markdown`` writes: headings, bullets, paragraphs, links and images.
-
-    Adjacent bullets share a list and adjacent plain lines a paragraph, in array functions only.
-    """
-    lines = F.split(F.regexp_replace(markdown, r"\n+$", ""), "\n")
-    heading, bullet = r"^(#{1,3}) +(.*)$", r"^\* +(.*)$"
-    kind = lambda x: F.when(x == "", "gap").when(x.rlike(heading), "head").when(x.rlike(bullet), "item").otherwise("text")
-    typed = F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), x.alias("line")))
-
-    def block(x: Column, i: Column, all_: Column) -> Column:
-        before, after = F.get(all_, i - 1)["kind"], F.get(all_, i + 1)["kind"]
-        opens, closes = ~before.eqNullSafe(x["kind"]), ~after.eqNullSafe(x["kind"])
-        level = F.length(F.regexp_extract(x["line"], heading, 1)).cast("string")
-        said = inline_html(F.when(x["kind"] == "head", F.regexp_extract(x["line"], heading, 2)).when(x["kind"] == "item", F.regexp_extract(x["line"], bullet, 1)).otherwise(x["line"]))
-        wrap = lambda first, last: F.concat(F.when(opens, first).otherwise(""), said, F.when(closes, last).otherwise("\n"))
-        return (
-            F.when(x["kind"] == "gap", "")
-            .when(x["kind"] == "head", F.concat(F.lit("<h"), level, F.lit(">"), said, F.lit("</h"), level, F.lit(">\n")))
-            .when(x["kind"] == "item", F.concat(F.when(opens, "<ul>\n").otherwise(""), F.lit("<li>"), said, F.lit("</li>\n"), F.when(closes, "</ul>\n").otherwise("")))
-            .otherwise(wrap("<p>", "</p>\n"))
-        )
-
-    staged = docs.select(key, typed.alias("_typed"))
-    return staged.select(key, F.array_join(F.transform("_typed", lambda x, i: block(x, i, F.col("_typed"))), "").alias("html"))
+    runs = rows.select(F.col(key).alias("src"), F.lit(0).alias("kind"), "p", "q", doc_id(F.col("e.textRun.textStyle.link.url")).alias("dst"), label.alias("label")).where("dst IS NOT NULL")
+    left = docs.select(key, F.posexplode(F.regexp_extract_all(_raw_markdown(tree), F.lit(_MD_LINK), F.lit(0))).alias("p", "m"))
+    left = left.select(F.col(key).alias("src"), F.lit(1).alias("kind"), "p", F.lit(0).alias("q"), F.regexp_extract("m", _MD_LINK, 3).alias("dst"), F.regexp_extract("m", _MD_LINK, 1).alias("label"))
+    order = Window.partitionBy("src").orderBy("kind", "p", "q")
+    return runs.unionByName(left).select("src", (F.row_number().over(order) - 1).alias("pos"), "dst", slug_or(F.col("label"), F.col("dst")).alias("slug"))
+
+
+def to_html(docs: DataFrame, key: str, text: str = "markdown") -> DataFrame:
+    """``html`` of Markdown texts, with tables and footnotes; null for null. Whole Arrow batches are rendered in tasks."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part[0], pa.array(map(markdown.to_html, part[1].to_pylist()), pa.string())], names=[key, "html"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, html string")
 
 
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -612,16 +612,32 @@ def formatters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, i = len(ls) - 1 AS final, coalesce(nullif(trim(regexp_replace(ls[i + 1], '[^A-Za-z]+', ' ', 'g')), ''), 'x') AS x FROM (SELECT *, unnest(range(len(ls))) AS i FROM t)),
+m AS (SELECT *, (1 + (i // 5) % 3)::VARCHAR AS h, '/p/' || replace(lower(x), ' ', '-') || '/' AS route, 'http://images/' || doc_id || '.png' AS uri FROM l)
+SELECT doc_id, string_agg(CASE i % 5 WHEN 0 THEN repeat('#', h::INT) || ' ' || x || chr(10) WHEN 1 THEN '[' || x || '](' || route || ') *' || x || '* `a<b`' || chr(10) WHEN 4 THEN chr(10) || '![image](' || uri || ')' || chr(10) || chr(10) ELSE '* ' || x || chr(10) END, '' ORDER BY i) AS markdown,
+string_agg(CASE i % 5 WHEN 0 THEN '<h' || h || '>' || x || '</h' || h || '>' || chr(10) WHEN 1 THEN '<p><a href="' || route || '">' || x || '</a> <em>' || x || '</em> <code>a&lt;b</code></p>' || chr(10)
+  WHEN 2 THEN '<ul>' || chr(10) || '<li>' || x || '</li>' || chr(10) || CASE WHEN final THEN '</ul>' || chr(10) ELSE '' END WHEN 3 THEN '<li>' || x || '</li>' || chr(10) || '</ul>' || chr(10) ELSE '<p><img src="' || uri || '" alt="image" /></p>' || chr(10) END, '' ORDER BY i) AS html
+FROM m GROUP BY doc_id""")
 def docs_to_markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' links as document trees, to Markdown and to HTML."""
-    run = F.transform("links", lambda x: F.struct(F.struct(x["text"].alias("content"), F.struct(F.struct(x["href"].alias("url")).alias("link")).alias("textStyle")).alias("textRun")))
-    links = docs.page_links(load(spark, sf_dir, "pages")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "href", "text"))).alias("links"))
-    tree = F.struct(F.struct(F.array(F.struct(F.struct(run.alias("elements")).alias("paragraph"))).alias("content")).alias("body"))
-    text = F.to_json(tree)
-    rows = links.select("page_id", F.from_json(text, docs.TREE).alias("tree"))
-    marked = docs.to_markdown(rows, "page_id", "tree")
-    return marked.join(docs.to_html(marked, "page_id"), "page_id")
+    """Every document's lines as a tree of headings, linked paragraphs, bullets and images, to Markdown and to HTML."""
+    said = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.coalesce(F.nullif(F.trim(F.regexp_replace(x, "[^A-Za-z]+", " ")), F.lit("")), F.lit("x")))
+    url = F.lit("https://docs.google.com/document/d/ID/edit")
+    run = lambda x, to=None: F.struct(F.struct(x.alias("content"), F.struct(F.struct((F.lit(None).cast("string") if to is None else to).alias("url")).alias("link")).alias("textStyle")).alias("textRun"), F.lit(None).cast("struct<inlineObjectId:string>").alias("inlineObjectElement"))
+    image = F.struct(F.lit(None).cast(docs.RUN).alias("textRun"), F.struct(F.lit("i").alias("inlineObjectId")).alias("inlineObjectElement"))
+
+    def paragraph(x, i):
+        kind = F.pmod(i, F.lit(5))
+        elements = F.when(kind == 1, F.array(run(x, url), run(F.concat(F.lit(" *"), x, F.lit("* `a<b`"))))).when(kind == 4, F.array(image)).otherwise(F.array(run(x)))
+        style = F.concat(F.lit("HEADING_"), (1 + F.pmod(F.floor(i / 5), F.lit(3))).cast("string"))
+        bullet = F.when(kind.isin(2, 3), F.struct(F.lit("l").alias("listId")))
+        return F.struct(F.struct(bullet.alias("bullet"), F.struct(F.when(kind == 0, style).alias("namedStyleType")).alias("paragraphStyle"), elements.alias("elements")).alias("paragraph"))
+
+    uri = F.concat(F.lit("http://images/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    held = F.struct(F.struct(F.struct(F.struct(uri.alias("contentUri")).alias("imageProperties")).alias("embeddedObject")).alias("inlineObjectProperties"))
+    tree = F.struct(F.struct(F.transform(said, paragraph).alias("content")).alias("body"), F.create_map(F.lit("i"), held).alias("inlineObjects"))
+    marked = docs.to_markdown(load(spark, sf_dir, "documents").select("doc_id", tree.alias("tree")), "doc_id", "tree")
+    return docs.to_html(marked.withColumn("id", F.struct("doc_id", "markdown")), "id").select("id.doc_id", "id.markdown", "html")
 
 
 @query("""WITH e AS (SELECT event_type AS name, CAST(epoch_ms(max(ts)) AS BIGINT) AS updated FROM events GROUP BY 1)

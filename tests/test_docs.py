@@ -38,7 +38,7 @@ def test_markdown(spark):
     text = docs.to_markdown(df, "id", "tree").first().markdown
     assert text == "# One\nFour\n* item\n[My Page!](/p/my-page/) and [out](http://e.com)\n[!!](/p/ID1/)\n\n![image](http://x/y.png)\n\nsee [Raw Link](/p/raw-link/)\n\n"
     assert docs.to_markdown(tree(spark), "id", "tree").first().markdown == ""
-    assert [(r.pos, r.dst, r.slug) for r in docs.link_edges(df, "id", "tree").orderBy("pos").collect()] == [(0, "ID1", "my-page"), (1, "ID1", "ID1")]
+    assert [(r.pos, r.dst, r.slug) for r in docs.link_edges(df, "id", "tree").orderBy("pos").collect()] == [(0, "ID1", "my-page"), (1, "ID1", "ID1"), (2, "ID1", "raw-link")]
 
 
 def test_html(spark):
