@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbase.functions import untyped
 from quillbase.functions.expr import finite_number, iso_ms, not_finite
+from quillbase.operators.stored import Scratch
 
 
 def _text(name: str) -> Column:
@@ -24,24 +26,42 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
 
 
 def flatten_orders(rows: DataFrame, key: str) -> DataFrame:
-    """Orders of trees two levels deep, parents before children; a parent with children counts only if it has a ``cloid``.
+    """(key, at, path, order): the orders of trees of any depth, parents before children, from ``orders``, JSON text or VARIANT.
 
-    ``rows`` has ``orders``: an array of structs with ``children``, an array of the same struct without it.
+    An order with children counts itself only if it has a ``cloid``; elements that are neither objects nor arrays are passed over, and so
+    is anything but an array. ``path`` holds the positions from the root. One pass for each level, over that level's orders only.
     """
-    leaf = [f.name for f in rows.schema["orders"].dataType.elementType.fields if f.name != "children"]
-    bare = lambda o: F.struct(*(o[n].alias(n) for n in leaf))
-    kids = lambda o: F.coalesce(o["children"], F.array())
-    own = lambda o: F.when((F.size(kids(o)) == 0) | (F.coalesce(o["cloid"], F.lit("")) != ""), F.array(bare(o))).otherwise(F.array())
-    tree = F.filter("orders", lambda o: o.isNotNull())
-    flat = F.flatten(F.transform(tree, lambda o: F.concat(own(o), F.transform(F.filter(kids(o), lambda k: k.isNotNull()), bare))))
-    return rows.select(key, F.posexplode(flat).alias("at", "o")).select(key, "at", "o.*")
-
-
-def public_orders(rows: DataFrame, key: str) -> DataFrame:
-    """Eleven public fields of each order row; texts that are missing are empty, numbers that are no numbers null."""
+    parsed = F.try_parse_json("orders") if dict(rows.dtypes)["orders"] == "string" else F.col("orders")
+    with Scratch(rows.sparkSession) as scratch:
+        level = rows.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("path"), parsed.alias("held")).where(untyped.kind(F.col("held")) == "array")
+        found = None
+        while True:
+            each = untyped.children(level, "held").select("_key", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("order"))
+            inner = untyped.at(F.col("order"), "$.children")
+            more = (untyped.kind(inner) == "array") & untyped.at(F.col("order"), "$.children[0]").isNotNull()
+            each = each.where(untyped.kind(F.col("order")).isin("object", "array")).withColumns({"more": F.coalesce(more, F.lit(False)), "own": untyped.truthy(untyped.at(F.col("order"), "$.cloid"))})
+            kept = scratch.keep(each, last=True)
+            own = kept.where(~F.col("more") | F.col("own")).select("_key", "path", "order")
+            found = own if found is None else found.unionByName(own)
+            if kept.where("more").isEmpty():
+                break
+            level = kept.where("more").select("_key", "path", untyped.at(F.col("order"), "$.children").alias("held"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("path")) - 1
+    return found.select(F.col("_key").alias(key), place.alias("at"), "path", "order")
+
+
+def order_fields(flat: DataFrame, key: str) -> DataFrame:
+    """The fields of flattened orders that ``public_orders`` takes, as texts and flags, whatever types they were written with."""
+    text = [untyped.text(F.col("order"), f"$.{n}").alias(n) for n in ("coin", "side", "limitPx", "sz", "timestamp", "triggerPx", "triggerCondition", "orderType")]
+    flags = [untyped.truthy(untyped.at(F.col("order"), f"$.{n}")).alias(n) for n in ("reduceOnly", "isTrigger")]
+    return flat.select(key, "at", *text, F.try_variant_get("order", "$.oid", "long").alias("oid"), *flags)
+
+
+def public_orders(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """Eleven public fields of each order row, and the columns ``more``; texts that are missing are empty, numbers that are no numbers null."""
     flag = lambda n: F.coalesce(F.col(n).cast("boolean"), F.lit(False)).alias(n)
     return rows.select(
-        key, _text("coin"), _text("side"), _number("limitPx"), _number("sz"), "oid", _number("timestamp"), _number("triggerPx"), "triggerCondition", flag("reduceOnly"), flag("isTrigger"), "orderType"
+        key, *more, _text("coin"), _text("side"), _number("limitPx"), _number("sz"), "oid", _number("timestamp"), _number("triggerPx"), "triggerCondition", flag("reduceOnly"), flag("isTrigger"), "orderType"
     )
 
 

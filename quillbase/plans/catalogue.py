@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillbase.functions import expr
+from quillbase.functions import expr, untyped
 from quillbase.operators import account, activity, docs, graph, ledger, refresh, signal, snapshot, status, supply, timeseries
 from quillbase.sources import adapters
 from quillbase.sources.tables import load
@@ -506,6 +506,23 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return account.order_rows(account.public_orders(raw, "key"), "key")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS key, l_linenumber AS i, l_partkey AS oid, l_quantity AS q, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+r AS (SELECT key, k AS place, oid, k AS depth, q FROM l WHERE k = n OR oid % 2 = 1 UNION ALL SELECT key, 1000 - k, -oid, k + 1, NULL FROM l WHERE k < n)
+SELECT CAST(key AS BIGINT) AS key, CAST(row_number() OVER (PARTITION BY key ORDER BY place) - 1 AS INT) AS at, CAST(depth AS INT) AS depth, CAST(oid AS BIGINT) AS oid, CAST(q AS DOUBLE) AS sz, CASE WHEN oid % 3 = 0 THEN '7' ELSE 'ZEC' END AS coin FROM r""")
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as deep as they have lines: each line holds the next one and a leaf, in JSON text whose fields have mixed types."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    held = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(line), asc=False).alias("lines"))
+    oid = lambda x: x["l_partkey"].cast("string")
+    coin = lambda x: F.when(x["l_partkey"] % 3 == 0, "7").otherwise('"ZEC"')
+    own = lambda x: F.concat(F.lit('{"oid":'), oid(x), F.lit(',"coin":'), coin(x), F.lit(',"cloid":'), F.when(x["l_partkey"] % 2 == 1, '"c"').otherwise("null"), F.lit(',"sz":"'), x["l_quantity"].cast("string"), F.lit('"'))
+    leaf = lambda x: F.concat(F.lit(',{"oid":-'), oid(x), F.lit(',"coin":'), coin(x), F.lit("}"))
+    tree = F.aggregate("lines", F.lit(""), lambda inner, x: F.concat(own(x), F.when(inner == "", "}").otherwise(F.concat(F.lit(',"children":['), inner, leaf(x), F.lit("]}")))))
+    flat = account.flatten_orders(held.select("key", F.concat(F.lit("[null,"), tree, F.lit("]")).alias("orders")), "key")
+    rows = account.public_orders(account.order_fields(flat, "key").join(flat.select("key", "at", F.size("path").alias("depth")), ["key", "at"]), "key", "at", "depth")
+    return rows.select("key", "at", "depth", "oid", "sz", "coin")
+
+
 @query("""WITH p AS (SELECT o_custkey AS account, sum(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS DOUBLE) ELSE 0 END) AS unrealized, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS m, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gross FROM orders GROUP BY 1)
 SELECT c_custkey AS account, CAST(c_acctbal AS DOUBLE) AS equity, coalesce(unrealized, 0.0) AS unrealized, CASE WHEN c_acctbal <> 0 THEN round(coalesce(gross, 0) / c_acctbal, 2) END AS leverage,
   CASE WHEN c_acctbal <> 0 THEN round(coalesce(gross, 0) / 10 / c_acctbal * 100, 1) ELSE 0 END AS margin_pct, CASE WHEN n IS NULL THEN 'FLAT' ELSE n || ' pos / ' || m || ' ord' END AS exposure
@@ -599,6 +616,20 @@ def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH e AS (SELECT event_type, event_id % 4 AS m, json_extract(props, '$.k') AS k FROM events),
+f AS (SELECT event_type, unnest([('$', 'object'), ('$.k', CASE lower(json_type(k)) WHEN 'ubigint' THEN 'number' WHEN 'bigint' THEN 'number' WHEN 'varchar' THEN 'text' ELSE 'other' END), ('$.who', 'object'), ('$.who.id', CASE WHEN m = 1 THEN 'text' ELSE 'number' END), ('$.tags', CASE WHEN m = 2 THEN 'null' ELSE 'array' END),
+  ('$.tags[]', CASE WHEN m <> 2 THEN 'text' END), ('$.tags[]', CASE WHEN m <> 2 THEN 'boolean' END), ('$.extra', CASE WHEN m = 3 THEN 'boolean' END)]) AS x FROM e)
+SELECT event_type AS kind, x[1] AS path, x[2] AS holds, count(*) AS n FROM f WHERE x[2] IS NOT NULL GROUP BY 1, 2, 3""")
+def untyped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds of values stand at each path of the events' documents: their props, and fields whose type differs from row to row."""
+    m, user = F.pmod("event_id", F.lit(4)), F.col("user_id").cast("string")
+    who = F.concat(F.lit(',"who":{"id":'), F.when(m == 1, F.concat(F.lit('"'), user, F.lit('"'))).otherwise(user), F.lit("}"))
+    tags = F.when(m == 2, ',"tags":null').otherwise(F.concat(F.lit(',"tags":["'), F.col("event_type"), F.lit('",true]')))
+    document = F.concat(F.regexp_replace("props", r"\}\s*$", ""), who, tags, F.when(m == 3, ',"extra":false').otherwise(""), F.lit("}"))
+    rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("_kind"), F.try_parse_json(document).alias("held"))
+    return untyped.field_kinds(rows, "_kind", "held").select(F.col("_kind").alias("kind"), "path", F.col("kind").alias("holds"), "n")
+
+
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS usd, CASE WHEN o_totalprice >= 0 THEN '+' ELSE '' END || printf('%.2f', o_totalprice) || '%' AS pct,
 left('0x' || md5(CAST(o_orderkey AS VARCHAR)), 6) || '…' || right(md5(CAST(o_orderkey AS VARCHAR)), 4) AS address,
 lpad(CAST((o_orderkey % 90000000) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((o_orderkey % 90000000) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((o_orderkey % 90000000) // 1000 % 60 AS VARCHAR), 2, '0') AS left_,

@@ -1,16 +1,54 @@
 """Orders, protection, performance and portfolio vectors."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
+from quillbase.functions import untyped
 from quillbase.operators import account
 
 ORDER = "account long, coin string, side string, sz double, reduce_only boolean, is_trigger boolean, order_type string"
 
 
-def test_flatten(spark):
-    leaf = "coin:string,oid:long,cloid:string"
-    rows = spark.createDataFrame([(1, [("ZEC", 9, None, [("ZEC", 1, None), ("ZEC", 2, None)]), ("A", 3, None, None), ("B", 4, "x", [("B", 5, None)])])], f"account long, orders array<struct<{leaf},children:array<struct<{leaf}>>>>")
-    assert [r.oid for r in account.flatten_orders(rows, "account").orderBy("at").collect()] == [1, 2, 3, 4, 5]
+def recursion(rows):
+    out = []
+    for row in rows if isinstance(rows, list) else []:
+        if isinstance(row, dict):
+            kids = row.get("children") if isinstance(row.get("children"), list) else []
+            if not kids or row.get("cloid"):
+                out.append(row.get("oid"))
+            out += recursion(kids)
+    return out
+
+
+def test_flatten_equals_recursion(spark):
+    rng = random.Random(3)
+
+    def grown(depth):
+        row = {"oid": rng.randrange(10**6), "coin": rng.choice(["ZEC", 7, None]), "cloid": rng.choice(["", "x", 0, 1, None, False, "0"])}
+        if depth and rng.random() < 0.9:
+            row["children"] = rng.choice([[grown(depth - 1) for _ in range(2)]] * 3 + [[], "none", None, [None, 5, grown(depth - 1)]])
+        return row
+
+    trees = [[grown(6) for _ in range(3)] for _ in range(5)] + [[], {"oid": 1}, "text", [None, 3, "x", {"oid": 9}]]
+    texts = [(i, json.dumps(t)) for i, t in enumerate(trees)] + [(50, None), (51, "{broken")]
+    flat = account.flatten_orders(spark.createDataFrame(texts, "account long, orders string"), "account").withColumn("oid", F.try_variant_get("order", "$.oid", "long")).collect()
+    for i, tree in enumerate(trees):
+        assert [r.oid for r in sorted((r for r in flat if r.account == i), key=lambda r: r.at)] == recursion(tree)
+    assert not any(r.account >= 50 for r in flat) and max(len(r.path) for r in flat) >= 6
+    fields = account.order_fields(account.flatten_orders(spark.createDataFrame([(1, '[{"coin": 5, "sz": "2", "limitPx": 1.5, "reduceOnly": 1, "oid": 7, "orderType": {"a": 1}}]')], "account long, orders string"), "account"), "account").first()
+    assert (fields.coin, fields.sz, fields.limitPx, fields.reduceOnly, fields.isTrigger, fields.oid, fields.orderType) == ("5", "2", "1.5", True, False, 7, None)
+
+
+def test_field_kinds(spark):
+    docs = [(1, '{"a": 1, "b": [1, "x", {"c": null}]}'), (1, '{"a": "1", "b": {"c": true}}'), (2, "[]"), (2, None), (2, "no json")]
+    rows = spark.createDataFrame(docs, "g int, j string").select("g", F.try_parse_json("j").alias("v"))
+    got = {(r.g, r.path, r.kind): r.n for r in untyped.field_kinds(rows, "g", "v").collect()}
+    assert got == {
+        (1, "$", "object"): 2, (2, "$", "array"): 1, (1, "$.a", "number"): 1, (1, "$.a", "text"): 1, (1, "$.b", "array"): 1, (1, "$.b", "object"): 1,
+        (1, "$.b[]", "number"): 1, (1, "$.b[]", "text"): 1, (1, "$.b[]", "object"): 1, (1, "$.b.c", "boolean"): 1, (1, "$.b[].c", "null"): 1,
+    }
 
 
 def status(spark, positions, orders):
