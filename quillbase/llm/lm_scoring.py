@@ -34,9 +34,9 @@ from quillbase.llm.lm_trie import Trie, quantise, restore, runs
 END = np.uint64(0x51ED270B0A1F39C1)
 SLICE_BYTES, CHUNK_TOKENS = 2_000_000, 700_000
 #: Bytes of text to a shard, and training tokens from which a first word is spread over several shards.
-SHARD_BYTES, HOT_TOKENS = 32_000_000, 500_000
+SHARD_BYTES, HOT_TOKENS = 16_000_000, 500_000
 #: Pairs that are looked up in one pass over a trie.
-PASS_PAIRS = 4_000_000
+PASS_PAIRS = 1_000_000
 #: At most so many first words are spread: their table goes to every task.
 MOST_HOT = 1_000_000
 
