@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_KIND_OF = {"OBJECT": "object", "ARRAY": "array", "STRING": "text", "BOOLEAN": "boolean", "VOID": "null"} | dict.fromkeys(("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT"), "number")
 KINDS = ("object", "array", "text", "number", "boolean", "null", "other")
 
 
 def kind(value: Column) -> Column:
     """What a VARIANT holds, one of ``KINDS``; null where there is no value at all."""
     said = F.regexp_extract(F.schema_of_variant(value), "^[A-Z_]+", 0)
-    numbers = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
-    out = F.when(said.isin(*numbers), "number")
-    for name, own in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "text"), ("BOOLEAN", "boolean"), ("VOID", "null")):
-        out = out.when(said == name, own)
-    return F.when(value.isNotNull(), out.otherwise("other"))
+    known = F.create_map(*(F.lit(x) for pair in _KIND_OF.items() for x in pair))
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(known, said), F.lit("other")))
 
 
 def at(value: Column, path: str) -> Column:

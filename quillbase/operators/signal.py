@@ -86,7 +86,7 @@ def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: C
     """One row per candle, judged at ``now_ms`` (an expression over the candle): the gates of both streams and their inputs.
 
     candles: series, t, t_end, o, h, l, c, v. funding: series, time, rate. books: series, t, bid, ask. Where
-    the last 25 candles are unsound, only reasons, book and times are set. Partitioned by series throughout.
+    the last 25 candles are unsound, only reasons, book and times are set; ``candle`` is the start of the one judged. Partitioned by series throughout.
     """
     rows = match_funding(with_last_rows(candles), funding, rules.grace_ms)
     quotes = books.select(F.col("series").alias("_s"), F.col("t").alias("_t"), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
@@ -132,7 +132,7 @@ def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: C
         "live_vs_signal", "age_ms",
         held(F.when(strong, "strong_r6").when(passes, "virtual_regime_only").otherwise("not_qualified")).alias("risk_tier"),
         held(F.when(strong, rules.strong_fraction).otherwise(rules.base_fraction)).alias("max_risk_fraction"),
-        "now",
+        "now", F.col("t").alias("candle"),
     )
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import expr, untyped
-from quillbase.operators import account, activity, docs, graph, ledger, refresh, signal, snapshot, status, supply, timeseries
-from quillbase.sources import adapters
+from quillbase.operators import account, activity, docs, graph, ledger, live, refresh, signal, snapshot, status, supply, timeseries
+from quillbase.session import checkpoint_folder
+from quillbase.sources import adapters, landing
 from quillbase.sources.tables import load
 
 AS_OF = "1998-06-01"
@@ -439,7 +441,7 @@ def account_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account", F.array_join("blockers", "; ").alias("blockers"))
 
 
-def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One snapshot per customer, whose orders are its lanes; urgent ones break the contract."""
     text, ms = (lambda c: F.col(c).cast("string")), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     evidence = F.struct(F.lit(1).cast("long").alias("decisions"), F.lit(0).cast("long").alias("terminals"), F.lit(False).alias("failedClosed"), F.lit(False).alias("coverageGapOpen"), F.lit(True).alias("evidenceHealthy"))
@@ -451,11 +453,14 @@ def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = load(spark, sf_dir, "orders").select("o_custkey", ms.alias("ms"), F.struct(F.col("o_orderkey"), lane.alias("lane")).alias("x"))
     rows = rows.groupBy("o_custkey").agg(F.max("ms").alias("publishedAtMs"), F.sort_array(F.collect_list("x")).alias("xs"))
-    rows = rows.select(
+    return rows.select(
         text("o_custkey").alias("key"), F.lit("lanes").alias("schema"), F.lit(1).alias("schemaVersion"), expr.iso_ms(F.col("publishedAtMs")).alias("publishedAt"), "publishedAtMs", F.lit(86_400_000).cast("long").alias("staleAfterMs"),
         F.lit(snapshot.SCOPE).alias("observerScope"), F.lit(snapshot.HEALTH).alias("localDaemonHealth"), F.transform("xs", lambda x: x["lane"]).alias("lanes"), F.pmod("o_custkey", F.lit(3)).alias("k"),
     )
-    return snapshot.publish(rows, "lanes", F.col("publishedAtMs") + F.col("k") * 50_000_000)
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.publish(_snapshots(spark, sf_dir), "lanes", F.col("publishedAtMs") + F.col("k") * 50_000_000)
 
 
 @query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
@@ -475,20 +480,108 @@ def lane_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.lane_rows(_published(spark, sf_dir))
 
 
-@query("""WITH n AS (SELECT c_custkey AS account, c_acctbal AS equity, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)
-SELECT account, '1970-01-01T00:00:01.000Z' AS generated, equity, 'not_required' AS protection, account % 2 = 0 AS signal, CASE WHEN account % 4 = 0 THEN 'partial' ELSE 'ok' END AS source,
-CASE WHEN account % 4 = 0 THEN 'down' END AS error, 'public_exchange_only' AS scope, CASE WHEN n > 0 THEN n END AS later FROM n""")
+# Landed responses of every customer: which feeds are sound goes by its number.
+_NOW = 894_067_260_000  # 1998-05-02T00:01:00Z
+_CUTOFF = 890_000_000_000
+_BAD_CANDLES = {2: "hourly candle OHLCV is invalid", 3: "fewer than 25 completed hourly candles", 4: "latest completed hourly candle is stale", 5: "hourly candle is malformed", 6: "hourly candle timestamps are misaligned; hourly candles are duplicated or gapped"}
+_BAD_FUNDING = {0: "post-signal funding settlement is missing", 1: "duplicate post-signal funding settlements", 2: "post-signal funding settlement timestamp is not immediate"}
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed, key, time, body, error) of all customers: accounts, positions, orders, fills (their orders), cash flows, candles, funding and books."""
+    k, text = F.col("k"), lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    cat, case = (lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))), (lambda n, of, other: _cases(F.pmod(k, F.lit(n)), of, other))
+    last = case(3, {0: "104", 1: "106"}, "103")
+    fill = F.struct(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("time"), "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    owned = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(F.sort_array(F.collect_list(fill)).alias("xs"))
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")).join(owned, F.col("k") == F.col("_k"), "left")
+    position = '[{"position":{"coin":"ZEC","szi":"-2","entryPx":100,"positionValue":"200","unrealizedPnl":"1.5","marginUsed":"40","liquidationPx":null,"leverage":{"value":5}}},{"position":{"coin":"A","szi":"0"}}]'
+    clearing = cat('{"marginSummary":{"accountValue":"', F.when(F.pmod(k, F.lit(12)) == 11, "x").otherwise(text(F.col("bal"))), '","totalMarginUsed":"40","totalNtlPos":200},"withdrawable":"', text(F.col("bal")), '","assetPositions":', case(3, {0: position}, "[]"), "}")
+    trigger = lambda kind: '{"coin":"ZEC","side":"B","sz":"2","limitPx":"9","triggerPx":"8","triggerCondition":"at","reduceOnly":true,"isTrigger":true,"orderType":"%s","oid":%d,"timestamp":5}' % kind
+    nested = '[{"oid":9,"coin":"ZEC","children":[%s,{"oid":10,"children":[%s]}]}]' % (trigger(("Take Profit Market", 1)), trigger(("Stop Market", 2)))
+    asked = case(12, {0: nested, 5: '[{"coin":"ZEC","side":"A","sz":1,"oid":3}]', 9: "{}"}, "[]")
+    fills = F.array_join(F.transform(F.coalesce("xs", F.array()), lambda x: cat('{"time":', text(x["time"]), ',"coin":"', x["o_orderpriority"], '","side":"B","dir":"Open","px":"', text(x["o_totalprice"]), '","sz":1,"closedPnl":"', text(x["o_orderkey"]), '","fee":"z","crossed":', F.when(x["o_orderstatus"] == "F", "true").otherwise("0"), "}")), ",")
+    shift = case(7, {4: 3_600_000}, 0)
+    start = lambda i: F.lit(_NOW - _NOW % HOUR - 25 * HOUR) + i * HOUR - shift + F.when((i == 12) & (F.pmod(k, F.lit(7)) == 6), 1).otherwise(0)
+    close = lambda i: F.when(i == 24, last).otherwise("100")
+    high = lambda i: F.when((i == 12) & (F.pmod(k, F.lit(7)) == 2), "99").otherwise((close(i).cast("int") + 1).cast("string"))
+    said = lambda i: F.when((i == 12) & (F.pmod(k, F.lit(7)) == 5), "x").otherwise(close(i))
+    size = case(11, {0: "100"}, "1000")
+    candle = lambda i: cat('{"t":', text(start(i)), ',"T":', text(start(i) + (HOUR - 1)), ',"o":"', close(i), '","h":"', high(i), '","l":"', (close(i).cast("int") - 1).cast("string"), '","c":"', said(i), '","v":"', size, '"}')
+    candles = cat("[null,", F.array_join(F.transform(F.sequence(F.when(F.pmod(k, F.lit(7)) == 3, 1).otherwise(0), F.lit(24)), candle), ","), "]")
+    paid = lambda late, rate="2e-5": '{"time":%d,"fundingRate":"%s"}' % (_NOW - _NOW % HOUR + late, rate)
+    funding = case(5, {0: "[]", 1: f"[{paid(0)},{paid(5)}]", 2: f"[{paid(200_000)}]", 3: f"[{paid(0, '1e-5')}]"}, f"[{paid(0)}]")
+    mid, half = last.cast("double") * case(9, {6: 1.02}, 1.0), case(9, {7: 5e-4}, 1e-4)
+    book = F.when(F.pmod(k, F.lit(9)) == 0, "{}").otherwise(cat('{"levels":[[{"px":"', text(mid - mid * half), '"}],[{"px":"', text(mid + mid * half), '"}]]}'))
+    flows = case(4, {1: '[{"time":%d},{"time":%d},{"time":"x"}]' % (_CUTOFF, _CUTOFF + 1), 3: '{"a":1}'}, "[]")
+    portfolio = cat('[["day",{"accountValueHistory":[[1,"', text(F.col("bal")), '"],["x",2]],"pnlHistory":[],"vlm":"5"}],"odd"]')
+    bodies = {"clearinghouse": clearing, "orders": asked, "portfolio": portfolio, "fills": cat("[", fills, "]"), "cashflows": flows, "candles": candles, "funding": funding, "book": book}
+    down = {"book": F.pmod(k, F.lit(9)) == 8, "cashflows": F.pmod(k, F.lit(4)) == 2}
+    each = F.array(*(F.struct(F.lit(f).alias("feed"), F.when(~down.get(f, F.lit(False)), b).alias("body"), F.when(down.get(f, F.lit(False)), "HTTP 500").alias("error")) for f, b in bodies.items()))
+    out = rows.select(text(k).alias("key"), k, F.explode(each).alias("x")).select("key", "k", "x.*")
+    out = out.where(~((F.col("feed") == "clearinghouse") & (F.pmod(k, F.lit(12)) == 10)))
+    now = out.select("feed", "key", F.lit(_NOW).cast("long").alias("time"), F.when((F.col("feed") == "portfolio") & (F.pmod(k, F.lit(13)) == 0), "{broken").otherwise(F.col("body")).alias("body"), "error")
+    return now.unionByName(now.where("feed = 'orders'").withColumns({"time": F.lit(_NOW - 86_400_000 * 3).cast("long"), "body": F.lit("{}")}))  # an older one, which doesn't count
+
+
+def _cases(of, said: dict, other):
+    out = F.lit(other)
+    for x, y in said.items():
+        out = F.when(of == x, y).otherwise(out)
+    return out
+
+
+_BAD_SQL = lambda of, said: "CASE " + of + "".join(f" WHEN {x} THEN '{y}'" for x, y in said.items()) + " END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS bal, CASE c_custkey % 3 WHEN 0 THEN 104.0::DOUBLE WHEN 1 THEN 106.0 ELSE 103.0 END AS last FROM customer),
+b AS (SELECT *, CASE WHEN k % 12 = 10 OR k % 12 = 9 THEN 'required public account state is unavailable' WHEN k % 12 = 11 THEN 'required public account state is malformed' END AS error, {_BAD_SQL("k % 7", _BAD_CANDLES)} AS bad, {_BAD_SQL("k % 5", _BAD_FUNDING)} AS unpaid,
+  k % 9 IN (0, 8) AS blind, CASE WHEN k % 9 = 6 THEN last * 1.02 ELSE last END AS m0, CASE WHEN k % 9 = 7 THEN 0.0005::DOUBLE ELSE 0.0001 END AS half, last / 100.0 - 1 AS r6, CASE WHEN k % 5 = 3 THEN 0.00001::DOUBLE WHEN k % 5 = 4 THEN 0.00002 END AS rate,
+  CASE WHEN k % 11 = 0 THEN 100.0::DOUBLE ELSE 1000.0 END AS v FROM c),
+q AS (SELECT *, CASE WHEN NOT blind THEN m0 - m0 * half END AS bid, CASE WHEN NOT blind THEN m0 + m0 * half END AS ask, (2300.0 + last) * v AS volume, bad IS NULL AS sound FROM b),
+s AS (SELECT *, concat_ws('; ', bad, CASE WHEN sound THEN concat_ws('; ', unpaid, CASE WHEN r6 > 0.05 + 1e-12 THEN NULL ELSE 'completed six-hour return is not above 5% for live entry' END, CASE WHEN coalesce(rate, 0) >= 0.00002 THEN NULL ELSE 'post-signal funding settlement is below 0.2 bps' END,
+    CASE WHEN volume >= 1000000 THEN NULL ELSE 'trailing dollar volume is below $1m' END) END, CASE WHEN blind THEN 'top of book is missing or invalid' END, CASE WHEN sound AND (blind OR half > 0.00025) THEN 'top spread exceeds 5 bps' END,
+    CASE WHEN sound AND (blind OR m0 / last NOT BETWEEN 0.985 AND 1.01) THEN 'live price moved outside the frozen entry band' END, CASE WHEN k % 9 = 8 THEN 'book source unavailable' END) AS blockers,
+  concat_ws('; ', bad, CASE WHEN sound THEN concat_ws('; ', unpaid, CASE WHEN r6 > 0.03 + 1e-12 THEN NULL ELSE 'completed six-hour return is not above 3% for the regime stream' END, CASE WHEN coalesce(rate, 0) >= 0.00002 THEN NULL ELSE 'post-signal funding settlement is below 0.2 bps' END) END) AS regime FROM q),
+f AS (SELECT o_custkey AS fk, count(*) AS n, max(CAST(epoch_ms(o_orderdate::TIMESTAMP) AS BIGINT)) AS newest, sum(o_totalprice::DOUBLE) AS px, count(*) FILTER (o_orderstatus = 'F') AS crossed FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 250) GROUP BY 1),
+l AS (SELECT o_custkey AS lk, max(CAST(epoch_ms(o_orderdate::TIMESTAMP) AS BIGINT)) AS published, bool_or(o_orderpriority = '1-URGENT') AS broken, count(*) AS lanes FROM orders GROUP BY 1)
+SELECT k::VARCHAR AS key, error, CASE WHEN error IS NULL THEN '1998-05-02T00:01:00.000Z' END AS generated, CASE WHEN error IS NULL THEN 1 END AS version,
+  CASE WHEN error IS NULL THEN bal END AS equity, CASE WHEN error IS NULL THEN 40.0 END AS margin_used, CASE WHEN error IS NULL THEN 200.0 END AS notional, CASE WHEN error IS NULL THEN (k % 3 = 0)::INT END AS positions, CASE WHEN error IS NULL AND k % 3 = 0 THEN '{{"value":5}}' END AS leverage,
+  CASE WHEN error IS NULL THEN CASE k % 12 WHEN 0 THEN 2 WHEN 5 THEN 1 ELSE 0 END END AS open_orders, CASE WHEN error IS NULL THEN concat_ws('; ', CASE WHEN k % 3 = 0 THEN 'account already has exposure' END, CASE WHEN k % 12 IN (0, 5) THEN 'account already has open orders' END) END AS account_blockers, CASE WHEN error IS NULL THEN k % 3 <> 0 AND k % 12 <> 5 END AS account_gate,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 12 = 0 THEN 'protected' WHEN k % 3 = 0 OR k % 12 = 5 THEN 'unprotected' ELSE 'not_required' END END AS protection,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 12 = 0 THEN '' WHEN k % 3 = 0 THEN 'expected exactly two ZEC protection orders; protection orders must be opposite-side, reduce-only triggers matching the full position size; exactly one take-profit trigger is required; exactly one stop trigger is required'
+    WHEN k % 12 = 5 THEN 'found 1 ZEC order(s) while the account is flat' ELSE '' END END AS protection_blockers,
+  CASE WHEN error IS NULL AND k % 3 = 0 THEN 2.0 END AS position_size, CASE WHEN error IS NULL THEN CASE k % 4 WHEN 0 THEN 'reconciled' WHEN 1 THEN 'cash_flow_reconciliation_required' ELSE 'unavailable' END END AS performance,
+  CASE WHEN error IS NULL THEN CASE k % 4 WHEN 1 THEN 'a deposit, withdrawal, or transfer occurred after the accounting baseline' WHEN 2 THEN 'cash-flow source unavailable: HTTP 500' WHEN 3 THEN 'cash-flow source is malformed' END END AS performance_blocker,
+  CASE WHEN error IS NULL AND k % 4 < 2 THEN k % 4 END AS later_flows, CASE WHEN error IS NULL AND k % 4 = 0 THEN round(bal - 630.5, 4) END AS pnl,
+  CASE WHEN error IS NULL AND k % 13 <> 0 THEN bal END AS worth, CASE WHEN error IS NULL THEN coalesce(n, 0) END AS fills, CASE WHEN error IS NULL THEN newest END AS newest_fill, CASE WHEN error IS NULL THEN round(coalesce(px, 0), 2) END AS fills_px, CASE WHEN error IS NULL THEN coalesce(crossed, 0) END AS crossed,
+  CASE WHEN error IS NULL THEN blockers END AS blockers, CASE WHEN error IS NULL THEN regime END AS regime_blockers, CASE WHEN error IS NULL THEN blockers = '' END AS market_passes, CASE WHEN error IS NULL THEN regime = '' END AS regime_passes, CASE WHEN error IS NULL THEN sound AND unpaid IS NULL AND NOT blind END AS data_complete,
+  CASE WHEN error IS NULL AND sound THEN round(r6, 9) END AS r6, CASE WHEN error IS NULL AND sound THEN round(volume, 3) END AS day_volume, CASE WHEN error IS NULL AND sound THEN rate END AS funding_rate, CASE WHEN error IS NULL THEN round(bid, 6) END AS bid, CASE WHEN error IS NULL THEN round(ask, 6) END AS ask,
+  CASE WHEN error IS NULL AND sound THEN 60001 END AS age_ms, CASE WHEN error IS NULL AND sound THEN CASE WHEN r6 > 0.05 + 1e-12 THEN 'strong_r6' WHEN regime = '' THEN 'virtual_regime_only' ELSE 'not_qualified' END END AS risk_tier, CASE WHEN error IS NULL THEN {_NOW - _NOW % HOUR + HOUR} END AS next_close,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 4 = 2 OR k % 9 = 8 OR k % 13 = 0 THEN 'partial' ELSE 'ok' END END AS source, CASE WHEN error IS NULL AND k % 13 = 0 THEN 'response is not JSON' END AS portfolio_error, CASE WHEN error IS NULL AND k % 9 = 8 THEN 'HTTP 500' END AS book_error,
+  CASE WHEN error IS NULL THEN CASE WHEN lk IS NULL THEN NULL WHEN broken OR published - {_NOW} > 5000 THEN 'unavailable' WHEN {_NOW} - published > 86400000 THEN 'stale' ELSE 'current' END END AS lanes_state, CASE WHEN error IS NULL AND lk IS NOT NULL THEN CASE WHEN broken OR published - {_NOW} > 5000 THEN 0 ELSE lanes END END AS lanes,
+  CASE WHEN error IS NULL THEN 'public_exchange_only' END AS scope, CASE WHEN error IS NULL THEN 'not_publicly_observable' END AS executor
+FROM s LEFT JOIN f ON fk = k LEFT JOIN l ON lk = k""")
 def status_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields read back from the JSON text of each customer's record."""
-    accounts = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("equity"))
-    signals, held = accounts.select("key", (F.col("key") % 2 == 0).alias("passes")), accounts.select("key", F.lit("not_required").alias("status"))
-    later = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("later"))
-    errors = F.when(F.col("key") % 4 == 0, F.create_map(F.lit("book"), F.lit("down")))
-    rows = status.assemble(accounts, signals, held, later, accounts.select("key", F.lit("current").alias("availability")), errors, "key", F.lit(1000).cast("long"))
-    at = lambda path, kind="string": F.get_json_object("j", path).cast(kind)
-    return rows.select("key", F.to_json(F.struct(*rows.columns)).alias("j")).select(
-        F.col("key").alias("account"), at("$.generatedAt").alias("generated"), at("$.account.equity", "double").alias("equity"), at("$.protection.status").alias("protection"), at("$.signal.passes", "boolean").alias("signal"),
-        at("$.sources.publicApi").alias("source"), at("$.sources.errors.book").alias("error"), at("$.status.observerScope").alias("scope"), at("$.account.performance.later", "long").alias("later"),
+    """Every customer's record from responses that are landed by feed and day and read back: each part, or why there is no record."""
+    folder = f"{checkpoint_folder(spark)}/landed-{uuid.uuid4().hex}"
+    landing.land(_responses(spark, sf_dir), folder)
+    found = landing.read_landed(spark, folder, live.FEEDS, _NOW - 86_400_000, _NOW + 1)
+    keys = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    out = live.status_records(keys, found, _snapshots(spark, sf_dir), "lanes", _NOW, 630.5, _CUTOFF)
+    r, a, s, p = F.col("record"), F.col("record.account"), F.col("record.signal"), F.col("record.protection")
+    done = lambda c: F.when(r.isNotNull(), c)
+    earned = a["performance"]
+    return out.select(
+        "key", "error", r["generatedAt"].alias("generated"), r["schemaVersion"].alias("version"), a["equity"].alias("equity"), a["margin_used"].alias("margin_used"), a["notional"].alias("notional"),
+        done(F.size(a["positions"])).alias("positions"), F.get(a["positions"], F.lit(0))["leverage"].alias("leverage"), done(F.size(a["orders"])).alias("open_orders"), F.array_join(a["account_blockers"], "; ").alias("account_blockers"), a["account_gate"].alias("account_gate"),
+        p["status"].alias("protection"), F.array_join(p["blockers"], "; ").alias("protection_blockers"), p["position_size"].alias("position_size"), earned["status"].alias("performance"), earned["blocker"].alias("performance_blocker"), earned["later_cash_flows"].alias("later_flows"), F.round(earned["pnl"], 4).alias("pnl"),
+        F.get(F.get(a["portfolio"], F.lit(0))["accountValueHistory"], F.lit(0))["val"].alias("worth"), done(F.size(a["fills"])).alias("fills"), F.get(a["fills"], F.lit(0))["time"].cast("long").alias("newest_fill"),
+        done(F.round(F.aggregate(a["fills"], F.lit(0.0), lambda t, x: t + x["px"]), 2)).alias("fills_px"), done(F.size(F.filter(a["fills"], lambda x: x["crossed"]))).alias("crossed"),
+        F.array_join(s["blockers"], "; ").alias("blockers"), F.array_join(s["regime_blockers"], "; ").alias("regime_blockers"), s["market_passes"].alias("market_passes"), s["regime_passes"].alias("regime_passes"), s["data_complete"].alias("data_complete"),
+        F.round(s["r6"], 9).alias("r6"), F.round(s["day_volume"], 3).alias("day_volume"), s["funding_rate"].alias("funding_rate"), F.round(s["bid"], 6).alias("bid"), F.round(s["ask"], 6).alias("ask"), s["age_ms"].alias("age_ms"), s["risk_tier"].alias("risk_tier"), s["next_close"].alias("next_close"),
+        r["sources"]["publicApi"].alias("source"), F.try_element_at(r["sources"]["errors"], F.lit("portfolio")).alias("portfolio_error"), F.try_element_at(r["sources"]["errors"], F.lit("book")).alias("book_error"),
+        r["researchLanes"]["availability"].alias("lanes_state"), done(F.size(r["researchLanes"]["lanes"])).alias("lanes"), r["status"]["observerScope"].alias("scope"), r["services"]["executor"].alias("executor"),
     )
 
 
