@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbase.functions import untyped
 from quillbase.functions.expr import HOUR_MS, finite_number, floor_hour, iso_ms, not_finite, spread_bps
 from quillbase.operators.timeseries import dollar_volume, window_reasons, with_last_rows
 
@@ -30,6 +31,12 @@ class Rules:
 
 
 EPSILON = 1e-12
+# Where a strategy document has each number.
+MANIFEST = {
+    "min_return": "rule.minReturnExclusive", "live_return": "rule.liveEntryMinReturnExclusive", "strong_return": "risk.strongReturnExclusive", "min_funding": "rule.minFundingRate", "min_day_volume": "rule.minDayVolumeUsd",
+    "max_spread_bps": "rule.maxSpreadBps", "max_age_ms": "rule.maxSignalAgeMs", "band_low": "rule.minLiveVsSignal", "band_high": "rule.maxLiveVsSignal", "grace_ms": "schedule.fundingSettlementGraceMs",
+    "base_fraction": "risk.baseAccountRiskFraction", "strong_fraction": "risk.strongAccountRiskFraction",
+}
 # The reasons that a signal may give, here and in ``timeseries``.
 NO_FUNDING = "post-signal funding settlement is missing"
 NO_BOOK = "top of book is missing or invalid"
@@ -42,7 +49,7 @@ def settlements(funding: DataFrame) -> DataFrame:
     return timed.groupBy("series", floor_hour(F.col("time")).alias("hour")).agg(F.count(F.lit(1)).alias("n"), first.alias("s")).select("series", "hour", "n", "s.time", "s.rate")
 
 
-def funding_error(n: Column, time: Column, rate: Column, start: Column, grace_ms: int) -> Column:
+def funding_error(n: Column, time: Column, rate: Column, start: Column, grace_ms: Column | int) -> Column:
     """Why the settlement after a candle can't be used, null if it can."""
     end = start + HOUR_MS - 1
     return (
@@ -53,14 +60,21 @@ def funding_error(n: Column, time: Column, rate: Column, start: Column, grace_ms
     )
 
 
+def _with_settlement(candles: DataFrame, funding: DataFrame) -> DataFrame:
+    """Each candle with count, time and rate of the settlements in the hour after it, as ``_n``, ``_time`` and ``_rate``."""
+    found = settlements(funding).select(F.col("series").alias("_s"), (F.col("hour") - HOUR_MS).alias("_t"), F.col("n").alias("_n"), F.col("time").alias("_time"), F.col("rate").alias("_rate"))
+    return candles.join(found, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
+
+
+def _judge_settlement(rows: DataFrame, grace_ms: Column | int) -> DataFrame:
+    out = rows.withColumn("funding_error", funding_error(F.col("_n"), F.col("_time"), F.col("_rate"), F.col("t"), grace_ms))
+    good = F.col("funding_error").isNull()
+    return out.withColumns({"funding_rate": F.when(good, F.col("_rate")), "funding_time": F.when(good, F.col("_time"))}).drop("_n", "_time", "_rate")
+
+
 def match_funding(candles: DataFrame, funding: DataFrame, grace_ms: int = Rules.grace_ms) -> DataFrame:
     """Each candle with the one settlement in the hour after it: ``funding_rate``, ``funding_time``, ``funding_error``."""
-    found = settlements(funding).select(F.col("series").alias("_s"), (F.col("hour") - HOUR_MS).alias("_t"), "n", "time", "rate")
-    out = candles.join(found, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left")
-    error = funding_error(F.col("n"), F.col("time"), F.col("rate"), F.col("t"), grace_ms)
-    out = out.withColumn("funding_error", error)
-    good = F.col("funding_error").isNull()
-    return out.withColumns({"funding_rate": F.when(good, F.col("rate")), "funding_time": F.when(good, F.col("time"))}).drop("_s", "_t", "n", "time", "rate")
+    return _judge_settlement(_with_settlement(candles, funding), grace_ms)
 
 
 def best_prices(book: Column) -> tuple[Column, Column]:
@@ -82,45 +96,89 @@ def failed(*gates: tuple[Column, Column | str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*told)))
 
 
+def _facts(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column) -> DataFrame:
+    """What a rule is judged by, a row a candle: nothing here depends on the rule."""
+    rows = _with_settlement(with_last_rows(candles), funding)
+    quotes = books.select(F.col("series").alias("_s"), F.col("t").alias("_t"), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
+    rows = rows.join(quotes, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
+    rows = rows.withColumns({"now": now_ms, "book_error": F.coalesce(F.when(F.col("book").isNull(), NO_BOOK), F.col("book")["error"])})
+    rows = rows.withColumn("data_reasons", window_reasons(F.col("rows"), F.col("now")))
+    r6 = F.try_divide(F.col("c"), F.get("rows", F.size("rows") - 7)["c"]) - 1
+    volume = F.aggregate(F.slice("rows", -24, 24), F.lit(0.0), lambda s, x: s + dollar_volume(x))
+    held = lambda x: F.when(F.col("sound"), x)
+    rows = rows.withColumn("sound", F.size("data_reasons") == 0)
+    rows = rows.withColumns({"r6": held(r6), "day_volume": F.when(F.col("sound") & (F.size("rows") >= 24), volume), "age_ms": held(F.col("now") - F.col("t_end"))})
+    return rows.withColumn("live_vs_signal", F.when(F.col("sound") & (F.col("c") > 0), F.col("book")["mid"] / F.col("c"))).drop("rows")
+
+
 def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column, rules: Rules = Rules()) -> DataFrame:
     """One row per candle, judged at ``now_ms`` (an expression over the candle): the gates of both streams and their inputs.
 
     candles: series, t, t_end, o, h, l, c, v. funding: series, time, rate. books: series, t, bid, ask. Where
     the last 25 candles are unsound, only reasons, book and times are set; ``candle`` is the start of the one judged. Partitioned by series throughout.
     """
-    rows = match_funding(with_last_rows(candles), funding, rules.grace_ms)
-    quotes = books.select(F.col("series").alias("_s"), F.col("t").alias("_t"), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
-    rows = rows.join(quotes, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
+    given = {f.name: F.lit(getattr(rules, f.name)) for f in fields(Rules)}
+    return _judged(_facts(candles, funding, books, now_ms), given)
+
+
+def evaluate_many(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column, manifest: DataFrame) -> DataFrame:
+    """``evaluate`` for every strategy in one pass: a row per candle and strategy of its series, with ``strategy`` and ``version``.
+
+    ``manifest``: strategy, series, version, valid_from (ms) and the fields of ``Rules``, a row a version. Each signal is judged by the version
+    in force at its ``now``; before a strategy's first version it has no signal. A number that a version lacks fails its gates. What
+    the rules are judged by is computed once for all; the versions of a strategy come as one small array.
+    """
+    names = [f.name for f in fields(Rules)]
+    versions = F.sort_array(F.collect_list(F.struct("valid_from", "version", *names)))
+    sets = manifest.where("valid_from IS NOT NULL").groupBy(F.col("series").alias("_s"), "strategy").agg(versions.alias("_versions"))
+    rows = _facts(candles, funding, books, now_ms)
+    rows = rows.join(sets, F.col("series") == F.col("_s")).drop("_s")
+    rows = rows.withColumn("_rule", F.try_element_at(F.filter("_versions", lambda v: v["valid_from"] <= F.col("now")), F.lit(-1))).where("_rule IS NOT NULL").drop("_versions")
+    return _judged(rows, {n: F.col("_rule")[n] for n in names}, F.col("strategy"), F.col("_rule")["version"].alias("version"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Strategy documents (JSON, one or a list a file) as rows for ``evaluate_many``; a document says from when it holds as ``validFromMs``.
+
+    Fields that no rule has may be there; a number that is missing or none is null.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("held"))
+    listed = untyped.children(files.where(untyped.kind(F.col("held")) == "array"), "held").select(F.col("value").alias("doc"))
+    docs = files.where(untyped.kind(F.col("held")) == "object").select(F.col("held").alias("doc")).unionByName(listed)
+    number = lambda path: finite_number(untyped.text(F.col("doc"), path))
+    kind = {f.name: "long" if isinstance(f.default, int) and f.name.endswith("_ms") else "double" for f in fields(Rules)}
+    return docs.select(
+        untyped.text(F.col("doc"), "$.id").alias("strategy"), untyped.text(F.col("doc"), "$.symbol").alias("series"), untyped.text(F.col("doc"), "$.version").alias("version"),
+        number("$.validFromMs").cast("long").alias("valid_from"), *(number(f"$.{p}").cast(kind[n]).alias(n) for n, p in MANIFEST.items()),
+    )
+
+
+def _judged(rows: DataFrame, rule: dict[str, Column], *more: Column) -> DataFrame:
+    """Gates, reasons and tier of rows of ``_facts`` by a rule's columns."""
+    rows = _judge_settlement(rows, rule["grace_ms"])
     book = lambda k: F.col("book")[k]
-    rows = rows.withColumns({"now": now_ms, "book_error": F.coalesce(F.when(F.col("book").isNull(), NO_BOOK), book("error"))})
-    rows = rows.withColumn("data_reasons", window_reasons(F.col("rows"), F.col("now")))
-    r6 = F.try_divide(F.col("c"), F.get("rows", F.size("rows") - 7)["c"]) - 1
-    volume = F.aggregate(F.slice("rows", -24, 24), F.lit(0.0), lambda s, x: s + dollar_volume(x))
-    sound = F.size("data_reasons") == 0
     held = lambda x: F.when(F.col("sound"), x)
-    rows = rows.withColumn("sound", sound)
-    rows = rows.withColumns({"r6": held(r6), "day_volume": F.when(F.col("sound") & (F.size("rows") >= 24), volume), "age_ms": held(F.col("now") - F.col("t_end"))})
-    rows = rows.withColumn("live_vs_signal", F.when(F.col("sound") & (F.col("c") > 0), book("mid") / F.col("c")))
+    said = lambda text, *xs: F.format_string(text, *xs)
     paid = (F.col("funding_error").isNull(), F.col("funding_error"))
-    enough = (F.col("funding_rate") >= rules.min_funding, f"post-signal funding settlement is below {rules.min_funding * 10_000:.1f} bps")
-    over = lambda bound, use: (F.col("r6") > bound + EPSILON, f"completed six-hour return is not above {bound * 100:.0f}% for {use}")
-    regime = failed(paid, over(rules.min_return, "the regime stream"), enough)
+    enough = (F.col("funding_rate") >= rule["min_funding"], said("post-signal funding settlement is below %.1f bps", rule["min_funding"] * 10_000))
+    over = lambda bound, use: (F.col("r6") > bound + EPSILON, said(f"completed six-hour return is not above %.0f%% for {use}", bound * 100))
+    regime = failed(paid, over(rule["min_return"], "the regime stream"), enough)
     market = failed(
         paid,
-        over(rules.live_return, "live entry"),
+        over(rule["live_return"], "live entry"),
         enough,
-        (F.col("day_volume") >= rules.min_day_volume, f"trailing dollar volume is below ${rules.min_day_volume / 1e6:.0f}m"),
+        (F.col("day_volume") >= rule["min_day_volume"], said("trailing dollar volume is below $%.0fm", rule["min_day_volume"] / 1e6)),
         (F.col("book_error").isNull(), F.col("book_error")),
-        (book("spread_bps") <= rules.max_spread_bps, f"top spread exceeds {rules.max_spread_bps:g} bps"),
-        (F.col("age_ms").between(0, rules.max_age_ms), "completed signal candle is stale"),
-        (F.col("live_vs_signal").between(rules.band_low, rules.band_high), "live price moved outside the frozen entry band"),
+        (book("spread_bps") <= rule["max_spread_bps"], F.concat(F.lit("top spread exceeds "), F.regexp_replace(rule["max_spread_bps"].cast("double").cast("string"), r"\.0$", ""), F.lit(" bps"))),
+        (F.col("age_ms").between(0, rule["max_age_ms"]), "completed signal candle is stale"),
+        (F.col("live_vs_signal").between(rule["band_low"], rule["band_high"]), "live price moved outside the frozen entry band"),
     )
     short = F.array_distinct(F.array_compact(F.concat("data_reasons", F.array("book_error"))))
     rows = rows.withColumns({"regime_blockers": F.when(F.col("sound"), regime).otherwise(F.col("data_reasons")), "blockers": F.when(F.col("sound"), market).otherwise(short)})
-    strong = F.col("r6") > rules.strong_return + EPSILON
+    strong = F.col("r6") > rule["strong_return"] + EPSILON
     passes = F.size("regime_blockers") == 0
     return rows.select(
-        "series",
+        "series", *more,
         (F.col("sound") & F.col("funding_error").isNull() & F.col("book_error").isNull()).alias("data_complete"),
         passes.alias("regime_passes"), "regime_blockers", (F.size("blockers") == 0).alias("market_passes"), "blockers",
         iso_ms(F.col("now")).alias("observed_at"),
@@ -131,7 +189,7 @@ def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: C
         book("bid").alias("bid"), book("ask").alias("ask"), book("mid").alias("mid"), book("spread_bps").alias("spread_bps"),
         "live_vs_signal", "age_ms",
         held(F.when(strong, "strong_r6").when(passes, "virtual_regime_only").otherwise("not_qualified")).alias("risk_tier"),
-        held(F.when(strong, rules.strong_fraction).otherwise(rules.base_fraction)).alias("max_risk_fraction"),
+        held(F.when(strong, rule["strong_fraction"]).otherwise(rule["base_fraction"])).alias("max_risk_fraction"),
         "now", F.col("t").alias("candle"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -342,6 +343,25 @@ def signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series", (F.col("now") - 60_001 - (HOUR - 1)).alias("candle"), "gate", F.round("observed", 6).alias("observed"), "required", "passes")
 
 
+_CHANGE = 1_704_200_000_000
+_LIVE_RULES = replace(RULES, live_return=0.02, strong_return=0.02)
+_BY_RULE = ORACLE_SQL["signal_eval"], ORACLE_SQL["signal_eval"].replace("0.05 + 1e-12", "0.02 + 1e-12").replace("not above 5%", "not above 2%")
+
+
+@query(f"""WITH a AS ({_BY_RULE[0]}), b AS ({_BY_RULE[1]})
+SELECT 'turning' AS strategy, 'v1' AS version, * FROM a WHERE candle + {HOUR + 60_000} < {_CHANGE} UNION ALL SELECT 'turning', 'v2', * FROM b WHERE candle + {HOUR + 60_000} >= {_CHANGE}
+UNION ALL SELECT 'late', 'w1', * FROM b WHERE candle + {HOUR + 60_000} >= {_CHANGE} + 86400000""")
+def signal_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strategies over every series, one of which changes its rules, judged in one pass by the version in force."""
+    candles = _candles(spark, sf_dir)
+    books = candles.select("series", "t", (F.col("c") * 0.9999).alias("bid"), (F.col("c") * 1.0001).alias("ask"))
+    rule = lambda strategy, version, since, rules: F.struct(F.lit(strategy).alias("strategy"), F.lit(version).alias("version"), F.lit(since).cast("long").alias("valid_from"), *(F.lit(x).alias(n) for n, x in asdict(rules).items()))
+    sets = F.array(rule("turning", "v1", 0, RULES), rule("turning", "v2", _CHANGE, _LIVE_RULES), rule("late", "w1", _CHANGE + 86_400_000, _LIVE_RULES))
+    manifest = candles.select("series").distinct().select("series", F.inline(sets))
+    out = signal.evaluate_many(candles, _funding(spark, sf_dir), books, F.col("t_end") + 60_001, manifest)
+    return out.select("strategy", "version", "series", "candle", F.array_join("blockers", "; ").alias("blockers"), F.array_join("regime_blockers", "; ").alias("regime_blockers"), F.round("r6", 9).alias("r6"), "risk_tier")
+
+
 # --- accounts --------------------------------------------------------------------------------------
 
 _NET = """net AS (
@@ -472,6 +492,71 @@ def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, sf_dir).select("key", "availability", "blocker", F.size("lanes").cast("long").alias("lanes"))
 
 
+# Snapshots that break one rule each, by the customer's number ``b`` in its last lane (``hit``); expressions that Spark and DuckDB both read.
+_PRE, _SHUT = "'not_launched_pending_review'", "'invalid_prelaunch_cutoff_identity_mismatch'"
+_LANE_FIELDS = {
+    "id": "CASE WHEN b = 45 THEN 'same' WHEN hit AND b = 8 THEN '' ELSE CAST(o_orderkey AS STRING) END", "name": "CASE WHEN hit AND b = 9 THEN '' ELSE 'order' END", "collectorVersion": "CASE WHEN hit AND b = 10 THEN NULL ELSE 'v1' END", "epochId": "CASE WHEN hit AND b = 11 THEN '' ELSE 'e1' END",
+    "mode": "CASE WHEN hit AND b = 14 THEN 'live' ELSE 'paper' END",
+    "operationalStatus": f"CASE WHEN NOT hit THEN 'running_flat' WHEN b = 12 THEN '' WHEN b = 13 THEN 'odd' WHEN b BETWEEN 29 AND 32 THEN 'running_predecision' WHEN b IN (33, 39) THEN {_PRE} WHEN b = 34 THEN 'rejected_prelaunch_integrity_review' WHEN b IN (35, 41, 48) THEN {_SHUT} ELSE 'running_flat' END",
+    "paperOnly": "NOT (hit AND b = 15)", "liveApproved": "(hit AND b = 16)", "promotionApproved": "(hit AND b = 17)", "quarantined": "CASE WHEN hit AND b = 18 THEN NULL ELSE hit AND b IN (34, 35, 41, 43, 48) END", "crossEpochPoolingAllowed": "(hit AND b = 19)",
+    "observedAtMs": "CAST(CASE WHEN hit AND b = 20 THEN -1 WHEN hit AND b IN (41, 48) THEN NULL WHEN hit AND b = 44 THEN published + 1 ELSE ms END AS BIGINT)", "firstDecisionBoundaryMs": "CAST(CASE WHEN hit AND b = 21 THEN NULL ELSE 0 END AS BIGINT)", "strategyCount": "CAST(CASE WHEN hit AND b = 22 THEN 0 ELSE 1 END AS BIGINT)",
+}
+_EVIDENCE_FIELDS = {
+    "decisions": "CAST(CASE WHEN hit AND b = 24 THEN -1 WHEN hit AND b IN (39, 41, 48) THEN 0 ELSE 1 END AS BIGINT)", "terminals": "CAST(CASE WHEN hit AND b = 25 THEN NULL ELSE 0 END AS BIGINT)", "failedClosed": "CASE WHEN hit AND b = 26 THEN NULL ELSE hit AND b IN (29, 41, 48) END",
+    "coverageGapOpen": "CASE WHEN hit AND b IN (27, 41, 48) THEN NULL ELSE hit AND b = 30 END", "evidenceHealthy": "CASE WHEN hit AND b = 28 THEN NULL ELSE NOT (hit AND b IN (31, 41, 48)) END",
+}
+_SOURCE_FIELDS = {
+    "manifestIdentityValid": "CASE WHEN hit AND b = 36 THEN NULL ELSE NOT (hit AND b IN (42, 48)) END", "manifestSha256": f"CASE WHEN hit AND b = 37 THEN 'zz' WHEN hit AND b = 48 THEN NULL ELSE '{'a' * 64}' END", "stateMaterialSha256": f"CASE WHEN hit AND b = 38 THEN 'ZZ' WHEN hit AND b IN (40, 41, 48) THEN NULL ELSE '{'b' * 64}' END",
+}
+_ALL_FIELDS = ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in (_LANE_FIELDS | _EVIDENCE_FIELDS | _SOURCE_FIELDS).items())
+_ZERO, _FREE = "coalesce(decisions = 0 AND terminals = 0, false)", "coalesce(operationalStatus IN ('not_launched_pending_review', 'rejected_prelaunch_integrity_review', 'invalid_prelaunch_cutoff_identity_mismatch'), false)"
+_CLOSED = f"{_ZERO} AND coalesce(failedClosed, false) AND coverageGapOpen IS NULL AND NOT coalesce(evidenceHealthy, true)"
+_QUIET = "operationalStatus IN ('rejected_prelaunch_integrity_review', 'invalid_prelaunch_cutoff_identity_mismatch')"
+#: The contract again, as what must not be, in order.
+_LANE_RULES = [
+    *((f"coalesce({n}, '') = ''", f".{n} must be a non-empty string") for n in ("id", "name", "collectorVersion", "epochId", "operationalStatus")),
+    ("operationalStatus NOT IN (" + ", ".join(f"'{x}'" for x in snapshot.STATES) + ")", ".operationalStatus is unknown"), ("mode <> 'paper'", ".mode must be paper"), ("NOT paperOnly", ".paperOnly must be true"), ("liveApproved", ".liveApproved must be false"), ("promotionApproved", ".promotionApproved must be false"),
+    ("quarantined IS NULL", ".quarantined must be boolean"), ("crossEpochPoolingAllowed", ".crossEpochPoolingAllowed must be false"), ("observedAtMs < 0", ".observedAtMs is invalid"), ("firstDecisionBoundaryMs IS NULL", ".firstDecisionBoundaryMs is invalid"), ("strategyCount <= 0", ".strategyCount is invalid"),
+    ("hit AND b = 23", ".evidence must be an object"), ("coalesce(decisions, -1) < 0", ".evidence.decisions must be a non-negative integer"), ("coalesce(terminals, -1) < 0", ".evidence.terminals must be a non-negative integer"),
+    *((f"{n} IS NULL AND NOT {_FREE}", f".evidence.{n} must be boolean or an allowed null") for n in ("failedClosed", "coverageGapOpen", "evidenceHealthy")),
+    *((f"operationalStatus = 'running_predecision' AND {n} = {v}", f".evidence.{n} must be {'false' if v == 'true' else 'true'}") for n, v in (("failedClosed", "true"), ("coverageGapOpen", "true"), ("evidenceHealthy", "false"))),
+    (f"operationalStatus = 'running_predecision' AND NOT {_ZERO}", " running_predecision must have zero decisions and terminals"), (f"operationalStatus = {_PRE} AND NOT {_ZERO}", " not-launched lane must have zero decisions and terminals"),
+    (f"operationalStatus = 'rejected_prelaunch_integrity_review' AND NOT ({_CLOSED})", " rejected prelaunch lane must be quarantined with zero evidence"), (f"operationalStatus = {_SHUT} AND NOT ({_CLOSED})", " invalid prelaunch lane must be terminally quarantined with zero evidence"),
+    ("manifestIdentityValid IS NULL", ".source manifest identity flag is invalid"), ("NOT regexp_matches(manifestSha256, '^[0-9a-f]{64}$')", ".source.manifestSha256 is invalid"), ("NOT regexp_matches(stateMaterialSha256, '^[0-9a-f]{64}$')", ".source.stateMaterialSha256 is invalid"),
+    (f"{_FREE} AND (observedAtMs IS NOT NULL OR stateMaterialSha256 IS NOT NULL)", " prelaunch lane must not claim a state observation"), (f"NOT {_FREE} AND (observedAtMs IS NULL OR stateMaterialSha256 IS NULL)", " active lane requires a material state observation"),
+    (f"operationalStatus = {_SHUT} AND (manifestIdentityValid OR manifestSha256 IS NOT NULL)", " invalid prelaunch identity may not publish a manifest hash"), (f"operationalStatus <> {_SHUT} AND (NOT manifestIdentityValid OR manifestSha256 IS NULL)", " requires a valid manifest identity and hash"),
+    (f"({_QUIET}) <> quarantined", ".quarantined disagrees with operational status"),
+]
+_HEAD_RULES = {1: "research snapshot schema is unknown", 2: "research snapshot schema is unknown", 3: "research snapshot publication time is invalid", 4: "research snapshot freshness window is invalid", 5: "research observer scope is invalid", 6: "research snapshot may not claim public daemon health", 7: "research snapshot lanes are missing"}
+
+
+@query(f"""WITH r AS (SELECT o_custkey, o_orderkey, CAST(epoch_ms(o_orderdate::TIMESTAMP) AS BIGINT) AS ms FROM orders),
+o AS (SELECT *, o_custkey % 49 AS b, max(ms) OVER (PARTITION BY o_custkey) AS published, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS hit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM r),
+l AS (SELECT o_custkey, b, hit, i, published, {_ALL_FIELDS} FROM o),
+w AS (SELECT *, CASE {" ".join(f"WHEN {p} THEN '{m}'" for p, m in _LANE_RULES)} END AS wrong FROM l),
+s AS (SELECT o_custkey, any_value(b) AS b, any_value(published) AS published, count(*) AS n, min_by(wrong, i) FILTER (wrong IS NOT NULL) AS wrong, min(i) FILTER (wrong IS NOT NULL) AS place, min(i) FILTER (observedAtMs > published) AS late, count(DISTINCT id) AS ids FROM w GROUP BY 1),
+f AS (SELECT *, CASE b {" ".join(f"WHEN {k} THEN '{m}'" for k, m in _HEAD_RULES.items())} ELSE CASE WHEN wrong IS NOT NULL THEN 'lanes[' || place || ']' || wrong WHEN late IS NOT NULL THEN 'lanes[' || late || '].observedAtMs is after publication' WHEN ids < n THEN 'research snapshot lane ids are duplicated' WHEN b = 46 THEN 'publication time is in the future' END END AS said FROM s)
+SELECT CAST(o_custkey AS VARCHAR) AS key, CASE WHEN said IS NOT NULL THEN 'unavailable' WHEN b = 47 THEN 'stale' ELSE 'current' END AS availability,
+  CASE WHEN said IS NOT NULL THEN 'research lane contract failed closed: ' || said WHEN b = 47 THEN 'published research snapshot is stale; operational claims are hidden' END AS blocker,
+  CASE WHEN said IS NULL THEN n ELSE 0 END AS lanes, CASE WHEN said IS NULL THEN published END AS published, CASE WHEN said IS NULL THEN CASE WHEN b = 47 THEN 86400001 ELSE 0 END END AS age,
+  CASE WHEN said IS NULL THEN CASE WHEN b = 47 THEN 'snapshot_stale' WHEN b = 48 THEN {_SHUT} ELSE 'running_flat' END END AS last_state, CASE WHEN said IS NULL AND b <> 47 THEN CASE WHEN b = 48 THEN 0 ELSE 1 END END AS last_decisions FROM f""")
+def snapshot_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot per customer with orders, each breaking another rule of the contract, or none, or being stale or early."""
+    own, late = Window.partitionBy("o_custkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", late.alias("ms"), F.pmod("o_custkey", F.lit(49)).alias("b"))
+    rows = rows.withColumns({"published": F.max("ms").over(own), "hit": F.col("o_orderkey") == F.max("o_orderkey").over(own)})
+    struct = lambda fields: F.struct(*(F.expr(e).alias(n) for n, e in fields.items()))
+    lane = struct(_LANE_FIELDS).withField("evidence", F.when(~(F.col("hit") & (F.col("b") == 23)), struct(_EVIDENCE_FIELDS))).withField("source", struct(_SOURCE_FIELDS))
+    rows = rows.groupBy(F.col("o_custkey").cast("string").alias("key"), "b", "published").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", lane.alias("lane")))).alias("xs"))
+    is_ = lambda b, x, y: F.when(F.col("b") == b, x).otherwise(y)
+    made = rows.select(
+        "key", is_(1, "other", "lanes").alias("schema"), is_(2, 2, 1).alias("schemaVersion"), expr.iso_ms(F.col("published") + is_(3, 1, 0)).alias("publishedAt"), F.col("published").alias("publishedAtMs"), is_(4, 59_999, 86_400_000).cast("long").alias("staleAfterMs"),
+        is_(5, "x", snapshot.SCOPE).alias("observerScope"), is_(6, "up", snapshot.HEALTH).alias("localDaemonHealth"), is_(7, F.array(), F.transform("xs", lambda x: x["lane"])).alias("lanes"), (F.col("published") + is_(46, -5_001, 0) + is_(47, 86_400_001, 0)).alias("now"),
+    )
+    out, last = snapshot.publish(made, "lanes", F.col("now")), F.try_element_at("lanes", F.lit(-1))
+    return out.select("key", "availability", "blocker", F.size("lanes").cast("long").alias("lanes"), F.col("publishedAtMs").alias("published"), F.col("ageMs").alias("age"), last["operationalStatus"].alias("last_state"), last["evidence"]["decisions"].alias("last_decisions"))
+
+
 @query("""WITH l AS (SELECT o_custkey AS key, o_orderpriority = '1-URGENT' AS live, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
 SELECT CAST(key AS VARCHAR) AS key, CAST(i AS INT) AS at, 'order' AS name, 'v1' AS version, CASE WHEN key % 3 = 2 THEN 'stale' ELSE 'running_flat' END AS status,
   CASE WHEN key % 3 = 2 THEN 'hidden until fresh' ELSE '1 decisions / 0 terminals' END AS evidence, 'PAPER ONLY' AS tag

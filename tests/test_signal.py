@@ -1,10 +1,13 @@
 """Signal vectors: 25 hourly candles, one settlement, one book."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillbase.functions.expr import HOUR_MS
 from quillbase.operators import signal, timeseries
+from quillbase.plans import catalogue
 
 START = 50 * HOUR_MS
 NOW = START + HOUR_MS + 60_000
@@ -100,3 +103,33 @@ def test_infinite_numbers_are_malformed(spark):
     paid = spark.createDataFrame([(1, 3_600_001, inf), (1, 3_600_001, -inf), (1, 3_600_001, 0.1)], "n long, time long, rate double")
     said = paid.select(signal.funding_error(F.col("n"), F.col("time"), F.col("rate"), F.lit(0), 120_000).alias("e")).collect()
     assert [r.e for r in said] == ["post-signal funding settlement is not finite"] * 2 + [None]
+
+
+def test_many_strategies_equal_runs_one_at_a_time(spark, sf_dir, tmp_path):
+    candles = catalogue._candles(spark, sf_dir).where("series < 'e'").cache()
+    funding = catalogue._funding(spark, sf_dir)
+    books = candles.select("series", "t", (F.col("c") * 0.9999).alias("bid"), (F.col("c") * 1.0001).alias("ask"))
+    now = F.col("t_end") + 60_001
+    change = candles.agg(F.percentile_approx("t", 0.5)).first()[0]
+    tight, loose = signal.Rules(), signal.Rules(min_return=-0.5, live_return=0.01, min_funding=0.00001, min_day_volume=1500, max_spread_bps=0.5, grace_ms=600_000, band_high=1.5)
+    names = [r.series for r in candles.select("series").distinct().collect()]
+
+    def document(strategy, series, version, since, rules):
+        out = {"id": strategy, "symbol": series, "version": version, "validFromMs": since, "unknown": [1]}
+        for name, path in signal.MANIFEST.items():
+            section, field = path.split(".")
+            out.setdefault(section, {})[field] = getattr(rules, name)
+        return out
+
+    docs = [document("x", n, "v1", 0, tight) for n in names] + [document("x", n, "v2", change, loose) for n in names] + [document("y", names[0], "w1", change, tight)]
+    (tmp_path / "all.json").write_text(json.dumps(docs[1:]))
+    (tmp_path / "one.json").write_text(json.dumps(docs[0]))
+    got = signal.evaluate_many(candles, funding, books, now, signal.read_manifest(spark, str(tmp_path)))
+    columns = [c for c in got.columns if c not in ("strategy", "version")]
+    runs = {name: signal.evaluate(candles, funding, books, now, rules).select(columns) for name, rules in (("v1", tight), ("v2", loose), ("w1", tight))}
+    want = runs["v1"].where(F.col("now") < change).unionByName(runs["v2"].where(F.col("now") >= change))
+    have = got.where("strategy = 'x'").select(columns)
+    assert have.count() == want.count() > 100 and have.exceptAll(want).isEmpty()
+    later = runs["w1"].where((F.col("now") >= change) & (F.col("series") == names[0]))
+    have = got.where("strategy = 'y'").select(columns)
+    assert have.count() == later.count() > 0 and have.exceptAll(later).isEmpty()
