@@ -66,7 +66,8 @@ def _with_settlement(candles: DataFrame, funding: DataFrame) -> DataFrame:
     return candles.join(found, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
 
 
-def _judge_settlement(rows: DataFrame, grace_ms: Column | int) -> DataFrame:
+def judge_settlement(rows: DataFrame, grace_ms: Column | int) -> DataFrame:
+    """Candles with count, time and rate of their settlements as ``_n``, ``_time`` and ``_rate``, judged: ``funding_rate``, ``funding_time``, ``funding_error``."""
     out = rows.withColumn("funding_error", funding_error(F.col("_n"), F.col("_time"), F.col("_rate"), F.col("t"), grace_ms))
     good = F.col("funding_error").isNull()
     return out.withColumns({"funding_rate": F.when(good, F.col("_rate")), "funding_time": F.when(good, F.col("_time"))}).drop("_n", "_time", "_rate")
@@ -74,7 +75,7 @@ def _judge_settlement(rows: DataFrame, grace_ms: Column | int) -> DataFrame:
 
 def match_funding(candles: DataFrame, funding: DataFrame, grace_ms: int = Rules.grace_ms) -> DataFrame:
     """Each candle with the one settlement in the hour after it: ``funding_rate``, ``funding_time``, ``funding_error``."""
-    return _judge_settlement(_with_settlement(candles, funding), grace_ms)
+    return judge_settlement(_with_settlement(candles, funding), grace_ms)
 
 
 def best_prices(book: Column) -> tuple[Column, Column]:
@@ -155,7 +156,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def _judged(rows: DataFrame, rule: dict[str, Column], *more: Column) -> DataFrame:
     """Gates, reasons and tier of rows of ``_facts`` by a rule's columns."""
-    rows = _judge_settlement(rows, rule["grace_ms"])
+    rows = judge_settlement(rows, rule["grace_ms"])
     book = lambda k: F.col("book")[k]
     held = lambda x: F.when(F.col("sound"), x)
     said = lambda text, *xs: F.format_string(text, *xs)

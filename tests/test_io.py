@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbase.operators import refresh, signal, timeseries
+from quillbase.plans import catalogue
 from quillbase.sources import adapters, feeds
 from quillbase.streaming.candles import stream_candles
+from quillbase.streaming.settlements import match_funding_stream
 
 
 def test_feeds(spark, tmp_path):
@@ -67,3 +69,32 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = timeseries.hourly_candles(points)
     assert got.count() > 0
     assert got.join(batch, ["series", "t", "o", "h", "l", "c", "v", "t_end"], "left_anti").count() == 0
+
+
+def test_settlements_of_streams_equal_the_batch(spark, sf_dir, tmp_path):
+    hour = 3_600_000
+    bars = catalogue._candles(spark, sf_dir).where("series < 'e'").select("series", "t", "t_end", "o", "h", "l", "c", "v")
+    paid = catalogue._funding(spark, sf_dir).where("series < 'e'")
+    paid = paid.unionByName(paid.where("time % 3 = 0"))  # settlements that come twice
+    end = bars.agg(F.max("t")).first()[0] + 100 * hour
+    last = spark.createDataFrame([("end", end, 0.0)], "series string, time long, rate double")  # the watermark passes all others
+    # files in an order of their own: within each, and from one to the next, rows are up to four hours late
+    late = lambda df, time: df.withColumn("_f", F.floor((F.col(time) + F.pmod(F.xxhash64("series", time), F.lit(4)) * hour) / (48 * hour)))
+    parts = {"bars": late(bars, "t"), "paid": late(paid, "time")}
+    for name, df in parts.items():
+        for k, (f,) in enumerate(sorted(df.select("_f").distinct().collect())):
+            df.where(F.col("_f") == f).drop("_f").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "paid"))
+    read = lambda name: spark.readStream.schema(parts[name].drop("_f").schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / name))
+    stream = match_funding_stream(read("bars"), read("paid"), "1000 hours", 600_000)
+    run = stream.writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    got = spark.table("settled")
+    assert got.count() == 0  # nothing is told before the lateness is over
+    last.withColumn("time", F.col("time") + 2000 * hour).write.mode("append").parquet(str(tmp_path / "paid"))
+    stream = match_funding_stream(read("bars"), read("paid"), "1000 hours", 600_000)
+    run = stream.writeStream.format("memory").queryName("settled2").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    got, batch = spark.table("settled2"), signal.match_funding(bars, paid, 600_000)
+    assert got.count() == batch.count() > 100 and batch.select(got.columns).exceptAll(got).isEmpty()
+    assert {r[0] for r in got.select("funding_error").distinct().collect()} >= {None, "post-signal funding settlement is missing", "duplicate post-signal funding settlements"}
