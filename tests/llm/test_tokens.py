@@ -4,6 +4,7 @@ import base64
 import bisect
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -174,3 +175,18 @@ def test_round_trip_odd(odd, none, reference):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert [(r.ids_sha256, r.decoded_sha256) for r in brief] == [(sha(",".join(map(str, reference.encode_ordinary(t))).encode()), sha(t.encode())) for _, t in rows]
     assert merge_replay.encode_decode(none, RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["x", "acgt", "-", "=", "_", "abcdefghijklmnopqrstuvwxyz", "ab", "aeinst", None])
+def test_long_pieces(letters):
+    merges = merge_replay.Merges(merge_replay.load_ranks(RANKS))
+    rng = random.Random(7)
+    drawn = lambda n: bytes(rng.randrange(256) for _ in range(n)) if letters is None else "".join(rng.choice(letters) for _ in range(n)).encode()
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: r for r, t in enumerate(merge_replay.load_ranks(RANKS)) if t}, special_tokens={})
+    piece = drawn(30_000)
+    ids, starts = merges.replay([piece, b"", b"hello", piece[:77]])
+    for i, p in enumerate([piece, b"", b"hello", piece[:77]]):
+        assert ids[starts[i] : starts[i + 1]].tolist() == (library._core_bpe.encode_single_piece(p) if p else [])
+    begin = time.perf_counter()
+    merges.replay([drawn(1_000_000)])
+    assert time.perf_counter() - begin < 15  # it took 33 s for a run of 40,000 when each merge of a piece waited for the one before
