@@ -71,6 +71,11 @@ def short_address(address: Column) -> Column:
     return F.concat(F.left(address, F.lit(6)), F.lit("…"), F.right(address, F.lit(4)))
 
 
+def hex_text(data: Column) -> Column:
+    """Bytes, such as an address, as lower-case hexadecimal digits after 0x; null for null."""
+    return F.concat(F.lit("0x"), F.lower(F.hex(data)))
+
+
 def countdown(ms: Column) -> Column:
     """Milliseconds as HH:MM:SS, not below zero."""
     seconds = F.floor(F.greatest(ms, F.lit(0)) / 1000).cast("long")

@@ -15,7 +15,8 @@ RUN = "struct<content:string,textStyle:struct<link:struct<url:string>>>"
 ELEMENT = f"struct<textRun:{RUN},inlineObjectElement:struct<inlineObjectId:string>>"
 PARAGRAPH = f"struct<bullet:struct<listId:string>,paragraphStyle:struct<namedStyleType:string>,elements:array<{ELEMENT}>>"
 OBJECT = "struct<inlineObjectProperties:struct<embeddedObject:struct<imageProperties:struct<contentUri:string>>>>"
-TREE = f"struct<body:struct<content:array<struct<paragraph:{PARAGRAPH}>>>,inlineObjects:map<string,{OBJECT}>>"
+BODY = f"struct<content:array<struct<paragraph:{PARAGRAPH}>>>"
+TREE = f"struct<body:{BODY},inlineObjects:map<string,{OBJECT}>>"
 #: A Markdown link to an online document.
 _MD_LINK = rf"\[([^\]]+)\]\(\s*({DOC_ADDRESS}[^)]*)\s*\)"
 

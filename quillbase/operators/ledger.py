@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbase.operators.stored import Scratch
+
 GROUP = ("chain", "token")
 SUMMARY = ("holders", "active_7d", "transfers_7d", "volume_7d", "active_30d", "transfers_30d", "volume_30d")
 
@@ -75,8 +77,8 @@ def largest(of: DataFrame, top: int = 10) -> DataFrame:
 
 
 def combined(transfers: DataFrame, as_of: str, top: int = 10) -> DataFrame:
-    """Summaries (rank null) and largest holders (rank set) as one row set."""
-    of = accounts(transfers, as_of)
+    """Summaries (rank null) and largest holders (rank set) as one row set. Accounts are written once, and both are read from that table."""
+    of = Scratch(transfers.sparkSession).keep(accounts(transfers, as_of), last=True)
     return summary(of, as_of).unionByName(largest(of, top), allowMissingColumns=True)
 
 

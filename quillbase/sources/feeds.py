@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbase.operators.docs import BODY, OBJECT
+
 # The public feeds' rows, as the exchange names and types them.
 SCHEMAS = {
     "candles": "t long, T long, o string, h string, l string, c string, v string",
@@ -14,6 +16,7 @@ SCHEMAS = {
     "cashflows": "time long, delta struct<type:string,usdcValue:string>",
     "orders": "coin string, side string, limitPx string, sz string, oid long, timestamp long, triggerPx string, triggerCondition string, reduceOnly boolean, isTrigger boolean, orderType string",
     "clearinghouse": "marginSummary struct<accountValue:string,totalMarginUsed:string,totalNtlPos:string>, withdrawable string, assetPositions array<struct<position:struct<coin:string,szi:string,entryPx:string,positionValue:string,unrealizedPnl:string,marginUsed:string,liquidationPx:string,leverage:struct<value:int>>>>",
+    "documents": f"documentId string, title string, body {BODY}, inlineObjects map<string,{OBJECT}>",
     "portfolio": "window string, accountValueHistory array<struct<ts:string,val:string>>",
 }
 TIMES = {"candles": "t", "funding": "time", "fills": "time", "cashflows": "time", "orders": "timestamp"}

@@ -72,6 +72,7 @@ def test_expressions(spark):
 
     number = lambda x: one(expr.finite_number(F.lit(x).cast("string")))
     assert [number(x) for x in ("1.5", " -2 ", ".5", "1e3", "1d", "NaN", "Infinity", "", None, "1e999", "0x10")] == [1.5, -2.0, 0.5, 1000.0, None, None, None, None, None, None, None]
+    assert one(expr.hex_text(F.lit(bytearray(b"\x0a\xff")))) == "0x0aff" and one(expr.hex_text(F.lit(None).cast("binary"))) is None
     assert one(expr.slugify(F.lit("  Hé llo--W_1 "))) == "h-llo-w-1"
     assert one(expr.slug_or(F.lit("!!"), F.lit("id"))) == "id"
     assert one(expr.doc_id(F.lit("HTTPS://docs.google.com/document/u/0/d/aB_-9/x"))) == "aB_-9" and one(expr.doc_id(F.lit("http://x"))) is None

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillbase.operators import refresh, signal, timeseries
+from quillbase.operators import docs, refresh, signal, timeseries
 from quillbase.plans import catalogue
 from quillbase.sources import adapters, feeds
 from quillbase.streaming.candles import stream_candles
@@ -26,6 +26,18 @@ def test_feeds(spark, tmp_path):
     assert tuple(empty.select(*signal.best_prices(F.col("book"))).first()) == (None, None)
 
 
+def test_documents_as_a_feed(spark, tmp_path):
+    link = {"content": "Next Page", "textStyle": {"link": {"url": "https://docs.google.com/document/d/ID2/edit"}, "bold": True}}
+    paragraph = {"paragraphStyle": {"namedStyleType": "HEADING_2", "unknown": 1}, "elements": [{"textRun": {"content": "Hi & bye"}}, {"textRun": link}, {"inlineObjectElement": {"inlineObjectId": "i"}}]}
+    held = {"i": {"inlineObjectProperties": {"embeddedObject": {"imageProperties": {"contentUri": "u.png"}}}}}
+    (tmp_path / "documents-1.json").write_text(json.dumps({"documentId": "ID1", "title": "T", "revision": 5, "body": {"content": [{"sectionBreak": {}}, {"paragraph": paragraph}]}, "inlineObjects": held}))
+    (tmp_path / "documents-2.json").write_text(json.dumps({"documentId": "ID2"}))
+    rows = feeds.typed(feeds.read_feed(spark, str(tmp_path), "documents"), "documents").withColumn("tree", F.struct("body", "inlineObjects"))
+    texts = docs.to_markdown(rows, "documentId", "tree")
+    assert {r.documentId: r.html for r in docs.to_html(texts, "documentId").collect()} == {"ID1": '<h2>Hi &amp; bye<a href="/p/next-page/">Next Page</a></h2>\n<p><img src="u.png" alt="image" /></p>\n', "ID2": ""}
+    assert [(r.src, r.dst, r.slug) for r in docs.link_edges(rows, "documentId", "tree").collect()] == [("ID1", "ID2", "next-page")]
+
+
 @pytest.mark.parametrize("fmt", refresh.FORMATS)
 def test_a_failing_job_keeps_the_earlier_result(spark, tmp_path, fmt):
     assert refresh.latest(spark, str(tmp_path), "a") is None
