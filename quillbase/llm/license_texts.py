@@ -1,4 +1,4 @@
-"""Texts of common licences: short ones whole, long ones as far as their first 260 words."""
+"""Texts of common licences, short ones whole, long ones as far as their first 260 words; and the headers of source files."""
 
 # The licences' own words.
 TEXTS: tuple[tuple[str, str], ...] = (
@@ -125,4 +125,53 @@ grant or subsequently, any and all of the rights conveyed by this License. 1.10.
 following: (a) any file in Source Code Form that results from an addition to, deletion from, or modification of the
 contents of Covered Software; or (b)""",
     ),
+    (
+        "AGPL-3.0",
+        """GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.
+<https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing
+it is not allowed. Preamble The GNU Affero General Public License is a free, copyleft license for software and other
+kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.
+The licenses for most software and other practical works are designed to take away your freedom to share and change
+the works. By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all
+versions of a program--to make sure it remains free software for all its users. When we speak of free software, we are
+referring to freedom, not price. Our General Public Licenses are designed to make sure that you have the freedom to
+distribute copies of free software (and charge for them if you wish), that you receive source code or can get it if
+you want it, that you can change the software or use pieces of it in new free programs, and that you know you can do
+these things. Developers that use our General Public Licenses protect your rights with two steps: (1) assert copyright
+on the software, and (2) offer you this License which gives you legal permission to copy, distribute and/or modify the
+software. A secondary benefit of defending all users' freedom is that improvements made in alternate versions of the
+program, if they receive widespread use, become available for other developers to incorporate.""",
+    ),
+)
+
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public
+License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more
+details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+_REDISTRIBUTION = TEXTS[2][1].removeprefix("rights reserved. ")
+
+# The headers that the licences' texts prescribe for source files, and short licences that stand there whole.
+HEADERS: tuple[tuple[str, str], ...] = (
+    ("GPL-3.0", _GPL.format("", 3)),
+    ("GPL-2.0", _GPL.format("", 2)),
+    ("LGPL-3.0", _GPL.format("Lesser ", 3)),
+    ("AGPL-3.0", _GPL.format("Affero ", 3)),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License.""",
+    ),
+    ("MIT", TEXTS[0][1]),
+    ("ISC", TEXTS[1][1]),
+    ("BSD-3-Clause", _REDISTRIBUTION),
 )

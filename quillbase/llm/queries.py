@@ -35,31 +35,44 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_TEXT = lambda s: "'" + s.replace("'", "''") + "'"
-_WEIGHTS, _IDF, _UNSEEN = licenses.idf_weights()
 _CUE_SQL = lambda c: "(" + " OR ".join(f"contains(lower({c}), {_SQL_TEXT(q)})" for q in licenses.CUES) + ")"
 _WORDS_SQL = lambda c: rf"len(list_filter(string_split_regex({c}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 
-OP2_SQL = rf"""
-WITH weights(template, license, term, w) AS (VALUES {", ".join(f"({k}, {_SQL_TEXT(n)}, {_SQL_TEXT(t)}, {w!r}::DOUBLE)" for k, n, t, w in _WEIGHTS)}),
-idf(term, idf) AS (VALUES {", ".join(f"({_SQL_TEXT(t)}, {v!r}::DOUBLE)" for t, v in sorted(_IDF.items()))}),
-files AS (SELECT doc_id, concat_ws('/', 'corpus', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS body FROM documents),
-lines AS (
-  SELECT path, words, line FROM (SELECT path, {_WORDS_SQL("body")} AS words, unnest(string_split(body, chr(10))) AS line FROM files WHERE {_CUE_SQL("body")})
-  WHERE {_CUE_SQL("line")}),
-terms AS (
-  SELECT line, t.term, count(*) * coalesce(any_value(idf), {_UNSEEN!r}) AS v
-  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM lines)) t LEFT JOIN idf USING (term)
+
+def _scored_sql(name: str, source: str, templates, threshold: float) -> str:
+    """CTEs that end in ``name`` (line, license, score): the best template of each distinct line of ``source``."""
+    weights, idf, unseen = licenses.idf_weights(templates)
+    return rf"""
+{name}_weights(template, license, term, w) AS (VALUES {", ".join(f"({k}, {_SQL_TEXT(n)}, {_SQL_TEXT(t)}, {w!r}::DOUBLE)" for k, n, t, w in weights)}),
+{name}_idf(term, idf) AS (VALUES {", ".join(f"({_SQL_TEXT(t)}, {v!r}::DOUBLE)" for t, v in sorted(idf.items()))}),
+{name}_terms AS (
+  SELECT line, t.term, count(*) * coalesce(any_value(idf), {unseen!r}) AS v
+  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM {source})) t LEFT JOIN {name}_idf USING (term)
   GROUP BY line, t.term),
-norms AS (SELECT line, sqrt(sum(v * v)) AS norm FROM terms GROUP BY line),
-scored AS (
-  SELECT line, license, round(sum(v * w) / any_value(norm), 6) AS score FROM terms JOIN weights USING (term) JOIN norms USING (line)
+{name}_norms AS (SELECT line, sqrt(sum(v * v)) AS norm FROM {name}_terms GROUP BY line),
+{name}_scored AS (
+  SELECT line, license, round(sum(v * w) / any_value(norm), 6) AS score FROM {name}_terms JOIN {name}_weights USING (term) JOIN {name}_norms USING (line)
   GROUP BY line, template, license),
-best AS (SELECT line, license, score FROM scored WHERE true QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
-hits AS (SELECT * FROM lines JOIN best USING (line) WHERE score >= {licenses.THRESHOLD}),
+{name} AS (SELECT line, license, score FROM {name}_scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1)"""
+
+
+OP2_SQL = rf"""
+WITH files AS (SELECT doc_id, concat_ws('/', 'corpus', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS body FROM documents),
+cued AS (SELECT *, {_WORDS_SQL("body")} AS words FROM files WHERE {_CUE_SQL("body")}),
+lines AS (SELECT path, words, line FROM (SELECT path, words, unnest(string_split(body, chr(10))) AS line FROM cued) WHERE {_CUE_SQL("line")}),
+heads AS (
+  SELECT path, words, {_WORDS_SQL("h")} AS said, regexp_replace(regexp_replace(h, {_SQL_TEXT(licenses.MARKS)}, chr(10), 'g'), {_SQL_TEXT(licenses.HOLDERS)}, '\1', 'g') AS line
+  FROM (SELECT *, regexp_extract(body, {_SQL_TEXT(licenses.HEAD)}) AS h FROM cued)),
+{_scored_sql("best", "lines", licenses.TEMPLATES, licenses.THRESHOLD)},
+{_scored_sql("top", "heads", licenses.HEADERS, licenses.TEXT_THRESHOLD)},
+told AS (
+  SELECT path, license, score, 2 AS rank, {_WORDS_SQL("line")} AS said, words FROM lines JOIN best USING (line)
+  UNION ALL SELECT path, license, score, 1, NULL, words FROM heads JOIN top USING (line)
+  UNION ALL SELECT path, license, score, 3, said, words FROM heads JOIN top USING (line)),
 own AS (
-  SELECT path, first(license ORDER BY score DESC, license) AS license, max(score) AS score, sum({_WORDS_SQL("line")}) * 2 >= max(words) AS whole,
-         regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir
-  FROM hits GROUP BY path),
+  SELECT path, first(license ORDER BY rank, score DESC, license) AS license, first(score ORDER BY rank, score DESC, license) AS score,
+         coalesce(greatest(sum(said) FILTER (rank = 2), max(said) FILTER (rank = 3)) * 100 >= max(words) * {licenses.WHOLE_PERCENT}, false) AS whole, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir
+  FROM told GROUP BY path),
 declared AS (SELECT * FROM own WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
 inherited AS (
   SELECT f.path, d.license, d.score, d.path AS from_path FROM files f JOIN declared d ON starts_with(f.path, d.dir || '/')
