@@ -17,8 +17,6 @@ from quillbase.sources import landing
 FEEDS = ("clearinghouse", "orders", "portfolio", "fills", "cashflows", "candles", "funding", "book")
 SYMBOL = "ZEC"
 MOST_FILLS = 250
-# Fixed value: what a series without enough candles is told, as in ``timeseries``.
-TOO_FEW = "fewer than 25 completed hourly candles"
 
 
 def _number(value: Column, path: str) -> Column:
@@ -45,11 +43,11 @@ def market_signals(wide: DataFrame, now_ms: int, rules: signal.Rules = signal.Ru
     quotes = wide.select(F.col("key").alias("series"), price(0).alias("bid"), price(1).alias("ask"))
     judged = signal.evaluate(rows.drop("_n"), paid, ends.join(quotes, "series"), F.lit(now_ms).cast("long"), rules)
     # of candles that share a start, the one that was judged with all others
-    order = Window.partitionBy("series").orderBy(F.desc("candle"), F.array_contains("regime_blockers", TOO_FEW))
+    order = Window.partitionBy("series").orderBy(F.desc("candle"), F.array_contains("regime_blockers", timeseries.TOO_FEW))
     newest = judged.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "candle")
     top = quotes.withColumn("top", signal.top_of_book(F.col("bid"), F.col("ask"))).select(F.col("series").alias("key"), "top")
     out = top.join(newest, top["key"] == newest["series"], "left").drop("series")
-    bare = F.array(F.lit(TOO_FEW))
+    bare = F.array(F.lit(timeseries.TOO_FEW))
     here = F.col("next_close").isNotNull()
     base = {
         "data_complete": F.coalesce("data_complete", F.lit(False)), "regime_passes": F.coalesce("regime_passes", F.lit(False)), "regime_blockers": F.when(here, F.col("regime_blockers")).otherwise(bare),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import untyped
 from quillbase.functions.expr import HOUR_MS, finite_number, floor_hour, iso_ms, not_finite, spread_bps
-from quillbase.operators.timeseries import dollar_volume, window_reasons, with_last_rows
+from quillbase.operators.timeseries import dollar_volume, with_window_reasons
 
 
 @dataclass(frozen=True)
@@ -99,17 +99,16 @@ def failed(*gates: tuple[Column, Column | str]) -> Column:
 
 def _facts(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column) -> DataFrame:
     """What a rule is judged by, a row a candle: nothing here depends on the rule."""
-    rows = _with_settlement(with_last_rows(candles), funding)
+    last = Window.partitionBy("series").orderBy("t")
+    held = lambda x: F.when(F.col("sound"), x)
+    rows = with_window_reasons(candles.withColumn("now", now_ms), F.col("now"), "data_reasons").withColumn("sound", F.size("data_reasons") == 0)
+    rows = rows.withColumns({"_before": F.lag("c", 6).over(last), "_volume": F.sum(dollar_volume()).over(last.rowsBetween(-23, 0))})
+    rows = rows.withColumns({"r6": held(F.try_divide(F.col("c"), F.col("_before")) - 1), "day_volume": held(F.col("_volume")), "age_ms": held(F.col("now") - F.col("t_end"))})
+    rows = _with_settlement(rows.drop("_before", "_volume"), funding)
     quotes = books.select(F.col("series").alias("_s"), F.col("t").alias("_t"), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
     rows = rows.join(quotes, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
-    rows = rows.withColumns({"now": now_ms, "book_error": F.coalesce(F.when(F.col("book").isNull(), NO_BOOK), F.col("book")["error"])})
-    rows = rows.withColumn("data_reasons", window_reasons(F.col("rows"), F.col("now")))
-    r6 = F.try_divide(F.col("c"), F.get("rows", F.size("rows") - 7)["c"]) - 1
-    volume = F.aggregate(F.slice("rows", -24, 24), F.lit(0.0), lambda s, x: s + dollar_volume(x))
-    held = lambda x: F.when(F.col("sound"), x)
-    rows = rows.withColumn("sound", F.size("data_reasons") == 0)
-    rows = rows.withColumns({"r6": held(r6), "day_volume": F.when(F.col("sound") & (F.size("rows") >= 24), volume), "age_ms": held(F.col("now") - F.col("t_end"))})
-    return rows.withColumn("live_vs_signal", F.when(F.col("sound") & (F.col("c") > 0), F.col("book")["mid"] / F.col("c"))).drop("rows")
+    rows = rows.withColumn("book_error", F.coalesce(F.when(F.col("book").isNull(), NO_BOOK), F.col("book")["error"]))
+    return rows.withColumn("live_vs_signal", F.when(F.col("sound") & (F.col("c") > 0), F.col("book")["mid"] / F.col("c")))
 
 
 def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column, rules: Rules = Rules()) -> DataFrame:

@@ -50,34 +50,40 @@ def with_gaps(candles: DataFrame) -> DataFrame:
     return candles.withColumn("gap", F.coalesce(F.lag("t").over(_by_time()) + HOUR_MS != F.col("t"), F.lit(False)))
 
 
-def row_reasons(row: Column) -> Column:
-    """What is wrong with one candle, in order."""
-    end = F.coalesce(row["t_end"], row["t"] + HOUR_MS - 1)
+# What may be wrong with one candle, in order, and with the last ``NEEDED`` of a series.
+ROW_REASONS = ("hourly candle is malformed", "hourly candle timestamps are misaligned", "hourly candle OHLCV is invalid")
+TOO_FEW, GAPPED, STALE = "fewer than 25 completed hourly candles", "hourly candles are duplicated or gapped", "latest completed hourly candle is stale"
+
+
+def row_faults() -> tuple[Column, Column, Column]:
+    """Whether ``ROW_REASONS`` hold of a candle; one that is malformed has no other fault."""
+    t, o, h, l, c, v = map(F.col, "tohlcv")
+    end = F.coalesce("t_end", t + HOUR_MS - 1)
     missing = F.lit(False)
-    for k in ("t", "o", "h", "l", "c", "v"):
-        missing = missing | not_finite(row[k])
-    crooked = (F.pmod(row["t"], F.lit(HOUR_MS)) != 0) | (end != row["t"] + HOUR_MS - 1)
-    unsound = (row["l"] <= 0) | (row["v"] < 0) | (row["l"] > F.least(row["o"], row["c"])) | (F.greatest(row["o"], row["c"]) > row["h"])
-    say = lambda p, s: F.when(p, F.lit(s))
-    return F.when(missing, F.array(F.lit("hourly candle is malformed"))).otherwise(
-        F.array_compact(F.array(say(crooked, "hourly candle timestamps are misaligned"), say(unsound, "hourly candle OHLCV is invalid")))
-    )
-
-
-def window_reasons(rows: Column, now_ms: Column) -> Column:
-    """What is wrong with the last 25 candles of an array ordered by time, as seen at ``now_ms``; each reason once."""
-    each = F.flatten(F.transform(rows, row_reasons))
-    sound = ~F.array_contains(each, "hourly candle is malformed")
-    steps = F.exists(F.sequence(F.lit(1), F.lit(NEEDED - 1)), lambda k: F.get(rows, k)["t"] != F.get(rows, k - 1)["t"] + HOUR_MS)
-    late = F.get(rows, F.lit(NEEDED - 1))["t"] != now_ms - F.pmod(now_ms, F.lit(HOUR_MS)) - HOUR_MS
-    whole = F.array_compact(F.array(F.when(sound & steps, "hourly candles are duplicated or gapped"), F.when(sound & late, "latest completed hourly candle is stale")))
-    return F.when(F.size(rows) < NEEDED, F.array(F.lit("fewer than 25 completed hourly candles"))).otherwise(F.array_distinct(F.concat(each, whole)))
-
-
-def with_last_rows(candles: DataFrame, rows: int = NEEDED) -> DataFrame:
-    """``rows``: the last candles of the series up to each one, in order of time."""
-    kept = F.struct("t", "t_end", "o", "h", "l", "c", "v")
-    return candles.withColumn("rows", F.collect_list(kept).over(_by_time().rowsBetween(1 - rows, 0)))
+    for x in (t, o, h, l, c, v):
+        missing = missing | not_finite(x)
+    crooked = (F.pmod(t, F.lit(HOUR_MS)) != 0) | (end != t + HOUR_MS - 1)
+    unsound = (l <= 0) | (v < 0) | (l > F.least(o, c)) | (F.greatest(o, c) > h)
+    sure = lambda p: F.coalesce(p, F.lit(False))
+    return missing, sure(~missing & crooked), sure(~missing & unsound)
+
+
+def with_window_reasons(candles: DataFrame, now_ms: Column, name: str = "reasons") -> DataFrame:
+    """``name``: what is wrong with the last 25 candles of the series up to each one, as seen at ``now_ms``; each reason once, a candle's in the order of
+    the first candle that gives it. Only windows over the series by time: flags and first places, no rows are gathered."""
+    by, last = _by_time(), _by_time().rowsBetween(1 - NEEDED, 0)
+    faults = dict(zip(("_f0", "_f1", "_f2"), row_faults(), strict=True))
+    step = F.coalesce(F.col("t") != F.lag("t").over(by) + HOUR_MS, F.lit(False))
+    rows = candles.withColumns({**faults, "_place": F.row_number().over(by), "_step": step})
+    firsts = {f"{f}_at": F.min(F.when(F.col(f), F.col("_place"))).over(last) for f in faults}
+    rows = rows.withColumns({**firsts, "_n": F.count(F.lit(1)).over(last), "_gap": F.max("_step").over(by.rowsBetween(2 - NEEDED, 0))})
+    each = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_f{k}_at").isNotNull(), F.struct(F.col(f"_f{k}_at").alias("at"), F.lit(k).alias("k"), F.lit(r).alias("said"))) for k, r in enumerate(ROW_REASONS)))))
+    sound = F.col("_f0_at").isNull()
+    late = F.col("t") != now_ms - F.pmod(now_ms, F.lit(HOUR_MS)) - HOUR_MS
+    whole = F.array_compact(F.array(F.when(sound & F.col("_gap"), GAPPED), F.when(sound & late, STALE)))
+    reasons = F.when(F.col("_n") < NEEDED, F.array(F.lit(TOO_FEW))).otherwise(F.concat(F.transform(each, lambda x: x["said"]), whole))
+    return rows.withColumn(name, reasons).drop(*faults, *firsts, "_place", "_step", "_n", "_gap")
+
 
 
 def drawdown(points: DataFrame, series: str, *order: str) -> DataFrame:

@@ -81,12 +81,14 @@ def test_book(spark, mid, bps):
         (candles(l=200.0), ["hourly candle OHLCV is invalid"]),
         (candles(c=None), ["hourly candle is malformed"]),
         (candles(t_end=5), ["hourly candle timestamps are misaligned"]),
+        (candles(t_end=5, l=200.0), ["hourly candle timestamps are misaligned", "hourly candle OHLCV is invalid"]),
+        ([r | ({"v": -1.0} if i == 3 else {"t_end": 7} if i == 9 else {}) for i, r in enumerate(candles(shift=-HOUR_MS))], ["hourly candle OHLCV is invalid", "hourly candle timestamps are misaligned", "latest completed hourly candle is stale"]),
+        ([r | ({"c": None} if i == 20 else {"v": -1.0} if i == 22 else {}) for i, r in enumerate(candles(shift=-HOUR_MS))], ["hourly candle is malformed", "hourly candle OHLCV is invalid"]),
     ],
 )
 def test_unsound(spark, rows, said):
-    out = timeseries.with_last_rows(spark.createDataFrame(rows, "series string, t long, t_end long, o double, h double, l double, c double, v double"))
-    last = out.orderBy(F.desc("t")).select(timeseries.window_reasons(F.col("rows"), F.lit(NOW)).alias("r")).first()
-    assert last.r == said
+    out = timeseries.with_window_reasons(spark.createDataFrame(rows, "series string, t long, t_end long, o double, h double, l double, c double, v double"), F.lit(NOW))
+    assert out.orderBy(F.desc("t")).first().reasons == said
 
 
 def test_source_errors(spark):
@@ -99,7 +101,7 @@ def test_source_errors(spark):
 def test_infinite_numbers_are_malformed(spark):
     inf = float("inf")
     row = spark.createDataFrame([(0, 3_599_999, 1.0, inf, 1.0, 1.0, 1.0)], "t long, t_end long, o double, h double, l double, c double, v double")
-    assert row.select(timeseries.row_reasons(F.struct("*")).alias("r")).first().r == ["hourly candle is malformed"]
+    assert tuple(row.select(*(f.alias(f"f{k}") for k, f in enumerate(timeseries.row_faults()))).first()) == (True, False, False)
     paid = spark.createDataFrame([(1, 3_600_001, inf), (1, 3_600_001, -inf), (1, 3_600_001, 0.1)], "n long, time long, rate double")
     said = paid.select(signal.funding_error(F.col("n"), F.col("time"), F.col("rate"), F.lit(0), 120_000).alias("e")).collect()
     assert [r.e for r in said] == ["post-signal funding settlement is not finite"] * 2 + [None]
