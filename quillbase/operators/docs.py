@@ -121,10 +121,14 @@ def localize_images(html: DataFrame, key: str, assets: DataFrame, folder: str =
     return named.select(key, swapped.alias("html"))
 
 
+# The fragment above a page.
+BACK, CREATED = '<a href="/" class="back" aria-label="Back to home">&larr; back</a>', '<span class="created">Created: '
+
+
 def navigation(is_root: Column, created: Column) -> Column:
     """Nothing for the root, else a link back and, if known, the date of creation."""
-    dated = F.coalesce(F.concat(F.lit("<p>Created "), created, F.lit("</p>")), F.lit(""))
-    return F.when(is_root, "").otherwise(F.concat(F.lit('<a href="/">Back</a>'), dated))
+    dated = F.coalesce(F.concat(F.lit(CREATED), F.nullif(created, F.lit("")), F.lit("</span>")), F.lit(""))
+    return F.when(is_root, "").otherwise(F.concat(F.lit(f'<nav class="top">{BACK}'), dated, F.lit("</nav>")))
 
 
 def with_created(pages: DataFrame, metadata: DataFrame, key: str) -> DataFrame:

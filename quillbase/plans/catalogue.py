@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillbase.functions import expr, untyped
 from quillbase.operators import account, activity, docs, graph, ledger, live, refresh, signal, snapshot, status, supply, timeseries
 from quillbase.session import checkpoint_folder
-from quillbase.sources import adapters, landing
+from quillbase.sources import adapters, files, landing
 from quillbase.sources.tables import load
 
 AS_OF = "1998-06-01"
@@ -853,6 +853,129 @@ def docs_to_markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.to_html(marked.withColumn("id", F.struct("doc_id", "markdown")), "id").select("id.doc_id", "id.markdown", "html")
 
 
+_SAID_SQL = "coalesce(nullif(trim(regexp_replace(ls[i + 1], '[^A-Za-z]+', ' ', 'g')), ''), 'x')"
+
+
+def _said():
+    return F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.coalesce(F.nullif(F.trim(F.regexp_replace(x, "[^A-Za-z]+", " ")), F.lit("")), F.lit("x")))
+
+
+@query(f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, i, {_SAID_SQL} AS x FROM (SELECT *, unnest(range(len(ls))) AS i FROM t))
+SELECT doc_id AS src, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (i % 3 = 1)::INT, i) - 1 AS INT) AS pos, CASE i % 3 WHEN 0 THEN 'D' || (doc_id + i) WHEN 1 THEN 'R' || i ELSE 'U_' || i END AS dst, replace(lower(x), ' ', '-') AS slug FROM l""")
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of documents whose lines are, in turn, linked text, a link written in Markdown, and linked text with an address in capitals."""
+    def paragraph(x, i):
+        kind = F.pmod(i, F.lit(3))
+        url = F.when(kind == 0, F.concat(F.lit("https://docs.google.com/document/d/D"), (F.col("doc_id") + i).cast("string"), F.lit("/edit"))).when(kind == 2, F.concat(F.lit("HTTPS://DOCS.google.com/document/u/12/d/U_"), i.cast("string"), F.lit("?x=1")))
+        said = F.when(kind == 1, F.concat(F.lit("see ["), x, F.lit("](https://docs.google.com/document/d/R"), i.cast("string"), F.lit("/edit) now"))).otherwise(x)
+        run = F.struct(F.struct(said.alias("content"), F.struct(F.struct(url.alias("url")).alias("link")).alias("textStyle")).alias("textRun"), F.lit(None).cast("struct<inlineObjectId:string>").alias("inlineObjectElement"))
+        return F.struct(F.struct(F.lit(None).cast("struct<listId:string>").alias("bullet"), F.lit(None).cast("struct<namedStyleType:string>").alias("paragraphStyle"), F.array(run).alias("elements")).alias("paragraph"))
+
+    tree = F.struct(F.struct(F.transform(_said(), paragraph).alias("content")).alias("body"), F.lit(None).cast(f"map<string,{docs.OBJECT}>").alias("inlineObjects"))
+    return docs.link_edges(load(spark, sf_dir, "documents").select("doc_id", tree.alias("tree")), "doc_id", "tree")
+
+
+_TEMPLATE = "<title>{{NAV}}</title><main>{{CONTENT}}</main><footer>{{LAST_UPDATED}}</footer>"
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, is_root, slug, html): every page in the template, with the date of the event of its number, if there is one."""
+    pages, when = load(spark, sf_dir, "pages"), load(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), expr.long_date(F.col("ts")).alias("created"))
+    dated = docs.with_created(pages, when.where(F.pmod("page_id", F.lit(2)) == 0), "page_id").withColumn("is_root", F.col("page_id") == 0)
+    nav = docs.navigation(F.col("is_root"), F.col("created"))
+    page = docs.fill_template(_TEMPLATE, F.coalesce("html", F.lit("")), nav, expr.long_date(F.to_date(F.lit(AS_OF))))
+    return dated.select("page_id", "is_root", F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("slug"), page.alias("html"))
+
+
+_RENDERED = f"""rendered AS (SELECT page_id, '<title>' || CASE WHEN page_id = 0 THEN '' ELSE '<nav class="top">{docs.BACK}' || coalesce('{docs.CREATED}' || created || '</span>', '') || '</nav>' END || '</title><main>' || coalesce(html, '') || '</main><footer>June 1, 1998</footer>' AS html
+FROM pages LEFT JOIN (SELECT event_id, strftime(min(ts), '%B %-d, %Y') AS created FROM events WHERE event_id % 2 = 0 GROUP BY 1) ON event_id = page_id)"""
+
+
+@query(f"WITH {_RENDERED} SELECT page_id, sha256(html) AS digest, length(html)::INT AS n FROM rendered")
+def pages_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir).select("page_id", F.sha2("html", 256).alias("digest"), F.length("html").alias("n"))
+
+
+_IMAGE_SQL = """i AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 7 = 0 AS broken, ['image/png', 'image/jpeg', 'image/gif', 'image/svg+xml', 'image/x', NULL][1 + doc_id % 6] AS mime, ['.png', '.jpg', '.gif', '.svg', '.bin', '.bin'][1 + doc_id % 6] AS ext,
+  CASE WHEN doc_id % 6 >= 4 THEN ['.gif', '.png', '.bin'][1 + doc_id % 3] ELSE ['.png', '.jpg', '.gif', '.svg', '', ''][1 + doc_id % 6] END AS url_ext FROM documents),
+m AS (SELECT *, CASE WHEN broken THEN 'data:image/png;base64,%%' || doc_id ELSE 'data:' || coalesce(mime, 'x') || ';base64,' || base64(encode(text)) END AS inline, 'http://images/' || doc_id || ['.GIF', '.png', '.tiff'][1 + doc_id % 3] AS remote,
+  sha256(text)[:16] || ext AS local, sha256('fetched ' || doc_id)[:16] || url_ext AS fetched FROM i)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages (doc_id, html) with an inline image, sound or broken, and a remote one; the images that are known (uri, name, data)."""
+    of = lambda n, xs: F.element_at(F.array(*map(F.lit, xs)), (1 + F.pmod("doc_id", F.lit(n))).cast("int"))
+    key, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    mime = of(6, ["image/png", "image/jpeg", "image/gif", "image/svg+xml", "image/x", None])
+    inline = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("data:image/png;base64,%%"), key)).otherwise(F.concat(F.lit("data:"), F.coalesce(mime, F.lit("x")), F.lit(";base64,"), F.base64(F.encode(text, "UTF-8"))))
+    remote = F.concat(F.lit("http://images/"), key, of(3, [".GIF", ".png", ".tiff"]))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(inline, "[\r\n]", "").alias("inline"), remote.alias("remote"), mime.alias("mime"))
+    html = rows.select("doc_id", F.concat(F.lit('<p><img alt="a" src="'), "inline", F.lit('" /></p><img src="'), "remote", F.lit('" alt="" />')).alias("html"))
+    landed = rows.where(F.pmod("doc_id", F.lit(5)) != 0).select(F.col("remote").alias("uri"), "mime", F.encode(F.concat(F.lit("fetched "), F.col("doc_id").cast("string")), "UTF-8").alias("data"))
+    return html, docs.data_images(html, "doc_id").unionByName(docs.fetched_images(landed))
+
+
+@query(f"""WITH {_IMAGE_SQL} SELECT doc_id, sha256('<p><img alt="a" src="' || CASE WHEN broken THEN inline ELSE '/static/images/' || local END || '" /></p><img src="' || CASE WHEN doc_id % 5 = 0 THEN remote ELSE '/static/images/' || fetched END || '" alt="" />') AS digest FROM m""")
+def images_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html, assets = _images(spark, sf_dir)
+    return docs.localize_images(html, "doc_id", assets).select("doc_id", F.sha2("html", 256).alias("digest"))
+
+
+@query(f"""WITH {_RENDERED}, {_IMAGE_SQL}
+SELECT CASE WHEN page_id = 0 THEN 'index.html' ELSE 'p/page-' || page_id || '/index.html' END AS path, strlen(html)::BIGINT AS size, sha256(html) AS digest FROM rendered
+UNION ALL SELECT DISTINCT 'static/images/' || local, strlen(text)::BIGINT, sha256(text) FROM m WHERE NOT broken UNION ALL SELECT 'static/images/' || fetched, strlen('fetched ' || doc_id)::BIGINT, sha256('fetched ' || doc_id) FROM m WHERE doc_id % 5 <> 0""")
+def site_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site of all pages and images, written to exact paths and read back."""
+    folder = f"{checkpoint_folder(spark)}/site-{uuid.uuid4().hex}/dist"
+    files.write_files(docs.site_files(_rendered(spark, sf_dir), _images(spark, sf_dir)[1]), folder)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return back.select(F.regexp_extract("path", "/dist/(.*)$", 1).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+_OUTCOMES = """c AS (SELECT n_nationkey AS k, n_name AS name, n_nationkey % 3 <> 0 AS good, n_nationkey % 2 = 0 AS kept FROM nation)"""
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = load(spark, sf_dir, "nation"), F.col("n_nationkey")
+    good, held = F.pmod(k, F.lit(3)) != 0, lambda x: F.array(F.concat(F.lit(x), "n_name"))
+    now = rows.select(F.col("n_name").alias("name"), F.when(good, held("new ")).alias("rows"), F.when(~good, F.lit("timed out")).alias("error"), F.when(good, F.lit(9).cast("long")).alias("updated_ms"))
+    old = rows.where(F.pmod(k, F.lit(2)) == 0).select(F.col("n_name").alias("name"), held("old ").alias("rows"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("updated_ms"))
+    return refresh.with_earlier(now, old)
+
+
+@query(f"""WITH {_OUTCOMES} SELECT name, CASE WHEN good THEN 'new ' || name WHEN kept THEN 'old ' || name END AS held, CASE WHEN NOT good THEN 'timed out' END AS error, CASE WHEN good THEN 9 WHEN kept THEN 1 END AS updated_ms, CASE WHEN good THEN 'fresh' WHEN kept THEN 'kept' ELSE 'failed' END AS outcome FROM c""")
+def refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).select("name", F.get("rows", F.lit(0)).alias("held"), "error", "updated_ms", "outcome")
+
+
+@query(f"WITH {_OUTCOMES} SELECT count(*) AS queries, count(*) FILTER (good OR kept) AS ok, count(*) FILTER (good) AS fresh, count(*) FILTER (NOT good AND NOT kept) AS failed FROM c")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.run_summary(_outcomes(spark, sf_dir))
+
+
+@query("SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def published_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest result that was written whole: an earlier one was replaced, and a later job failed half-way."""
+    folder, rows = f"{checkpoint_folder(spark)}/results-{uuid.uuid4().hex}", load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    broken = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") > 5, F.raise_error(F.lit("source went away"))).otherwise(F.col("c_mktsegment")))
+    told = [refresh.publish(x, folder, "customers", fmt) for x, fmt in ((rows, "json"), (rows.where("c_custkey % 2 = 0"), "parquet"), (broken, "json"))]
+    if told[:2] != [None, None] or "source went away" not in (told[2] or ""):
+        raise ValueError(f"unexpected outcomes: {told}")
+    return refresh.latest(spark, folder, "customers").select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("""WITH e AS (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS ts, CASE WHEN event_id % 5 <> 0 THEN value END AS val, CASE WHEN event_id % 2 = 0 THEN 'day' ELSE 'week' END AS w FROM events)
+SELECT user_id, w AS period, ts, val AS value FROM e WHERE val > 1""")
+def portfolio_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's curve of either period, from a map of texts some of which are no numbers."""
+    point = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ts"), F.when(F.pmod("event_id", F.lit(5)) != 0, F.col("value").cast("string")).otherwise("x").alias("val"))
+    rows = load(spark, sf_dir, "events").select("user_id", F.when(F.pmod("event_id", F.lit(2)) == 0, "day").otherwise("week").alias("w"), point.alias("p"))
+    raw = rows.groupBy("user_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("raw"))
+    clean = account.clean_portfolio(raw, "user_id")
+    one = lambda w: account.curve(clean, "user_id", w).select("user_id", F.lit(w).alias("period"), "ts", "value")
+    return one("day").unionByName(one("week"))
+
+
 @query("""WITH e AS (SELECT event_type AS name, CAST(epoch_ms(max(ts)) AS BIGINT) AS updated FROM events GROUP BY 1)
 SELECT name, coalesce((SELECT max(updated) FROM e) + 3600000 - updated < 86400000, false) AS fresh FROM e""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,8 @@ def test_page_parts(spark):
         docs.navigation(F.lit(True), F.lit("x")).alias("root"), docs.navigation(F.lit(False), F.lit("May 1, 2024")).alias("dated"), docs.navigation(F.lit(False), F.lit(None).cast("string")).alias("bare"),
         docs.fill_template("{{NAV}}|{{CONTENT}}|{{LAST_UPDATED}}", F.lit("c"), F.lit("n"), F.lit("u")).alias("page"),
     ).first()
-    assert row.root == "" and row.dated == '<a href="/">Back</a><p>Created May 1, 2024</p>' and row.bare == '<a href="/">Back</a>' and row.page == "n|c|u"
+    back = '<nav class="top"><a href="/" class="back" aria-label="Back to home">&larr; back</a>'
+    assert row.root == "" and row.dated == back + '<span class="created">Created: May 1, 2024</span></nav>' and row.bare == back + "</nav>" and row.page == "n|c|u"
 
 
 def test_expressions(spark):
