@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbase.llm.common import batches, cut, grams, mix64, scratch, small_enough_to_broadcast, trimmed, words_of
@@ -210,11 +210,26 @@ def _band_spokes(live: DataFrame, links: DataFrame, shift: float) -> DataFrame:
     return out.select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
 
 
+def _rare_prefixes(loose: DataFrame, percent: int) -> DataFrame:
+    """Of the shingles that a class has outside its hub, and others under it too, the rarest: as many as two classes must meet on one of.
+
+    Classes of n and m shingles need p (n + m) / (100 + p) in common, of which the hub can give the lesser overlap with it at most. So a class of
+    n must share t = p (n + p n / 100) / (100 + p) - both of its k shingles outside with any partner, and of two sets that have t in common,
+    put in one order, the first k - t + 1 of each have one in common. ``left``: how many of the class's follow the row's shingle.
+    """
+    common = loose.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("_often"))
+    own = Window.partitionBy("c")
+    placed = loose.join(common, ["hub", "shingle"]).withColumns({"_at": F.row_number().over(own.orderBy("_often", "shingle")), "_k": F.count(F.lit(1)).over(own)})
+    partner = F.ceil(F.col("n") * percent / 100)
+    needed = F.greatest(F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("both"), F.lit(1))
+    return placed.where(F.col("_at") <= F.col("_k") - needed + 1).withColumn("left", F.col("_k") - F.col("_at")).drop("_often", "_at", "_k")
+
+
 def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: the pairs in one table and in different components that the bounds leave open.
 
     Two classes with one hub H either share no shingle outside H, and then have at most the lesser of
-    their overlaps with H in common, or share such a shingle, which few others have, and meet on it.
+    their overlaps with H in common, or share enough such shingles to meet on one of the rarest of each.
     """
     spoke = _sized(met.select(F.col("a").alias("c"), F.col("b").alias("hub"), F.col("both")), 32)
     placed = _placed(live, links).join(spoke, "c", "left")
@@ -232,7 +247,7 @@ def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int)
     most = F.when(F.col("one_hub"), F.least("both", free)).otherwise(free)
     table = open_.where(bound(F.col("n"), most, F.col("least")))
     table = cut(table.select("key", "c", "n", "u", "component", "hub", "both", (F.col("component") != F.col("main")).alias("outer")))
-    named = lambda df, k: df.select(*(F.col(x).alias(f"{x}_{k}") for x in ("c", "n", "u", "component", "hub", "both")), *[x for x in df.columns if x in ("key", "shingle")])
+    named = lambda df, k: df.select(*(F.col(x).alias(f"{x}_{k}") for x in ("c", "n", "u", "component", "hub", "both")), *[x for x in df.columns if x in ("key", "shingle")], *[F.col(x).alias(f"{x}_{k}") for x in df.columns if x == "left"])
     a, b = (lambda x: F.col(f"{x}_a")), (lambda x: F.col(f"{x}_b"))
     apart = (a("component") != b("component")) & bound(a("n"), a("n") - a("u"), b("n")) & bound(b("n"), b("n") - b("u"), a("n"))
     under_hub = (a("hub") != b("hub")) | bound(a("n"), F.least(a("both"), b("both")), b("n"))
@@ -241,8 +256,10 @@ def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int)
     own = met.select(F.col("a").alias("c"), F.col("outside").alias("packed")).mapInArrow(_shingle_rows, "c long, shingle long")
     loose = own.join(body, "c")
     shared = loose.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle")
-    loose = loose.join(shared, ["hub", "shingle"])
-    by_shingle = named(loose, "a").join(named(loose, "b"), "shingle").where((a("hub") == b("hub")) & (a("c") < b("c")) & apart)
+    loose = _rare_prefixes(loose.join(shared, ["hub", "shingle"]), percent)
+    # the first shingle that two have in common is followed by the rest of what they have, so one with too little behind it isn't the first of a link
+    enough = (F.least("both_a", "both_b") + 1 + F.least("left_a", "left_b")) * (100 + percent) >= (a("n") + b("n")) * percent
+    by_shingle = named(loose, "a").join(named(loose, "b"), "shingle").where((a("hub") == b("hub")) & (a("c") < b("c")) & apart & enough)
     pairs = by_table.select("c_a", "c_b").unionByName(by_shingle.select("c_a", "c_b"))
     return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
 
