@@ -25,6 +25,8 @@ from quillbase.llm.common import batches, cut, release_memory, scratch, small_en
 
 START = "\x02"
 CHUNK_CHARS = 8_000_000
+#: Characters whose n-grams a task works on at once; longer texts come in pieces.
+SLAB_CHARS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,8 +52,8 @@ def _pieces(ids, langs, trusted, keys, texts, order: int, base: int):
     """(uid, id, lang, trusted, text key, context and body): long texts in several pieces that share a uid."""
     for i, text in enumerate(texts):
         body = START * (order - 1) + (text or "").replace(START, "\ufffd")
-        for a in range(0, max(len(body) - order + 1, 1), CHUNK_CHARS):
-            yield base + i, ids[i], langs[i], trusted[i], keys[i], body[a : a + CHUNK_CHARS + order - 1]
+        for a in range(0, max(len(body) - order + 1, 1), SLAB_CHARS):
+            yield base + i, ids[i], langs[i], trusted[i], keys[i], body[a : a + SLAB_CHARS + order - 1]
 
 
 def _codes(joined: str) -> np.ndarray:
@@ -90,11 +92,21 @@ def _texts(codes: np.ndarray, places: np.ndarray, numbers: np.ndarray, size: int
     return np.ascontiguousarray(codes[first[:, None] + np.arange(order)]).view(f"<U{order}").ravel().tolist() if size else []
 
 
+def _slabs(joined: str, lengths: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """(first piece, piece after the last, their text) of runs of pieces of about ``SLAB_CHARS``."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLAB_CHARS, side="right")) - 1)
+        yield a, b, joined[ends[a] : ends[b]]
+        a = b
+
+
 def _count_rows(order: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part["text"].to_pylist()
-            for s in batches(texts, CHUNK_CHARS):
+            for s in batches(texts, SLAB_CHARS):
                 blank = [None] * (s.stop - s.start)
                 for held in _held(_pieces(blank, blank, blank, blank, texts[s], order, 0)):
                     codes, places, numbers, names, _ = _grams("".join(held), np.array([len(x) for x in held]), order)
@@ -107,7 +119,7 @@ def _held(pieces: Iterator[tuple]) -> Iterator[list[str]]:
     """Pieces' texts in lists of bounded size."""
     held, size = [], 0
     for piece in pieces:
-        if held and size + len(piece[5]) > CHUNK_CHARS:
+        if held and size + len(piece[5]) > SLAB_CHARS:
             yield held
             held, size = [], 0
         held.append(piece[5])
@@ -124,11 +136,13 @@ def _chunk_rows(order: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, chunks
-            joined, lengths = "".join(x[5] for x in held), np.array([len(x[5]) for x in held])
-            codes, places, numbers, names, _ = _grams(joined, lengths, order)
+            joined, lengths, grams = "".join(x[5] for x in held), np.array([len(x[5]) for x in held]), {}
+            for a, b, text in _slabs(joined, lengths):
+                codes, places, numbers, names, _ = _grams(text, lengths[a:b], order)
+                grams.update(dict.fromkeys(_texts(codes, places, numbers, len(names), order)))
             row = {
                 "chunk": task * (1 << 32) + chunks, "uid": [x[0] for x in held], "id": [x[1] for x in held], "lang": [x[2] for x in held], "trusted": [x[3] for x in held], "key": [x[4] for x in held],
-                "lengths": lengths.tolist(), "packed": packer.compress(joined.encode("utf-8", "surrogatepass")), "grams": _texts(codes, places, numbers, len(names), order),
+                "lengths": lengths.tolist(), "packed": packer.compress(joined.encode("utf-8", "surrogatepass")), "grams": list(grams),
             }
             held, size, chunks = [], 0, chunks + 1
             return pa.RecordBatch.from_pylist([row], schema=_CHUNK_ARROW)
@@ -168,15 +182,19 @@ def _score(order: int):
         keys, logs = keys[by], known["log_p"].to_numpy()[by]
         for row in chunk.to_pylist():
             joined = zstandard.ZstdDecompressor().decompress(row["packed"]).decode("utf-8", "surrogatepass")
-            _, _, numbers, names, counts = _grams(joined, np.array(row["lengths"]), order)
-            total = np.zeros(len(counts))
-            if len(names):
+            lengths = np.array(row["lengths"])
+            total, counts = np.zeros(len(lengths)), np.zeros(len(lengths), dtype=np.int64)
+            for a, b, text in _slabs(joined, lengths):
+                _, _, numbers, names, own = _grams(text, lengths[a:b], order)
+                counts[a:b] = own
+                if not len(names):
+                    continue
                 at = np.searchsorted(keys, names)
                 if not len(keys) or (keys[np.minimum(at, len(keys) - 1)] != names).any():
                     raise ValueError("n-grams of a chunk have no probability: its rows were dealt anew in another order")
                 each = logs[at][numbers]
-                full = np.flatnonzero(counts)
-                total[full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(counts[full])[:-1])))
+                full = np.flatnonzero(own)
+                total[a + full] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(own[full])[:-1])))
             release_memory()
             out.append(pa.table({"uid": row["uid"], "id": pa.array(row["id"], pa.int64()), "lang": pa.array(row["lang"], pa.string()), "trusted": row["trusted"], "key": pa.array(row["key"], pa.int64()), "log_p": total, "n": pa.array(counts, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"uid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "trusted": pa.array([], pa.bool_()), "key": pa.array([], pa.int64()), "log_p": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
