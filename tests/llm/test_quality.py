@@ -127,6 +127,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     whole = {r.id: r.log_p for r in quality_classifier.perplexities(docs, labels).collect()}
     monkeypatch.setattr(quality_classifier, "CHUNK_CHARS", 17)
+    monkeypatch.setattr(quality_classifier, "SLAB_CHARS", 17 // 3)
     cut = {r.id: r.log_p for r in quality_classifier.perplexities(docs, labels).collect()}
     assert cut == pytest.approx(whole, rel=1e-6)
 
