@@ -15,13 +15,13 @@ from urllib.parse import quote
 
 from pyspark import cloudpickle
 
-_ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)(.*?)(?:(?:^|[ \t]+)#*)?[ \t]*$")
+_ATX = re.compile(r"(#{1,6})(?=[ \t]|$)")
 _FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
 _RULE = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})$")
 _SETEXT = re.compile(r"(=+|-+)[ \t]*$")
 _MARKER = re.compile(r"([-+*]|(\d{1,9})([.)]))(?=[ \t]|$)")
 _NOTE = re.compile(r"\[\^([^\]\s]+)\]:[ \t]*")
-_DELIMITERS = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_DELIMITER = re.compile(r":?-+:?$")
 _TAG = r"<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>"
 _RAW = re.compile(rf"{_TAG}|<!-->|<!--->|<!--.*?-->|<\?.*?\?>|<![A-Za-z].*?>|<!\[CDATA\[.*?\]\]>", re.S)
 # Elements that begin a block of raw HTML, by the public CommonMark specification.
@@ -254,7 +254,7 @@ class _Document:
                 line.skip(1)
             return self._place(path, _Block("quote"))
         if m := _ATX.match(text):
-            return self._place(path, _Block("heading", [m[2].strip()], info={"level": len(m[1])}))
+            return self._place(path, _Block("heading", [_unmarked(text[m.end() :])], info={"level": len(m[1])}))
         if m := _FENCE.match(text):
             return self._place(path, _Block("fence", info={"mark": m[1] or m[3], "indent": line.indent, "said": (m[2] or m[4] or "").strip()}))
         if text[0] == "<":
@@ -292,10 +292,10 @@ class _Document:
     def _table(self, path: list[_Block], line: _Line) -> bool:
         """Whether this line makes a table of the paragraph's last line."""
         leaf = path[-1]
-        if not leaf.lines or not _DELIMITERS.match(line.text) or "|" not in leaf.lines[-1] + line.text:
+        if not leaf.lines or line.text.strip(" \t|:-") or "|" not in leaf.lines[-1] + line.text:
             return False
         head, marks = _cells(leaf.lines[-1]), _cells(line.text)
-        if len(head) != len(marks):
+        if len(head) != len(marks) or not all(map(_DELIMITER.match, marks)):
             return False
         leaf.lines.pop()
         table = _Block("table", [], info={"head": head, "align": [{(True, True): "center", (True, False): "left", (False, True): "right"}.get((x[0] == ":", x[-1] == ":")) for x in marks]})
@@ -306,6 +306,13 @@ class _Document:
         return True
 
 
+def _unmarked(heading: str) -> str:
+    """A heading without the marks that may close it."""
+    heading = heading.strip(" \t")
+    bare = heading.rstrip("#")
+    return bare.rstrip(" \t") if not bare or bare[-1] in " \t" else heading
+
+
 def _cells(row: str) -> list[str]:
     row = row.strip()
     row = row[1:] if row.startswith("|") else row

@@ -133,6 +133,7 @@ def protection(positions: DataFrame, orders: DataFrame, key: str, symbol: str) -
         F.count_if(F.col("fits") & kind.contains("stop")).alias("n_stop"),
     )
     flat = F.col("n_active").isNull()
+    # What the record's reader is told, here and in ``performance`` and ``account_gate``.
     say = lambda p, text: F.when(p, text)
     idle = F.array_compact(F.array(say(F.col("n_orders") > 0, F.format_string(f"found %d {symbol} order(s) while the account is flat", "n_orders"))))
     busy = F.array_compact(

@@ -48,6 +48,7 @@ def first_violation(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*(F.when(~_sure(holds), F.lit(message)) for holds, message in rules))
 
 
+# The contract's messages, here and in ``lane_violation``, ``violation`` and ``publish``.
 def _evidence_rules(e: Column, state: Column) -> list[tuple[Column, str]]:
     free = state.isin(*NO_STATE)
     zero = (e["decisions"] == 0) & (e["terminals"] == 0)

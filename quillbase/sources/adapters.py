@@ -55,5 +55,5 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directed graph of all line items, suppliers to parts; a part's links are those of the supplier with its number."""
-    return load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    """A directed graph of all line items, suppliers to parts, a link for each; a part's links are those of the supplier with its number."""
+    return load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
