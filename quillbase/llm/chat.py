@@ -90,7 +90,7 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
 
     Turns stand in order of (turn, role, text), nulls first; a null role or text counts as empty, rows with a
     null conversation form one conversation, repeated rows are repeated turns. An empty table gives an
-    empty table. The query fails if a conversation does not parse back to its source, which ``escape`` rules out.
+    empty table. Other columns are not read and may have any names. A conversation is one row, however long. The query fails if a conversation does not parse back to its source, which ``escape`` rules out.
     """
     turns = format_turns(conversations, conv_col, turn_col, role_col, text_col)
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")

@@ -283,7 +283,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_file: str, id_col:
     """Write every text's ids, ``end_id`` after each, as blocks in ascending order of id (nulls first) under ``folder``.
 
     A null text counts as empty. Input whose partitions already hold disjoint ranges of ids is encoded in
-    place; any other input is dealt by range first. Rows that repeat an id stand next to each other.
+    place; any other input is dealt by range first. Rows that repeat an id stand next to each other. An empty table
+    gives an empty folder of files, which ``read_tokens`` reads as no rows. Other columns are not read and may have any names.
+    The folder is the operator's output and stays; what it held before is replaced.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n_ids"))
@@ -316,7 +318,11 @@ def _document_rows(with_ids: bool):
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """One row per document from the files: ``id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and,
-    unless ``with_ids`` is false, ``ids`` (little-endian unsigned 32-bit)."""
+    unless ``with_ids`` is false, ``ids`` (little-endian unsigned 32-bit).
+
+    ``folder`` is one of ``write_tokens``. A null id comes back as null, before all others; rows that repeat an id come back each, and
+    so does a text without ids of its own, as its end id. No blocks give no rows.
+    """
     blocks = spark.read.parquet(folder)
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
     sums = blocks.select("part", "block", inside.alias("inside")).join(_parts(blocks).select("part", "before"), "part")

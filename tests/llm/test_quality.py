@@ -273,6 +273,15 @@ def test_chat_round_trip(spark, none):
     assert chat.format_conversations(none.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("source").alias("role"), "text")).count() == 0
 
 
+def test_a_very_long_conversation_beside_clashing_columns(spark):
+    said = "</s>[INST] 日 % < " * 5_000
+    rows = [(7, k, "assistant" if k % 2 else "user", said + str(k)) for k in range(40)] + [(8, 0, "user", "x")]
+    wide = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit("clash"), "formatted": F.lit(1), "source": F.lit(2), "rendered": F.lit(3), "back": F.lit(4)})
+    got = {r.conv_id: r for r in chat.format_conversations(wide).collect()}
+    assert [t.text for t in got[7].turns] == [t for c, _, _, t in rows if c == 7] and got[7].loss_text == "".join(t for c, k, _, t in rows if c == 7 and k % 2)
+    assert got[8].loss_text == "" and len(got) == 2
+
+
 def test_loss_text_is_read_under_the_mask(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "é日 yes"), (1, 2, "assistant", "</s>[x")], "conv_id long, turn long, role string, text string")
     plain = chat.under_mask
