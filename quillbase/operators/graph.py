@@ -50,11 +50,12 @@ def discover(links: DataFrame, root: object, max_levels: int = 1_000_000) -> Dat
     """(node, rank, depth, slug): what a queue that starts with ``root`` meets, in order: all links of a node by ``pos``, then those of the next.
 
     ``links``: src, pos, dst, slug. ``rank`` counts from 0 over the targets; the root is among them only if a link leads back to it. ``slug``
-    is that of the link by which the target was found. Links with a null end are left out; links of one source and position go by target.
+    is that of the link by which the target was found. Links with a null end are left out; a null position comes last, and links of one
+    source and position go by target.
     """
     spark = links.sparkSession
     with Scratch(spark) as scratch:
-        held = scratch.keep(links.select("src", F.col("pos").cast("long").alias("pos"), "dst", "slug").where("src IS NOT NULL AND dst IS NOT NULL"))
+        held = scratch.keep(links.select("src", F.coalesce(F.col("pos").cast("long"), F.lit(1 << 62)).alias("pos"), "dst", "slug").where("src IS NOT NULL AND dst IS NOT NULL"))
         kind = dict(held.dtypes)["dst"]
         frontier = spark.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(-1).cast("long").alias("rank"))
         seen, base = spark.createDataFrame([], f"node {kind}, rank long, depth int, slug string"), 0

@@ -56,12 +56,12 @@ def test_reserved_names(spark):
 
 
 def test_nulls_and_nothing(spark):
-    links = spark.createDataFrame([(0, 0, None, "x"), (None, 0, 1, "x"), (0, 1, 2, None), (5, 0, 6, "z")], "src long, pos long, dst long, slug string")
+    links = spark.createDataFrame([(0, 0, None, "x"), (None, 0, 1, "x"), (0, 1, 2, None), (5, 0, 6, "z"), (0, None, 8, "q"), (0, None, 7, "q")], "src long, pos long, dst long, slug string")
     found = graph.discover(links, 0)
-    assert [(r.node, r["rank"], r.depth, r.slug) for r in found.collect()] == [(2, 0, 1, None)]
-    assert graph.assign_slugs(found).count() == 0
+    assert [(r.node, r["rank"], r.depth, r.slug) for r in found.orderBy("rank").collect()] == [(2, 0, 1, None), (7, 1, 1, "q"), (8, 2, 1, "q")]
+    assert {r.node: r.slug for r in graph.assign_slugs(found).collect()} == {7: "q", 8: "q-2"}
     assert graph.discover(links.limit(0), 0).count() == 0
-    assert [tuple(r) for r in graph.reach(links, 0).orderBy("depth").collect()] == [(0, 0), (2, 1)]
+    assert [tuple(r) for r in graph.reach(links, 0).orderBy("depth", "node").collect()] == [(0, 0), (2, 1), (7, 1), (8, 1)]
 
 
 def test_reach(spark):
