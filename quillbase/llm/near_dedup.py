@@ -256,7 +256,7 @@ def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int)
     own = met.select(F.col("a").alias("c"), F.col("outside").alias("packed")).mapInArrow(_shingle_rows, "c long, shingle long")
     loose = own.join(body, "c")
     shared = loose.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle")
-    loose = _rare_prefixes(loose.join(shared, ["hub", "shingle"]), percent)
+    loose = cut(_rare_prefixes(loose.join(shared, ["hub", "shingle"]), percent))  # joined with itself: one plan, not two
     # the first shingle that two have in common is followed by the rest of what they have, so one with too little behind it isn't the first of a link
     enough = (F.least("both_a", "both_b") + 1 + F.least("left_a", "left_b")) * (100 + percent) >= (a("n") + b("n")) * percent
     by_shingle = named(loose, "a").join(named(loose, "b"), "shingle").where((a("hub") == b("hub")) & (a("c") < b("c")) & apart & enough)
