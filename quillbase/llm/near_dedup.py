@@ -215,14 +215,13 @@ def _rare_prefixes(loose: DataFrame, percent: int) -> DataFrame:
 
     Classes of n and m shingles need p (n + m) / (100 + p) in common, of which the hub can give the lesser overlap with it at most. So a class of
     n must share t = p (n + p n / 100) / (100 + p) - both of its k shingles outside with any partner, and of two sets that have t in common,
-    put in one order, the first k - t + 1 of each have one in common. ``left``: how many of the class's follow the row's shingle.
+    put in one order, the first k - t + 1 of each have one in common. ``loose`` has ``often``, the classes with the row's shingle. ``left``: how many of the class's follow the row's shingle.
     """
-    common = loose.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("_often"))
     own = Window.partitionBy("c")
-    placed = loose.join(common, ["hub", "shingle"]).withColumns({"_at": F.row_number().over(own.orderBy("_often", "shingle")), "_k": F.count(F.lit(1)).over(own)})
+    placed = loose.withColumns({"_at": F.row_number().over(own.orderBy("often", "shingle")), "_k": F.count(F.lit(1)).over(own)})
     partner = F.ceil(F.col("n") * percent / 100)
     needed = F.greatest(F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("both"), F.lit(1))
-    return placed.where(F.col("_at") <= F.col("_k") - needed + 1).withColumn("left", F.col("_k") - F.col("_at")).drop("_often", "_at", "_k")
+    return placed.where(F.col("_at") <= F.col("_k") - needed + 1).withColumn("left", F.col("_k") - F.col("_at")).drop("often", "_at", "_k")
 
 
 def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +254,7 @@ def _open_pairs(live: DataFrame, links: DataFrame, met: DataFrame, percent: int)
 
     own = met.select(F.col("a").alias("c"), F.col("outside").alias("packed")).mapInArrow(_shingle_rows, "c long, shingle long")
     loose = own.join(body, "c")
-    shared = loose.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle")
+    shared = loose.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("often")).where("low < high").select("hub", "shingle", "often")
     loose = cut(_rare_prefixes(loose.join(shared, ["hub", "shingle"]), percent))  # joined with itself: one plan, not two
     # the first shingle that two have in common is followed by the rest of what they have, so one with too little behind it isn't the first of a link
     enough = (F.least("both_a", "both_b") + 1 + F.least("left_a", "left_b")) * (100 + percent) >= (a("n") + b("n")) * percent
