@@ -10,10 +10,24 @@ KINDS = ("object", "array", "text", "number", "boolean", "null", "other")
 
 
 def kind(value: Column) -> Column:
-    """What a VARIANT holds, one of ``KINDS``; null where there is no value at all."""
-    said = F.regexp_extract(F.schema_of_variant(value), "^[A-Z_]+", 0)
+    """What a VARIANT holds, one of ``KINDS``; null where there is no value at all.
+
+    Only a scalar is asked for its schema: that of an object or array is worked out from all that it holds, to any depth.
+    """
+    said = F.substring_index(F.schema_of_variant(value), "(", 1)
     known = F.create_map(*(F.lit(x) for pair in _KIND_OF.items() for x in pair))
-    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(known, said), F.lit("other")))
+    scalar = F.when(value.isNotNull(), F.coalesce(F.try_element_at(known, said), F.lit("other")))
+    return F.when(is_object(value), "object").when(is_array(value), "array").otherwise(scalar)
+
+
+def is_object(value: Column) -> Column:
+    """Whether a VARIANT holds an object; false where there is no value."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def is_array(value: Column) -> Column:
+    """Whether a VARIANT holds an array; false where there is no value."""
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def at(value: Column, path: str) -> Column:
@@ -23,8 +37,9 @@ def at(value: Column, path: str) -> Column:
 
 def text(value: Column, path: str) -> Column:
     """A text, number or boolean at a path as text; null for anything else."""
-    held = at(value, path)
-    return F.when(kind(held).isin("text", "number", "boolean"), F.try_variant_get(value, path, "string"))
+    said = F.schema_of_variant(at(value, path))
+    scalar = said.isin("STRING", "BOOLEAN", *(n for n, of in _KIND_OF.items() if of == "number")) | said.startswith("DECIMAL(")
+    return F.when(scalar, F.try_variant_get(value, path, "string"))
 
 
 def truthy(value: Column) -> Column:

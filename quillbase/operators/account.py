@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,36 +27,67 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
     return inner.select(key, _text("coin"), *fields, "leverage").where(F.abs("szi") > 0)
 
 
-def flatten_orders(rows: DataFrame, key: str) -> DataFrame:
+#: Levels of an order tree that one pass walks, without a table between them.
+LEVELS = 16
+
+
+def _order(order: Column) -> list[Column]:
+    return [order.alias("order")]
+
+
+def flatten_orders(rows: DataFrame, key: str, take: Callable[[Column], list[Column]] = _order) -> DataFrame:
     """(key, at, path, order): the orders of trees of any depth, parents before children, from ``orders``, JSON text or VARIANT.
 
     An order with children counts itself only if it has a ``cloid``; elements that are neither objects nor arrays are passed over, and so
-    is anything but an array. ``path`` holds the positions from the root. One pass for each level, over that level's orders only.
+    is anything but an array. ``path`` holds the positions from the root. ``take`` gives the columns to have in place of ``order``, such as
+    ``order_columns``: an order holds all that is below it, so those of a deep tree are together far larger than the tree. One pass for
+    ``LEVELS`` levels; the next one takes only what is deeper.
     """
     parsed = F.try_parse_json("orders") if dict(rows.dtypes)["orders"] == "string" else F.col("orders")
+
+    def elements(path: Column, held: Column) -> Column:
+        return F.transform(held, lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), x.alias("order"), untyped.at(x, "$.children[0]").isNotNull().alias("more")))
+
+    def inner(order: Column) -> Column:
+        return F.try_variant_get(order, "$.children", "array<variant>")
+
+    def below(levels: Column) -> Column:
+        """The levels and one more: what the last one's elements hold."""
+        held = F.transform(F.filter(F.element_at(levels, -1), lambda e: e["more"]), lambda e: elements(e["path"], inner(e["order"])))
+        return F.concat(levels, F.array(F.flatten(held)))
+
     with Scratch(rows.sparkSession) as scratch:
-        level = rows.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("path"), parsed.alias("held")).where(untyped.kind(F.col("held")) == "array")
-        found = None
+        trees = scratch.keep(rows.select(F.col(key).alias("_key"), parsed.alias("held")))
+        roots = trees.select("_key", F.array().cast("array<int>").alias("path"), F.try_variant_get("held", "$", "array<variant>").alias("held"))
+        found, depth = None, 0
         while True:
-            each = untyped.children(level, "held").select("_key", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("order"))
-            inner = untyped.at(F.col("order"), "$.children")
-            more = (untyped.kind(inner) == "array") & untyped.at(F.col("order"), "$.children[0]").isNotNull()
-            each = each.where(untyped.kind(F.col("order")).isin("object", "array")).withColumns({"more": F.coalesce(more, F.lit(False)), "own": untyped.truthy(untyped.at(F.col("order"), "$.cloid"))})
-            kept = scratch.keep(each, last=True)
-            own = kept.where(~F.col("more") | F.col("own")).select("_key", "path", "order")
-            found = own if found is None else found.unionByName(own)
-            if kept.where("more").isEmpty():
+            depth += LEVELS
+            walked = F.aggregate(F.sequence(F.lit(2), F.lit(LEVELS)), F.array(elements(F.col("path"), F.col("held"))), lambda levels, _: below(levels))
+            # an outer one: the other would be guarded by a filter that walks every tree once more
+            each = roots.select("_key", F.explode_outer(F.flatten(walked)).alias("e")).select("_key", "e.*").where(untyped.is_object(F.col("order")) | untyped.is_array(F.col("order")))
+            own = ~F.col("more") | untyped.truthy(untyped.at(F.col("order"), "$.cloid"))
+            deeper = F.when(F.col("more") & (F.size("path") == depth), F.col("order"))
+            kept = scratch.keep(each.select("_key", "path", own.alias("own"), deeper.alias("deeper"), *take(F.col("order"))).where("own OR deeper IS NOT NULL"), last=True)
+            mine = kept.where("own").drop("own", "deeper")
+            found = mine if found is None else found.unionByName(mine)
+            rest = kept.where("deeper IS NOT NULL")
+            if rest.isEmpty():
                 break
-            level = kept.where("more").select("_key", "path", untyped.at(F.col("order"), "$.children").alias("held"))
+            roots = rest.select("_key", "path", inner(F.col("deeper")).alias("held"))
     place = F.row_number().over(Window.partitionBy("_key").orderBy("path")) - 1
-    return found.select(F.col("_key").alias(key), place.alias("at"), "path", "order")
+    return found.select(F.col("_key").alias(key), place.alias("at"), *found.columns[1:])
+
+
+def order_columns(order: Column) -> list[Column]:
+    """The fields of an order that ``public_orders`` takes, as texts and flags, whatever types they were written with."""
+    text = [untyped.text(order, f"$.{n}").alias(n) for n in ("coin", "side", "limitPx", "sz", "timestamp", "triggerPx", "triggerCondition", "orderType")]
+    flags = [untyped.truthy(untyped.at(order, f"$.{n}")).alias(n) for n in ("reduceOnly", "isTrigger")]
+    return [*text, F.try_variant_get(order, "$.oid", "long").alias("oid"), *flags]
 
 
 def order_fields(flat: DataFrame, key: str) -> DataFrame:
-    """The fields of flattened orders that ``public_orders`` takes, as texts and flags, whatever types they were written with."""
-    text = [untyped.text(F.col("order"), f"$.{n}").alias(n) for n in ("coin", "side", "limitPx", "sz", "timestamp", "triggerPx", "triggerCondition", "orderType")]
-    flags = [untyped.truthy(untyped.at(F.col("order"), f"$.{n}")).alias(n) for n in ("reduceOnly", "isTrigger")]
-    return flat.select(key, "at", *text, F.try_variant_get("order", "$.oid", "long").alias("oid"), *flags)
+    """``order_columns`` of flattened orders."""
+    return flat.select(key, "at", *order_columns(F.col("order")))
 
 
 def public_orders(rows: DataFrame, key: str, *more: str) -> DataFrame:

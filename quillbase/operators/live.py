@@ -67,8 +67,8 @@ def account_parts(wide: DataFrame) -> dict[str, DataFrame]:
     text = lambda n: F.coalesce(untyped.text(F.col("value"), f"$.{n}"), F.lit("")).alias(n)
     leverage = F.to_json(F.when(untyped.kind(untyped.at(F.col("value"), "$.leverage")).isin("object", "array"), untyped.at(F.col("value"), "$.leverage")))
     positions = p.select("key", "pos", text("coin"), *(number(n) for n in ("szi", "entryPx", "positionValue", "unrealizedPnl", "marginUsed", "liquidationPx")), leverage.alias("leverage")).where(F.abs("szi") > 0)
-    flat = account.flatten_orders(wide.select("key", F.col("orders")["value"].alias("orders")), "key")
-    orders = account.public_orders(account.order_fields(flat, "key"), "key", "at")
+    flat = account.flatten_orders(wide.select("key", F.col("orders")["value"].alias("orders")), "key", account.order_columns)
+    orders = account.public_orders(flat, "key", "at")
     fills = _elements(wide, "fills", kinds=("object", "array")).select("key", "pos", number("time"), text("coin"), text("side"), text("dir"), number("px"), number("sz"), number("closedPnl"), number("fee"), F.coalesce(untyped.truthy(untyped.at(v, "$.crossed")), F.lit(False)).alias("crossed"))
     newest = Window.partitionBy("key").orderBy(F.desc_nulls_last("time"), "pos")
     fills = fills.withColumn("at", F.row_number().over(newest) - 1).where(F.col("at") < MOST_FILLS).drop("pos")

@@ -126,3 +126,19 @@ def test_orders_cards_and_blockers(spark):
     assert got == {1: (50.0, 2.5, 2.0, 10.0, "2 pos / 2 ord"), 2: (0.0, 0.0, None, 0.0, "FLAT")}
     lists = spark.sql("SELECT array('a', 'b') AS s, array('b') AS a, 'unprotected' AS st, array('a') AS p UNION ALL SELECT array('a'), null, 'protected', array('p')")
     assert [r[0] for r in lists.select(account.all_blockers(F.col("s"), F.col("a"), F.col("st"), F.col("p"))).collect()] == [["a", "b", "b", "a"], ["a"]]
+
+
+def test_deep_orders_take_few_tables(spark, monkeypatch):
+    """A tree of 40 levels: each holds the next and a leaf; a table for the trees and one for each ``LEVELS`` levels, with the taken columns only."""
+    from quillbase.operators.stored import Scratch
+
+    tree = '{"oid":40}'
+    for n in range(39, 0, -1):
+        tree = '{"oid":%d,"cloid":%s,"children":[%s,null,{"oid":-%d}]}' % (n, '"c"' if n % 2 else '""', tree, n)
+    tables, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, last=False: tables.append(df.columns) or keep(self, df, last))
+    rows = spark.createDataFrame([(1, f"[7,{tree}]"), (2, "{}"), (3, None)], "account long, orders string")
+    got = account.flatten_orders(rows, "account", account.order_columns).orderBy("at").collect()
+    assert [r.oid for r in got] == [*(n for n in range(1, 40) if n % 2), 40, *(-n for n in range(39, 0, -1))]
+    assert [r.at for r in got] == list(range(60)) and got[20].path == [1] + [0] * 39 and got[-1].path == [1, 2]
+    assert len(tables) == 1 + -(-40 // account.LEVELS) and all("order" not in columns for columns in tables)
