@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillbase.functions import expr
 from quillbase.operators import docs
+from quillbase.plans import catalogue
 from quillbase.sources import files
 
 DOC = "https://docs.google.com/document/d/ID1/edit"
@@ -125,3 +126,23 @@ def test_site_on_disk(spark, tmp_path):
     assert files.write_files(more, str(folder), add=True) == 1 and site(folder) == want | {"z/z.txt": b"z"}
     assert files.write_files(more, str(folder)) == 2 and site(folder) == {"index.html": b"new", "z/z.txt": b"z"}
     assert files.write_files(more.limit(0), str(folder)) == 0 and site(folder) == {}
+
+
+def test_files_read_by_their_paths(spark, tmp_path):
+    """Files are opened at the paths that were written: folders aren't listed, so names that listings skip are there too, and added files spare them."""
+    folder = str(tmp_path / "dist")
+    rows = {"index.html": b"a", ".well-known/x": b"", "_headers": b"\x00b", "p/c d/\u00e9%20.html": b"c" * 100}
+    made, n = files.put_files(spark.createDataFrame([(k, bytearray(v)) for k, v in rows.items()], "path string, data binary"), folder)
+    back = files.read_files(made, folder)
+    assert n == 4 and {r.path: bytes(r.data) for r in back.collect()} == rows
+    more = spark.createDataFrame([("_headers", "new"), ("n", "n"), ("p/q", "q")], "path string, data string")
+    made, n = files.put_files(more, folder, add=True)
+    assert n == 2 and sorted(r.path for r in made.collect()) == ["n", "p/q"] and site(tmp_path / "dist") == rows | {"n": b"n", "p/q": b"q"}
+    with pytest.raises(Exception, match="gone"):
+        files.read_files(spark.createDataFrame([("gone",)], "path string"), folder).collect()
+
+
+def test_site_on_disk_lists_nothing(spark, sf_dir):
+    """The driver holds no row for each file: the site's files are opened by tasks, as many as their paths need."""
+    out = catalogue.QUERIES["site_on_disk"](spark, sf_dir)
+    assert "binaryFile" not in out._jdf.queryExecution().toString() and out.rdd.getNumPartitions() <= 16 and out.count() > 300
