@@ -245,7 +245,7 @@ def _block_rows(tokenizer_file: str, end_id: int):
                 texts = part["text"].slice(s.start, s.stop - s.start)
                 keys = part["id"].slice(s.start, s.stop - s.start)
                 chunked = Chunked(texts, special)
-                values, starts = encode(chunked.chunks)
+                values, starts = encode(chunked.words)
                 numbers, offsets = chunked.numbers, chunked.offsets
                 del chunked
                 for b in text_slices(texts, BLOCK_BYTES):

@@ -44,6 +44,33 @@ def test_chunks_equal_library(file):
     check()
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_spare_the_chain(file, monkeypatch):
+    """Words with any run of marks but the apostrophe go to the model; the library's whole chain sees only what is left, and all ids are its own."""
+    seen = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    text = "Le café*** &&& x,&& a|b Été!?\nOh$$$ c'est it's 42 (one) ÀÖØÞßÿ]^_`{|}~ z\n=<>"
+    ids, _ = chunks.encoded_texts(pa.array([text]), chunks.encoder(P.path(file), "word" in file))
+    assert ids.tolist() == ids_of(file)(text)
+    assert sorted(seen) == [" &&&", " (one)", " 42", " c'est", " it's"]
+
+
 def brute_best_fit(lengths, window):
     free, out = [], {}
     for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
