@@ -137,13 +137,13 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     lang = lang_col if lang_col in documents.columns else None
-    return measure(documents, id_col, text_col, keep, lang).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    # the partition number keeps a filter above this projection: moved below, it would repeat every measure for each use
+    kept = ~F.col("base_failed") & compile_rules(rules) & (F.spark_partition_id() >= 0)
+    return measure(documents, id_col, text_col, keep, lang).withColumn("base_failed", base).withColumn("kept", kept)
 
 
 def keep_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, lang_col: str | None = "lang") -> DataFrame:
     """The input rows, all columns, that the rules keep; no shuffle."""
     names = documents.columns
     held = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_body"), (F.col(f"`{lang_col}`") if lang_col in names else F.lit("en")).cast("string").alias("_lang"))
-    judged = quality_rules(held, "_key", "_body", rules, keep=("_row",), lang_col="_lang").withColumn("_task", F.spark_partition_id())
-    # the partition number keeps the filter above the projection: moved below, it would repeat every measure for each use
-    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")
+    return quality_rules(held, "_key", "_body", rules, keep=("_row",), lang_col="_lang").where("kept").select("_row.*")

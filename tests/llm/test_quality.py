@@ -367,3 +367,12 @@ def test_media_round_trip(spark, odd, none, tmp_path):
     assert [(r.corrected, len(r.embedded)) for r in rows] == [("audio/wav", 1), ("text/x", 0), ("text/x", 0)] and rows[0].embedded[0].start == 44
     media.store_texts(none, str(tmp_path / "n"))
     assert media.read_features(spark.read.parquet(str(tmp_path / "n"))).count() == 0
+
+
+def test_filter_repeats_no_measure(spark):
+    """A filter on the verdict stays above the measures, which would else be computed anew for each use of each."""
+    docs = spark.createDataFrame([(1, "a b c " * 30, "en")], "doc_id long, text string, lang string")
+    uses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64")
+    out = quality_rules.quality_rules(docs)
+    assert uses(out.where("kept")) == uses(out) and uses(out.where("NOT kept AND n_words > 3")) == uses(out)
+    assert uses(quality_rules.keep_documents(docs)) == uses(out)
