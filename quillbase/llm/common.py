@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quillbase.session import checkpoint_folder
@@ -100,6 +101,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Bytes of text whose prefix sums are held at once: some 40 bytes of working memory for each.
+PIECE_BYTES = 1 << 20
+
+
 @dataclass
 class Words:
     """The words of a batch of texts: a 64-bit hash each, and where each text's words begin."""
@@ -116,29 +121,35 @@ class Words:
 def words_of(texts: Sequence[str | None], lower_ascii: bool = False) -> Words:
     """Words are maximal runs without the characters 0x20 and 0x09-0x0D; a null text has none.
 
-    Every step works on the whole batch: bytes are summed with powers of an odd base modulo 2^64, so a
-    word's hash is a difference of two prefix sums times the inverse power of its place.
+    Bytes are summed with powers of an odd base modulo 2^64, so a word's hash is a difference of two prefix
+    sums times the inverse power of its place. Sums run over pieces of about ``PIECE_BYTES``, which end between words.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = b" ".join(raw) + b" "
+    text_starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    del raw
     codes = np.frombuffer(data, dtype=np.uint8)
-    if lower_ascii:
-        codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint8)
     is_space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    edge = np.diff(np.concatenate(([1], is_space.view(np.int8), [1])))
+    edge = np.diff(is_space.view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(ends) > len(starts):
-        ends = ends[: len(starts)]
-    n = len(codes)
-    prefix = np.empty(n + 1, dtype=np.uint64)
-    prefix[0] = 0
-    weighed = _BYTE_CODES[codes]
-    weighed *= _powers(_BASE, n)
-    np.cumsum(weighed, dtype=np.uint64, out=prefix[1:])
-    del weighed
-    inverse = _powers(_BASE_INVERSE, n)
-    hashes = mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    text_starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    del is_space, edge
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    powers = inverse = np.empty(0, dtype=np.uint64)
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE_BYTES, side="right")))
+        first, n = starts[a], int(ends[b - 1] - starts[a])
+        if n > len(powers):
+            powers, inverse = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+        piece = codes[first : first + n]
+        if lower_ascii:
+            piece = np.where((piece >= 65) & (piece <= 90), piece + 32, piece).astype(np.uint8)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.multiply(_BYTE_CODES[piece], powers[:n], out=prefix[1:])
+        np.cumsum(prefix, out=prefix)
+        s, e = starts[a:b] - first, ends[a:b] - first
+        hashes[a:b] = mix64((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64))
+        a = b
     return Words(hashes, np.searchsorted(starts, text_starts), starts, ends, data)
 
 
@@ -154,6 +165,18 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def slabs(most_bytes: int, *columns: pa.Array) -> Iterator[slice]:
+    """Slices of rows whose texts or bytes in ``columns`` come to ``most_bytes`` at most; one longer row is a slice of its own."""
+    lengths = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+    ends = np.cumsum(sum(lengths))
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield slice(begin, stop)
+        begin = stop
+
+
 def batches(texts: Sequence[str | None], most_chars: int):
     """Slices of ``texts`` of about ``most_chars`` characters at most; one longer text is a slice of its own."""
     begin = size = 0

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, grams, mix64, scratch, small_enough_to_broadcast, trimmed, words_of
+from quillbase.llm.common import cut, grams, mix64, scratch, slabs, small_enough_to_broadcast, trimmed, words_of
 from quillbase.llm.components import components
 
-BATCH_CHARS = 4_000_000
+#: Bytes of texts or sets that a task works on at once, of however large a batch Spark hands over.
+BATCH_BYTES = 2_000_000
 #: Tasks that the pairs of one class may be spread over.
 SALTS = 64
 
@@ -85,9 +86,8 @@ def _signatures(hashes: np.ndarray, offsets: np.ndarray, settings: Settings) ->
 def _describe(settings: Settings):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part["text"].to_pylist()
-            for s in batches(texts, BATCH_CHARS):
-                hashes, offsets = shingle_sets(texts[s], settings.words)
+            for s in slabs(BATCH_BYTES, part["text"]):
+                hashes, offsets = shingle_sets(part["text"][s].to_pylist(), settings.words)
                 names = _set_names(hashes, offsets)
                 seen: dict[bytes, int] = {}
                 first = [i for i, x in enumerate(names) if x is not None and seen.setdefault(x, i) == i]
@@ -107,11 +107,10 @@ def _describe(settings: Settings):
 def _sets(settings: Settings):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, want = part["text"].to_pylist(), part["name"].to_pylist()
-            for s in batches(texts, BATCH_CHARS):
-                hashes, offsets = shingle_sets(texts[s], settings.words)
-                names = _set_names(hashes, offsets)
-                right = [i for i, x in enumerate(names) if x == want[s][i]]  # another text may bear the same id
+            for s in slabs(BATCH_BYTES, part["text"]):
+                hashes, offsets = shingle_sets(part["text"][s].to_pylist(), settings.words)
+                want = part["name"][s].to_pylist()
+                right = [i for i, x in enumerate(_set_names(hashes, offsets)) if x == want[i]]  # another text may bear the same id
                 packed = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in right]
                 yield pa.RecordBatch.from_arrays([part["c"].slice(s.start, s.stop - s.start).take(pa.array(right, pa.int64())), pa.array(packed, pa.binary())], names=["c", "packed"])
 
@@ -120,9 +119,10 @@ def _sets(settings: Settings):
 
 def _shingle_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        packed = part["packed"].to_pylist()
-        counts = [len(x) // 8 for x in packed]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["c"].to_numpy(), counts)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names=["c", "shingle"])
+        for s in slabs(BATCH_BYTES, part["packed"]):
+            packed = part["packed"][s].to_pylist()
+            counts = [len(x) // 8 for x in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["c"][s].to_numpy(), counts)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names=["c", "shingle"])
 
 
 _COMPARED = "a long, b long, size long, both long, linked boolean, outside binary"
@@ -131,15 +131,16 @@ _COMPARED = "a long, b long, size long, both long, linked boolean, outside binar
 def _compare(percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sizes, shared, linked, outside = [], [], [], []
-            for x, y in zip(part["set_a"].to_pylist(), part["set_b"].to_pylist(), strict=True):
-                one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                apart = np.setdiff1d(one, two, assume_unique=True)
-                sizes.append(len(one))
-                shared.append(both := len(one) - len(apart))
-                linked.append(100 * both >= percent * (len(one) + len(two) - both))
-                outside.append(apart.tobytes())
-            yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.binary())], names=["a", "b", "size", "both", "linked", "outside"])
+            for s in slabs(BATCH_BYTES, part["set_a"], part["set_b"]):
+                sizes, shared, linked, outside = [], [], [], []
+                for x, y in zip(part["set_a"][s].to_pylist(), part["set_b"][s].to_pylist(), strict=True):
+                    one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                    apart = np.setdiff1d(one, two, assume_unique=True)
+                    sizes.append(len(one))
+                    shared.append(both := len(one) - len(apart))
+                    linked.append(100 * both >= percent * (len(one) + len(two) - both))
+                    outside.append(apart.tobytes())
+                yield pa.RecordBatch.from_arrays([part["a"][s], part["b"][s], pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.binary())], names=["a", "b", "size", "both", "linked", "outside"])
 
     return run
 

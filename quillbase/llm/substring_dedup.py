@@ -19,11 +19,11 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import batches, cut, grams, trimmed, words_of
+from quillbase.llm.common import cut, grams, slabs, trimmed, words_of
 
 SEED = 5
 LENGTH = 13
-BATCH_CHARS = 4_000_000
+BATCH_BYTES = 4_000_000
 #: Bits of the anchor filter at most (64 MB). Beyond its size the filter only lets more anchors through.
 MOST_FILTER_BITS = 1 << 29
 
@@ -65,9 +65,9 @@ def _groups(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _anchor_rows(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, texts = part["id"].to_numpy(), part["text"].to_pylist()
-            for s in batches(texts, BATCH_CHARS):
-                text, _, anchors = _windows(texts[s], length)
+            ids = part["id"].to_numpy()
+            for s in slabs(BATCH_BYTES, part["text"]):
+                text, _, anchors = _windows(part["text"][s].to_pylist(), length)
                 if not len(text):
                     continue
                 new = np.ones(len(text), dtype=bool)
@@ -86,9 +86,9 @@ def _window_rows(length: int, bits: Broadcast):
         filled = bits.value
         mask = np.uint64(len(filled) * 8 - 1)
         for part in parts:
-            ids, texts = part["id"].to_numpy(), part["text"].to_pylist()
-            for s in batches(texts, BATCH_CHARS):
-                text, whole, anchors = _windows(texts[s], length)
+            ids = part["id"].to_numpy()
+            for s in slabs(BATCH_BYTES, part["text"]):
+                text, whole, anchors = _windows(part["text"][s].to_pylist(), length)
                 at = anchors & mask
                 hit = (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 if not hit.any():
@@ -107,13 +107,12 @@ def _window_rows(length: int, bits: Broadcast):
 def _strip(length: int, passed: list[str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, gone = part["_body"].to_pylist(), part["_gone"]
-            for s in batches(texts, BATCH_CHARS):
-                own = gone.slice(s.start, s.stop - s.start)
+            for s in slabs(BATCH_BYTES, part["_body"]):
+                texts, own = part["_body"][s].to_pylist(), part["_gone"][s]
                 counts, removed, spans, kept = [], [], [], []
-                words = words_of(texts[s])
+                words = words_of(texts)
                 whole = grams(words.hashes, length)
-                for i, text in enumerate(texts[s]):
+                for i, text in enumerate(texts):
                     a, b = int(words.offsets[i]), int(words.offsets[i + 1])
                     pieces = [] if text is None else text.encode("utf-8", "surrogatepass").split()
                     keep = np.ones(b - a, dtype=bool)

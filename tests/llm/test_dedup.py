@@ -148,3 +148,36 @@ def test_substrings_odd(odd, none):
 def test_least_length(odd):
     with pytest.raises(ValueError, match="length"):
         substring_dedup.substring_dedup(odd, length=5)
+
+
+def test_working_memory_is_bounded():
+    """A large batch of texts is worked on in pieces: the memory it takes beside the batch doesn't grow with it (some 40 bytes a character before)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(1500)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], names=["id", "text"])
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        described = sum(x.num_rows for x in near_dedup._describe(near_dedup.Settings())(iter([part])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert described == 1500 and size > 4_000_000 and most < 90_000_000
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_words_in_pieces(monkeypatch, piece):
+    """Hashes of words don't depend on where the pieces of a batch end."""
+    from quillbase.llm import common
+
+    texts = ["a bb  CCC\n日本 é", None, "", " x ", "bb " * 9 + "y" * 40, "CCC a"]
+    want = common.words_of(texts, lower_ascii=True)
+    monkeypatch.setattr(common, "PIECE_BYTES", piece)
+    got = common.words_of(texts, lower_ascii=True)
+    assert got.hashes.tolist() == want.hashes.tolist() and got.offsets.tolist() == want.offsets.tolist() == [0, 5, 5, 5, 6, 16, 18]
+    assert want.hashes[0] == want.hashes[17] and want.hashes[1] == want.hashes[6] and want.hashes[2] == want.hashes[16] and len(set(want.hashes.tolist())) == 7
