@@ -12,10 +12,19 @@ DOC_URL = f"(?i){DOC_ADDRESS}"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def number(text: Column) -> Column:
+    """A string as a double; null for null, blank, words, suffixes and NaN. One that is too large is infinite."""
+    return F.when(text.rlike(_NUMBER), F.trim(text)).try_cast("double")
+
+
+def finite(value: Column) -> Column:
+    """A double; null for infinities."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def finite_number(text: Column) -> Column:
     """A string as a finite double; null for null, blank, words, suffixes, NaN and infinities."""
-    value = F.when(text.rlike(_NUMBER), F.trim(text)).try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return finite(number(text))
 
 
 def slugify(text: Column) -> Column:

@@ -37,14 +37,13 @@ def at(value: Column, path: str) -> Column:
 
 def text(value: Column, path: str) -> Column:
     """A text, number or boolean at a path as text; null for anything else."""
-    said = F.schema_of_variant(at(value, path))
-    scalar = said.isin("STRING", "BOOLEAN", *(n for n, of in _KIND_OF.items() if of == "number")) | said.startswith("DECIMAL(")
+    scalar = F.substring_index(F.schema_of_variant(at(value, path)), "(", 1).isin("STRING", "BOOLEAN", *(n for n, of in _KIND_OF.items() if of == "number"))
     return F.when(scalar, F.try_variant_get(value, path, "string"))
 
 
-def truthy(value: Column) -> Column:
-    """Whether a value counts as true: not null, false, zero, or an empty text."""
-    of = kind(value)
+def truthy(value: Column, of: Column | None = None) -> Column:
+    """Whether a value counts as true: not null, false, zero, or an empty text. ``of``: its ``kind``, where that is a column already."""
+    of = kind(value) if of is None else of
     return (
         F.when(of == "text", F.try_variant_get(value, "$", "string") != "")
         .when(of == "number", F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))

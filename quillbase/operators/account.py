@@ -58,7 +58,7 @@ def flatten_orders(rows: DataFrame, key: str, take: Callable[[Column], list[Colu
 
     with Scratch(rows.sparkSession) as scratch:
         trees = scratch.keep(rows.select(F.col(key).alias("_key"), parsed.alias("held")))
-        roots = trees.select("_key", F.array().cast("array<int>").alias("path"), F.try_variant_get("held", "$", "array<variant>").alias("held"))
+        roots = trees.select("_key", F.array().cast("array<int>").alias("path"), F.try_variant_get("held", "$", "array<variant>").alias("held")).where(F.size("held") > 0)
         found, depth = None, 0
         while True:
             depth += LEVELS

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbase.functions import untyped
-from quillbase.functions.expr import HOUR_MS, finite_number, floor_hour, iso_ms
+from quillbase.functions.expr import HOUR_MS, finite, finite_number, iso_ms, number
 from quillbase.operators import account, signal, snapshot, status, timeseries
+from quillbase.operators.stored import Scratch
 from quillbase.sources import landing
 
 FEEDS = ("clearinghouse", "orders", "portfolio", "fills", "cashflows", "candles", "funding", "book")
@@ -20,31 +21,37 @@ MOST_FILLS = 250
 
 
 def _number(value: Column, path: str) -> Column:
-    """A finite number at a path, written as number or text; null for anything else."""
-    return finite_number(F.when(untyped.kind(untyped.at(value, path)).isin("number", "text"), F.try_variant_get(value, path, "string")))
+    """A finite number at a path of parsed JSON, written as number or text; null for anything else, whose text is no number."""
+    return finite_number(F.try_variant_get(value, path, "string"))
 
 
 def _elements(wide: DataFrame, feed: str, path: str = "$", kinds: tuple[str, ...] = ("object",)) -> DataFrame:
     """(key, pos, value): the elements of the array at ``path`` of a feed's value; none if it is no array."""
-    held = wide.select(F.col("key").alias("_id"), untyped.at(F.col(feed)["value"], path).alias("_held")).where(untyped.kind(F.col("_held")) == "array")
-    return untyped.children(held, "_held").where(untyped.kind(F.col("value")).isin(*kinds)).select(F.col("_id").alias("key"), "pos", "value")
+    is_of = {"object": untyped.is_object, "array": untyped.is_array}
+    wanted = F.lit(False)
+    for k in kinds:
+        wanted = wanted | is_of[k](F.col("value"))
+    return wide.select("key", F.posexplode(F.try_variant_get(F.col(feed)["value"], path, "array<variant>")).alias("pos", "value")).where(wanted)
+
+
+def _candles(wide: DataFrame) -> DataFrame:
+    """(series, t, t_end, o, h, l, c, v): the elements of each key's array of candles; what is no finite number is null."""
+    names = {"t": "t", "t_end": "T", **{n: n for n in "ohlcv"}}
+    texts = F.try_variant_get(F.col("candles")["value"], "$", "array<map<string,string>>")
+    # inside the array, so that each text is parsed once
+    parsed = F.transform(texts, lambda x: F.struct(*(number(F.try_element_at(x, F.lit(n))).alias(c) for c, n in names.items())))
+    rows = wide.select(F.col("key").alias("series"), F.inline(parsed))
+    return rows.select("series", *(finite(F.col(c)).cast("long" if c.startswith("t") else "double").alias(c) for c in names))
 
 
 def market_signals(wide: DataFrame, now_ms: int, rules: signal.Rules = signal.Rules()) -> DataFrame:
     """(key, signal columns) as ``signal.evaluate`` has them, of each key's last completed candle; also for keys that have no candle."""
+    rows = timeseries.completed(_candles(wide), now_ms).withColumn("t_end", F.coalesce("t_end", F.col("t") + HOUR_MS - 1))
     v = lambda n: _number(F.col("value"), f"$.{n}")
-    rows = _elements(wide, "candles").select(F.col("key").alias("series"), v("t").cast("long").alias("t"), v("T").cast("long").alias("t_end"), *(v(n).alias(n) for n in "ohlcv"))
-    last = Window.partitionBy("series").orderBy(F.desc("t"))
-    rows = timeseries.completed(rows, now_ms).withColumn("t_end", F.coalesce("t_end", F.col("t") + HOUR_MS - 1))
-    rows = rows.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= timeseries.NEEDED)
     paid = _elements(wide, "funding").select(F.col("key").alias("series"), v("time").cast("long").alias("time"), v("fundingRate").alias("rate"))
-    ends = rows.where("_n = 1").select("series", "t")
     price = lambda side: _number(F.col("book")["value"], f"$.levels[{side}][0].px")
     quotes = wide.select(F.col("key").alias("series"), price(0).alias("bid"), price(1).alias("ask"))
-    judged = signal.evaluate(rows.drop("_n"), paid, ends.join(quotes, "series"), F.lit(now_ms).cast("long"), rules)
-    # of candles that share a start, the one that was judged with all others
-    order = Window.partitionBy("series").orderBy(F.desc("candle"), F.array_contains("regime_blockers", timeseries.TOO_FEW))
-    newest = judged.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "candle")
+    newest = signal.evaluate_last(rows, paid, quotes, F.lit(now_ms).cast("long"), rules).drop("candle")
     top = quotes.withColumn("top", signal.top_of_book(F.col("bid"), F.col("ask"))).select(F.col("series").alias("key"), "top")
     out = top.join(newest, top["key"] == newest["series"], "left").drop("series")
     bare = F.array(F.lit(timeseries.TOO_FEW))
@@ -63,13 +70,17 @@ def account_parts(wide: DataFrame) -> dict[str, DataFrame]:
     v = F.col("value")
     inner = F.coalesce(untyped.at(v, "$.position"), v)
     p = _elements(wide, "clearinghouse", "$.assetPositions").select("key", "pos", inner.alias("value"))
-    number = lambda n: _number(F.col("value"), f"$.{n}").alias(n)
+    amount = lambda n: _number(F.col("value"), f"$.{n}").alias(n)
     text = lambda n: F.coalesce(untyped.text(F.col("value"), f"$.{n}"), F.lit("")).alias(n)
     leverage = F.to_json(F.when(untyped.kind(untyped.at(F.col("value"), "$.leverage")).isin("object", "array"), untyped.at(F.col("value"), "$.leverage")))
-    positions = p.select("key", "pos", text("coin"), *(number(n) for n in ("szi", "entryPx", "positionValue", "unrealizedPnl", "marginUsed", "liquidationPx")), leverage.alias("leverage")).where(F.abs("szi") > 0)
+    positions = p.select("key", "pos", text("coin"), *(amount(n) for n in ("szi", "entryPx", "positionValue", "unrealizedPnl", "marginUsed", "liquidationPx")), leverage.alias("leverage")).where(F.abs("szi") > 0)
     flat = account.flatten_orders(wide.select("key", F.col("orders")["value"].alias("orders")), "key", account.order_columns)
     orders = account.public_orders(flat, "key", "at")
-    fills = _elements(wide, "fills", kinds=("object", "array")).select("key", "pos", number("time"), text("coin"), text("side"), text("dir"), number("px"), number("sz"), number("closedPnl"), number("fee"), F.coalesce(untyped.truthy(untyped.at(v, "$.crossed")), F.lit(False)).alias("crossed"))
+    # in steps, so that each text is parsed once
+    amounts = ("time", "px", "sz", "closedPnl", "fee")
+    fills = _elements(wide, "fills", kinds=("object", "array")).select("key", "pos", text("coin"), text("side"), text("dir"), *(number(F.try_variant_get(v, f"$.{n}", "string")).alias(n) for n in amounts), untyped.at(v, "$.crossed").alias("crossed"))
+    fills = fills.withColumns({**{n: finite(F.col(n)) for n in amounts}, "_kind": untyped.kind(F.col("crossed"))})
+    fills = fills.withColumn("crossed", F.coalesce(untyped.truthy(F.col("crossed"), F.col("_kind")), F.lit(False))).drop("_kind")
     newest = Window.partitionBy("key").orderBy(F.desc_nulls_last("time"), "pos")
     fills = fills.withColumn("at", F.row_number().over(newest) - 1).where(F.col("at") < MOST_FILLS).drop("pos")
     entries = _elements(wide, "portfolio", kinds=("array",)).where(untyped.kind(untyped.at(v, "$[1]")).isin("object", "array"))
@@ -92,15 +103,18 @@ def status_records(keys: DataFrame, responses: DataFrame, snapshots: DataFrame,
     """(key, error, record): one row per key of ``keys``: the nested public record, or why there is none.
 
     ``responses``: rows of ``landing.read_landed``. ``snapshots``: at most one research snapshot a key, of ``snapshot.SCHEMA``. Each
-    key's last responses count.
+    key's last responses count. They are gathered once, into a table of the checkpoint folder: a text a feed, which only the parts that need it parse.
     """
     wide = landing.latest_by_key(responses, keys, FEEDS)
     bad = {f: F.col(f)["error"] for f in FEEDS}
-    wide = wide.withColumns({"error": landing.required_error(F.col("clearinghouse"), F.col("orders")), "errors": landing.source_errors(bad)})
-    sound = wide.where("error IS NULL")
-    missing = F.array_compact(F.array(*(F.when(bad[f].isNotNull(), F.lit(f)) for f in ("candles", "funding", "book"))))
-    judged = market_signals(sound, now_ms, rules).join(sound.select("key", missing.alias("_missing")), "key")
-    judged = signal.merge_source_errors(judged, F.col("_missing")).drop("_missing")
+    with Scratch(wide.sparkSession) as scratch:
+        texts = (F.struct(F.col(f)["body"], F.col(f)["error"]).alias(f) for f in FEEDS)
+        wide = scratch.keep(wide.select("key", landing.required_error(F.col("clearinghouse"), F.col("orders")).alias("error"), landing.source_errors(bad).alias("errors"), *texts), last=True)
+        wide = wide.withColumns({f: F.struct(F.try_parse_json(F.col(f)["body"]).alias("value"), F.col(f)["error"]) for f in FEEDS})
+        sound = wide.where("error IS NULL")
+        missing = F.array_compact(F.array(*(F.when(bad[f].isNotNull(), F.lit(f)) for f in ("candles", "funding", "book"))))
+        judged = market_signals(sound, now_ms, rules).join(sound.select("key", missing.alias("_missing")), "key")
+        judged = scratch.keep(signal.merge_source_errors(judged, F.col("_missing")).drop("_missing"), last=True)
     parts = account_parts(sound)
     worth = lambda path: _number(F.col("clearinghouse")["value"], path)
     own = sound.select(

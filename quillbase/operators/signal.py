@@ -97,20 +97,29 @@ def failed(*gates: tuple[Column, Column | str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*told)))
 
 
-def _facts(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column) -> DataFrame:
-    """What a rule is judged by, a row a candle: nothing here depends on the rule."""
+def _windows(candles: DataFrame, now_ms: Column) -> DataFrame:
+    """Each candle with what it and those before it in its series say; only windows over a series by time."""
     last = Window.partitionBy("series").orderBy("t")
     held = lambda x: F.when(F.col("sound"), x)
     rows = with_window_reasons(candles.withColumn("now", now_ms), F.col("now"), "data_reasons").withColumn("sound", F.size("data_reasons") == 0)
     rows = rows.withColumns({"_before": F.lag("c", 6).over(last), "_volume": F.sum(dollar_volume()).over(last.rowsBetween(-23, 0))})
     rows = rows.withColumns({"r6": held(F.try_divide(F.col("c"), F.col("_before")) - 1), "day_volume": held(F.col("_volume")), "age_ms": held(F.col("now") - F.col("t_end"))})
-    rows = _with_settlement(rows.drop("_before", "_volume"), funding)
-    quotes = books.select(F.col("series").alias("_s"), F.col("t").alias("_t"), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
-    rows = rows.join(quotes, (F.col("series") == F.col("_s")) & (F.col("t") == F.col("_t")), "left").drop("_s", "_t")
+    return rows.drop("_before", "_volume")
+
+
+def _with_quotes(rows: DataFrame, quotes: DataFrame, *on: str) -> DataFrame:
+    """Candles with the top of book of their quotes, which are found by the columns ``on``."""
+    own = quotes.select(*(F.col(c).alias(f"_q_{c}") for c in on), top_of_book(F.col("bid"), F.col("ask")).alias("book"))
+    rows = rows.join(own, [F.col(c) == F.col(f"_q_{c}") for c in on], "left").drop(*(f"_q_{c}" for c in on))
     rows = rows.withColumn("book_error", F.coalesce(F.when(F.col("book").isNull(), NO_BOOK), F.col("book")["error"]))
     return rows.withColumn("live_vs_signal", F.when(F.col("sound") & (F.col("c") > 0), F.col("book")["mid"] / F.col("c")))
 
 
+def _facts(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column) -> DataFrame:
+    """What a rule is judged by, a row a candle: nothing here depends on the rule."""
+    return _with_quotes(_with_settlement(_windows(candles, now_ms), funding), books, "series", "t")
+
+
 def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column, rules: Rules = Rules()) -> DataFrame:
     """One row per candle, judged at ``now_ms`` (an expression over the candle): the gates of both streams and their inputs.
 
@@ -121,6 +130,18 @@ def evaluate(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: C
     return _judged(_facts(candles, funding, books, now_ms), given)
 
 
+def evaluate_last(candles: DataFrame, funding: DataFrame, quotes: DataFrame, now_ms: Column, rules: Rules = Rules()) -> DataFrame:
+    """``evaluate`` of each series' last candle only: one row a series. quotes: series, bid, ask, at most one a series.
+
+    Only the windows see all candles. Of candles that share the last start, it is the one that is judged with all others.
+    """
+    given = {f.name: F.lit(getattr(rules, f.name)) for f in fields(Rules)}
+    # in the order of the windows below, so that the rows are sorted once
+    later = F.lead(F.lit(True)).over(Window.partitionBy("series").orderBy("t"))
+    rows = _windows(candles, now_ms).withColumn("_later", later).where("_later IS NULL").drop("_later")
+    return _judged(_with_quotes(_with_settlement(rows, funding), quotes, "series"), given)
+
+
 def evaluate_many(candles: DataFrame, funding: DataFrame, books: DataFrame, now_ms: Column, manifest: DataFrame) -> DataFrame:
     """``evaluate`` for every strategy in one pass: a row per candle and strategy of its series, with ``strategy`` and ``version``.
 

@@ -45,21 +45,24 @@ def read_landed(spark: SparkSession, folder: str, feeds: tuple[str, ...], from_m
 
 
 def latest_by_key(responses: DataFrame, keys: DataFrame, feeds: tuple[str, ...]) -> DataFrame:
-    """One row per key of ``keys`` (key): for each feed a struct (value VARIANT, error), the last response by time.
+    """One row per key of ``keys`` (key): for each feed a struct (value VARIANT, error, body), the last response by time.
 
-    A feed that has no row says ``ABSENT``, and a body that isn't JSON ``BROKEN``; a response with an error has no value. Of responses of one
+    A feed that has no row says ``ABSENT``, and a body that isn't JSON ``BROKEN``; a response with an error has neither value nor body. Of responses of one
     time the one with an error wins. Keys of ``responses`` that ``keys`` lacks are left out.
     """
     one = lambda f: F.max(F.when(F.col("feed") == f, F.struct("time", F.col("error").isNotNull().alias("bad"), "error", "body"))).alias(f)
     wide = responses.where(F.col("time").isNotNull()).groupBy(F.col("key").alias("_key")).agg(*(one(f) for f in feeds))
     out = keys.select("key").distinct().join(wide, F.col("key") == F.col("_key"), "left").drop("_key")
 
+    # a column of its own, so that each body is parsed once
+    parsed = out.select("key", *feeds, *(F.try_parse_json(F.col(f)["body"]).alias(f"_{f}") for f in feeds))
+
     def judged(f: str) -> Column:
-        value = F.try_parse_json(F.col(f)["body"])
+        value = F.col(f"_{f}")
         error = F.when(F.col(f).isNull(), ABSENT).when(F.col(f)["bad"], F.col(f)["error"]).when(value.isNull(), BROKEN)
-        return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error")).alias(f)
+        return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"), F.when(error.isNull(), F.col(f)["body"]).alias("body")).alias(f)
 
-    return out.select("key", *(judged(f) for f in feeds))
+    return parsed.select("key", *(judged(f) for f in feeds))
 
 
 def source_errors(row_of: dict[str, Column]) -> Column:
@@ -71,9 +74,9 @@ def source_errors(row_of: dict[str, Column]) -> Column:
 def required_error(clearinghouse: Column, orders: Column) -> Column:
     """Why no record may be made: the account's state or its orders are unavailable or malformed; null if they are sound."""
     account, listed = clearinghouse["value"], orders["value"]
-    unavailable = ~F.coalesce(untyped.truthy(account), F.lit(False)) | ~F.coalesce(untyped.kind(listed) == "array", F.lit(False))
+    unavailable = ~F.coalesce(untyped.truthy(account), F.lit(False)) | ~untyped.is_array(listed)
     worth = F.try_variant_get(account, "$.marginSummary.accountValue", "double")
     finite = worth.isNotNull() & ~F.isnan(worth) & (F.abs(worth) != float("inf"))
-    held = untyped.kind(untyped.at(account, "$.assetPositions")) == "array"
+    held = F.try_variant_get(account, "$.assetPositions", "array<variant>").isNotNull()
     # What the reader of a record is told.
     return F.when(unavailable, "required public account state is unavailable").when(~F.coalesce(finite & held, F.lit(False)), "required public account state is malformed")
