@@ -80,9 +80,10 @@ def account_parts(wide: DataFrame) -> dict[str, DataFrame]:
     amounts = ("time", "px", "sz", "closedPnl", "fee")
     fills = _elements(wide, "fills", kinds=("object", "array")).select("key", "pos", text("coin"), text("side"), text("dir"), *(number(F.try_variant_get(v, f"$.{n}", "string")).alias(n) for n in amounts), untyped.at(v, "$.crossed").alias("crossed"))
     fills = fills.withColumns({**{n: finite(F.col(n)) for n in amounts}, "_kind": untyped.kind(F.col("crossed"))})
-    fills = fills.withColumn("crossed", F.coalesce(untyped.truthy(F.col("crossed"), F.col("_kind")), F.lit(False))).drop("_kind")
+    fills = fills.withColumn("crossed", F.coalesce(untyped.truthy(F.col("crossed"), F.col("_kind")), F.lit(False)))
     newest = Window.partitionBy("key").orderBy(F.desc_nulls_last("time"), "pos")
-    fills = fills.withColumn("at", F.row_number().over(newest) - 1).where(F.col("at") < MOST_FILLS).drop("pos")
+    fills = fills.withColumn("at", F.row_number().over(newest) - 1).where(F.col("at") < MOST_FILLS)
+    fills = fills.select("key", "at", "time", "coin", "side", "dir", "px", "sz", "closedPnl", "fee", "crossed")
     entries = _elements(wide, "portfolio", kinds=("array",)).where(untyped.kind(untyped.at(v, "$[1]")).isin("object", "array"))
     points = lambda field: F.filter(
         F.transform(F.coalesce(F.try_variant_get(v, f"$[1].{field}", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.struct(_number(x, "$[0]").alias("ts"), _number(x, "$[1]").alias("val"))),

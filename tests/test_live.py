@@ -48,6 +48,7 @@ def test_odd_values(spark, tmp_path):
         (2.0, 1.5, None, None, 5.0, "1.25", "true", "Open", False), (1.0, None, None, None, None, "5", "", "", True),
         (None, None, None, None, None, "", "", "", False), (None, None, None, 1.0, None, "A", "", "", True),
     ]
+    assert list(found["a"].account.fills[0].asDict()) == ["time", "coin", "side", "dir", "px", "sz", "closedPnl", "fee", "crossed"]
     assert found["a"].account.withdrawable is None and found["a"].account.equity == 5
     assert found["b"].signal.regime_blockers == [timeseries.TOO_FEW]  # one of the 25 has no start
     assert found["c"].signal.regime_blockers == [timeseries.GAPPED]
