@@ -116,27 +116,28 @@ def status_records(keys: DataFrame, responses: DataFrame, snapshots: DataFrame,
         missing = F.array_compact(F.array(*(F.when(bad[f].isNotNull(), F.lit(f)) for f in ("candles", "funding", "book"))))
         judged = market_signals(sound, now_ms, rules).join(sound.select("key", missing.alias("_missing")), "key")
         judged = scratch.keep(signal.merge_source_errors(judged, F.col("_missing")).drop("_missing"), last=True)
-    parts = account_parts(sound)
-    worth = lambda path: _number(F.col("clearinghouse")["value"], path)
-    own = sound.select(
-        "key", worth("$.marginSummary.accountValue").alias("equity"), worth("$.withdrawable").alias("withdrawable"), worth("$.marginSummary.totalMarginUsed").alias("margin_used"), worth("$.marginSummary.totalNtlPos").alias("notional"),
-        "errors", F.col("cashflows")["error"].alias("ledger_error"), F.coalesce(untyped.kind(F.col("cashflows")["value"]) == "array", F.lit(False)).alias("listed"),
-    )
-    flows = _elements(sound, "cashflows", kinds=("object", "array")).select("key", _number(F.col("value"), "$.time").alias("time"))
-    earned = account.performance(own, flows, "key", F.lit(baseline), F.lit(cutoff_ms).cast("long"), F.col("ledger_error"), F.col("listed"), F.lit(label).cast("string"))
-    asked = parts["orders"].select("key", "coin", "side", "sz", F.col("reduceOnly").alias("reduce_only"), F.col("isTrigger").alias("is_trigger"), F.col("orderType").alias("order_type"))
-    held = account.protection(parts["positions"], asked, "key", symbol)
-    held = sound.select("key").join(held, "key", "left").select(
-        "key", F.coalesce("status", F.lit("not_required")).alias("status"), "protected", F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"), F.lit(symbol).alias("symbol"),
-        "position_size", F.coalesce("protection_orders", F.lit(0).cast("long")).alias("protection_orders"),
-    )
+        # protection and performance are tables as well: the plan of the record holds their rows, not their joins
+        parts = account_parts(sound)
+        worth = lambda path: _number(F.col("clearinghouse")["value"], path)
+        own = sound.select(
+            "key", worth("$.marginSummary.accountValue").alias("equity"), worth("$.withdrawable").alias("withdrawable"), worth("$.marginSummary.totalMarginUsed").alias("margin_used"), worth("$.marginSummary.totalNtlPos").alias("notional"),
+            "errors", F.col("cashflows")["error"].alias("ledger_error"), F.coalesce(untyped.kind(F.col("cashflows")["value"]) == "array", F.lit(False)).alias("listed"),
+        )
+        flows = _elements(sound, "cashflows", kinds=("object", "array")).select("key", _number(F.col("value"), "$.time").alias("time"))
+        earned = scratch.keep(account.performance(own, flows, "key", F.lit(baseline), F.lit(cutoff_ms).cast("long"), F.col("ledger_error"), F.col("listed"), F.lit(label).cast("string")), last=True)
+        asked = parts["orders"].select("key", "coin", "side", "sz", F.col("reduceOnly").alias("reduce_only"), F.col("isTrigger").alias("is_trigger"), F.col("orderType").alias("order_type"))
+        held = account.protection(parts["positions"], asked, "key", symbol)
+        held = scratch.keep(sound.select("key").join(held, "key", "left").select(
+            "key", F.coalesce("status", F.lit("not_required")).alias("status"), "protected", F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"), F.lit(symbol).alias("symbol"),
+            "position_size", F.coalesce("protection_orders", F.lit(0).cast("long")).alias("protection_orders"),
+        ), last=True)
     gate = account.account_gate(own, parts["positions"], parts["orders"], "key").select("key", F.col("blockers").alias("account_blockers"), F.col("passes").alias("account_gate"))
     accounts = own.drop("ledger_error", "listed").join(gate, "key")
     for name, rows in parts.items():
         accounts = accounts.join(_gathered(rows, name), F.col("key") == F.col(f"_{name}"), "left").drop(f"_{name}")
     accounts = accounts.withColumns({n: F.coalesce(n, F.array()) for n in parts})
     lanes = snapshot.publish(snapshots, lanes_schema, now_ms)
-    told = status.assemble(accounts.drop("errors"), judged, held, earned, lanes, None, "key", F.lit(now_ms).cast("long"))
-    told = told.drop("sources").join(own.select("key", status.sources(F.col("errors")).alias("sources")), "key")
+    told = status.assemble(accounts, judged, held, earned, lanes, F.col("errors"), "key", F.lit(now_ms).cast("long"))
+    told = told.withColumn("account", F.col("account").dropFields("errors"))
     record = told.select(F.col("key").alias("_key"), F.struct(*(c for c in told.columns if c != "key")).alias("record"))
     return wide.select("key", "error").join(record, F.col("key") == F.col("_key"), "left").select("key", "error", "record")
