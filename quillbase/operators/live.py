@@ -1,4 +1,4 @@
-"""Public status records of many accounts from landed responses, in one plan: signal, protection, performance, fills, portfolio, lanes.
+"""Public status records of many accounts from landed responses, all at once: signal, protection, performance, fills, portfolio, lanes.
 
 Every account is a row; what its required feeds lack becomes that row's error and no record, and what other
 feeds lack becomes an entry of its errors beside the record.
